@@ -9,14 +9,38 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Place of a public tokenizer file; it is the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.scratch import Scratch
+    from corpusloom.llm.warc import read_archives, write_archives
+
+    scratch = Scratch(spark, "warc")
+    manifest = write_archives(_read(spark, sf_dir, "pages"), scratch.path("archives"), scratch)
+    return read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.spm_bpe import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_warc": op7_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
@@ -32,4 +56,16 @@ ORACLES = {
                text_sha256
         FROM d
     """,
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
 }
