@@ -22,6 +22,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.scratch import Scratch
     from corpusloom.llm.warc import read_archives, write_archives
@@ -39,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
     "op10_sentencepiece": op10_sentencepiece,
 }
