@@ -37,6 +37,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.spm_bpe import encode_documents
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
+    "op8_packing": op8_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
