@@ -43,6 +43,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.html_text import extract_pages
+
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.spm_bpe import encode_documents
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
+    "op9_html_text": op9_html_text,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
