@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.embedding_dedup import link_vectors
+
+    return link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.exact_dedup import exact_dedup
 
@@ -64,6 +70,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
