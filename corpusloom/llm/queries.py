@@ -35,6 +35,12 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.ngram_join import Similarity, link_documents
+
+    return link_documents(_read(spark, sf_dir, "documents"), Similarity(words=3, least=90, scale=100))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.substring_dedup import remove_repeats
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
