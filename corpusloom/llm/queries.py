@@ -9,7 +9,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; it is the same on every machine of the cluster."""
     import public_tokenizers
 
@@ -59,7 +59,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.packing import pack_documents
 
-    return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm.spm_bpe import encode_documents
 
-    return encode_documents(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES = {
