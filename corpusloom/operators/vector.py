@@ -171,10 +171,10 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
 def greedy_groups(pairs: DataFrame, most: int = 1000) -> DataFrame:
     """Groups of vectors within a radius, each named by its smallest member: (group_id, member).
 
-    pairs: a < b within the radius. A row is a group's head if no smaller neighbour of it is
-    one; heads are found in rounds that each settle every row whose smaller neighbours are
-    settled, and each other row joins its smallest head. The first ``most`` groups are given,
-    as the report has no more.
+    pairs: a < b within the radius. A row is a group's head if no smaller row is within the
+    radius; every other row joins its smallest head, and rows near no head are in no group.
+    This does not depend on the order of rows. The first ``most`` groups are given, as the
+    report has no more.
     """
     heads = pairs.select(F.col("a").alias("node")).distinct().join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
     joined = pairs.join(heads, pairs["a"] == heads["node"]).groupBy("b").agg(F.min("a").alias("group_id"))
