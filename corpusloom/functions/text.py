@@ -75,8 +75,12 @@ def word_count(text: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """Runs of n neighbours, joined by a space."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - F.lit(n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
+    # neighbours come from shifted copies: a slice inside a lambda would evaluate ``items`` for each of them
+    length = F.greatest(F.size(items) - F.lit(n - 1), F.lit(0))
+    out = F.slice(items, F.lit(1), length)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(items, F.lit(k + 1), length), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def keyword_ngrams(text: Column, least: int = 2, most: int = 4) -> Column:
