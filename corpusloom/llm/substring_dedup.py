@@ -13,10 +13,12 @@ Hashes have 64 bits: among n windows about n*n / 2**65 pairs of different window
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,18 +55,29 @@ def _split_owner(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.n
     return order, later
 
 
-def _told(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(document, packed sorted hashes) for each document."""
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    for part_doc, part in zip(np.split(docs, cuts), np.split(hashes, cuts), strict=True):
-        if len(part):
-            yield int(part_doc[0]), part.tobytes()
+def _bucket(docs: np.ndarray, count: int) -> np.ndarray:
+    """Bucket of each document; _bucket_of gives the same in SQL."""
+    unique, inverse = np.unique(docs, return_inverse=True)
+    return np.array([zlib.crc32(str(d).encode()) % count for d in unique.tolist()], np.int64)[inverse]
+
+
+def _bucket_of(doc: F.Column, count: int) -> F.Column:
+    return (F.crc32(doc.cast("string").cast("binary")) % count).cast("int")
+
+
+def _told(docs: np.ndarray, hashes: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed documents and hashes) for each bucket of documents."""
+    buckets = _bucket(docs, count)
+    order = np.lexsort((hashes, docs, buckets))
+    buckets, docs, hashes = buckets[order], docs[order], hashes[order]
+    edges = np.searchsorted(buckets, np.arange(count + 1))
+    for k in np.unique(buckets).tolist():
+        own = slice(edges[k], edges[k + 1])
+        yield k, pack(docs[own].view(np.uint64), hashes[own])
 
 
 def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(id, marks) with the hashes of windows that also start in a document with a smaller id, in one or more rows a document."""
+    """(bucket, marks): packed pairs of a document and the hash of one of its windows that also starts in a document with a smaller id."""
     spark = docs.sparkSession
     count = partitions(spark)
 
@@ -78,10 +91,10 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
             owner = _ids(batch.column(0))[texts]
             order, later = _split_owner(found, owner)
             found, owner = found[order], owner[order]
-            parts, ids, blobs = [], [], []
-            for doc, blob in _told(owner[later], found[later]):
-                parts.append(doc % count)
-                ids.append(doc)
+            parts, told, blobs = [], [], []
+            for bucket, blob in _told(owner[later], found[later], count):
+                parts.append(bucket)
+                told.append(True)
                 blobs.append(blob)
             found, owner = found[~later], owner[~later]
             edges = _ranges(found, count)
@@ -89,16 +102,16 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
                 if edges[k + 1] > edges[k]:
                     own = slice(edges[k], edges[k + 1])
                     parts.append(k)
-                    ids.append(None)
+                    told.append(False)
                     blobs.append(pack(found[own], owner[own].view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "id", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(told, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "told", "blob"])
 
     def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_hashes, all_docs = [], []
         for batch in batches:
-            told = batch.filter(batch.column("id").is_valid())
-            yield pa.RecordBatch.from_arrays([told.column("id"), told.column("blob")], names=["id", "marks"])
-            for blob in batch.filter(batch.column("id").is_null()).column("blob"):
+            told = batch.filter(batch.column("told"))
+            yield pa.RecordBatch.from_arrays([told.column("part"), told.column("blob")], names=["bucket", "marks"])
+            for blob in batch.filter(pc.invert(batch.column("told"))).column("blob"):
                 hashes, owner = unpack(blob.as_py(), 2)
                 all_hashes.append(hashes)
                 all_docs.append(owner.view(np.int64))
@@ -108,12 +121,12 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
         del all_hashes, all_docs
         order, later = _split_owner(hashes, owner)
         order = order[later]
-        rows = list(_told(owner[order], hashes[order]))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["id", "marks"])
+        rows = list(_told(owner[order], hashes[order], count))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "marks"])
 
-    sliced = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(reduce_slices, "part int, id long, blob binary")
+    sliced = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(reduce_slices, "part int, told boolean, blob binary")
     dealt = sliced.repartitionById(count, "part")
-    return scratch.table(dealt.mapInArrow(count_ranges, "id long, marks binary"), "marks")
+    return scratch.table(dealt.mapInArrow(count_ranges, "bucket int, marks binary"), "marks")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -128,42 +141,55 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     count = partitions(docs.sparkSession)
     marks = repeated_windows(docs, window, id_col, text_col, scratch)
-    marks = marks.groupBy(F.col("id").alias("__id")).agg(F.collect_list("marks").alias("__marks"))
     keep = keep or []
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
-    rows = docs.select(key.alias("__id"), F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
-    joined = rows.repartition(count, "__id").join(marks.hint("shuffle_hash"), "__id", "left").drop("__id")
     types = dict(docs.dtypes)
     names = [f"__c{i}" for i in range(len(keep))]
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
+    rows = docs.select(_bucket_of(key, count).alias("__bucket"), F.lit(None).cast("binary").alias("__marks"), F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
+    told = marks.select(F.col("bucket").alias("__bucket"), F.col("marks").alias("__marks"), *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in rows.columns[2:]])
+    # a bucket's marks come before its documents
+    dealt = told.union(rows).repartitionById(count, "__bucket").sortWithinPartitions(F.col("__marks").isNull())
     schema = ", ".join(["__own long", "n_words long", "n_removed long", "kept_sha256 string", "kept_text string", *[f"{n} {types[c]}" for n, c in zip(names, keep, strict=True)]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in together(batches, 1, SLICE):
+        marked_docs, marked = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+        def documents() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                is_doc = batch.column("__marks").is_null()
+                for blob in batch.filter(pc.invert(is_doc)).column("__marks"):
+                    docs_of, hashes = unpack(blob.as_py(), 2)
+                    marked_docs.append(docs_of.view(np.int64))
+                    marked.append(hashes)
+                yield batch.filter(is_doc)
+
+        for batch in together(documents(), 2, SLICE):
+            if len(marked) > 1:
+                all_docs, all_hashes = np.concatenate(marked_docs), np.concatenate(marked)
+                order = np.argsort(all_docs, kind="stable")
+                marked_docs, marked = [all_docs[order]], [all_hashes[order]]
             data, offsets = text_bytes(batch.column("__text"))
-            hashes, word_offsets, firsts, lasts = word_hashes(data, offsets)
+            hashes, word_offsets, _, _ = word_hashes(data, offsets)
             found, starts, texts = windows(hashes, word_offsets, window)
             edges = np.searchsorted(texts, np.arange(batch.num_rows + 1))
             n_words = np.diff(word_offsets)
+            ids = _ids(batch.column("__own"))
+            lows, highs = np.searchsorted(marked_docs[0], ids, "left"), np.searchsorted(marked_docs[0], ids, "right")
             removed, digests, kept_texts = [], [], []
-            for row, marks_of in enumerate(batch.column("__marks").to_pylist()):
+            for row in range(batch.num_rows):
                 a, b = int(word_offsets[row]), int(word_offsets[row + 1])
                 gone = np.zeros(b - a, bool)
                 own = slice(edges[row], edges[row + 1])
-                if marks_of and own.stop > own.start:
-                    marked = np.concatenate([np.frombuffer(m, np.uint64) for m in marks_of])
-                    hit = starts[own][np.isin(found[own], marked)] - a
+                if lows[row] < highs[row] and own.stop > own.start:
+                    hit = starts[own][np.isin(found[own], marked[0][lows[row] : highs[row]])] - a
                     # maximal intervals: +1 where a repeated window starts, -1 after it ends
                     steps = np.zeros(b - a + 1, np.int32)
                     np.add.at(steps, hit, 1)
                     np.add.at(steps, hit + window, -1)
                     gone = np.cumsum(steps[:-1]) > 0
-                left = np.flatnonzero(~gone) + a
-                raw = data.tobytes() if batch.num_rows == 1 else data[offsets[row] : offsets[row + 1]].tobytes()
-                if len(left) == b - a:
-                    text = b" ".join(raw.split())
-                else:
-                    words = raw.split()
-                    text = b" ".join([words[i] for i in (left - a).tolist()])
+                words = data[offsets[row] : offsets[row + 1]].tobytes().split()
+                left = np.flatnonzero(~gone)
+                text = b" ".join(words if len(left) == b - a else [words[i] for i in left.tolist()])
                 removed.append(b - a - len(left))
                 digests.append(hashlib.sha256(text).hexdigest())
                 kept_texts.append(text.decode())
@@ -172,5 +198,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 names=["__own", "n_words", "n_removed", "kept_sha256", "kept_text", *names],
             )
 
-    done = joined.select("__own", "__text", "__marks", *names).mapInArrow(apply, schema)
+    done = dealt.select("__marks", "__own", "__text", *names).mapInArrow(apply, schema)
     return done.select(F.col("__own").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != id_col])
