@@ -24,8 +24,8 @@ from corpusloom.llm.scratch import Scratch
 SAMPLE_ROWS = {1: 6_000, 0: 10_000}
 SLOT_BITS = 20
 SHORTEST, LONGEST = 3, 6
-KEPT_SLOTS = 20_000
-STEPS = 300
+KEPT_SLOTS = 10_000
+STEPS = 150
 RATE = 0.5
 PENALTY = 1e-3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,11 +34,10 @@ _FINISH = np.uint64(0xBF58476D1CE4E5B9)
 STRETCH = 1 << 18
 
 
-def slots(text: str | None) -> np.ndarray:
-    """Sorted distinct slots of a text's n-grams."""
+def _hashed(text: str | None) -> Iterator[np.ndarray]:
+    """Slots of a text's n-grams, with repetitions, some at a time."""
     text = " " + " ".join((text or "").lower().split()) + " "
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    seen = np.zeros(1 << SLOT_BITS, bool)
     for at in range(0, len(codes), STRETCH):
         part = codes[max(0, at - LONGEST + 1) : at + STRETCH]
         h = part + np.uint64(1)
@@ -47,8 +46,13 @@ def slots(text: str | None) -> np.ndarray:
                 break
             h = h[:-1] * _BASE + part[n - 1 :]
             if n >= SHORTEST:
-                seen[((h ^ (h >> np.uint64(29))) * _FINISH) >> np.uint64(64 - SLOT_BITS)] = True
-    return np.flatnonzero(seen)
+                yield ((h ^ (h >> np.uint64(29))) * _FINISH) >> np.uint64(64 - SLOT_BITS)
+
+
+def slots(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct slots of a text's n-grams, of those for which ``wanted`` is true if given."""
+    found = [np.unique(h if wanted is None else h[wanted[h]]) for h in _hashed(text)]
+    return np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).astype(np.int64)
 
 
 @dataclass
@@ -58,8 +62,11 @@ class Model:
     weights: np.ndarray
     intercept: float
 
+    def __post_init__(self):
+        self.used = self.weights != 0
+
     def score(self, text: str | None) -> float:
-        z = self.intercept + float(self.weights[slots(text)].sum(dtype=np.float64))
+        z = self.intercept + float(self.weights[slots(text, self.used)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -132,18 +139,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # how many times its standard error a slot's ratio is
     spread = np.sqrt(1 / (total[1] + 1) + 1 / (total[0] + 1))
     kept = np.sort(np.argsort(-np.abs(ratios) / spread, kind="stable")[:KEPT_SLOTS])
-    of_slot = np.full(size, -1, np.int32)
-    of_slot[kept] = np.arange(len(kept))
+    wanted = np.zeros(size, bool)
+    wanted[kept] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            found = [of_slot[slots(text.as_py())] for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[f >= 0].astype("<u2").tobytes() for f in found], pa.binary())], names=["label", "features"])
+            found = [slots(text.as_py(), wanted).astype("<u4").tobytes() for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["label", "features"])
 
     ys, xs = [], []
     for part in rows.mapInArrow(features, "label int, features binary").toLocalIterator():
         ys.append(part.label)
-        xs.append(np.frombuffer(part.features, "<u2"))
+        xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")))
     scratch.drop(rows)
     w, b = fit_regression(xs, np.array(ys), ratios[kept])
     weights = np.zeros(size, np.float32)
