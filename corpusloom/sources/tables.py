@@ -38,7 +38,7 @@ def new_topics(topics: DataFrame, existing: DataFrame, overwrite: bool = False)
 def read_yaml_keys(spark: SparkSession, path: str) -> DataFrame:
     """(lang, key, value) of YAML files named after their language. A repeated key has its last value."""
     files = spark.read.option("pathGlobFilter", "*.y*ml").format("binaryFile").load(path)
-    rows = files.select(F.regexp_extract("path", r"([^/]+)\.ya?ml\z", 1).alias("lang"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    rows = files.select(F.regexp_extract("path", r"([^/]+)\.ya?ml\z", 1).alias("lang"), F.decode("content", "UTF-8").alias("raw"))
 
     @F.pandas_udf("map<string, string>")
     def parse(texts: pd.Series) -> pd.Series:
