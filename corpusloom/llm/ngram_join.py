@@ -2,9 +2,10 @@
 
 Equal shingle sets are one node. Two sets that reach the similarity share one of their
 first few shingles under any common order (the prefix); here rare shingles come first,
-by a counting sketch of fixed size, so common ones bring hardly any sets together. Sets of
-fitting sizes that meet in a shingle are chained, which gives candidate groups that no
-link leaves. Groups are compared in tiles: small ones whole, larger ones by band of set
+by a counting sketch of fixed size, so common ones bring hardly any sets together. The
+first shingle that two linking sets share stands so early in the smaller one that few of
+its shingles come into question. Sets of fitting sizes that meet in such a shingle are
+chained, which gives candidate groups that no link leaves. Groups are compared in tiles: small ones whole, larger ones by band of set
 size and salt. In a tile, hashed bitmap signatures bound the overlap of two sets from
 above by bit counts, and what may reach the similarity is decided by intersecting the
 sorted shingle arrays. Sets already connected in a tile are not compared again.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from corpusloom.llm.wordhash import mix, pack, shingle_sets, text_bytes, togethe
 
 #: Bytes of text that are taken together, slots of the sketch, and sets in a tile.
 SLICE = 4 << 20
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 TILE_ROWS = 256
 WHOLE_ROWS = 512
 _SKETCH_PARTS = 16
@@ -53,6 +55,14 @@ class Similarity:
         """How many of a set's first shingles it shares at least one of with any set that it links with."""
         return n - -(-self.least * n // self.scale) + 1
 
+    def early(self, n):
+        """How many shingles can come before the first one that a set shares with one that is no smaller and links with it."""
+        return n - -(-2 * self.least * n // (self.scale + self.least))
+
+    def largest(self, n, before):
+        """Size up to which a smaller set can link with one of n shingles of which ``before`` come before the first shared one."""
+        return (n - before) * (self.scale + self.least) // self.least - n
+
     def band(self, n) -> F.Column:
         """Sets that link are in the same band of sizes or in adjacent ones."""
         return F.floor(F.log(n.cast("double")) / F.lit(math.log(self.scale / self.least)) * F.lit(1 - 1e-9)).cast("long")
@@ -76,32 +86,60 @@ def frequency_sketch(rows: DataFrame, similarity: Similarity) -> np.ndarray:
     each = size // _SKETCH_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size, np.uint32)
         for batch in together(batches, 1, SLICE):
             for shingles in _sets(batch, similarity):
-                np.add.at(counts, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array([counts[k * each : (k + 1) * each].tobytes() for k in range(_SKETCH_PARTS)], pa.binary())], names=["part", "counts"])
+                np.add.at(counts, (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        packed = zstandard.ZstdCompressor(level=1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array([packed.compress(counts[k * each : (k + 1) * each].tobytes()) for k in range(_SKETCH_PARTS)], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+                sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(counts.as_py()), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
-    sketch = np.zeros(size, np.int64)
+    sketch = np.zeros(size, np.uint32)
     for row in rows.mapInArrow(count, "part int, counts binary").repartitionById(_SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
-        sketch[row.part * each : (row.part + 1) * each] = np.frombuffer(row.counts, np.int64)
+        sketch[row.part * each : (row.part + 1) * each] = np.frombuffer(row.counts, np.uint32)
     return sketch
 
 
+def chained(token: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.ndarray, similarity: Similarity) -> np.ndarray:
+    """Distinct pairs of names that connect all sets which may link because of a shingle: rows (smaller name, larger).
+
+    Of two sets that link, the smaller has the first shared shingle early. Each set is joined
+    to the largest early one that its own place of the shingle allows; early ones of fitting
+    sizes are thereby chained, so every other one that it may link with is connected too.
+    """
+    order = np.lexsort((name, size, token))
+    token, name, size, before = token[order], name[order], size[order], before[order]
+    _, group = np.unique(token, return_inverse=True)
+    early = np.flatnonzero(before <= similarity.early(size))
+    if not len(early):
+        return np.zeros((0, 2), np.int64)
+    span = np.int64(1) << np.int64(40)
+    key = group[early] * span + np.minimum(size[early], span - 2)
+    # the last early set in the shingle's group that is not larger than allowed, and not the set itself
+    allowed = group * span + np.clip(np.minimum(similarity.largest(size, before), size), 0, span - 2)
+    at = np.searchsorted(key, allowed, "right") - 1
+    own = np.searchsorted(early, np.arange(len(size)), "left")
+    at = np.minimum(at, own - 1)
+    ok = at >= 0
+    to = early[np.maximum(at, 0)]
+    ok &= (group[to] == group) & (name[to] != name) & similarity.sizes_fit(size[to], size)
+    a, b = name[to[ok]], name[ok]
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+
+
 def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, node) of every row, node null for an empty set; and candidate edges (a, b) between nodes."""
-    sketch = rows.sparkSession.sparkContext.broadcast(frequency_sketch(rows, similarity).astype(np.uint64))
+    sketch = rows.sparkSession.sparkContext.broadcast(frequency_sketch(rows, similarity))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches, 1, SLICE):
-            sizes, names, tokens, token_names, token_sizes = [], [], [], [], []
+            sizes, names, tokens, token_names, token_sizes, token_before = [], [], [], [], [], []
             seen: set[int] = set()
             for shingles in _sets(batch, similarity):
                 n = len(shingles)
@@ -119,17 +157,18 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
                 tokens.append(first)
                 token_names.append(np.full(len(first), name, np.int64))
                 token_sizes.append(np.full(len(first), n, np.int64))
+                token_before.append(np.arange(len(first)))
             parts, blobs = [], []
             if tokens:
-                token, name, size = np.concatenate(tokens), np.concatenate(token_names), np.concatenate(token_sizes)
+                token = np.concatenate(tokens)
                 order = np.argsort(token, kind="stable")
-                token, name, size = token[order], name[order], size[order]
+                token, name, size, before = token[order], np.concatenate(token_names)[order], np.concatenate(token_sizes)[order], np.concatenate(token_before)[order]
                 edges = np.append(np.searchsorted(token, np.array([(k << 64) // count for k in range(count)], np.uint64)), len(token))
                 for k in range(count):
                     if edges[k + 1] > edges[k]:
                         own = slice(edges[k], edges[k + 1])
                         parts.append(k)
-                        blobs.append(pack(token[own], name[own].view(np.uint64), size[own].view(np.uint64)))
+                        blobs.append(pack(token[own], *[c[own].astype(np.int64).view(np.uint64) for c in (name, size, before)]))
             n, m = batch.num_rows, len(parts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,21 +184,14 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
     made = scratch.table(rows.mapInArrow(prefixes, "id long, n_shingles long, node long, part int, blob binary"), "prefixes")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             for blob in batch.column("blob"):
-                for held, new in zip(columns, unpack(blob.as_py(), 3), strict=True):
+                for held, new in zip(columns, unpack(blob.as_py(), 4), strict=True):
                     held.append(new)
         if not columns[0]:
             return
-        token, name, size = np.concatenate(columns[0]), np.concatenate(columns[1]).view(np.int64), np.concatenate(columns[2]).view(np.int64)
-        del columns
-        order = np.lexsort((name, size, token))
-        token, name, size = token[order], name[order], size[order]
-        # neighbours by size in a shingle: if two sizes fit, so do all between them
-        linked = (token[1:] == token[:-1]) & (name[1:] != name[:-1]) & similarity.sizes_fit(size[:-1], size[1:])
-        a, b = name[:-1][linked], name[1:][linked]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        pairs = chained(np.concatenate(columns[0]), *[np.concatenate(c).view(np.int64) for c in columns[1:]], similarity)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     edges = scratch.table(made.where("part IS NOT NULL").select("part", "blob").repartitionById(count, "part").mapInArrow(chain, "a long, b long"), "candidates")
