@@ -476,3 +476,174 @@ def event_windows(spark, sf_dir):
     from corpusloom.streaming.events import windowed_counts
 
     return windowed_counts(read(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- clusters, rules and exports ----
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    """Density cluster and leaf of each vector in its section (V11, V12); the method has no SQL form."""
+    from corpusloom.operators.cluster import density_clusters as clusters
+
+    return clusters(page_vectors(spark, sf_dir), "section")
+
+
+@query()
+def cluster_tree(spark, sf_dir):
+    """Flat nodes of the cluster tree."""
+    from corpusloom.operators.cluster import density_clusters as clusters
+    from corpusloom.operators.cluster import tree_nodes
+
+    found = Scratch(spark, "tree").table(clusters(page_vectors(spark, sf_dir), "section"), "clusters")
+    return tree_nodes(found, "section")
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    """Cluster of each vector by k-means (V14, V15); labels depend on the initialisation."""
+    from corpusloom.operators.cluster import kmeans
+
+    return kmeans(page_vectors(spark, sf_dir), 10)
+
+
+@query()
+def map_points(spark, sf_dir):
+    """Two coordinates of each vector (V16's declared substitute, K3)."""
+    from corpusloom.operators.cluster import map_2d
+
+    return map_2d(page_vectors(spark, sf_dir))
+
+
+@query("SELECT section AS cluster, min(x) AS x, count(*) AS size FROM (SELECT label AS section, round(avg(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label), 6) AS x FROM embeddings) GROUP BY section")
+def cluster_centres(spark, sf_dir):
+    """Centre and size of every cluster."""
+    from corpusloom.operators.cluster import cluster_centres as centres
+
+    points = page_vectors(spark, sf_dir).select(F.col("section").alias("cluster"), V.doubles(F.col("vec"))[0].alias("x"), V.doubles(F.col("vec"))[1].alias("y"))
+    return centres(points, 10).select("cluster", six("x").alias("x"), "size")
+
+
+@query("SELECT count(*) AS n_clusters, min(n) AS min_size, max(n) AS max_size, avg(n) AS avg_size FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def cluster_sizes(spark, sf_dir):
+    """Number and sizes of clusters (A5)."""
+    from corpusloom.operators.cluster import cluster_sizes as sizes
+
+    return sizes(page_vectors(spark, sf_dir).select("id", F.col("section").alias("cluster")))
+
+
+@query()
+def linked_pages(spark, sf_dir):
+    """Pages with links by keyword rules (V22, J7): the rules are the benchmark's first two words."""
+    from corpusloom.operators.linking import link_pages
+
+    rules = read(spark, sf_dir, "benchmark").select(F.lower(F.substring_index("text", " ", 2)).alias("keyword"), F.format_string("/item/%d/", "item_id").alias("url"), F.lit("").alias("title"), (F.lit(1000) - F.col("item_id")).cast("int").alias("priority"))
+    common = spark.createDataFrame([("the", "/the/", "", 1), ("and", "/and/", "", 2)], "keyword string, url string, title string, priority int")
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html")
+    return link_pages(pages, rules.unionByName(common)).select("id", "keywords", "urls", "n_links")
+
+
+@query()
+def link_recommendations(spark, sf_dir):
+    """Recommended links between vectors' pages."""
+    from corpusloom.operators.linking import LinkLimits, recommend_links
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    both = page_vectors(spark, sf_dir).join(docs, "id")
+    title = F.substring_index(F.col("text"), " ", 4)
+    pages = both.select("id", F.format_string("/p/%d/", "id").alias("url"), title.alias("title"), F.lit("").alias("description"), F.array(F.lower(title)).alias("keywords"), F.array().cast("array<string>").alias("existing"), V.doubles(F.col("vec")).alias("vec"))
+    paragraphs = both.select("id", F.lit(0).alias("para"), "text", V.doubles(F.col("vec")).alias("vec"))
+    limits = LinkLimits(similarity=0.2, lift=-2.0, anchor=0.0)
+    return recommend_links(pages, paragraphs, limits)
+
+
+@query()
+def body_checks(spark, sf_dir):
+    """Structural problems of each text against the first of its source."""
+    from corpusloom.functions.html import check_body
+
+    docs = read(spark, sf_dir, "documents")
+    first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("reference"))
+    return docs.join(first, "source").select("doc_id", check_body(F.col("text"), F.col("reference")).alias("problems"))
+
+
+@query()
+def page_keywords(spark, sf_dir):
+    """Keywords of each document's beginning."""
+    from corpusloom.operators.keywords import page_keywords as extract
+
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", extract(F.substring_index("text", "\n", 1), F.lit(""), F.col("text")).alias("keywords"))
+
+
+@query()
+def slugs(spark, sf_dir):
+    """Slugs of the texts' beginnings."""
+    from corpusloom.functions.slugs import slug
+
+    return read(spark, sf_dir, "documents").select("doc_id", slug(F.substring("text", 1, 100), F.col("lang")).alias("slug"))
+
+
+@query("""
+    WITH i AS (SELECT DISTINCT lang, source AS dir FROM documents WHERE lang <> 'en'), r AS (SELECT '/' || lang || '/' || dir AS f, '/' || lang || '/' || replace(dir, 'src', 'q') AS t FROM i)
+    SELECT f || '/' AS source, t || '/' AS target, '301' AS status FROM r UNION ALL SELECT f || '/*', t || '/:splat', '301' FROM r
+""")
+def redirect_rules(spark, sf_dir):
+    """Redirects of folders whose address is another."""
+    folders = read(spark, sf_dir, "documents").select("lang", F.col("source").alias("dir")).distinct()
+    return sync.redirects(folders.withColumn("url", F.concat_ws("/", F.lit(""), "lang", F.replace("dir", F.lit("src"), F.lit("q")), F.lit(""))))
+
+
+@query("""
+    WITH i AS (SELECT DISTINCT lang, source AS dir FROM documents)
+    SELECT lang, dir, CASE WHEN lang = 'en' THEN '/' ELSE '/' || lang || '/' END || CASE WHEN length(dir) = 4 THEN 'x' || dir ELSE dir END || '/' AS url FROM i
+""")
+def directory_urls(spark, sf_dir):
+    """Addresses of folders from stated slugs."""
+    folders = read(spark, sf_dir, "documents").select("lang", F.col("source").alias("dir")).distinct()
+    stated = folders.where(F.length("dir") == 4).withColumn("slug", F.concat(F.lit("x"), "dir"))
+    return sync.directory_urls(stated, folders)
+
+
+@query("""
+    WITH d AS (SELECT doc_id, lang FROM documents), o AS (SELECT doc_id, lang FROM d WHERE doc_id % 2 = 0)
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+""")
+def upserted(spark, sf_dir):
+    """New rows in place of those with their keys."""
+    from corpusloom.sources.sinks import upsert
+
+    ids = read(spark, sf_dir, "documents").select("doc_id")
+    return upsert(ids.where("doc_id % 2 = 0").withColumn("state", F.lit("old")), ids.where("doc_id % 3 = 0").withColumn("state", F.lit("new")), ["doc_id"])
+
+
+@query("""
+    WITH w AS (SELECT source AS keyword, lang AS url, length(source) AS n, CAST(doc_id % 5 AS INT) AS priority FROM documents)
+    SELECT keyword, url, max(priority) AS priority FROM w GROUP BY keyword, url
+""")
+def keyword_rules(spark, sf_dir):
+    """Rules with the best of each keyword and address (S9, W5, SE6)."""
+    from corpusloom.sources.tables import keyword_rules as merged
+
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("Keyword"), F.col("lang").alias("url"), (F.col("doc_id") % 5).alias("priority"))
+    return merged(rows.where("priority < 3"), rows.where("priority >= 2")).select("keyword", "url", "priority")
+
+
+@query("SELECT url AS link, min(page_id) AS page_id FROM pages GROUP BY url")
+def distinct_addresses(spark, sf_dir):
+    """Addresses once, at their first position (SE2)."""
+    return crawl.ordered_distinct(read(spark, sf_dir, "pages").select(F.col("url").alias("link"), "page_id"), "link", "page_id")
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def run_report(spark, sf_dir):
+    """Counts by state."""
+    from corpusloom.sources.sinks import run_report as report
+
+    return report(read(spark, sf_dir, "events").select(F.col("event_type").alias("status")))
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('de', 'es', 'fr') THEN 'eu' ELSE 'row' END AS region FROM documents")
+def consent_regions(spark, sf_dir):
+    """Consent bucket by country code."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.consent_region(F.col("lang")).alias("region"))
