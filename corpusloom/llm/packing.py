@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.byte_bpe import model_at
-from corpusloom.llm.scratch import Scratch, partitions
+from corpusloom.plans.scratch import Scratch, partitions
 from corpusloom.llm.wordhash import together
 
 GROUP_ITEMS = 4096
@@ -139,24 +139,25 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[Bins]) -> li
     rng = random.Random(seed)
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     bound = least_bins(sizes, capacity)
-    population = [b for b in elites] or [best_fit(by_size, sizes, capacity)]
-    score = lambda b: fitness(b, sizes, capacity)
-    if min(map(len, population)) > bound:
+    score = lambda b: (fitness(b, sizes, capacity), b)
+    by_score = lambda x: x[0]
+    population = [score(b) for b in elites] or [score(best_fit(by_size, sizes, capacity))]
+    if min(len(b) for _, b in population) > bound:
         while len(population) < POPULATION:
             noise = 0.02 * (len(population) + 1)
             order = sorted(by_size, key=lambda i: -sizes[i] * (1 + noise * rng.random()))
-            population.append(best_fit(order, sizes, capacity))
+            population.append(score(best_fit(order, sizes, capacity)))
         for _ in range(GENERATIONS):
-            population.sort(key=score)
-            if len(population[0]) <= bound:
+            population.sort(key=by_score)
+            if len(population[0][1]) <= bound:
                 break
             for _ in range(OFFSPRING):
                 one, other = rng.sample(range(len(population)), 2)
-                child = crossover(population[max(one, other)], population[min(one, other)], sizes, capacity, rng)
-                population.append(mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child)
-            population.sort(key=score)
+                child = crossover(population[max(one, other)][1], population[min(one, other)][1], sizes, capacity, rng)
+                population.append(score(mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child))
+            population.sort(key=by_score)
             del population[POPULATION:]
-    return sorted(population, key=score)[:2]
+    return [b for _, b in sorted(population, key=by_score)[:2]]
 
 
 def _labels(bins: Bins, n: int) -> list[int]:
