@@ -13,25 +13,32 @@ from corpusloom.llm.exact_dedup import keep_first
 from corpusloom.llm.ngram_join import Similarity, link_documents
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.queries import tokenizer_path
-from corpusloom.llm.scratch import Scratch
+from corpusloom.plans.scratch import Scratch
 from corpusloom.llm.substring_dedup import remove_repeats
 from corpusloom.llm.toxicity import fit, score
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    """Id, text and the whole row."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    """Id, text and the rest of the row."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("__row"))
+
+
+def _columns(docs: DataFrame, new: dict | None = None) -> list:
+    """The columns of the documents, out of text and the rest of the row."""
+    new = new or {}
+    return [(new[c] if c in new else F.col("text") if c == "text" else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, trained on the labelled ones, rejects."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(_held(docs), model, keep=["__row"]).where("predicted = 0").select("__row.*")
+    return score(_held(docs), model, keep=["text", "__row"]).where("predicted = 0").select(*_columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
-    return keep_first(_held(docs)).select("__row.*")
+    return keep_first(_held(docs)).select(*_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +51,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that start in an earlier document go; other texts stay as they are."""
     done = remove_repeats(_held(docs), window=50, keep=["__row"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__row.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("__row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return done.select(*[new[c].alias(c) if c in new else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        n = F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, n).otherwise(F.col("__row.n_chars"))
+    return done.select(*_columns(docs, new))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import Scratch, partitions
+from corpusloom.plans.scratch import Scratch, partitions
 from corpusloom.llm.wordhash import pack, text_bytes, together, unpack, windows, word_hashes
 
 #: Bytes of text that are reduced together before anything is sent.
@@ -130,7 +130,10 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per input row: id, n_words, n_removed, kept_sha256, and kept_text (kept words joined by one space).
+    """Per input row: id, n_words, n_removed, kept_sha256, and kept_text.
+
+    kept_sha256 is of the kept words joined by one space; kept_text is that text where
+    something went, and the input's text as it is where nothing did.
 
     A word goes if a window of ``window`` words over it also starts in a document with a
     smaller id. Windows are judged on the input. ``keep`` names columns of the input to
@@ -175,6 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             n_words = np.diff(word_offsets)
             ids = _ids(batch.column("__own"))
             lows, highs = np.searchsorted(marked_docs[0], ids, "left"), np.searchsorted(marked_docs[0], ids, "right")
+            null = batch.column("__text").is_null().to_pylist()
             removed, digests, kept_texts = [], [], []
             for row in range(batch.num_rows):
                 a, b = int(word_offsets[row]), int(word_offsets[row + 1])
@@ -187,12 +191,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                     np.add.at(steps, hit, 1)
                     np.add.at(steps, hit + window, -1)
                     gone = np.cumsum(steps[:-1]) > 0
-                words = data[offsets[row] : offsets[row + 1]].tobytes().split()
+                raw = data[offsets[row] : offsets[row + 1]].tobytes()
+                words = raw.split()
                 left = np.flatnonzero(~gone)
                 text = b" ".join(words if len(left) == b - a else [words[i] for i in left.tolist()])
                 removed.append(b - a - len(left))
                 digests.append(hashlib.sha256(text).hexdigest())
-                kept_texts.append(text.decode())
+                kept_texts.append(text.decode() if len(left) < b - a else None if null[row] else raw.decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__own"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()), *[batch.column(n) for n in names]],
                 names=["__own", "n_words", "n_removed", "kept_sha256", "kept_text", *names],

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.scratch import Scratch
+from corpusloom.plans.scratch import Scratch
 
 #: Bound of the fitting sample: rows of each label, the first by hash of the id.
 SAMPLE_ROWS = {1: 6_000, 0: 10_000}
@@ -76,18 +77,26 @@ def log_count_ratios(present: np.ndarray, n_present: int, absent: np.ndarray, n_
 
 
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features and the intercept, by gradient descent with momentum; classes weigh the same."""
-    index = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    values = scale[index]
+    """Weights of the scaled features and the intercept, by gradient descent with momentum; classes weigh the same.
+
+    rows: kept slots of each row, counted from 0. Rows are taken some at a time, so little
+    more than the features themselves is in memory.
+    """
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    parts = []
+    for at in range(0, len(rows), 2000):
+        own = rows[at : at + 2000]
+        parts.append((np.concatenate(own).astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in own]), slice(at, at + len(own)), len(own)))
     w, b = np.zeros(len(scale)), 0.0
     dw, db = np.zeros(len(scale)), 0.0
     for _ in range(STEPS):
-        z = np.bincount(owner, values * w[index], len(rows)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) * share
-        gw = np.bincount(index, values * error[owner], len(scale)) + PENALTY * w
-        dw, db = 0.9 * dw - RATE * gw, 0.9 * db - RATE * error.sum()
+        gw, gb = PENALTY * w, 0.0
+        for index, owner, span, n in parts:
+            z = np.bincount(owner, (scale * w)[index], n) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[span]) * share[span]
+            gw += scale * np.bincount(index, error[owner], len(scale))
+            gb += error.sum()
+        dw, db = 0.9 * dw - RATE * gw, 0.9 * db - RATE * gb
         w, b = w + dw, b + db
     return w, b
 
@@ -126,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 counts[label, slots(text.as_py())] += 1
                 n[label] += 1
         if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64()), pa.array([counts.astype("<i4").tobytes()], pa.binary())], names=["n0", "n1", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(counts.astype("<i4").tobytes())], pa.binary())], names=["n0", "n1", "counts"])
 
     total, n = np.zeros((2, size), np.int64), [0, 0]
-    # 24 partitions of the bounded sample, 8 MB each
+    # 24 partitions of the bounded sample, at most 8 MB each
     for part in rows.mapInArrow(count, "n0 long, n1 long, counts binary").toLocalIterator():
-        total += np.frombuffer(part.counts, "<i4").reshape(2, size)
+        total += np.frombuffer(zstandard.ZstdDecompressor().decompress(part.counts), "<i4").reshape(2, size)
         n[0], n[1] = n[0] + part.n0, n[1] + part.n1
     if not all(n):
         return Model(np.zeros(size), -500.0)
@@ -152,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ys, xs = [], []
     for part in rows.mapInArrow(features, "label int, features binary").toLocalIterator():
         ys.append(part.label)
-        xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")))
+        xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")).astype(np.int32))
     scratch.drop(rows)
     w, b = fit_regression(xs, np.array(ys), ratios[kept])
     weights = np.zeros(size, np.float32)
@@ -168,19 +177,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
     types = dict(docs.dtypes)
-    names = [f"__c{i}" for i in range(len(keep))]
+    carried = [c for c in keep if c not in (id_col, text_col)]
+    names = {c: f"__c{i}" for i, c in enumerate(carried)} | {text_col: "__text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [shared.value.score(text.as_py()) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns], names=["score", *batch.schema.names])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
-    done = rows.mapInArrow(run, ", ".join(["score double, __id long", *[f"{n} {types[c]}" for n, c in zip(names, keep, strict=True)]]))
+    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(names[c]) for c in carried])
+    done = rows.mapInArrow(run, ", ".join(["score double, __text string, __id long", *[f"{names[c]} {types[c]}" for c in carried]]))
     return done.select(
         F.col("__id").alias(id_col),
         held_out(F.col("__id")).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True) if c != id_col],
+        *[F.col(names[c]).alias(c) for c in keep if c != id_col],
     )
