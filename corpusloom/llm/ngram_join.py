@@ -25,12 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.graph import components
-from corpusloom.llm.scratch import Scratch, partitions
+from corpusloom.operators.graph import components
+from corpusloom.plans.scratch import Scratch, partitions
 from corpusloom.llm.wordhash import mix, pack, shingle_sets, text_bytes, together, unpack, word_hashes
 
 #: Bytes of text that are taken together, slots of the sketch, and sets in a tile.
-SLICE = 4 << 20
+SLICE = 2 << 20
 SKETCH_BITS = 22
 TILE_ROWS = 256
 WHOLE_ROWS = 512

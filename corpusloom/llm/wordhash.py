@@ -17,7 +17,7 @@ _BASE2 = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
 
 #: Texts are taken so many bytes at a time; a longer run without white space is taken whole.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
