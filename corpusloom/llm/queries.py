@@ -47,6 +47,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.plans.scratch import Scratch
     from corpusloom.llm.warc import read_archives, write_archives
@@ -80,6 +86,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_warc": op7_warc,
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,

@@ -398,3 +398,16 @@ def test_encode_documents(spark, texts):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in got) == want
     assert encode_documents(frame(spark, []), path).count() == 0
+
+
+# ---- licences ----
+
+
+def test_licenses():
+    from corpusloom.llm.license_scan import TEMPLATES, Scanner
+
+    scanner = Scanner(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        assert scanner.text("x\n" + text)[1] == [name]
+    assert scanner.text("# SPDX-License-Identifier: ISC") == (1, ["ISC"])
+    assert scanner.text(None) == scanner.text("") == (0, []) and scanner.text("my driving license is green")[1] == []
