@@ -1,10 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by an exact join of each label with itself.
 
-Equal vectors are one class. In each pass the classes are ordered lexicographically by a
-key of concatenated random hyperplane hashes; each is compared with a bounded number of
-its successors, across partition borders too, and verified pairs of all passes are united.
-Inside a component, where a window may be smaller than a group of near copies, all pairs
-are then compared tile by tile, so every link between its members counts.
+Equal vectors are one class. The classes of a label are dealt to tiles by a hash; every
+pair of tiles is compared whole, so no link is missed at any size. Products in 32 bits
+leave the pairs that may be close enough, and those near the threshold are computed again
+in 64 bits. A pair of tiles gives the number of links of each class and a forest of them.
 """
 
 from __future__ import annotations
@@ -17,126 +16,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
-from corpusloom.plans.scratch import Scratch, partitions
+from corpusloom.plans.scratch import Scratch
 
-PASSES = 12
-KEY_BITS = 62
-WINDOW = 32
-#: Rows of sorted order that a task compares at once, and members of a component in a tile.
-BLOCK_ROWS = 4096
-TILE_ROWS = 256
+#: Least and most classes in a tile of a label; between them a label has TILES tiles.
+LEAST_ROWS, MOST_ROWS, TILES = 256, 65536, 8
+#: Rows and columns of products held at once.
+BLOCK_ROWS, BLOCK_COLUMNS = 512, 8192
 
 
 def _vectors(column) -> np.ndarray:
     """Vectors of equal length from their bytes."""
-    return np.stack([np.frombuffer(b, "<f4") for b in column.to_pylist()]).astype(np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = vectors.astype(np.float64)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def projection(turn: int, dimensions: int) -> np.ndarray:
-    """Random hyperplanes of a pass."""
-    return np.random.default_rng([turn, dimensions]).standard_normal((dimensions, KEY_BITS))
-
-
-def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Of the pairs of positions those that join two trees, as node ids."""
-    parent = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    left, right = [], []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = root(i), root(j)
-        if x != y:
-            parent[x] = y
-            left.append(int(nodes[i]))
-            right.append(int(nodes[j]))
-    return left, right
-
-
-def _pass_rows(classes: DataFrame) -> DataFrame:
-    """Each class once a pass, with its key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            dims = np.asarray(batch.column("dim"))
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                vectors = _vectors(part.column("vec"))
-                for turn in range(PASSES):
-                    keys = ((vectors @ projection(turn, int(dim))) > 0).astype(np.int64) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), turn, np.int32)), part.column("label"), part.column("dim"), pa.array(keys), part.column("node"), part.column("vec")], names=["turn", "label", "dim", "key", "node", "vec"])
-
-    return classes.select("label", "dim", "node", "vec").mapInArrow(run, "turn int, label long, dim int, key long, node long, vec binary")
-
-
-def _window_links(classes: DataFrame, threshold: float, scratch: Scratch, count: int) -> DataFrame:
-    """Verified pairs (a, b) of neighbours in any pass, enough of them to connect all that are."""
-    spark = classes.sparkSession
-    order = ["turn", "label", "dim", "key", "node"]
-    rows = scratch.table(_pass_rows(classes).repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    # one row a partition
-    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg((F.max(inside) + 1).alias("n")).collect())
-    starts = np.cumsum([0] + [n for _, n in sizes]).tolist()
-    offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "part int, first long")
-    ranked = rows.withColumn("part", part.cast("int")).join(F.broadcast(offsets), "part").withColumn("rank", F.col("first") + inside)
-    block = F.floor(F.col("rank") / BLOCK_ROWS)
-    early = (F.col("rank") % BLOCK_ROWS < WINDOW) & (block > 0)
-    dealt = ranked.withColumn("block", F.explode(F.when(early, F.array(block, block - 1)).otherwise(F.array(block)))).select("block", "rank", "turn", "label", "dim", "node", "vec")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("rank")
-        turn, label, dim, node = (np.asarray(table.column(c)) for c in ("turn", "label", "dim", "node"))
-        fresh = np.ones(len(turn), bool)
-        fresh[1:] = (turn[1:] != turn[:-1]) | (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])
-        group = np.cumsum(fresh)
-        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
-        for d in np.unique(dim):
-            own = np.flatnonzero(dim == d)
-            units = _unit(_vectors(table.column("vec").take(pa.array(own))))
-            for step in range(1, min(WINDOW, len(own) - 1) + 1):
-                near = (np.einsum("ij,ij->i", units[:-step], units[step:]) >= threshold) & (group[own[:-step]] == group[own[step:]])
-                hit = np.flatnonzero(near)
-                a.append(own[hit])
-                b.append(own[hit + step])
-        left, right = _forest(node, np.concatenate(a), np.concatenate(b))
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    links = scratch.table(dealt.groupBy("block").applyInArrow(compare, "a long, b long"), "links")
-    scratch.drop(rows)
-    return links
-
-
-def _all_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, other_links): copies of other classes of its component within the threshold of each class.
-
-    members: component, node, copies, dim, vec, and size, the members of the component.
+def _narrow_unit(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([_unit(vectors[k : k + BLOCK_COLUMNS]).astype(np.float32) for k in range(0, len(vectors), BLOCK_COLUMNS)])
+
+
+def close_pairs(left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of all pairs of rows within the threshold, block by block; of a side with itself each pair once."""
+    narrow = _narrow_unit(left), _narrow_unit(right)
+    # more than the error of a product of unit vectors in 32 bits
+    slack = (left.shape[1] + 8) * 2.0**-23
+    for at in range(0, len(left), BLOCK_ROWS):
+        for to in range(at if same else 0, len(right), BLOCK_COLUMNS):
+            scores = narrow[0][at : at + BLOCK_ROWS] @ narrow[1][to : to + BLOCK_COLUMNS].T
+            a, b = np.nonzero(scores >= threshold - slack)
+            keep = scores[a, b] >= threshold + slack
+            a, b = a + at, b + to
+            unsure = np.flatnonzero(~keep)
+            for k in range(0, len(unsure), BLOCK_COLUMNS):
+                some = unsure[k : k + BLOCK_COLUMNS]
+                keep[some] = np.einsum("ij,ij->i", _unit(left[a[some]]), _unit(right[b[some]])) >= threshold
+            if same:
+                keep &= a < b
+            if keep.any():
+                yield a[keep], b[keep]
+
+
+def _unite(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tree of each position after the pairs (a, b) joined theirs."""
+    while True:
+        x, y = tree[a], tree[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return tree
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # one pair of every tree on either side, then the rest again
+        picked = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = parent.setdefault(up, up)
+                i = up
+            return i
+
+        for i, j in zip(x[picked].tolist(), y[picked].tolist(), strict=True):
+            parent[root(i)] = root(j)
+        joined = np.arange(len(tree))
+        for i in list(parent):
+            joined[i] = root(i)
+        tree = joined[tree]
+
+
+def _close_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(node, other_links, root) of each class with links in a pair of tiles.
+
+    other_links counts the copies of the other classes; root is a class that it is connected with in that pair of tiles.
     """
-    tiles = F.greatest(F.ceil(F.col("size") / TILE_ROWS), F.lit(1))
-    own = F.pmod(F.xxhash64("node"), tiles)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
-    dealt = members.withColumn("tile", own).withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "tile", "node", "copies", "vec")
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size")).where(F.col("size") > LEAST_ROWS)
+    tiles = F.coalesce(F.greatest(F.ceil(F.col("size") / MOST_ROWS), F.least(F.lit(TILES), F.ceil(F.col("size") / LEAST_ROWS))), F.lit(1)).cast("long")
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
+    tiled = classes.join(sizes, ["label", "dim"], "left").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    dealt = tiled.withColumn("pair", F.explode(pairs)).select("label", "dim", "pair.i", "pair.j", "tile", "node", "copies", "vec")
 
-    def count(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    def compare(table: pa.Table) -> pa.Table:
+        i, same = table.column("i")[0].as_py(), table.column("i")[0] == table.column("j")[0]
         node, copies, tile = (np.asarray(table.column(c)) for c in ("node", "copies", "tile"))
-        units = _unit(_vectors(table.column("vec")))
-        near = (units @ units.T) >= threshold
-        np.fill_diagonal(near, False)
-        if i != j:
-            near &= tile[:, None] != tile[None, :]
-        return pa.table({"node": pa.array(node), "other_links": pa.array(near @ copies)})
+        vectors = _vectors(table.column("vec"))
+        sides = [np.arange(len(node))] * 2 if same else [np.flatnonzero(tile == i), np.flatnonzero(tile != i)]
+        found, tree = np.zeros(len(node), np.int64), np.arange(len(node))
+        for a, b in close_pairs(vectors[sides[0]], vectors[sides[1]], threshold, same) if len(sides[0]) and len(sides[1]) else ():
+            a, b = sides[0][a], sides[1][b]
+            for x, y in ((a, b), (b, a)):
+                found += np.bincount(x, copies[y], len(node)).astype(np.int64)
+            tree = _unite(tree, a, b)
+        linked = np.flatnonzero(found)
+        return pa.table({"node": pa.array(node[linked], pa.int64()), "other_links": pa.array(found[linked], pa.int64()), "root": pa.array(node[tree[linked]], pa.int64())})
 
-    return dealt.groupBy("component", "i", "j").applyInArrow(count, "node long, other_links long").groupBy("node").agg(F.sum("other_links").alias("other_links"))
+    return dealt.groupBy("label", "dim", "i", "j").applyInArrow(compare, "node long, other_links long, root long")
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -148,7 +122,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     Repeated rows link with each other. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    scratch, count = Scratch(spark, "embedding-dedup"), partitions(spark)
+    scratch = Scratch(spark, "embedding-dedup")
     vec = F.col(vec_col).cast("array<float>")
     usable = F.coalesce(
         F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.size(vec) > 0)
@@ -166,11 +140,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     first = rows.where("usable").groupBy("label", "h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
     classes = scratch.table(first.mapInArrow(as_bytes, "label long, h1 long, h2 long, node long, first_id long, copies long, dim int, vec binary"), "classes")
-    found = components(_window_links(classes, threshold, scratch, count), scratch)
-    sizes = scratch.table(found.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    members = scratch.table(classes.join(found, "node").join(sizes, "component").select("component", "node", "first_id", "copies", "vec", "size"), "members")
-    named = scratch.table(members.groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
-    linked = members.select("node", "component").join(_all_links(members, threshold), "node").join(named, "component").select("node", "other_links", "component_id")
+    close = scratch.table(_close_classes(classes, threshold), "close")
+    found = scratch.table(components(close.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch), "found")
+    named = scratch.table(found.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
+    links = close.groupBy("node").agg(F.sum("other_links").alias("other_links"))
+    linked = found.join(links, "node").join(named, "component").select("node", "other_links", "component_id")
     per_class = classes.join(linked, "node", "left").select(
         "label", "h1", "h2", (F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id")
     )

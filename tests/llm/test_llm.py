@@ -186,6 +186,40 @@ def test_embedding_links(spark):
     assert got[n].n_links == degree[n] and got[n + 3].n_links == got[n + 4].n_links == got[None].n_links == 0
 
 
+def test_embedding_links_of_a_large_label(spark):
+    rng = np.random.default_rng(8)
+    n, planted = 30_000, 300
+    vectors = rng.standard_normal((n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    other = rng.standard_normal((planted, 64))
+    other -= (other * vectors[:planted]).sum(1, keepdims=True) * vectors[:planted]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.931 * vectors[:planted] + math.sqrt(1 - 0.931**2) * other
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([vectors, near]))]
+    got = {r.vec_id: r for r in link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).where("n_links > 0").collect()}
+    assert all(got[k].n_links == got[n + k].n_links == 1 and got[n + k].component_id == k for k in range(planted)) and len(got) == 2 * planted
+
+
+def test_close_pairs_are_exact(monkeypatch):
+    from corpusloom.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_COLUMNS", 16)
+    rng = np.random.default_rng(4)
+    vectors = (rng.standard_normal((5, 8))[rng.integers(0, 5, 90)] + 0.2 * rng.standard_normal((90, 8))).astype(np.float32)
+    units = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    # a threshold that is a pair's own product
+    threshold = float(np.einsum("j,j", units[3], units[np.argsort(units @ units[3])[-9]]))
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if np.einsum("j,j", units[a], units[b]) >= threshold}
+    tree, got = np.arange(90), []
+    for a, b in embedding_dedup.close_pairs(vectors, vectors, threshold, True):
+        got += zip(a.tolist(), b.tolist(), strict=True)
+        tree = embedding_dedup._unite(tree, a, b)
+    roots = union(range(90), want)
+    assert len(got) == len(set(got)) and set(got) ^ want <= {p for p in want | set(got) if abs(units[p[0]] @ units[p[1]] - threshold) < 1e-14}
+    assert len({(tree[k], roots[k]) for k in range(90)}) == len(set(tree.tolist())) == len(set(roots.values()))
+
+
 def test_embedding_links_of_nothing(spark):
     assert link_vectors(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
