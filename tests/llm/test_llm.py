@@ -445,3 +445,30 @@ def test_licenses():
         assert scanner.text("x\n" + text)[1] == [name]
     assert scanner.text("# SPDX-License-Identifier: ISC") == (1, ["ISC"])
     assert scanner.text(None) == scanner.text("") == (0, []) and scanner.text("my driving license is green")[1] == []
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("lorem ipsum dolor " * 45 + "Released under the MIT License. " + "sit amet " * 80, ["MIT"]),
+        ("Licensed under the Apache License, Version 2.0 or the MIT License, at your option.", ["Apache-2.0", "MIT"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("You may copy it under the terms of the GNU GPL v2.", ["GPL-2.0"]),
+        ("# it under the terms of the GNU Lesser General Public License as\n# published by the Free Software Foundation, either version 3 of the License", ["LGPL-3.0"]),
+        ("Distributed under the LGPL-2.1 or, where that is not possible, the AGPLv3.", ["AGPL-3.0", "LGPL-2.1"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright", ["GPL-2.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("The pictures are available under CC BY-SA 4.0, the code under the 2-clause BSD license", ["BSD-2-Clause", "CC-BY-SA-4.0"]),
+        ("Available under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International licence", ["CC-BY-NC-SA-4.0"]),
+        ("// Permission to use, copy, modify, and distribute this software for any\n// purpose with or without fee is hereby granted, provided that the above\n// copyright notice appear in all copies.", ["ISC"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("The author has dedicated this to the public under CC0.", ["CC0-1.0"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0", ["Apache-2.0", "GPL-2.0-only", "MIT"]),
+        ("Licensed under the Apache License, Version 1.1. All rights reserved.", []),
+        ("The MIT campus gives a parking license each year.", []),
+    ],
+)
+def test_license_wordings_that_are_not_templates(text, names):
+    from corpusloom.llm.license_scan import TEMPLATES, Scanner
+
+    assert Scanner(TEMPLATES).text(text)[1] == names
