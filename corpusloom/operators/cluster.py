@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors as V
 from corpusloom.operators.audit import robust_rescale
 
-#: Rows that one task clusters by density; larger sections are cut into cells first.
-MOST_ROWS = 4000
+#: Rows whose distances to all others are held at once.
+TILE_ROWS = 256
 
 
 def hdbscan(points: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
@@ -23,23 +23,27 @@ def hdbscan(points: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
 
     Mutual reachability by Euclidean distance, a minimum spanning tree, the condensed tree of
     components of at least ``least`` points, and the most stable antichain of it. A single
-    root cluster is none.
+    root cluster is none. Distances are made a tile or a row at a time, so memory grows with
+    the points and time with their square.
     """
     n = len(points)
     if n < max(least, 2):
         return np.full(n, -1)
     squares = (points**2).sum(1)
-    dist = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * points @ points.T, 0))
-    core = np.partition(dist, min(samples, n) - 1, axis=1)[:, min(samples, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), dist)
+
+    def distances(rows: slice) -> np.ndarray:
+        return np.sqrt(np.maximum(squares[rows, None] + squares[None, :] - 2 * points[rows] @ points.T, 0))
+
+    core = np.concatenate([np.partition(distances(slice(k, k + TILE_ROWS)), min(samples, n) - 1, axis=1)[:, min(samples, n) - 1] for k in range(0, n, TILE_ROWS)])
     # minimum spanning tree from node 0
     inside = np.zeros(n, bool)
     near, source = np.full(n, np.inf), np.zeros(n, int)
     edges, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < near)
-        near[closer], source[closer] = reach[at][closer], at
+        reach = np.maximum(np.maximum(core[at], core), distances(slice(at, at + 1))[0])
+        closer = ~inside & (reach < near)
+        near[closer], source[closer] = reach[closer], at
         at = int(np.argmin(np.where(inside, np.inf, near)))
         edges.append((near[at], source[at], at))
     # single linkage: node n + k is the k-th merge
@@ -132,14 +136,9 @@ def subdivide(ids: list[int], points: np.ndarray, most: int = 5) -> list[tuple[s
 def density_clusters(rows: DataFrame, group: str, least: int = 5, samples: int = 3) -> DataFrame:
     """(group, id, cell, cluster, leaf): density cluster of each row of its group, and the small one it ends in.
 
-    rows: id, group, vec. A group of fewer than ``least`` rows is one cluster. A group that
-    is too large for one task is cut into cells by the signs of the first components around
-    their mean, and cells are clustered on their own.
+    rows: id, group, vec. A group of fewer than ``least`` rows is one cluster. A group is
+    clustered whole, whatever its size, in one task; cell is 0.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    bits = F.greatest(F.ceil(F.log2(F.col("__n") / MOST_ROWS)), F.lit(0)).cast("int")
-    signs = F.aggregate(F.slice(V.doubles(F.col("vec")), F.lit(1), F.greatest("__b", F.lit(1))), F.lit(0), lambda s, x: s * 2 + F.when(x > 0, 1).otherwise(0))
-    cells = rows.join(sizes.select(group, bits.alias("__b")), group).withColumn("cell", F.when(F.col("__b") > 0, signs).otherwise(0))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
@@ -151,10 +150,10 @@ def density_clusters(rows: DataFrame, group: str, least: int = 5, samples: int =
             own = np.flatnonzero(labels == k)
             for path, part in subdivide([ids[i] for i in own], points[own]):
                 leaf |= {i: f"{k}{path}" for i in part}
-        return pd.DataFrame({group: frame[group], "id": ids, "cell": frame["cell"], "cluster": labels, "leaf": [leaf[i] for i in ids]})
+        return pd.DataFrame({group: frame[group], "id": ids, "cell": 0, "cluster": labels, "leaf": [leaf[i] for i in ids]})
 
     kind = dict(rows.dtypes)[group]
-    return cells.select(group, "id", "cell", V.doubles(F.col("vec")).alias("vec")).groupBy(group, "cell").applyInPandas(run, f"{group} {kind}, id long, cell int, cluster int, leaf string")
+    return rows.where(F.col(group).isNotNull()).select(group, "id", V.doubles(F.col("vec")).alias("vec")).groupBy(group).applyInPandas(run, f"{group} {kind}, id long, cell int, cluster int, leaf string")
 
 
 def tree_nodes(clusters: DataFrame, group: str) -> DataFrame:

@@ -49,6 +49,18 @@ def test_audit(spark):
     assert {r.section: r.medoid for r in audit.medoids(drift.select("id", "section", "vec"), "section").collect()}["t"] == 90
 
 
+def test_density_clusters_of_a_large_section(spark):
+    rng = np.random.default_rng(3)
+    # two dense groups around points on the border of the signs of the first component
+    centres = np.array([[0.0, 5.0], [0.0, -5.0]])
+    points = centres[np.arange(4200) % 2] + rng.uniform(-0.5, 0.5, (4200, 2))
+    data = [(k, "s", p.tolist()) for k, p in enumerate(points)]
+    got = cluster.density_clusters(spark.createDataFrame(data, "id long, section string, vec array<double>"), "section").collect()
+    whole = cluster.hdbscan(points)
+    assert {r.id: r.cluster for r in got} == dict(enumerate(whole.tolist()))
+    assert len({r.cell for r in got}) == 1
+
+
 def test_hdbscan_finds_two_blobs():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(4, 0.1, (30, 2)), [[20.0, 20.0]]])
