@@ -7,6 +7,8 @@ fetched HTML. All queries run over whole tables.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("section"), F.col("embedding").alias("vec"))
 
 
+def hashed_vector(text) -> F.Column:
+    """A vector of a text from the encoder that hashes words."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(vector.hashing_encoder()(texts.tolist()), dtype=np.float64)))
+
+    return run(text)
+
+
 def six(column) -> F.Column:
     return F.round(column, 6)
 
@@ -545,14 +557,14 @@ def linked_pages(spark, sf_dir):
 
 @query()
 def link_recommendations(spark, sf_dir):
-    """Recommended links between vectors' pages."""
+    """Recommended links between all documents, from each of their lines as a paragraph."""
     from corpusloom.operators.linking import LinkLimits, recommend_links
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    both = page_vectors(spark, sf_dir).join(docs, "id")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     title = F.substring_index(F.col("text"), " ", 4)
-    pages = both.select("id", F.format_string("/p/%d/", "id").alias("url"), title.alias("title"), F.lit("").alias("description"), F.array(F.lower(title)).alias("keywords"), F.array().cast("array<string>").alias("existing"), V.doubles(F.col("vec")).alias("vec"))
-    paragraphs = both.select("id", F.lit(0).alias("para"), "text", V.doubles(F.col("vec")).alias("vec"))
+    pages = docs.select("id", F.format_string("/p/%d/", "id").alias("url"), title.alias("title"), F.lit("").alias("description"), F.array(F.lower(title)).alias("keywords"), F.array().cast("array<string>").alias("existing"), hashed_vector(F.col("text")).alias("vec"))
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("para", "text")).where(F.trim("text") != "")
+    paragraphs = lines.select("id", "para", "text", hashed_vector(F.col("text")).alias("vec"))
     limits = LinkLimits(similarity=0.2, lift=-2.0, anchor=0.0)
     return recommend_links(pages, paragraphs, limits)
 

@@ -44,3 +44,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_links_come_from_all_paragraphs(spark):
+    got = QUERIES["link_recommendations"](spark, DATA).toPandas()
+    assert got["paragraph_index"].max() > 0 and got.groupby("source").size().max() > 1
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert all(r.text.split()[0] in texts[r.source].split("\n")[r.paragraph_index] for r in got.itertuples())
