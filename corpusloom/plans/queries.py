@@ -294,6 +294,18 @@ def escaped_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.escape_html(X.hard_clip(F.col("text"), 200)).alias("escaped"))
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
+def escaped_whole_text(spark, sf_dir):
+    """HTML escaping of whole texts."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.escape_html(F.col("text")).alias("escaped"))
+
+
+@query("SELECT doc_id, left(text, 2000) AS clipped FROM documents")
+def clipped_text(spark, sf_dir):
+    """The hard clip at its own length."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.hard_clip(F.col("text")).alias("clipped"))
+
+
 @query("SELECT doc_id, sha256(text) AS hash, sha256(text || '|' || 'model') AS model_hash FROM documents")
 def content_hashes(spark, sf_dir):
     """Content hashes with and without a model's name."""
@@ -413,6 +425,17 @@ def synced_keys(spark, sf_dir):
     return sync.synced_keys(rows)
 
 
+@query("""
+    WITH k AS (SELECT lang, CAST(n_chars AS VARCHAR) AS key, CAST(min(doc_id) AS VARCHAR) AS value FROM documents GROUP BY lang, n_chars), l AS (SELECT DISTINCT lang FROM k WHERE lang <> 'en')
+    SELECT l.lang, e.key, e.value FROM k e CROSS JOIN l WHERE e.lang = 'en' AND NOT EXISTS (SELECT 1 FROM k WHERE k.lang = l.lang AND k.key = e.key)
+    UNION ALL SELECT lang, key, value FROM k
+""")
+def synced_lengths(spark, sf_dir):
+    """Keys of all languages over the whole table, where lengths that a language lacks are filled from English."""
+    rows = read(spark, sf_dir, "documents").groupBy("lang", F.col("n_chars").cast("string").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
+    return sync.synced_keys(rows)
+
+
 @query("""
     WITH r AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' THEN text END AS title FROM conversations)
     SELECT conv_id AS file, turn AS line, md5(coalesce(last_value(title IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'untitled')) AS nearest FROM r
@@ -445,6 +468,17 @@ def changed_bodies(spark, sf_dir):
     return sync.changed_bodies(rows.select(path, F.col("text").alias("body")), head).select("path", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
+@query("""
+    WITH d AS (SELECT source || '/' || n_chars AS path, lang, md5(text) AS body FROM documents), a AS (SELECT path, max(body) AS body FROM d GROUP BY path), h AS (SELECT path, min(body) AS body FROM d WHERE lang <> 'en' GROUP BY path)
+    SELECT a.path, a.body FROM a LEFT JOIN h ON a.path = h.path WHERE h.body IS NULL OR h.body <> a.body
+""")
+def changed_translations(spark, sf_dir):
+    """Bodies of all documents that are new or differ from those in other languages than English."""
+    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("path"), "lang", F.md5(F.col("text").cast("binary")).alias("body"))
+    staged = rows.groupBy("path").agg(F.max("body").alias("body"))
+    return sync.changed_bodies(staged, rows.where("lang <> 'en'").groupBy("path").agg(F.min("body").alias("body")))
+
+
 @query("""
     SELECT source, lang, page, count(*) AS n FROM (SELECT source, lang, CAST(ceil(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) / 60.0) AS BIGINT) AS page FROM documents) GROUP BY ALL
 """)
@@ -590,10 +624,10 @@ def page_keywords(spark, sf_dir):
 
 @query()
 def slugs(spark, sf_dir):
-    """Slugs of the texts' beginnings."""
+    """Slugs of whole texts, within the operator's own limit."""
     from corpusloom.functions.slugs import slug
 
-    return read(spark, sf_dir, "documents").select("doc_id", slug(F.substring("text", 1, 100), F.col("lang")).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", slug(F.col("text"), F.col("lang")).alias("slug"))
 
 
 @query("""
@@ -629,6 +663,17 @@ def upserted(spark, sf_dir):
     return upsert(ids.where("doc_id % 2 = 0").withColumn("state", F.lit("old")), ids.where("doc_id % 3 = 0").withColumn("state", F.lit("new")), ["doc_id"])
 
 
+@query("""
+    SELECT DISTINCT doc_id, 'new' AS state FROM labels UNION ALL SELECT doc_id, 'old' FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)
+""")
+def upserted_labels(spark, sf_dir):
+    """All labels in place of the documents with their ids."""
+    from corpusloom.sources.sinks import upsert
+
+    old, new = (read(spark, sf_dir, name).select("doc_id").withColumn("state", F.lit(state)) for name, state in (("documents", "old"), ("labels", "new")))
+    return upsert(old, new, ["doc_id"])
+
+
 @query("""
     WITH w AS (SELECT source AS keyword, lang AS url, length(source) AS n, CAST(doc_id % 5 AS INT) AS priority FROM documents)
     SELECT keyword, url, max(priority) AS priority FROM w GROUP BY keyword, url

@@ -51,3 +51,12 @@ def test_links_come_from_all_paragraphs(spark):
     assert got["paragraph_index"].max() > 0 and got.groupby("source").size().max() > 1
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert all(r.text.split()[0] in texts[r.source].split("\n")[r.paragraph_index] for r in got.itertuples())
+
+
+def test_texts_are_whole(spark):
+    from corpusloom.functions.slugs import fold
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert {r.doc_id: r.slug for r in QUERIES["slugs"](spark, DATA).collect()} == {r.doc_id: fold(r.text, r.lang, 80) for r in rows}
+    got = {r.doc_id: r.escaped for r in QUERIES["escaped_whole_text"](spark, DATA).collect()}
+    assert all(len(got[r.doc_id]) >= len(r.text) for r in rows) and max(map(len, got.values())) > 2000
