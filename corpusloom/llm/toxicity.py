@@ -25,8 +25,8 @@ from corpusloom.plans.scratch import Scratch
 SAMPLE_ROWS = {1: 6_000, 0: 10_000}
 SLOT_BITS = 20
 SHORTEST, LONGEST = 3, 6
-KEPT_SLOTS = 10_000
-STEPS = 150
+KEPT_SLOTS = 20_000
+STEPS = 300
 RATE = 0.5
 PENALTY = 1e-3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
