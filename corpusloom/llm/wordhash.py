@@ -199,3 +199,37 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     planes = data.reshape(columns, 8, -1)
     return [np.ascontiguousarray(p.T).view(np.uint64).reshape(-1) for p in planes]
+
+
+def fine_parts(count: int) -> int:
+    """Into how many ranges each partition's share of the hashes is cut, so that one is held at a time; fewer where partitions are many."""
+    return max(1, min(32, 4096 // count))
+
+
+def by_part(batches: Iterator[pa.RecordBatch], part: str = "part") -> Iterator[tuple[int, pa.Table]]:
+    """(part, its rows) of batches sorted by part, one part at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        parts = np.asarray(batch.column(part))
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and parts[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(parts[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives the stage that it worked for."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
