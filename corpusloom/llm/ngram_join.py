@@ -5,8 +5,9 @@ first few shingles under any common order (the prefix); here rare shingles come
 by a counting sketch of fixed size, so common ones bring hardly any sets together. The
 first shingle that two linking sets share stands so early in the smaller one that few of
 its shingles come into question. Sets of fitting sizes that meet in such a shingle are
-chained, which gives candidate groups that no link leaves. Groups are compared in tiles: small ones whole, larger ones by band of set
-size and salt. In a tile, hashed bitmap signatures bound the overlap of two sets from
+chained, which gives candidate groups that no link leaves. Groups are compared in tiles
+by band of set size and, where a band is large, salt: a band with itself and with the
+next, as sets further apart in size cannot link. In a tile, hashed bitmap signatures bound the overlap of two sets from
 above by bit counts, and what may reach the similarity is decided by intersecting the
 sorted shingle arrays. Sets already connected in a tile are not compared again.
 
@@ -27,13 +28,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
 from corpusloom.plans.scratch import Scratch, partitions
-from corpusloom.llm.wordhash import mix, pack, shingle_sets, text_bytes, together, unpack, word_hashes
+from corpusloom.llm.wordhash import by_part, fine_parts, give_back, mix, pack, shingle_sets, text_bytes, together, unpack, word_hashes
 
 #: Bytes of text that are taken together, slots of the sketch, and sets in a tile.
 SLICE = 2 << 20
 SKETCH_BITS = 22
 TILE_ROWS = 256
-WHOLE_ROWS = 512
 _SKETCH_PARTS = 16
 
 
@@ -136,6 +136,8 @@ def chained(token: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.nd
 def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, node) of every row, node null for an empty set; and candidate edges (a, b) between nodes."""
     sketch = rows.sparkSession.sparkContext.broadcast(frequency_sketch(rows, similarity))
+    fine = fine_parts(count)
+    ranges = count * fine
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches, 1, SLICE):
@@ -163,12 +165,11 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
                 token = np.concatenate(tokens)
                 order = np.argsort(token, kind="stable")
                 token, name, size, before = token[order], np.concatenate(token_names)[order], np.concatenate(token_sizes)[order], np.concatenate(token_before)[order]
-                edges = np.append(np.searchsorted(token, np.array([(k << 64) // count for k in range(count)], np.uint64)), len(token))
-                for k in range(count):
-                    if edges[k + 1] > edges[k]:
-                        own = slice(edges[k], edges[k + 1])
-                        parts.append(k)
-                        blobs.append(pack(token[own], *[c[own].astype(np.int64).view(np.uint64) for c in (name, size, before)]))
+                edges = np.append(np.searchsorted(token, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)), len(token))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[k], edges[k + 1])
+                    parts.append(k)
+                    blobs.append(pack(token[own], *[c[own].astype(np.int64).view(np.uint64) for c in (name, size, before)]))
             n, m = batch.num_rows, len(parts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -184,17 +185,14 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
     made = scratch.table(rows.mapInArrow(prefixes, "id long, n_shingles long, node long, part int, blob binary"), "prefixes")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for blob in batch.column("blob"):
-                for held, new in zip(columns, unpack(blob.as_py(), 4), strict=True):
-                    held.append(new)
-        if not columns[0]:
-            return
-        pairs = chained(np.concatenate(columns[0]), *[np.concatenate(c).view(np.int64) for c in columns[1:]], similarity)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    edges = scratch.table(made.where("part IS NOT NULL").select("part", "blob").repartitionById(count, "part").mapInArrow(chain, "a long, b long"), "candidates")
+        for _, part in by_part(batches):
+            columns = [np.concatenate(c) for c in zip(*(unpack(blob.as_py(), 4) for blob in part.column("blob")), strict=True)]
+            pairs = chained(columns[0], *[c.view(np.int64) for c in columns[1:]], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        give_back()
+
+    dealt = made.where("part IS NOT NULL").select("part", "blob").repartitionById(count, F.floor(F.col("part") / fine).cast("int")).sortWithinPartitions("part")
+    edges = scratch.table(dealt.mapInArrow(chain, "a long, b long"), "candidates")
     return made.where("part IS NULL").select("id", "n_shingles", "node"), edges
 
 
@@ -248,8 +246,8 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: Simi
 def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count: int) -> DataFrame:
     """Verified links (a, b) between nodes of candidate groups.
 
-    members: id of one row of each node, node, component, n_shingles, size of the component
-    and band_size, prior and next: sets of its band and of the two adjacent ones there.
+    members: id of one row of each node, node, component, band, and band_size, prior and
+    next: sets of its band and of the two adjacent ones in the component.
     """
     joined = rows.repartition(count, "id").join(members.hint("shuffle_hash"), "id")
 
@@ -259,21 +257,18 @@ def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(held, pa.binary())], names=[*batch.schema.names[2:], "shingles"])
 
     tiles_of = lambda n: F.ceil(F.col(n) / TILE_ROWS)
-    whole = F.col("size") <= WHOLE_ROWS
     salt = F.pmod(F.xxhash64("node"), F.greatest(tiles_of("band_size"), F.lit(1)))
     same = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("band_size") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.least(k, F.col("salt")).alias("i"), F.lit(0).alias("step"), F.greatest(k, F.col("salt")).alias("j")))
     above = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("next") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.col("salt").alias("i"), F.lit(1).alias("step"), k.alias("j")))
     below = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("prior") - 1, F.lit(0))), lambda k: F.struct((F.col("band") - 1).alias("low"), k.alias("i"), F.lit(1).alias("step"), F.col("salt").alias("j")))
-    none = F.lit(0).cast("long")
-    one = F.array(F.struct(none.alias("low"), none.alias("i"), F.lit(0).alias("step"), none.alias("j")))
     empty = F.filter(same, lambda x: F.lit(False))
-    keys = F.when(whole, one).otherwise(F.concat(same, F.when(F.col("next") > 0, above).otherwise(empty), F.when(F.col("prior") > 0, below).otherwise(empty)))
+    keys = F.concat(F.when(F.col("band_size") > 1, same).otherwise(empty), F.when(F.col("next") > 0, above).otherwise(empty), F.when(F.col("prior") > 0, below).otherwise(empty))
     dealt = (
-        joined.select("id", "text", "component", "node", "band", "size", "band_size", "prior", "next")
-        .mapInArrow(arrays, "component long, node long, band long, size long, band_size long, prior long, next long, shingles binary")
+        joined.select("id", "text", "component", "node", "band", "band_size", "prior", "next")
+        .mapInArrow(arrays, "component long, node long, band long, band_size long, prior long, next long, shingles binary")
         .withColumn("salt", salt)
         .withColumn("tile", F.explode(keys))
-        .select("component", "tile.*", "node", F.when(whole, F.lit(0).cast("long")).otherwise(F.col("band") * (1 << 20) + F.col("salt")).alias("side"), "shingles")
+        .select("component", "tile.*", "node", (F.col("band") * (1 << 20) + F.col("salt")).alias("side"), "shingles")
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -303,10 +298,9 @@ def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_co
     first = scratch.table(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")), "nodes")
     members = scratch.table(first.join(groups, "node").withColumn("band", similarity.band(F.col("n_shingles"))), "members")
     bands = scratch.table(members.groupBy("component", "band").agg(F.count("*").alias("n")), "bands")
-    sizes = scratch.table(bands.groupBy("component").agg(F.sum("n").alias("size")), "sizes")
     near = bands.select("component", F.explode(F.array(F.struct("band", F.lit("band_size").alias("kind"), "n"), F.struct((F.col("band") + 1).alias("band"), F.lit("prior").alias("kind"), F.col("n")), F.struct((F.col("band") - 1).alias("band"), F.lit("next").alias("kind"), F.col("n")))).alias("x")).select("component", "x.*")
     near = scratch.table(near.groupBy("component", "band").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("band_size", "prior", "next")]), "near")
-    members = members.join(sizes, "component").join(near, ["component", "band"]).select("id", "component", "node", "band", "size", "band_size", "prior", "next")
+    members = members.join(near, ["component", "band"]).select("id", "component", "node", "band", "band_size", "prior", "next")
     links = scratch.table(_verify(rows, scratch.table(members, "dealt"), similarity, count), "links")
     found = components(links, scratch)
     named = scratch.table(first.join(found, "node").groupBy("component").agg(F.min("id").alias("component_id")), "named")

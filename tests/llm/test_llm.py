@@ -242,9 +242,8 @@ def shingles(text, n):
 def test_ngram_join(spark, texts, similarity, monkeypatch):
     from corpusloom.llm import ngram_join
 
-    # small tiles, so that bands and salts are used
+    # small tiles, so that salts are used
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 4)
-    monkeypatch.setattr(ngram_join, "WHOLE_ROWS", 6)
     rng = random.Random(11)
     base = [f"t{rng.randrange(1000)}" for _ in range(80)]
     rows = list(texts)
