@@ -1,17 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A tolerant scan turns a page into text nodes, each with its root-to-leaf tag path. Over
-all nodes of a path the text length and the punctuation are added up and divided by the
-number of nodes; both ratios are smoothed along the page, fused, and paths whose fused
-ratio reaches the threshold are content. Whole parts whose element or class says that
-they are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments)
-are left out before. The content paths name the content's container; the blocks of text
-in it, short ones too, make the result.
+A tolerant scan turns a page into text nodes, each with its tag path from the root to the
+leaf; containers on the path are told apart, so that a footer's paragraphs are another
+path than the article's. Over all nodes of a path the text length and the punctuation are
+added up and divided by the number of nodes; text in links counts for less, and so does
+text below containers whose class or id says that they are no article. Both ratios are
+smoothed along the page within a section and fused, and paths whose fused ratio reaches
+the threshold are content. The article is the element over the content paths' text: its content nodes, and
+what stands among them, headings and short blocks too, make the result.
+
+Elements that HTML itself sets apart from an article (menus, forms, scripts and so on), and
+containers that call themselves adverts, comments or the like, are left out before.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,17 +37,27 @@ BLOCK = frozenset(
 OUTSIDE = frozenset("aside button dialog footer form head input label menu nav object search select audio video canvas".split())
 ROLES = frozenset("banner navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 
-#: Words of class and id that mark a part as no article, in whatever combination.
-BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar masthead header footer foot "
-    "sidebar side aside widget widgets related recommended recommendations share sharing social follow subscribe newsletter signup login "
-    "comment comments commentlist respond reply replies disqus discussion "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer copyright legal "
-    "pagination pager tags skip search hidden sr".split()
+#: Words of class and id of a container that no article text is in, wherever it stands.
+APART = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets "
+    "related recommended recommendations share sharing social follow subscribe newsletter signup login "
+    "comment comments commentlist respond replies disqus "
+    "cookie cookies consent gdpr popup modal overlay paywall pagination pager".split()
+)
+#: Words of class and id that speak against a container outside of an article element.
+DOUBTFUL = frozenset(
+    "banner topbar toolbar masthead header footer foot side aside reply discussion "
+    "notice notices notification alert disclaimer copyright legal tags skip search hidden sr".split()
 )
-#: Words that keep a part even where another of its words is above (an "article-header" is the article's).
+#: Words that take back what others of APART and DOUBTFUL say (an "article-header" is the article's).
 ARTICLE = frozenset("article content post entry story main body text".split())
+#: Words that ARTICLE does not take back.
+FIRM = frozenset("comment comments ad ads sidebar related share nav menu footer".split())
+#: Elements whose class and id are looked at: containers, not headings, paragraphs or inline ones.
+CONTAINER = frozenset("address article aside blockquote body center div dl fieldset figure footer header main ol section table tbody td tr ul".split())
+#: Containers that a path tells apart from others of their kind.
+SECTION = frozenset("article aside body center div footer header main section table td".split())
 
 _TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
@@ -60,58 +75,75 @@ _CLOSES = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEAR = frozenset("table td th button caption html template".split())
 
-#: Share of the spread of the fused ratios that a path must reach.
+#: Share of the page's mean fused ratio (of all its text, character by character) that a path must reach.
 THRESHOLD = 0.5
 #: Width of the smoothing, in text nodes.
 SMOOTHING = 1.0
+#: What a character counts in a link, and below a doubtful container.
+LINKED, DOUBTED = 0.1, 0.2
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is a part that no article text is in."""
+def _standing(tag: str, attributes: str, in_article: bool) -> float:
+    """0 for an element that no article text is in, DOUBTED for a doubtful one, else 1."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        return 0.0
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
+        return 1.0
+    doubt = 1.0
     for name, double, single, bare in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (double or single or bare).lower()
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
+            return 0.0
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id"):
+            return 0.0
+        if name in ("class", "id") and tag in CONTAINER:
             for part in value.split():
                 words = set(_WORD.findall(part))
-                if words & BOILERPLATE and (not words & ARTICLE or words & {"comment", "comments", "ad", "ads", "sidebar", "related", "share", "nav", "menu", "footer"}):
-                    return True
-    return False
+                taken_back = words & ARTICLE and not words & FIRM
+                if words & APART and not taken_back:
+                    return 0.0
+                if words & DOUBTFUL and not taken_back and not in_article:
+                    doubt = DOUBTED
+    return doubt
 
 
 class Node:
-    """A run of text: its block, its path of tags and the numbers of the elements on the path."""
+    """A run of text: its block, its path, the elements on the path, its innermost section, and what a character of it counts."""
 
-    __slots__ = ("text", "block", "path", "owners")
+    __slots__ = ("text", "block", "path", "owners", "section", "weight", "tag")
 
-    def __init__(self, text: str, block: int, path: str, owners: tuple[int, ...]):
-        self.text, self.block, self.path, self.owners = text, block, path, owners
+    def __init__(self, text: str, block: int, path: str, owners: tuple[tuple[int, str], ...], section: int, weight: float, tag: str):
+        self.text, self.block, self.path, self.owners, self.section, self.weight, self.tag = text, block, path, owners, section, weight, tag
 
 
 def text_nodes(page: str) -> list[Node]:
-    """The page's text nodes outside of boilerplate, in page order."""
+    """The page's text nodes outside of elements that are no article's, in page order."""
     nodes: list[Node] = []
     tags: list[str] = []
-    owners: list[int] = []
-    barred: list[bool] = []
+    # of each open element: number and tag, its part of the path, the number of its innermost section, what a character counts
+    owners: list[tuple[int, str]] = []
+    steps: list[str] = []
+    steps_at: list[int] = []
+    sections: list[int] = []
+    weights: list[float] = []
     block, made, at = 0, 0, 0
     size = len(page)
+    path, above = "", ()
 
     def close(depth: int) -> None:
-        del tags[depth:], owners[depth:], barred[depth:]
+        nonlocal path, above
+        del tags[depth:], owners[depth:], steps_at[depth:], sections[depth:], weights[depth:]
+        del steps[steps_at[-1] if steps_at else 0 :]
+        path, above = "/".join(steps), tuple(owners)
 
     def say(text: str) -> None:
-        if text and not (barred and barred[-1]):
-            nodes.append(Node(html.unescape(text), block, "/".join(tags), tuple(owners)))
+        weight = weights[-1] if weights else 1.0
+        if text and weight:
+            leaf = next((t for t in reversed(tags) if t in BLOCK), "")
+            nodes.append(Node(html.unescape(text), block, path, above, sections[-1] if sections else 0, weight * (LINKED if "a" in tags else 1.0), leaf))
 
     while at < size:
         found = _TOKEN.search(page, at)
@@ -170,19 +202,28 @@ def text_nodes(page: str) -> list[Node]:
         if found[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         made += 1
-        in_article = "article" in tags or "main" in tags
-        bar = (barred[-1] if barred else False) or _outside(tag, found[3], in_article)
+        standing = _standing(tag, found[3], "article" in tags or "main" in tags)
+        weights.append((weights[-1] if weights else 1.0) * standing)
         tags.append(tag)
-        owners.append(made)
-        barred.append(bar)
+        owners.append((made, tag))
+        # inline elements are part of the path of their block
+        steps += [f"{tag}{made}"] if tag in SECTION else [tag] if tag in BLOCK or tag == "a" else []
+        steps_at.append(len(steps))
+        sections.append(made if tag in SECTION else sections[-1] if sections else 0)
+        path, above = "/".join(steps), tuple(owners)
     return nodes
 
 
-def _smooth(values: np.ndarray) -> np.ndarray:
-    reach = np.arange(-2, 3)
-    kernel = np.exp(-(reach**2) / (2 * SMOOTHING**2))
-    padded = np.pad(values, 2, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), "valid")
+def _smooth(values: np.ndarray, sections: np.ndarray) -> np.ndarray:
+    """Gaussian mean over the two nodes before and after that are in the same section."""
+    total, weights = np.zeros(len(values)), np.zeros(len(values))
+    for shift in range(-2, 3):
+        share = math.exp(-(shift**2) / (2 * SMOOTHING**2))
+        here, there = slice(max(0, -shift), len(values) - max(0, shift)), slice(max(0, shift), len(values) + min(0, shift))
+        same = share * (sections[here] == sections[there])
+        total[here] += same * values[there]
+        weights[here] += same
+    return total / weights
 
 
 def content_nodes(nodes: list[Node]) -> list[bool]:
@@ -192,10 +233,12 @@ def content_nodes(nodes: list[Node]) -> list[bool]:
         paths.setdefault(node.path, []).append(k)
     length, marks = np.zeros(len(nodes)), np.zeros(len(nodes))
     for members in paths.values():
-        length[members] = sum(len(nodes[k].text.strip()) for k in members) / len(members)
-        marks[members] = sum(len(_PUNCTUATION.findall(nodes[k].text)) for k in members) / len(members)
-    fused = np.sqrt(_smooth(length) * (1 + _smooth(marks)))
-    least = THRESHOLD * float(fused.std()) if len(nodes) else 0.0
+        length[members] = sum(nodes[k].weight * len(nodes[k].text.strip()) for k in members) / len(members)
+        marks[members] = sum(nodes[k].weight * len(_PUNCTUATION.findall(nodes[k].text)) for k in members) / len(members)
+    sections = np.array([n.section for n in nodes])
+    fused = _smooth(length, sections) * (1 + _smooth(marks, sections))
+    sizes = np.array([n.weight * len(n.text.strip()) for n in nodes])
+    least = THRESHOLD * float(fused @ sizes / sizes.sum())
     high = [float(fused[members].mean()) for members in paths.values()]
     chosen = {p for p, h in zip(paths, high, strict=True) if h >= least}
     return [node.path in chosen for node in nodes]
@@ -203,30 +246,43 @@ def content_nodes(nodes: list[Node]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks of text in page order, one a line; empty if there is none."""
-    nodes = [n for n in text_nodes(page or "")]
+    nodes = text_nodes(page or "")
     inked = [n for n in nodes if n.text.strip()]
     if not inked:
         return ""
     chosen = [n for n, c in zip(inked, content_nodes(inked), strict=True) if c] or inked
-    # the container: the innermost element over most of the content; an article's own parts all belong to it
-    weight: dict[int, int] = {}
-    tag_of: dict[int, str] = {}
-    depth_of: dict[int, int] = {}
+    # the article: the innermost element over most of the content paths' text
+    weight: dict[int, float] = {}
+    place: dict[int, tuple[int, str]] = {}
     for node in chosen:
-        n = len(node.text.strip())
-        names = node.path.split("/") if node.path else []
-        for depth, owner in enumerate(node.owners):
+        n = node.weight * len(node.text.strip())
+        for depth, (owner, tag) in enumerate(node.owners):
             weight[owner] = weight.get(owner, 0) + n
-            tag_of[owner], depth_of[owner] = names[depth], depth
-    total = sum(len(n.text.strip()) for n in chosen)
-    holders = [o for o, w in weight.items() if tag_of[o] in ("article", "main") and w >= 0.5 * total]
-    if not holders:
-        holders = [o for o, w in weight.items() if tag_of[o] in ("div", "section", "body", "td", "html") and w >= 0.9 * total]
-    root = max(holders, key=lambda o: depth_of[o]) if holders else None
+            place[owner] = depth, tag
+    total = sum(n.weight * len(n.text.strip()) for n in chosen)
+    holders = [o for o, w in weight.items() if place[o][1] in ("article", "main") and w >= 0.5 * total]
+    named = bool(holders)
+    if not named:
+        holders = [o for o, w in weight.items() if place[o][1] in SECTION and w >= 0.9 * total]
+    root = max(holders, key=lambda o: place[o][0]) if holders else None
+    inside = [n for n in nodes if root is None or any(o == root for o, _ in n.owners)]
+    content = {id(n) for n in chosen}
+    held = [k for k, n in enumerate(inside) if id(n) in content]
+    first, last = held[0], held[-1]
+    lead = first
+    while lead and (inside[lead - 1].tag in _HEADINGS or not inside[lead - 1].text.strip()):
+        lead -= 1
+    # outside of a named article, what comes before the first content node and its headings, or after the last,
+    # belongs to it only by sharing a section with content, and not as links
+    sections = {inside[k].section for k in held}
     blocks: dict[int, list[str]] = {}
-    for node in nodes:
-        if root is None or root in node.owners:
-            blocks.setdefault(node.block, []).append(node.text)
+    linked: dict[int, float] = {}
+    for node in inside:
+        linked[node.block] = max(linked.get(node.block, 0.0), node.weight if node.text.strip() else 0.0)
+    for k, node in enumerate(inside):
+        if not (named or lead <= k <= last) and (linked[node.block] <= LINKED or node.section not in sections):
+            continue
+        blocks.setdefault(node.block, []).append(node.text)
     lines = (_SPACES.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
@@ -235,7 +291,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per input row: id, url, text, n_chars (code points).
 
     A null or empty page has an empty text; null ids and urls stay; other columns are
-    ignored. Pages are taken whole, however long, cut off or badly nested.
+    ignored. Repeated rows give repeated results; an empty table gives no rows. Pages are
+    taken whole, however long, cut off or badly nested.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

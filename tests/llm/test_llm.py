@@ -435,6 +435,52 @@ def test_main_text():
     assert [main_text(p) for p in (None, "", "plain", "<p>a</p", "<article><p>cut <a href=\"x", "<nav>only</nav>")] == ["", "", "plain", "a", "cut", ""]
 
 
+P1, P2, P3 = (
+    "The river rose in the night, and by morning the lower road was gone; nobody had seen it so high since the spring of the great thaw.",
+    "Farmers moved their animals up the slope before noon, helped by neighbours, soldiers and a school class that had the day off.",
+    "By evening the water fell again, slowly at first, then so fast that the mill wheel, torn loose hours before, lay dry on the stones.",
+)
+MENU = "<ul><li><a href='/'>Home page</a></li><li><a href='/p'>All products</a></li><li><a href='/c'>Contact us</a></li></ul>"
+FOOT = "Copyright 2024 River News, all rights reserved."
+BODY = f"<h1>High water</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p>"
+WANT = ["High water", P1, P2, P3]
+#: Pages without telling elements and names but where noted, and the blocks of their article.
+PAGES = [
+    (f"<body><div>{MENU}</div><div>{BODY}</div><div>{FOOT}</div></body>", WANT),
+    (f"<body><div>{MENU}</div><div>{BODY}</div><div><p>{FOOT}</p></div></body>", WANT),
+    (f"<div><div>{MENU}</div><div><div>{BODY}</div></div><div><a href='/i'>Imprint</a> | <a href='/j'>Jobs</a></div></div>", WANT),
+    (f"<table><tr><td>{MENU}</td><td>{BODY}</td><td>Weather: rain<br>Wind: north</td></tr></table>", WANT),
+    (f"<div>{MENU}</div><div><h1>High water</h1><p>{P1}</p><h2>Noon</h2><p>{P2}</p><ul><li>two barns</li><li>one bridge</li></ul><p>{P3}</p></div>", ["High water", P1, "Noon", P2, "two barns", "one bridge", P3]),
+    (f"<div>{MENU}</div><div><div><h1>High water</h1><p>{P1}</p></div><div><h2>Noon</h2><p>{P2}</p></div><div><p>{P3}</p></div></div><div>{FOOT}</div>", ["High water", P1, "Noon", P2, P3]),
+    (f"<body>{MENU}{BODY}</body>", WANT),
+    (f"<div class='x1'>{MENU}</div><div class='x2'>{P1}<br><br>{P2}</div><div class='x3'>{FOOT}</div>", [f"{P1} {P2}"]),
+    (f"<div><span>Search</span> <span>Sign in</span></div><div>{BODY}</div>", WANT),
+    (f"<div>{MENU}</div><div><h1>High <a href='/w'>water</a></h1><p>{P1} <a href='/more'>More about the road</a>.</p><p>{P2}</p><p>{P3}</p></div>", ["High water", P1 + " More about the road.", P2, P3]),
+    (f"<div>{BODY}</div><div><div><a href='/1'>Storm over the hills</a></div><div><a href='/2'>A dry summer, again</a></div><div><a href='/3'>New bridge opens</a></div></div>", WANT),
+    (f"<div><p>Read our app.</p></div><div>{BODY}</div><div><p>Call 555.</p></div>", WANT),
+    (f"<div>{MENU}</div><div><blockquote><p>{P1}</p></blockquote><p>{P2}</p><pre>a b</pre><p>{P3}</p></div>", [P1, P2, "a b", P3]),
+    (f"<div>{MENU}</div><div><p>{P1}</p><table><tr><td>7 am</td><td>2 m</td></tr></table><p>{P2}</p></div><div>{FOOT}</div>", [P1, "7 am", "2 m", P2]),
+    (f"<div id='cookie-notice'><p>{P3}</p></div><div>{BODY}</div>", WANT),
+    (f"<article>{BODY}<h2 id='legal'>Legal basis</h2><p>Short.</p></article><div>{FOOT}</div>", [*WANT, "Legal basis", "Short."]),
+    (f"<article>{BODY}<h2 id='search-results'>What we found</h2><p>Short.</p></article>", [*WANT, "What we found", "Short."]),
+    (f"<article>{BODY}<div id='notice'>Mind the step.</div></article>", [*WANT, "Mind the step."]),
+    (f"<article>{BODY}<div class='comments'><p>{P2}</p></div><div class='ad'>{P3}</div></article><div class='notice'>{P1}</div>", WANT),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_main_text_of_labelled_pages(k):
+    page, want = PAGES[k]
+    assert main_text(page).split("\n") == want
+
+
+def test_main_text_comes_from_the_choice_of_paths(monkeypatch):
+    from corpusloom.llm import html_text
+
+    monkeypatch.setattr(html_text, "content_nodes", lambda nodes: [True] * len(nodes))
+    assert sum(main_text(page).split("\n") != want for page, want in PAGES) >= 5
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", "<article><p>one</p><p>two</p></article>"), (None, None, None), (1, "u", "<article><p>é</p></article>"), (2, "u", "<p>" + "x " * 200_000)]
     got = extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()
