@@ -1,15 +1,17 @@
 """WARC archives: a writer with revisit records, and a splittable reader.
 
-Every record is a gzip member of its own. The reader deals byte ranges of the archives to
-tasks. A task scans its range for the gzip magic, tries each place as a member by
-decoding the start of a WARC header from it, and owns the records that start inside its
-range, reading past its end for the last one. No index or side file is needed.
+Every record is a gzip member of its own; a file begins with a warcinfo record. The reader
+deals byte ranges of the archives to tasks. A task scans its range for the gzip magic, tries
+each place as a member by decoding the start of a WARC header from it, and owns the records
+that start inside its range, reading past its end for the last one. No index or side file
+is needed, and archives that others wrote a member per record are read as well.
 """
 
 from __future__ import annotations
 
 import hashlib
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ from corpusloom.plans.scratch import Scratch, partitions
 #: Fixed by the gzip format: magic, deflate.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: An archive is closed after so many bytes, a range has so many, and reads fetch so many at once.
@@ -35,37 +38,52 @@ def _store(uri: str):
     """File system and path of a URI, as pyarrow opens it on executors."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record as a gzip member. A revisit carries no payload, only its digest and length."""
-    block = payload if kind == "response" else b""
-    name = "" if page_id is None else str(page_id)
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
-        "Content-Type: text/html; charset=utf-8",
-    ]
-    if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head.append(f"Content-Length: {len(block)}")
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    scheme, rest = uri.split(":", 1)
+    try:
+        return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+        raise ValueError(f"archives can't be kept at {uri}: their tasks open files through pyarrow, which does not know {scheme}") from error
+
+
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A WARC record as a gzip member."""
+    head = "\r\n".join(["WARC/1.1", *(f"{name}: {value}" for name, value in fields), f"Content-Length: {len(block)}"])
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+    return packer.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
+def info_record(name: str) -> bytes:
+    """The record that a file begins with."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _record(fields, b"software: corpusloom\r\nformat: WARC File Format 1.1\r\n")
+
 
+def page_record(place: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None) -> bytes:
+    """The record of a page: its payload behind an HTTP header, or, for a revisit, only digest and length.
 
-def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(page_id, refers_to) of the pages that revisit another: same payload of at least ``least`` bytes, smallest id first."""
+    place: what no other record has, the file's name and the record's number there.
+    """
+    kind = "response" if refers_to is None else "revisit"
+    one_line = lambda text: " ".join((text or "").split())
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, place)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    fields += [("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(payload)))]
+    fields.append(("Content-Type", "application/http; msgtype=response"))
+    if kind == "revisit":
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Target-URI", one_line(refers_to_url)), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to))]
+        return _record(fields, b"")
+    return _record(fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload)
+
+
+def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, text_col: str, least: int) -> DataFrame:
+    """(page_id, digest, refers_to, refers_to_url) of the pages that revisit another: same payload of at least ``least`` bytes, smallest id first."""
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = scratch.table(pages.select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size")).where((F.col("size") >= least) & F.col("page_id").isNotNull()), "digests")
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    first = scratch.table(first, "first")
-    return scratch.table(rows.join(first, "digest").where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct(), "revisits")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("size"))
+    rows = scratch.table(rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()), "digests")
+    first = rows.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.table(first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_to_url")), "first")
+    return scratch.table(rows.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to", "refers_to_url").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, root: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 100) -> DataFrame:
@@ -73,26 +91,31 @@ def write_archives(pages: DataFrame, root: str, scratch: Scratch, id_col: str =
 
     Tasks write files of their own and name them only when they are whole, so archives of
     failed or repeated attempts are in no manifest. A null url or html counts as empty. A
-    page without an id is a response and nothing revisits it; of repeated ids with equal
-    payloads all rows that carry the smallest id are responses.
+    page without an id is a response and nothing revisits it. Rows that share an id but not
+    the payload are judged each by its own payload; of repeated ids with equal payloads all
+    rows that carry the smallest id are responses. An empty table gives an empty manifest.
+    Other columns are ignored.
     """
-    revisits = plan_records(pages, scratch, id_col, text_col, least)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
-    rows = rows.join(revisits, "page_id", "left").select("page_id", "url", "html", "refers_to")
+    revisits = plan_records(pages, scratch, id_col, url_col, text_col, least)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to", "refers_to_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(root)
         store.create_dir(folder, recursive=True)
-        out, name, size = None, "", 0
+        out, name, size, number = None, "", 0, 0
         done: list[tuple[str, int]] = []
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            for page_id, url, html, digest, refers_to, refers_to_url in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 if out is None:
-                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name, number = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(posixpath.join(folder, name), compression=None)
-                payload = (html or "").encode()
-                kind = "response" if refers_to is None else "revisit"
-                member = record(kind, page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to)
+                    member = info_record(name)
+                    out.write(member)
+                    size = len(member)
+                number += 1
+                member = page_record(f"{name}/{number}", page_id, url, html.encode(), digest.hex(), refers_to, refers_to_url)
                 out.write(member)
                 size += len(member)
                 if size >= FILE_BYTES:
@@ -176,29 +199,52 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields.get("content-length", "0"))]
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:
-    """One row per record of the archives in the manifest (path, bytes).
-
-    page_id and refers_to are null where the header names none. payload_bytes and
-    payload_digest are of the full payload: measured from the block of a response, as
-    stated in the header of a revisit. With ``payloads`` the block comes too. Bytes that
-    are no WARC member are passed over.
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """What a record holds without the header of HTTP, if it has one, and without its chunk marks."""
+    if not fields.get("content-type", "").replace(" ", "").startswith("application/http"):
+        return block
+    head, _, rest = block.partition(b"\r\n\r\n")
+    if not re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", head):
+        return rest
+    parts, at = [], 0
+    while (end := rest.find(b"\r\n", at)) >= 0:
+        size = re.match(rb"\s*([0-9a-fA-F]+)", rest[at:end])
+        if size is None:
+            return rest  # says that it is chunked, but is not
+        n = int(size[1], 16)
+        if not n:
+            break
+        parts.append(rest[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(parts)
+
+
+def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = False, kinds: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """One row per record of ``kinds`` in the archives of the manifest (path, bytes).
+
+    page_id and refers_to are null where the header names none, as in archives of other
+    writers. payload_bytes and payload_digest are of the full payload, without HTTP's header:
+    measured from a record that has it, as stated in the header of a revisit (null if it
+    states none; a digest that is not SHA-256 in hex is given as it stands). With
+    ``payloads`` the payload comes too. Bytes that are no WARC member are passed over. An
+    empty manifest gives no rows.
     """
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(partitions(spark), "path", "start")
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + (", payload binary" if payloads else "")
+    types = {"page_id": pa.int64(), "record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+    schema = "page_id long, record_id string, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    if payloads:
+        types["payload"] = pa.binary()
+        schema += ", payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def number(text: str | None) -> int | None:
-            digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
-            return int(digits) if digits.lstrip("-").isdigit() else None
+            return int(text) if (text or "").lstrip("-").isdigit() else None
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types.values(), strict=True)], names=list(types))
 
-        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * payloads
         for batch in batches:
             for path, size, start in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 store, inside = _store(path)
@@ -208,13 +254,16 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                     for data in records_of(_Window(file, size), start, min(start + split_bytes, size)):
                         fields, block = parse(data)
                         kind = fields.get("warc-type", "")
+                        if kind not in kinds:
+                            continue
+                        payload = payload_of(fields, block)
                         if kind == "revisit":
-                            length, digest = int(fields.get("x-payload-length", "0")), fields.get("warc-payload-digest", "").removeprefix("sha256:")
+                            length, digest = number(fields.get("x-payload-length")), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
                         else:
-                            length, digest = len(block), hashlib.sha256(block).hexdigest()
-                        row = (number(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, number(fields.get("warc-refers-to")), length, digest)
-                        rows.append((*row, block) if payloads else row)
-                        held += len(block) * payloads
+                            length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                        row = (number(fields.get("x-page-id")), fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, number(fields.get("x-refers-to-page-id")), length, digest)
+                        rows.append((*row, payload) if payloads else row)
+                        held += len(payload) * payloads
                         if len(rows) >= 4096 or held >= 16 << 20:
                             yield flush(rows)
                             rows, held = [], 0
