@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.scratch import Scratch, partitions
@@ -62,7 +62,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    own = index is None
     index = index or DigestIndex(spark, scratch.path("index"))
     batch = batch or uuid.uuid4().hex
     rows = scratch.table(docs.select(F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
@@ -72,15 +71,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "groups",
     )
     index.append(groups, batch)
-    # groups of this batch that an earlier one already holds: the index has another batch there
-    known = index.rows().where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
-    if own:
-        found = groups.withColumns({"known_id": F.lit(None).cast("long"), "known": F.lit(False)})
-    else:
-        found = scratch.table(groups.hint("merge").join(known, "digest", "left").withColumn("known", F.coalesce("known", F.lit(False))), "found")
+    # what stays is what the index says now: a digest that it had before is of another batch there
+    known = index.rows().select("digest", F.col("keep_id").alias("known_id"), (F.col("batch") != batch).alias("known"))
+    found = scratch.table(groups.hint("merge").join(known, "digest"), "found")
     out = rows.join(found, "digest").select(
         F.col("id").alias(id_col),
-        F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.col("known_id").alias("keep_id"),
         "group_size",
         (~F.col("known") & (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.col("digest").alias("text_sha256"),
@@ -90,9 +86,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without later copies of a text (see exact_dedup)."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    marked = docs.withColumn("__digest", digest(F.col(text_col)))
-    kept = kept.withColumnRenamed("__digest", "__kept")
-    both = marked.join(kept, marked[id_col].cast("long").eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__kept"]))
-    return both.dropDuplicates(["__id", "__kept"]).select(*[marked[c] for c in docs.columns])
+    """The input's rows and columns without later copies of a text (see exact_dedup).
+
+    Of rows that share id and text but not the other columns, the one with the least hash
+    of all columns stays. Columns of any name pass unchanged.
+    """
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text_of, id_of = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`").cast("long")
+    marked = held.select(id_of.alias("id"), digest(text_of).alias("digest"), "row")
+    both = marked.join(kept, marked["id"].eqNullSafe(kept["id"]) & (marked["digest"] == kept["digest"]), "left_semi")
+    # only whole rows that share id and text are compared; the join has dealt them together
+    order = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
+    first = both.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

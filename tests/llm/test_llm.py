@@ -365,10 +365,44 @@ def test_warc_round_trip(spark, monkeypatch):
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for i, _, t in rows)
         assert {r.page_id: (r.record_type, r.refers_to) for r in got if r.page_id in (1, 2, 3, 4, 5, 6, None)} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
         assert all(bytes(r.payload) == b"" for r in got if r.record_type == "revisit")
-    assert gzip.decompress(open(manifest.first().path.removeprefix("file:").replace("///", "/"), "rb").read()).startswith(b"WARC/1.1")
+        assert len({r.record_id for r in got}) == len(got)
+    head = gzip.decompress(open(manifest.first().path.removeprefix("file:").replace("///", "/"), "rb").read())
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and b"\r\n\r\nHTTP/1.1 200 OK\r\n" in head
     assert read_archives(spark, write_archives(data.limit(0), scratch.path("archives"), scratch)).count() == 0
 
 
+def test_warc_of_ids_with_several_payloads(spark):
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, "u", a), (2, "v", b), (5, "w", a), (5, "w", b), (5, "w", c)]
+    scratch = Scratch(spark, "t")
+    manifest = write_archives(frame(spark, rows, "page_id long, url string, html string").repartition(3), scratch.path("archives"), scratch)
+    got = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in read_archives(spark, manifest).collect()}
+    of = lambda i, text: (i, hashlib.sha256(text.encode()).hexdigest())
+    assert got == {of(1, a): ("response", None), of(2, b): ("response", None), of(5, a): ("revisit", 1), of(5, b): ("revisit", 2), of(5, c): ("response", None)}
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    def member(kind, extra, block):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nWARC-Target-URI: http://x/\r\n{extra}Content-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n6\r\n world\r\n0\r\n\r\n"
+    http = "Content-Type: application/http;msgtype=response\r\n"
+    data = member("warcinfo", "", b"software: other") + member("request", http, b"GET / HTTP/1.1\r\n\r\n") + member("response", http, chunked) + member("revisit", "WARC-Payload-Digest: sha1:ABC\r\n", b"")
+    (tmp_path / "x.warc.gz").write_bytes(data + b"no member")
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data) + 9)], "path string, bytes long")
+    for split in (50, 1 << 20):
+        got = sorted((r.record_type, r.page_id, r.payload_bytes, r.payload_digest, bytes(r.payload)) for r in read_archives(spark, manifest, split, payloads=True).collect())
+        assert got == [("response", None, 11, hashlib.sha256(b"hello world").hexdigest(), b"hello world"), ("revisit", None, None, "sha1:ABC", b"")]
+
+
+def test_warc_at_a_place_that_tasks_cannot_open():
+    from corpusloom.llm.warc import _store
+
+    with pytest.raises(ValueError, match="dbfs"):
+        _store("dbfs://x/y")
+
+
 # ---- packing ----
 
 
