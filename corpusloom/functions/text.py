@@ -13,9 +13,18 @@ STOPWORDS = (
     "the a an and or but of to in on at for with by from as is was are were be been this that these those it its our your "
     "their you we they i us them if so than then do does did have has had will would could should can may might into out up "
     "down very more most some any no not only also other such about over under all learn click here text title image images "
-    "alt url link links try"
+    "alt url link links try now free schedule demo"
 ).split()
 
+# Words too general to tell one page from another (a site adds its own brands), and anchors that are none.
+GENERIC_TERMS = (
+    "copilot ai mcp llm tool tools agent agents automation workflow workflows platform chatbot chatbots ready use using help helps key "
+    "point points inside paste better best create build make content page pages guide learn need needs feature features text title "
+    "image images link links button"
+).split()
+BRAND_TERMS = "ai mcp llm".split()
+BAD_ANCHORS = ["link text", "learn more", "read more", "try now", "try it now", "try it free", "schedule a demo", "book a demo", "get started", "click here"]
+
 # Phrases of calls to action, and terms of interface data.
 CTA_TERMS = ["try it free", "get started", "book a demo", "schedule a demo", "sign up"]
 UI_TERMS = ["imaged", "imagealt", "linktext", "categorycolor", "primarycta"]
@@ -83,10 +92,15 @@ def ngrams(items: Column, n: int) -> Column:
     return out
 
 
+def keyword_words(text: Column) -> Column:
+    """The lower-cased words of more than two characters."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
+    return F.filter(F.split(normalize_space(plain), " "), lambda w: F.length(w) > 2)
+
+
 def keyword_ngrams(text: Column, least: int = 2, most: int = 4) -> Column:
     """n-grams of the lower-cased words of more than two characters, shorter ones first."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w\s]", " ")
-    kept = F.filter(F.split(normalize_space(plain), " "), lambda w: F.length(w) > 2)
+    kept = keyword_words(text)
     return F.flatten(F.array(*[ngrams(kept, n) for n in range(least, most + 1)]))
 
 
@@ -220,12 +234,14 @@ def shortcode_counts(body: Column, closing: bool = False) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("name"), F.size(F.filter(found, lambda f: f == n)).alias("n"))))
 
 
+# Lengths from which on a title gets a smaller size, the largest length first.
+SIZE_STEPS = [120, 100, 85, 70, 60, 50, 40]
+
+
 def font_class(text: Column) -> Column:
     """Size class of a title by its length: the longer, the smaller."""
-    out = F.lit("size-8")
-    for k, least in enumerate(sorted([120, 100, 85, 70, 60, 50, 40])):
-        out = F.when(F.length(text) > least, F.lit(f"size-{7 - k}")).otherwise(out)
-    return out
+    steps = F.array(*[F.lit(n) for n in SIZE_STEPS])
+    return F.concat(F.lit("size-"), (F.size(F.filter(steps, lambda n: n >= F.length(text))) + 1).cast("string"))
 
 
 # Countries whose visitors are asked for consent.
@@ -237,8 +253,8 @@ def consent_region(country: Column) -> Column:
 
 
 def unset(value: Column) -> Column:
-    """Whether a template value counts as unset: null or empty."""
-    return value.isNull() | (value.cast("string") == "") | (value.cast("string") == "0")
+    """Whether a template value counts as unset: null, an empty text or list, or a zero."""
+    return value.isNull() | value.cast("string").isin("", "0", "0.0", "[]", "{}")
 
 
 def default(value: Column, other: Column) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +20,58 @@ from corpusloom.functions import text as X
 NOISE = "div span class href http https www html css javascript nbsp amp quot src img style script".split()
 
 
-def group_keywords(rows: DataFrame, group: str, text: str, most: int = 20) -> DataFrame:
-    """(group, phrase, n, rank): the most frequent n-grams of two to four words; ties by phrase."""
-    counted = rows.select(group, F.explode(X.keyword_ngrams(F.col(text))).alias("phrase")).groupBy(group, "phrase").agg(F.count("*").alias("n"))
-    kept = counted.where(X.keyword_ngram_ok(F.col("phrase"), X.STOPWORDS, NOISE))
-    order = Window.partitionBy(group).orderBy(F.col("n").desc(), "phrase")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+def counted_ngrams(words: pa.ListArray, groups: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """(group, phrase, count) of the distinct n-grams of a batch's word lists within each group, for each n."""
+    offsets = np.asarray(words.offsets, np.int64)
+    coded = pc.dictionary_encode(words.values.cast(pa.large_string()).slice(offsets[0], offsets[-1] - offsets[0]))
+    offsets = offsets - offsets[0]
+    word = np.asarray(coded.indices, np.int64)
+    known = coded.dictionary
+    noise = np.asarray(pc.is_in(known, pa.array(NOISE, pa.large_string())), bool)
+    bare = noise | np.asarray(pc.is_in(known, pa.array(X.STOPWORDS, pa.large_string())), bool)
+    end = np.repeat(offsets[1:], np.diff(offsets))
+    group = np.repeat(groups, np.diff(offsets))
+    # the code of a phrase from a position on: that of the phrase one word shorter, and the next word
+    code = group.astype(np.int64)
+    at = np.arange(len(word))
+    for n in range(1, most + 1):
+        keep = at + n <= end[at]
+        at, code = at[keep], code[keep]
+        if not len(at):
+            return
+        pair = np.stack([code, word[at + n - 1]], 1)
+        _, first, code, count = np.unique(pair[:, 0] * (len(known) + 1) + pair[:, 1], return_index=True, return_inverse=True, return_counts=True)
+        if n < least:
+            continue
+        rows = at[first][:, None] + np.arange(n)
+        ok = ~noise[word[rows]].any(1) & ~bare[word[rows]].all(1)
+        rows, count = rows[ok], count[ok]
+        if len(rows):
+            parts = [known.take(pa.array(word[rows[:, k]])) for k in range(n)]
+            yield group[rows[:, 0]], pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), count
+
+
+def group_keywords(rows: DataFrame, group: str, text: str, most: int = 20, least_words: int = 2, most_words: int = 4) -> DataFrame:
+    """(group, phrase, n, rank): the most frequent n-grams of two to four words; ties by phrase.
+
+    Words are cut out in the JVM, once a text; n-grams are counted batch by batch before
+    anything is shuffled. Rows without a group are a group of their own; a null text has no words.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    listed = rows.select(F.col(group).alias("g"), X.keyword_words(F.col(text)).alias("w"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                names = pc.dictionary_encode(part.column("g"), null_encoding="encode")
+                for groups, phrases, n in counted_ngrams(part.column("w"), np.asarray(names.indices, np.int64), least_words, most_words):
+                    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(groups)), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["g", "phrase", "n"])
+
+    counted = listed.mapInArrow(count, f"g {kind}, phrase string, n long").groupBy("g", "phrase").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("g").orderBy(F.col("n").desc(), "phrase")
+    ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return ranked.select(F.col("g").alias(group), "phrase", "n", "rank")
 
 
 def group_names(keywords: DataFrame, group: str) -> DataFrame:

@@ -288,20 +288,14 @@ def title_classes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.font_class(F.col("text")).alias("font"))
 
 
-@query("SELECT doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
-def escaped_text(spark, sf_dir):
-    """HTML escaping."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.escape_html(X.hard_clip(F.col("text"), 200)).alias("escaped"))
-
-
 @query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
-def escaped_whole_text(spark, sf_dir):
+def escaped_text(spark, sf_dir):
     """HTML escaping of whole texts."""
     return read(spark, sf_dir, "documents").select("doc_id", X.escape_html(F.col("text")).alias("escaped"))
 
 
 @query("SELECT doc_id, left(text, 2000) AS clipped FROM documents")
-def clipped_text(spark, sf_dir):
+def hard_clipped_text(spark, sf_dir):
     """The hard clip at its own length."""
     return read(spark, sf_dir, "documents").select("doc_id", X.hard_clip(F.col("text")).alias("clipped"))
 
@@ -414,23 +408,12 @@ def translation_pivot(spark, sf_dir):
     return sync.translation_pivot(pages, ["de", "en", "es", "fr"])
 
 
-@query("""
-    WITH k AS (SELECT lang, source AS key, min(doc_id) AS value FROM documents WHERE doc_id % 3 > 0 GROUP BY lang, source), e AS (SELECT key, value FROM k WHERE lang = 'en'), l AS (SELECT DISTINCT lang FROM k WHERE lang <> 'en')
-    SELECT l.lang, e.key, CAST(e.value AS VARCHAR) AS value FROM e CROSS JOIN l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lang = l.lang AND k.key = e.key)
-    UNION ALL SELECT lang, key, CAST(value AS VARCHAR) FROM k
-""")
-def synced_keys(spark, sf_dir):
-    """Keys of all languages with missing ones filled from English."""
-    rows = read(spark, sf_dir, "documents").where("doc_id % 3 > 0").groupBy("lang", F.col("source").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
-    return sync.synced_keys(rows)
-
-
 @query("""
     WITH k AS (SELECT lang, CAST(n_chars AS VARCHAR) AS key, CAST(min(doc_id) AS VARCHAR) AS value FROM documents GROUP BY lang, n_chars), l AS (SELECT DISTINCT lang FROM k WHERE lang <> 'en')
     SELECT l.lang, e.key, e.value FROM k e CROSS JOIN l WHERE e.lang = 'en' AND NOT EXISTS (SELECT 1 FROM k WHERE k.lang = l.lang AND k.key = e.key)
     UNION ALL SELECT lang, key, value FROM k
 """)
-def synced_lengths(spark, sf_dir):
+def synced_keys(spark, sf_dir):
     """Keys of all languages over the whole table, where lengths that a language lacks are filled from English."""
     rows = read(spark, sf_dir, "documents").groupBy("lang", F.col("n_chars").cast("string").alias("key")).agg(F.min("doc_id").cast("string").alias("value"))
     return sync.synced_keys(rows)
@@ -456,23 +439,11 @@ def address_owners(spark, sf_dir):
     return sync.owners(pages)
 
 
-@query("""
-    WITH a AS (SELECT conv_id, turn, text FROM conversations), h AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text ELSE text || '!' END AS text FROM conversations WHERE conv_id % 3 > 0)
-    SELECT a.conv_id || '/' || a.turn AS path, md5(a.text) AS body FROM a LEFT JOIN h ON a.conv_id = h.conv_id AND a.turn = h.turn WHERE h.text IS NULL OR h.text <> a.text
-""")
-def changed_bodies(spark, sf_dir):
-    """Bodies that are new or differ from an older version."""
-    rows = read(spark, sf_dir, "conversations")
-    path = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path")
-    head = rows.where("conv_id % 3 > 0").select(path, F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("body"))
-    return sync.changed_bodies(rows.select(path, F.col("text").alias("body")), head).select("path", F.md5(F.col("body").cast("binary")).alias("body"))
-
-
 @query("""
     WITH d AS (SELECT source || '/' || n_chars AS path, lang, md5(text) AS body FROM documents), a AS (SELECT path, max(body) AS body FROM d GROUP BY path), h AS (SELECT path, min(body) AS body FROM d WHERE lang <> 'en' GROUP BY path)
     SELECT a.path, a.body FROM a LEFT JOIN h ON a.path = h.path WHERE h.body IS NULL OR h.body <> a.body
 """)
-def changed_translations(spark, sf_dir):
+def changed_bodies(spark, sf_dir):
     """Bodies of all documents that are new or differ from those in other languages than English."""
     rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("path"), "lang", F.md5(F.col("text").cast("binary")).alias("body"))
     staged = rows.groupBy("path").agg(F.max("body").alias("body"))
@@ -603,16 +574,6 @@ def link_recommendations(spark, sf_dir):
     return recommend_links(pages, paragraphs, limits)
 
 
-@query()
-def body_checks(spark, sf_dir):
-    """Structural problems of each text against the first of its source."""
-    from corpusloom.functions.html import check_body
-
-    docs = read(spark, sf_dir, "documents")
-    first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("reference"))
-    return docs.join(first, "source").select("doc_id", check_body(F.col("text"), F.col("reference")).alias("problems"))
-
-
 @query()
 def page_keywords(spark, sf_dir):
     """Keywords of each document's beginning."""
@@ -651,22 +612,10 @@ def directory_urls(spark, sf_dir):
     return sync.directory_urls(stated, folders)
 
 
-@query("""
-    WITH d AS (SELECT doc_id, lang FROM documents), o AS (SELECT doc_id, lang FROM d WHERE doc_id % 2 = 0)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
-""")
-def upserted(spark, sf_dir):
-    """New rows in place of those with their keys."""
-    from corpusloom.sources.sinks import upsert
-
-    ids = read(spark, sf_dir, "documents").select("doc_id")
-    return upsert(ids.where("doc_id % 2 = 0").withColumn("state", F.lit("old")), ids.where("doc_id % 3 = 0").withColumn("state", F.lit("new")), ["doc_id"])
-
-
 @query("""
     SELECT DISTINCT doc_id, 'new' AS state FROM labels UNION ALL SELECT doc_id, 'old' FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)
 """)
-def upserted_labels(spark, sf_dir):
+def upserted(spark, sf_dir):
     """All labels in place of the documents with their ids."""
     from corpusloom.sources.sinks import upsert
 

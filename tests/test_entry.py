@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from corpusloom.plans.queries import ORACLES, QUERIES
+from corpusloom.plans import queries, site_queries
 
+QUERIES, ORACLES = queries.QUERIES | site_queries.QUERIES, queries.ORACLES | site_queries.ORACLES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -58,5 +59,5 @@ def test_texts_are_whole(spark):
 
     rows = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     assert {r.doc_id: r.slug for r in QUERIES["slugs"](spark, DATA).collect()} == {r.doc_id: fold(r.text, r.lang, 80) for r in rows}
-    got = {r.doc_id: r.escaped for r in QUERIES["escaped_whole_text"](spark, DATA).collect()}
+    got = {r.doc_id: r.escaped for r in QUERIES["escaped_text"](spark, DATA).collect()}
     assert all(len(got[r.doc_id]) >= len(r.text) for r in rows) and max(map(len, got.values())) > 2000

@@ -88,14 +88,37 @@ def test_markdown(spark):
     assert H.html_text("<p>a&amp;b</p><script>x</script>c") == "a&b c"
 
 
-def test_body_problems():
+def test_body_problems(spark):
     english = '## A\n### B\n{{< t >}}{{< /t >}}\n{ "k": 1 }'
-    assert H.body_problems(english, english) == []
-    got = H.body_problems('## A\n{{< t >}}\n{ "k": }', english)
-    assert got[0] == "has 0 H3 heading(s), the english source has 1 - the translation looks truncated"
-    assert 'shortcode "t" closes 0x, 1x in the english source' in got
-    assert got[-1].startswith("line 3: JSON parameter does not parse")
-    assert H.body_problems("{{< x > %}", None)[0].startswith("line 1: malformed shortcode delimiter")
+    cases = [(0, english, english), (1, '## A\n{{< t >}}\n{ "k": }', english), (2, "{{< x > %}", None), (3, "{{< /y >}}", None), (4, "{{< y >}}{{< /y >}}{{< /y >}}", None), (5, None, None), (6, '{ "k": }', "no parameters")]
+    rows = spark.createDataFrame(cases, "id int, text string, reference string")
+    got = {r.id: r.p for r in rows.select("id", H.check_body(F.col("text"), F.col("reference")).alias("p")).collect()}
+    assert got[0] == got[5] == got[6] == []
+    assert got[1][:2] == ["0 headings of level 3, the source has 1", "shortcode t closes 0 times, in the source 1"] and got[1][2].startswith("line 3: ")
+    assert got[2] == ["malformed shortcode {{< x > %}"] and got[3] == ["shortcode y closes 1 times and opens 0"] and got[4] == ["shortcode y closes 2 times and opens 1"]
+    cut = rows.where("reference IS NOT NULL").select("id", H.truncated(F.col("text"), F.col("reference")).alias("t"))
+    assert {r.id: r.t for r in cut.collect()} == {0: False, 1: True, 6: False}
+
+
+def test_json_blocks():
+    assert H.json_blocks('x " {"a": {"b": "}"}} {no} \n{ "c": 1}') == [(1, '{"a": {"b": "}"}}'), (1, '{"b": "}"}'), (2, '{ "c": 1}')]
+    assert H.json_blocks('{"open": ') == []
+
+
+def test_date_patterns():
+    from corpusloom.functions.values import date_pattern
+
+    assert [date_pattern(x) for x in ("Jan 2, 2006", "2. January 2006", "02/01/06 15:04", "2006-01-02T15:04:05")] == ["MMM d, yyyy", "d. MMMM yyyy", "dd/MM/yy HH:mm", "yyyy-MM-dd'T'HH:mm:ss"]
+
+
+def test_nested_values(spark):
+    from corpusloom.functions import values as W
+
+    rows = spark.createDataFrame([(1, '{"a": {"b": 2}, "l": [{"k": "x"}, 3, {"j": 1}]}'), (2, "[1]"), (3, "no json"), (4, None), (5, "{}")], "id int, j string")
+    got = {r.id: (r.one, r.many) for r in rows.select("id", W.nested_get(F.col("j"), "a.b").alias("one"), W.nested_get(F.col("j"), "l[].k").alias("many")).collect()}
+    assert got == {1: (["2"], ["x"]), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
+    put = {r.id: r.p for r in rows.select("id", W.nested_set(F.col("j"), "l[].k", F.lit("new"), 0).alias("p")).collect()}
+    assert put[1] == '{"a": {"b": 2}, "l": [{"k": "new"}, 3, {"j": 1}]}' and put[2] == "[1]" and put[3] == "no json"
 
 
 @pytest.mark.parametrize("raw,meta,body", [("+++\ntitle = 'a'\n+++\nB", {"title": "a"}, "B"), ("﻿+++\nx = 1\n+++\n", {"x": 1}, ""), ("+++\nbad = = 1\n+++\nB", {}, "+++\nbad = = 1\n+++\nB"), ("plain", {}, "plain"), (None, {}, "")])

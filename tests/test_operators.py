@@ -117,8 +117,9 @@ def test_link_rules(spark):
     assert 'a <a href="/bot/" title="T" class="prose-links">bot</a> here' in html and '<p><a href="/shop/" class="prose-links">Shop</a></p>' in html
     rules = spark.createDataFrame([("bot", "/bot/", "T", 1)], "keyword string, url string, title string, priority int")
     frame = spark.createDataFrame([(1, page), (2, None)], "id long, html string")
-    for limit in (1 << 20, 0):
-        assert {r.id: r.n_links for r in linking.link_pages(frame, rules, rule_bytes=limit).collect()} == {1: 1, 2: 0}
+    wordless = spark.createDataFrame([("...", "/dots/", "T", 1), (" ", "/x/", "T", 1)], "keyword string, url string, title string, priority int")
+    for some in (rules, rules.union(wordless)):
+        assert {r.id: r.n_links for r in linking.link_pages(frame, some).collect()} == {1: 1, 2: 0}
 
 
 def test_recommendations(spark):
