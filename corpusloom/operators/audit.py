@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators.vector import centroids, usable
+from corpusloom.plans.scratch import Scratch
 
 
-def focus_columns(sim: Column, percentile: float = 0.95) -> list[Column]:
+#: Below so many rows of a group a percentile is ranked among all of them, above only near it, so far on either side.
+SMALL_GROUP, NEAR = 10_000, 0.002
+
+
+def focus_columns(sim: Column) -> list[Column]:
     """Aggregates over the similarities to a centre: focus is their mean, radius their spread as distances."""
     dist = 1 - sim
-    return [
-        F.avg(sim).alias("focus"),
-        F.stddev_pop(dist).alias("radius"),
-        F.avg(dist).alias("mean_dist"),
-        F.percentile(dist, F.lit(percentile)).alias("p95_dist"),
-        F.max(dist).alias("max_dist"),
-        F.count("*").alias("n_pages"),
-    ]
+    return [F.avg(sim).alias("focus"), F.stddev_pop(dist).alias("radius"), F.avg(dist).alias("mean_dist"), F.max(dist).alias("max_dist"), F.count("*").alias("n_pages")]
+
+
+def percentiles(rows: DataFrame, value: str, points: dict[str, float], group: str | None = None) -> DataFrame:
+    """One row a group (or one row) with the exact, interpolated percentiles, each under its name.
+
+    A sketch of bounded size brackets each percentile; only rows inside the bracket are
+    ranked, so no task holds a group's values. ``rows`` is read twice a point.
+    """
+    g = F.col(group) if group else F.lit(0)
+    held = rows.select(g.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    out = None
+    for name, point in points.items():
+        near = F.percentile_approx("v", F.array(F.lit(max(0.0, point - NEAR)), F.lit(min(1.0, point + NEAR))), 5_000)
+        small = F.count("*") < SMALL_GROUP
+        stats = held.groupBy("g").agg(F.count("*").alias("n"), F.when(small, F.min("v")).otherwise(near[0]).alias("lo"), F.when(small, F.max("v")).otherwise(near[1]).alias("hi"))
+        marked = held.join(stats if group else F.broadcast(stats), "g")
+        below = marked.groupBy("g", "n").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+        order = Window.partitionBy("g").orderBy("v")
+        inside = marked.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("k", F.row_number().over(order))
+        at = F.lit(point) * (F.col("n") - 1)
+        first = inside.join(below.select("g", "below"), "g").withColumn("k", F.col("k") + F.col("below") - 1).where((F.col("k") >= F.floor(at)) & (F.col("k") <= F.floor(at) + 1))
+        found = first.groupBy("g", "n").agg(F.min_by("v", "k").alias("a"), F.max_by("v", "k").alias("b"))
+        found = found.select("g", (F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))).alias(name))
+        out = found if out is None else out.join(found, "g")
+    return out.select(F.col("g").alias(group), *points) if group else out.select(*points)
 
 
 def with_drift(vectors: DataFrame, section: str = "section") -> DataFrame:
@@ -41,12 +64,15 @@ def with_drift(vectors: DataFrame, section: str = "section") -> DataFrame:
 
 def section_report(drift: DataFrame, section: str = "section", percentile: float = 0.95) -> DataFrame:
     """Focus of each section over the drift of its pages."""
-    return drift.groupBy(section).agg(*focus_columns(1 - F.col("dist_section"), percentile))
+    rows = Scratch(drift.sparkSession, "sections").table(drift.where(F.col(section).isNotNull()).select(section, "dist_section"), "drift")
+    return rows.groupBy(section).agg(*focus_columns(1 - F.col("dist_section"))).join(percentiles(rows, "dist_section", {"p95_dist": percentile}, section), section)
 
 
 def site_report(drift: DataFrame, section: str = "section", percentile: float = 0.95) -> DataFrame:
     """One row: focus of the whole site, and how many sections it has."""
-    return drift.agg(*focus_columns(1 - F.col("dist_site"), percentile), F.countDistinct(section).alias("n_sections"))
+    rows = Scratch(drift.sparkSession, "site").table(drift.select(section, "dist_site"), "drift")
+    report = rows.agg(*focus_columns(1 - F.col("dist_site")), F.countDistinct(section).alias("n_sections"))
+    return report.join(percentiles(rows, "dist_site", {"p95_dist": percentile}), F.lit(True), "left")
 
 
 def recommendation(size: Column, dist_section: Column, p95: Column, dist_site: Column, word_count: Column) -> Column:
@@ -80,11 +106,13 @@ def normalized_drift(drift: Column, most: Column) -> Column:
 
 def robust_rescale(rows: DataFrame, columns: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Columns moved to the middle of their percentile pair and divided by half its width (1 if that is 0)."""
-    bounds = rows.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns])
-    wide = rows.crossJoin(F.broadcast(bounds))
+    wide = rows
+    for k, c in enumerate(columns):
+        # one row
+        wide = wide.crossJoin(F.broadcast(percentiles(rows, c, {f"__low{k}": low, f"__high{k}": high})))
     out = {}
-    for c in columns:
-        a, b = F.col(f"__{c}")[0], F.col(f"__{c}")[1]
+    for k, c in enumerate(columns):
+        a, b = F.col(f"__low{k}"), F.col(f"__high{k}")
         scale = F.when(a == b, F.lit(1.0)).otherwise((b - a) / 2)
         out[c] = (F.col(c) - (a + b) / 2) / scale
     return wide.withColumns(out).select(*rows.columns)

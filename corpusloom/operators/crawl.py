@@ -20,19 +20,18 @@ def page_links(pages: DataFrame, prefixes: tuple[str, ...] = (), internal: str |
 
 
 def inverted(rows: DataFrame) -> DataFrame:
-    """(link, pages): the pages that refer to each address, sorted."""
-    return rows.groupBy("link").agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    """(link, page), each once: the pages that refer to an address, a row each, as every page may refer to one."""
+    return rows.select("link", "page").distinct()
 
 
 def broken_links(rows: DataFrame, status: DataFrame) -> DataFrame:
-    """(link, status, label, pages) of addresses with a bad state; an address without a known state isn't reported.
+    """(status, link, label, page) of addresses with a bad state and the pages that refer to them, in the order of the report.
 
-    The state is joined before pages are gathered, so lists are made of broken links only.
+    An address without a known state isn't reported.
     """
     bad = status.where(U.broken(F.col("status"))).select("url", "status").dropDuplicates(["url"])
     hit = rows.join(bad, rows["link"] == bad["url"])
-    out = hit.groupBy("link", "status").agg(F.sort_array(F.collect_set("page")).alias("pages"))
-    return out.select("link", "status", U.status_label(F.col("status")).alias("label"), "pages").orderBy("status", "link")
+    return hit.select("status", "link", U.status_label(F.col("status")).alias("label"), "page").distinct().orderBy("status", "link", "page")
 
 
 def unknown_links(rows: DataFrame, status: DataFrame) -> DataFrame:
@@ -45,20 +44,24 @@ def ordered_distinct(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(position).alias(position)).orderBy(position)
 
 
-def split_sitemap(entries: DataFrame, most: int = 10_000) -> DataFrame:
-    """(section, chunk, pos, loc, lastmod): entries of a section in file order, ``most`` a chunk.
+def ranked(rows: DataFrame, keys: list[str], position: str, width: int = 100_000) -> DataFrame:
+    """The rows with rank, from 0, of their whole-number position within equal keys.
 
-    A section is ranked without a sort in one task: positions are first counted by slice, and
-    a row's rank is its rank in the slice after the rows of earlier slices.
+    A hot key is not sorted in one task: positions are first counted by slice, and a row's
+    rank is its rank in the slice after the rows of earlier slices.
     """
-    width = 100_000
-    rows = entries.select(U.sitemap_section(F.col("loc")).alias("section"), "pos", F.floor(F.col("pos") / width).alias("slice"), "loc", "lastmod")
-    counts = rows.groupBy("section", "slice").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("section").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    inside = Window.partitionBy("section", "slice").orderBy("pos")
-    ranked = rows.join(starts, ["section", "slice"]).withColumn("rank", F.col("start") + F.row_number().over(inside) - 1)
-    return ranked.select("section", F.floor(F.col("rank") / most).cast("int").alias("chunk"), "pos", "loc", "lastmod")
+    sliced = rows.withColumn("__slice", F.floor(F.col(position) / width))
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys, "__slice").orderBy(position)
+    return sliced.join(starts, [*keys, "__slice"]).withColumn("rank", F.col("__start") + F.row_number().over(inside) - 1).drop("__slice", "__start")
+
+
+def split_sitemap(entries: DataFrame, most: int = 10_000) -> DataFrame:
+    """(section, chunk, pos, loc, lastmod): entries of a section in file order, ``most`` a chunk."""
+    rows = entries.select(U.sitemap_section(F.col("loc")).alias("section"), "pos", "loc", "lastmod")
+    return ranked(rows, ["section"], "pos").select("section", F.floor(F.col("rank") / most).cast("int").alias("chunk"), "pos", "loc", "lastmod")
 
 
 def site_base(entries: DataFrame) -> DataFrame:

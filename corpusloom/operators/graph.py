@@ -9,7 +9,7 @@ edges are left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.scratch import Scratch
@@ -69,24 +69,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return roots.join(least, "root").select("node", "component")
 
 
-def groups(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Similarity groups of more than one member from pairs (a, b, sim).
+def groups(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Similarity groups of more than one member from pairs (a, b, sim): (groups, members).
 
-    One row a group: group_id (smallest member), members (by falling number of connections,
-    then by id), n_members, max_sim. Pairs in both directions or repeated count once.
+    groups: group_id (smallest member), n_members, max_sim. members: group_id, member, degree
+    and rank (by falling number of connections, then by id), a row each, so that no group is
+    gathered in one place. Pairs in both directions or repeated count once.
     """
     pairs = scratch.table(
         pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim")), "pairs"
     )
     found = scratch.table(components(pairs.select("a", "b"), scratch), "found")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    members = (
-        found.join(degree, "node")
-        .groupBy("component")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("degree")).alias("d"), "node"))).alias("m"), F.count("*").alias("n_members"))
-    )
+    order = Window.partitionBy("group_id").orderBy(F.col("degree").desc(), "member")
+    members = found.join(degrees(pairs), "node").select(F.col("component").alias("group_id"), F.col("node").alias("member"), "degree")
     best = pairs.join(found, pairs["a"] == found["node"]).groupBy("component").agg(F.max("sim").alias("max_sim"))
-    return members.join(best, "component").select(F.col("component").alias("group_id"), F.col("m.node").alias("members"), "n_members", "max_sim")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n_members")).join(best, "component")
+    return sizes.select(F.col("component").alias("group_id"), "n_members", "max_sim"), members.withColumn("rank", F.row_number().over(order))
 
 
 def degrees(pairs: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,17 @@ def threshold_pairs(vectors: DataFrame, least: float, group: str | None = None)
     return dealt.groupBy("g", "i", "j").applyInArrow(score, "a long, b long, sim double")
 
 
+def equal_classes(vectors: DataFrame, group: str | None = None) -> DataFrame:
+    """(id, vec, class_id, copies) of usable vectors: class_id is the smallest id of those equal to it, copies their number.
+
+    Pairs are sought between the rows whose id is their class_id; copies then add no pairs, only members.
+    """
+    keys = [*([group] if group else []), "h1", "h2"]
+    rows = usable(vectors).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(2), "vec")})
+    found = rows.groupBy(*keys).agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    return rows.join(found, keys).drop("h1", "h2")
+
+
 def top_neighbours(vectors: DataFrame, k: int, group: str | None = None, least: float | None = None) -> DataFrame:
     """(a, b, sim, rank): the k most similar other vectors of each, exact; ties by smaller id."""
     dealt = _block_pairs(usable(vectors), group, False)
@@ -98,11 +110,39 @@ def top_neighbours(vectors: DataFrame, k: int, group: str | None = None, least:
 
 
 def centroids(vectors: DataFrame, group: str | None = None) -> DataFrame:
-    """(group, centroid, n): component-wise mean, with partial sums before the shuffle."""
-    keys = [group] if group else []
-    parts = vectors.select(*keys, F.posexplode("vec").alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    gathered = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("p"), F.max("n").alias("n"))
-    return gathered.select(*keys, F.col("p.m").alias("centroid"), "n")
+    """(group, centroid, n): component-wise mean of vectors of one length, with one partial sum a batch and group before the shuffle.
+
+    Vectors that are null, or have a null component, count for nothing.
+    """
+    key = F.col(group) if group else F.lit("")
+    kind = vectors.schema[group].dataType.simpleString() if group else "string"
+    rows = vectors.select(key.alias("g"), V.doubles(F.col("vec")).alias("vec")).where(F.forall("vec", lambda x: x.isNotNull()) & (F.size("vec") > 0))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pc.dictionary_encode(batch.column("g"), null_encoding="encode")
+            of = np.asarray(names.indices, np.int64)
+            lists = batch.column("vec")
+            lengths = np.asarray(pc.list_value_length(lists))
+            values = np.asarray(lists.flatten(), np.float64)
+            for size in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == size)
+                starts = (np.cumsum(lengths) - lengths)[own]
+                block = values[starts[:, None] + np.arange(size)]
+                order = np.argsort(of[own], kind="stable")
+                codes, first = np.unique(of[own][order], return_index=True)
+                sums = np.add.reduceat(block[order], first, axis=0)
+                counts = np.diff(np.append(first, len(own)))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, size), pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(codes)), made, pa.array(counts, pa.int64())], names=["g", "s", "n"])
+
+    parts = rows.mapInArrow(add, f"g {kind}, s array<double>, n long")
+    total = parts.groupBy("g").agg(F.sum("n").alias("n"))
+    sums = parts.select("g", F.posexplode("s").alias("pos", "x")).groupBy("g", "pos").agg(F.sum("x").alias("x"))
+    # a list has as many items as a vector components
+    gathered = sums.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p")).join(total, "g")
+    mean = F.transform("p", lambda p: p["x"] / F.col("n"))
+    return gathered.select(*([F.col("g").alias(group)] if group else []), mean.alias("centroid"), "n")
 
 
 def related(vectors: DataFrame, k: int = 3, extra: int = 5) -> DataFrame:

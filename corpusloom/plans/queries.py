@@ -160,10 +160,22 @@ def duplicate_pairs(spark, sf_dir):
     return pairs.select("a", "b", six("sim").alias("sim"), audit.duplicate_action(F.col("sim")).alias("action"))
 
 
-@query(f"WITH {_COSINES} SELECT a, b, round(sim, 6) AS sim FROM s WHERE a < b AND sim >= 0.4")
+def similar_edges(spark, sf_dir, scratch):
+    """(classes, pairs): classes of equal vectors, and pairs over a threshold between their first members."""
+    classes = scratch.table(vector.equal_classes(page_vectors(spark, sf_dir)).select("id", "vec", "class_id", "copies"), "classes")
+    return classes, vector.threshold_pairs(classes.where("id = class_id").select("id", "vec"), 0.4)
+
+
+@query(f"""
+    WITH {_COSINES}, k AS (SELECT a.id, min(b.id) AS class_id FROM v a JOIN v b ON a.e = b.e GROUP BY a.id)
+    SELECT a, b, round(sim, 6) AS sim FROM s WHERE a < b AND sim >= 0.4 AND a IN (SELECT class_id FROM k) AND b IN (SELECT class_id FROM k)
+    UNION ALL SELECT class_id, id, 1 FROM k WHERE id <> class_id
+""")
 def similar_pairs(spark, sf_dir):
-    """All pairs over a threshold (V10's range search)."""
-    return vector.threshold_pairs(page_vectors(spark, sf_dir), 0.4).select("a", "b", six("sim").alias("sim"))
+    """All pairs over a threshold between different vectors, and each copy with the first of its equals (V10's range search)."""
+    classes, pairs = similar_edges(spark, sf_dir, Scratch(spark, "pairs"))
+    copies = classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    return pairs.union(copies).select("a", "b", six("sim").alias("sim"))
 
 
 @query(f"""
@@ -173,15 +185,35 @@ def similar_pairs(spark, sf_dir):
     SELECT g AS group_id, count(*) AS n_members, round((SELECT max(sim) FROM e JOIN c c2 ON c2.node = e.a WHERE c2.g = c.g), 6) AS max_sim FROM c GROUP BY g
 """)
 def similarity_groups(spark, sf_dir):
-    """Connected groups of similar vectors."""
-    found = graph.groups(vector.threshold_pairs(page_vectors(spark, sf_dir), 0.4), Scratch(spark, "groups"))
+    """Connected groups of similar vectors (V8, V9, A10)."""
+    scratch = Scratch(spark, "groups")
+    classes, pairs = similar_edges(spark, sf_dir, scratch)
+    copies = classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    found, _ = graph.groups(pairs.union(copies), scratch)
     return found.select("group_id", "n_members", six("max_sim").alias("max_sim"))
 
 
+@query(f"""
+    WITH RECURSIVE {_COSINES}, e AS (SELECT a, b, sim FROM s WHERE sim >= 0.4),
+    r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+    c AS (SELECT node, min(root) AS g FROM r GROUP BY node), d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY a)
+    SELECT g AS group_id, c.node AS member, degree, CAST(row_number() OVER (PARTITION BY g ORDER BY degree DESC, c.node) AS INT) AS rank FROM c JOIN d ON c.node = d.node
+""")
+def similarity_members(spark, sf_dir):
+    """Members of the groups, the best connected first."""
+    _, members = graph.groups(vector.threshold_pairs(page_vectors(spark, sf_dir), 0.4), Scratch(spark, "members"))
+    return members
+
+
 @query(f"WITH {_COSINES}, e AS (SELECT a, b FROM s WHERE sim >= 0.4) SELECT a AS node, count(*) AS degree FROM e GROUP BY a")
 def similarity_degrees(spark, sf_dir):
-    """Number of similar vectors of each."""
-    return graph.degrees(vector.threshold_pairs(page_vectors(spark, sf_dir), 0.4))
+    """Number of similar vectors of each, its copies among them."""
+    classes, pairs = similar_edges(spark, sf_dir, Scratch(spark, "degrees"))
+    copies = classes.where("id = class_id").select("class_id", "copies")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p")).select("p.*")
+    other = ends.join(copies, ends["y"] == copies["class_id"]).groupBy(F.col("x").alias("class_id")).agg(F.sum("copies").alias("n"))
+    degree = F.col("copies") - 1 + F.coalesce("n", F.lit(0))
+    return classes.select("id", "class_id", "copies").join(other, "class_id", "left").select(F.col("id").alias("node"), degree.alias("degree")).where("degree > 0")
 
 
 @query(f"""
@@ -215,15 +247,24 @@ def usable_vectors(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT DISTINCT sha256(text) AS text_hash, text FROM documents)
-    SELECT doc_id, sha256(text) AS text_hash, true AS encoded FROM documents
+    WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents)
+    SELECT doc_id, sha256(text) AS text_hash, CASE WHEN n % 5 = 0 THEN [7.0, n] WHEN n % 3 = 0 THEN [0.0, 0.0] ELSE [n, 1.0] END AS vec FROM d
 """)
 def cached_encoding(spark, sf_dir):
-    """Vectors of texts by content hash, each distinct text encoded once."""
+    """Vectors of texts by content hash: cached ones as they are, others encoded, those that come out not finite as zeros (V1, V2, V4, J1, R5, ST3)."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    empty = spark.createDataFrame([], "model string, text_hash string, dim int, vec array<float>")
-    rows, _ = vector.encode_cached(docs, empty, "hash-64", vector.hashing_encoder())
-    return rows.select(F.col("id").alias("doc_id"), "text_hash", (F.size("vec") == 64).alias("encoded"))
+    n = F.length("text")
+    hashed = docs.select(F.sha2("text", 256).alias("text_hash"), n.alias("n")).distinct()
+    held = hashed.where("n % 5 = 0").select(F.lit("m").alias("model"), "text_hash", F.lit(2).alias("dim"), F.array(F.lit(7.0), F.col("n")).cast("array<float>").alias("vec"))
+    # a poisoned row and one of another model count for nothing
+    bad = hashed.where("n % 5 = 1").select(F.lit("m").alias("model"), "text_hash", F.lit(2).alias("dim"), F.array(F.lit(float("nan")), F.col("n")).cast("array<float>").alias("vec"))
+    other = hashed.select(F.lit("other").alias("model"), "text_hash", F.lit(2).alias("dim"), F.array(F.lit(1.0), F.lit(1.0)).cast("array<float>").alias("vec"))
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return np.array([[np.nan if len(t) % 3 == 0 else len(t), 1.0] for t in texts])
+
+    rows, _ = vector.encode_cached(docs, held.union(bad).union(other), "m", encode)
+    return rows.select(F.col("id").alias("doc_id"), "text_hash", V.doubles(F.col("vec")).alias("vec"))
 
 
 # ---- text ----
@@ -306,10 +347,10 @@ def content_hashes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.sha2(F.concat("text", F.lit("|model")), 256).alias("model_hash"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^\w-])(the)([^\w-]|$)') AS named FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)(^|[^\w-])(the)([^\w-]|$)') AS named FROM documents")
 def keyword_mentions(spark, sf_dir):
     """Whether a text has a keyword between word borders (C20)."""
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", X.mentions(F.col("text"), F.lit("the")).alias("named"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.mentions(F.col("text"), F.lit("the")).alias("named"))
 
 
 @query("""
@@ -359,7 +400,7 @@ def sitemap_chunks(spark, sf_dir):
 @query(r"""
     WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
     f AS (SELECT url AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*', '') AS link FROM l WHERE starts_with(href, '/'))
-    SELECT link, list_sort(list_distinct(list(page))) AS pages FROM f GROUP BY link
+    SELECT DISTINCT link, page FROM f
 """)
 def link_index(spark, sf_dir):
     """Pages by the address that they refer to."""
@@ -370,8 +411,8 @@ def link_index(spark, sf_dir):
     WITH l AS (SELECT url AS page, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
     f AS (SELECT DISTINCT page, regexp_extract(page, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(href, '#.*', '') AS link FROM l WHERE starts_with(href, '/')),
     s AS (SELECT *, CASE length(link) % 7 WHEN 0 THEN 404 WHEN 1 THEN -3 WHEN 2 THEN 310 ELSE 200 END AS status FROM f)
-    SELECT link, status, CASE status WHEN -3 THEN 'Timeout' WHEN 310 THEN 'Too Many Redirects' ELSE CAST(status AS VARCHAR) END AS label, list_sort(list(page)) AS pages
-    FROM s WHERE NOT (status >= 200 AND status < 400) OR status = -3 GROUP BY link, status
+    SELECT link, status, CASE status WHEN -3 THEN 'Timeout' WHEN 310 THEN 'Too Many Redirects' ELSE CAST(status AS VARCHAR) END AS label, page
+    FROM s WHERE NOT (status >= 200 AND status < 400) OR status = -3
 """)
 def broken_link_report(spark, sf_dir):
     """Bad addresses with their pages, for states that follow from the address."""
@@ -391,14 +432,13 @@ def page_prose(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY source, lang), l AS (SELECT DISTINCT lang FROM d WHERE lang <> 'en'), e AS (SELECT DISTINCT source FROM d WHERE lang = 'en')
-    SELECT e.source AS rel_path, l.lang FROM e CROSS JOIN l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = e.source AND d.lang = l.lang AND d.first % 2 = 0)
+    WITH d AS (SELECT DISTINCT source || '/' || n_chars AS source, lang FROM documents), l AS (SELECT DISTINCT lang FROM d WHERE lang <> 'en'), e AS (SELECT DISTINCT source FROM d WHERE lang = 'en')
+    SELECT e.source AS rel_path, l.lang FROM e CROSS JOIN l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.source = e.source AND d.lang = l.lang)
 """)
 def missing_translations(spark, sf_dir):
     """English files without a counterpart."""
-    pages = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("rel_path"), "lang").agg(F.min("doc_id").alias("first"))
-    english = pages.where("lang = 'en'")
-    return sync.missing_translations(english, pages.select("lang"), pages.where("first % 2 = 0 AND lang <> 'en'"))
+    pages = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("n_chars").cast("string")).alias("rel_path"), "lang").distinct()
+    return sync.missing_translations(pages.where("lang = 'en'"), pages.select("lang"), pages.where("lang <> 'en'"))
 
 
 @query("SELECT 'd' AS folder, source AS rel_path, min(text) FILTER (lang = 'de') AS de, min(text) FILTER (lang = 'en') AS en, min(text) FILTER (lang = 'es') AS es, min(text) FILTER (lang = 'fr') AS fr FROM (SELECT source, lang, md5(text) AS text FROM documents) GROUP BY source")
@@ -455,8 +495,8 @@ def changed_bodies(spark, sf_dir):
 """)
 def paginated(spark, sf_dir):
     """Pages of sixty entries, newest first."""
-    order = Window.partitionBy("source", "lang").orderBy(F.col("doc_id").desc())
-    rows = read(spark, sf_dir, "documents").withColumn("page", F.ceil(F.row_number().over(order) / 60))
+    rows = read(spark, sf_dir, "documents").select("source", "lang", (-F.col("doc_id")).alias("pos"))
+    rows = crawl.ranked(rows, ["source", "lang"], "pos").withColumn("page", F.floor(F.col("rank") / 60) + 1)
     return rows.groupBy("source", "lang", "page").agg(F.count("*").alias("n"))
 
 

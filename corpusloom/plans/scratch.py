@@ -1,7 +1,7 @@
 """Tables and files that a job shares between its executors.
 
 Everything goes below the folder that the cluster names in ``spark.checkpoint.dir``.
-Only where that is unset (as in tests) a local folder is made.
+Only where that is unset and everything runs in one process (as in tests) a local folder is made.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         named = context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them and the driver see")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         context.setCheckpointDir(named)
     return named.rstrip("/")

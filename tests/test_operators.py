@@ -31,6 +31,49 @@ def test_similarity(spark):
     assert rows(vector.greedy_groups(spark.createDataFrame([(1, 2), (1, 6), (2, 6)], "a long, b long"))) == [(1, 1), (1, 2), (1, 6)]
 
 
+def test_equal_vectors_add_no_pairs(spark):
+    frame = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5, 0, -1)] + [(9, [2.0, 1.0]), (10, [0.0, 0.0])], "id long, vec array<double>")
+    assert rows(vector.equal_classes(frame).select("id", "class_id", "copies")) == [(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 1, 5), (5, 1, 5), (9, 9, 1)]
+
+
+def test_percentiles_near_and_far(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [("a", float(x)) for x in rng.normal(size=3000)] + [("b", 1.0)] * 50 + [("c", None)]
+    frame = spark.createDataFrame(data, "g string, v double")
+    want = {"a": np.percentile([x for g, x in data if g == "a"], [5, 95]).tolist(), "b": [1.0, 1.0]}
+    for small in (10_000, 1000):
+        monkeypatch.setattr(audit, "SMALL_GROUP", small)
+        got = {r.g: [r.lo, r.hi] for r in audit.percentiles(frame, "v", {"lo": 0.05, "hi": 0.95}, "g").collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[g], want[g]) for g in want)
+    whole = audit.percentiles(frame, "v", {"m": 0.5}).first().m
+    assert np.isclose(whole, np.median([x for _, x in data if x is not None]))
+
+
+def test_similarity_members(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.9), (2, 3, 0.8), (7, 8, 0.7)], "a long, b long, sim double")
+    found, members = graph.groups(pairs, Scratch(spark, "t"))
+    assert rows(found) == [(1, 3, 0.9), (7, 2, 0.7)]
+    assert [tuple(r) for r in members.orderBy("group_id", "rank").collect()] == [(1, 2, 2, 1), (1, 1, 1, 2), (1, 3, 1, 3), (7, 7, 1, 1), (7, 8, 1, 2)]
+
+
+def test_scratch_needs_a_shared_folder():
+    class Context:
+        master = "spark://x:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}  # noqa: RUF012
+
+    import pytest
+
+    from corpusloom.plans.scratch import shared_folder
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())
+
+
 def test_cache_encodes_each_text_once(spark):
     seen = []
     texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, text string")
@@ -85,7 +128,7 @@ def test_broken_links(spark):
     html = spark.createDataFrame([("https://h.com/a", '<a href="/x"><a href="/y">'), ("https://h.com/b", '<a href="/x">'), ("https://h.com/c", None)], "url string, html string")
     links = crawl.page_links(html, internal="h.com")
     status = spark.createDataFrame([("https://h.com/x", 404)], "url string, status int")
-    assert [tuple(r) for r in crawl.broken_links(links, status).collect()] == [("https://h.com/x", 404, "404", ["https://h.com/a", "https://h.com/b"])]
+    assert [tuple(r) for r in crawl.broken_links(links, status).collect()] == [(404, "https://h.com/x", "404", "https://h.com/a"), (404, "https://h.com/x", "404", "https://h.com/b")]
     assert rows(crawl.unknown_links(links, status)) == [("https://h.com/y",)]
 
 
@@ -129,6 +172,12 @@ def test_recommendations(spark):
     pages_ = spark.createDataFrame(page, "id long, url string, title string, description string, keywords array<string>, existing array<string>, vec array<double>")
     got = linking.recommend_links(pages_, spark.createDataFrame(par, "id long, para int, text string, vec array<double>")).collect()
     assert [(r.source, r.paragraph_index, r.target, r.text) for r in got] == [(1, 0, 2, "vector search")]
+    # no anchor passes by its words: with an encoder the finalists are scored by their vectors
+    strict = linking.LinkLimits(anchor=1.12, preferred_anchor=1.12)
+    assert linking.recommend_links(pages_, spark.createDataFrame(par, "id long, para int, text string, vec array<double>"), strict).count() == 0
+    same = lambda texts: np.array([[0.9, 0.43589]] * len(texts))
+    by_vector = linking.recommend_links(pages_, spark.createDataFrame(par, "id long, para int, text string, vec array<double>"), strict, encode=same).collect()
+    assert [(r.source, r.target, r.anchor_confidence) for r in by_vector] == [(1, 2, 1.0)]
     assert linking.distinct_links(spark.createDataFrame(got)).count() == 1
 
 
