@@ -590,3 +590,107 @@ def test_license_wordings_that_are_not_templates(text, names):
     from corpusloom.llm.license_scan import TEMPLATES, Scanner
 
     assert Scanner(TEMPLATES).text(text)[1] == names
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("This work is NOT licensed under the MIT License.", []),
+        ("You aren't allowed to use it under the GNU GPL v3; it is released under the ISC license.", ["ISC"]),
+        ("The driving license of 2024 was issued under the road act, version 2.", []),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["0BSD"]),
+    ],
+)
+def test_license_denials_and_kin(text, names):
+    from corpusloom.llm.license_scan import TEMPLATES, Scanner
+
+    assert Scanner(TEMPLATES).text(text)[1] == names
+
+
+def test_license_ranking_and_differences():
+    import zstandard
+
+    from corpusloom.llm.license_scan import LEAST_SAVED, TEMPLATES, Scanner
+
+    scanner = Scanner(TEMPLATES)
+    block = TEMPLATES["BSD-3-Clause"].lower().replace("source and binary forms", "source or compiled forms").replace("specific prior written", "specific signed written")
+    # brute force: the same sizes from fresh dictionaries, one template at a time
+    alone, saved = len(zstandard.ZstdCompressor(level=3).compress(block.encode())), {}
+    for name, text in TEMPLATES.items():
+        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        saved[name] = alone - len(zstandard.ZstdCompressor(level=3, dict_data=raw).compress(block.encode()))
+    ranked = scanner.ranked(block)
+    assert ranked[0][1] == max(saved, key=saved.get) == "BSD-3-Clause" and [n for n, _ in ranked] == sorted((n for n, _ in ranked), reverse=True)
+    assert {name for name, n in saved.items() if n >= 4 * LEAST_SAVED} <= {name for _, name in ranked}
+    found = {m[0]: m for m in scanner.matches(block)}
+    assert found.keys() == {"BSD-3-Clause"}
+    assert found["BSD-3-Clause"][2] == ["and", "binary", "prior"] and found["BSD-3-Clause"][3] == ["or", "compiled", "signed"]
+
+
+def test_scan_licenses(spark):
+    from corpusloom.llm.license_scan import TEMPLATES, scan_licenses
+
+    statement = "Licensed under the Apache License, Version 2.0."
+    long = "lorem ipsum " * 40_000
+    rows = [(1, statement), (1, statement), (2, None), (3, ""), (None, statement), (4, long + TEMPLATES["MIT"] + " " + long), (5, "SPDX-License-Identifier: Zlib"), (6, "no word of it")]
+    got = scan_licenses(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, tuple(r.licenses)) for r in got) == Counter([(1, ("Apache-2.0",)), (1, ("Apache-2.0",)), (2, ()), (3, ()), (None, ("Apache-2.0",)), (4, ("MIT",)), (5, ("Zlib",)), (6, ())])
+    assert {r.doc_id: r.spdx for r in got}[5] == ["Zlib"] and all(m.saved > 0 for r in got for m in r.matches)
+    assert scan_licenses(frame(spark, [])).count() == 0
+
+
+# ---- toxicity by hand ----
+
+
+def test_slots_by_hand():
+    def by_hand(text):
+        text = " " + " ".join(text.lower().split()) + " "
+        out = set()
+        for n in range(3, 7):
+            for i in range(len(text) - n + 1):
+                h = ord(text[i]) + 1
+                for c in text[i + 1 : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                out.add(((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 44)
+        return sorted(out)
+
+    for text in ("", "a", "You ARE\tso  bad", "日本 語é"):
+        assert toxicity.slots(text).tolist() == by_hand(text)
+    long = "word soup " * 60_000
+    assert toxicity.slots(long).tolist() == by_hand(long[:400])
+
+
+def test_regression_by_hand():
+    rng = np.random.default_rng(1)
+    x = (rng.random((60, 12)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 3] > 0).astype(int)
+    scale = rng.normal(size=12)
+    w, b, dw, db = np.zeros(12), 0.0, np.zeros(12), 0.0
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    for _ in range(toxicity.STEPS):
+        error = (1 / (1 + np.exp(-((x * scale) @ w + b))) - y) * share
+        dw = 0.9 * dw - toxicity.RATE * ((x * scale).T @ error + toxicity.PENALTY * w)
+        db = 0.9 * db - toxicity.RATE * error.sum()
+        w, b = w + dw, b + db
+    got, intercept = toxicity.fit_regression([np.flatnonzero(r) for r in x], y, scale)
+    assert np.allclose(got, w) and np.isclose(intercept, b)
+
+
+# ---- where evolution packs better ----
+
+
+def test_evolution_beats_best_fit():
+    better = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        # bins of three pieces between a quarter and a half
+        sizes = []
+        while len(sizes) < 90:
+            a, b = rng.randrange(250, 500), rng.randrange(250, 500)
+            if 250 <= 1000 - a - b <= 500:
+                sizes += [a, b, 1000 - a - b]
+        plain = best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
+        found = evolve(sizes, 1000, seed, [])[0]
+        assert least_bins(sizes, 1000) <= len(found) <= len(plain)
+        better += len(found) < len(plain)
+    assert better >= 3
