@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 _FRONT = re.compile(r"\A\+\+\+[ \t]*\r?\n(.*?)\r?\n?^\+\+\+[ \t]*(?:\r?\n|\Z)", re.DOTALL | re.MULTILINE)
 _YAML = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n?^---[ \t]*(?:\r?\n|\Z)", re.DOTALL | re.MULTILINE)
-_LINE = re.compile(r"^\s*([A-Za-z_][\w-]*)\s*=\s*(.+?)\s*$")
+_LINE = re.compile(r"^\s*([A-Za-z_][\w-]*)\s*=+\s*(.+?)\s*$")
 
 
 def _store(uri: str):

@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from corpusloom.plans import queries, site_queries
+from corpusloom.plans import file_queries, queries, site_queries
 
-QUERIES, ORACLES = queries.QUERIES | site_queries.QUERIES, queries.ORACLES | site_queries.ORACLES
+QUERIES, ORACLES = queries.QUERIES | site_queries.QUERIES | file_queries.QUERIES, queries.ORACLES | site_queries.ORACLES | file_queries.ORACLES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
