@@ -9,7 +9,7 @@ chained, which gives candidate groups that no link leaves. Groups are compared i
 by band of set size and, where a band is large, salt: a band with itself and with the
 next, as sets further apart in size cannot link. In a tile, hashed bitmap signatures bound the overlap of two sets from
 above by bit counts, and what may reach the similarity is decided by intersecting the
-sorted shingle arrays. Sets already connected in a tile are not compared again.
+sorted shingle arrays.
 
 Shingle hashes have 64 bits; a set is named by a 64-bit hash of its sorted shingles.
 """
@@ -206,45 +206,51 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: Similarity) -> list[tuple[int, int]]:
-    """Pairs of positions that link, enough of them to connect all that do.
+def tile_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: Similarity, every: bool = False) -> list[tuple[int, int]]:
+    """Pairs of positions that link: enough of them to connect all that do, or, with ``every``, all.
 
     side: with it only pairs of different sides count.
     """
     sizes = np.array([len(s) for s in sets])
     marks = signatures(sets)
+
+    def linked(i: int, others: np.ndarray) -> list[int]:
+        """Those of the others that link with i."""
+        n = int(sizes[i])
+        others = others[similarity.sizes_fit(np.minimum(sizes[others], n), np.maximum(sizes[others], n))]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        if not len(others):
+            return []
+        # a bit that only one of two sets has stands for at least one shingle that the other lacks
+        most = np.minimum(n - np.bitwise_count(marks[i] & ~marks[others]).sum(1, dtype=np.int64), sizes[others] - np.bitwise_count(marks[others] & ~marks[i]).sum(1, dtype=np.int64))
+        hit = []
+        for j in others[similarity.overlap_fits(most, n, sizes[others])].tolist():
+            small, large = (sets[i], sets[j]) if n <= sizes[j] else (sets[j], sets[i])
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            if similarity.overlap_fits(int((large[at] == small).sum()), n, int(sizes[j])):
+                hit.append(j)
+        return hit
+
+    if every:
+        return [(i, j) for i in range(len(sets)) for j in linked(i, np.arange(i + 1, len(sets)))]
     left = np.arange(len(sets))
     found: list[tuple[int, int]] = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            n = int(sizes[i])
-            others = left[similarity.sizes_fit(np.minimum(sizes[left], n), np.maximum(sizes[left], n))]
-            if side is not None:
-                others = others[side[others] != side[i]]
-            if not len(others):
-                continue
-            # a bit that only one of two sets has stands for at least one shingle that the other lacks
-            most = np.minimum(n - np.bitwise_count(marks[i] & ~marks[others]).sum(1, dtype=np.int64), sizes[others] - np.bitwise_count(marks[others] & ~marks[i]).sum(1, dtype=np.int64))
-            others = others[similarity.overlap_fits(most, n, sizes[others])]
-            hit = []
-            for j in others.tolist():
-                small, large = (sets[i], sets[j]) if n <= sizes[j] else (sets[j], sets[i])
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                overlap = int((large[at] == small).sum())
-                if similarity.overlap_fits(overlap, n, int(sizes[j])):
-                    hit.append(j)
-                    found.append((i, j))
+            hit = linked(i, left)
             if hit:
+                found += [(i, j) for j in hit]
                 left = left[~np.isin(left, hit)]
                 queue += hit
     return found
 
 
-def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count: int) -> DataFrame:
-    """Verified links (a, b) between nodes of candidate groups.
+def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count: int, every: bool) -> DataFrame:
+    """Verified links (a, b) between nodes of candidate groups: all, or enough to connect what links.
 
     members: id of one row of each node, node, component, band, and band_size, prior and
     next: sets of its band and of the two adjacent ones in the component.
@@ -275,15 +281,20 @@ def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count:
         node, side = np.asarray(table.column("node")), np.asarray(table.column("side"))
         sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
         two_sides = len(np.unique(side)) > 1
-        pairs = tile_links(sets, side if two_sides else None, similarity)
+        pairs = tile_links(sets, side if two_sides else None, similarity, every)
         return pa.table({"a": pa.array([int(node[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(node[j]) for _, j in pairs], pa.int64())})
 
     return dealt.groupBy("component", "low", "i", "step", "j").applyInArrow(compare, "a long, b long")
 
 
-def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """One row per input row: id, n_shingles (size of its set), component_id (smallest id reachable by links).
 
+    With ``count_links`` n_links comes too, the number of other documents that a row links
+    with. Without it sets that a tile has connected already are not compared again, so a
+    group of near copies costs about as many comparisons as it has members; with it every
+    pair of the group is compared.
+
     Words are runs of other than ASCII white space, A-Z lower-cased; a text of fewer words
     than a shingle has one, all its words; a null text or one without words has none and
     links with nothing. A null id links with nothing. Rows that share an id are one
@@ -301,16 +312,26 @@ def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_co
     near = bands.select("component", F.explode(F.array(F.struct("band", F.lit("band_size").alias("kind"), "n"), F.struct((F.col("band") + 1).alias("band"), F.lit("prior").alias("kind"), F.col("n")), F.struct((F.col("band") - 1).alias("band"), F.lit("next").alias("kind"), F.col("n")))).alias("x")).select("component", "x.*")
     near = scratch.table(near.groupBy("component", "band").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("band_size", "prior", "next")]), "near")
     members = members.join(near, ["component", "band"]).select("id", "component", "node", "band", "band_size", "prior", "next")
-    links = scratch.table(_verify(rows, scratch.table(members, "dealt"), similarity, count), "links")
+    links = scratch.table(_verify(rows, scratch.table(members, "dealt"), similarity, count, count_links), "links")
     found = components(links, scratch)
     named = scratch.table(first.join(found, "node").groupBy("component").agg(F.min("id").alias("component_id")), "named")
     of_node = scratch.table(first.join(found, "node", "left").join(named, "component", "left").select("node", F.coalesce("component_id", "id").alias("component_id")), "of-node")
-    linked = sized.where("node IS NOT NULL").join(of_node, "node").select("id", "n_shingles", "component_id")
-    alone = sized.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    done = linked.union(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    linked = sized.where("node IS NOT NULL").join(of_node, "node").select("id", "n_shingles", "component_id", "node")
+    alone = sized.where("node IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"), "node")
+    done = linked.union(alone)
+    columns = ["id", "n_shingles", "component_id"]
+    if count_links:
+        copies = scratch.table(sized.where("node IS NOT NULL").groupBy("node").agg(F.count_distinct("id").alias("copies")), "copies")
+        ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+        others = ends.join(copies, ends["b"] == copies["node"]).groupBy("a").agg(F.sum("copies").alias("others"))
+        numbers = copies.join(others, copies["node"] == others["a"], "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        done = done.join(numbers, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        columns.append("n_links")
+    done = done.select(*columns)
     if docs.schema[id_col].nullable:
-        done = done.union(_unnamed(rows.where("id IS NULL"), similarity))
-    return done
+        unnamed = _unnamed(rows.where("id IS NULL"), similarity)
+        done = done.union(unnamed.withColumn("n_links", F.lit(0).cast("long")) if count_links else unnamed)
+    return done.withColumnRenamed("id", id_col)
 
 
 def _unnamed(rows: DataFrame, similarity: Similarity) -> DataFrame:

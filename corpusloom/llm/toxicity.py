@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per input row: id, held_out, score in [0, 1], predicted (1 where score >= 0.5), and the columns in ``keep``.
 
-    The text alone makes the score; a null text counts as empty. Repeated rows score alike.
+    The text alone makes the score; a null text counts as empty, and an empty one scores by
+    the intercept. Repeated rows score alike; a null id is in the fold that its empty text
+    falls in; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []

@@ -295,6 +295,9 @@ def test_ngram_join(spark, texts, similarity, monkeypatch):
     assert len(got) == len(rows) and len(links) > 20
     assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), roots[r.doc_id]) for r in got if r.doc_id is not None)
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(len(shingles("a b", similarity.words)), None)]
+    degree = Counter(i for pair in links for i in pair)
+    counted = link_documents(frame(spark, rows), similarity, count_links=True).collect()
+    assert len(counted) == len(rows) and {(r.doc_id, r.component_id, r.n_links) for r in counted} == {(i, roots[i], degree[i]) for i in sets} | {(None, None, 0)}
 
 
 def test_ngram_join_of_nothing(spark):
@@ -311,6 +314,7 @@ def test_tile_links_are_exact():
     found = tile_links(sets, None, similarity)
     assert {(max(p), min(p)) for p in found} <= linked
     assert union(range(40), found) == union(range(40), linked)
+    assert {(max(p), min(p)) for p in tile_links(sets, None, similarity, every=True)} == linked
 
 
 # ---- repeated passages ----
