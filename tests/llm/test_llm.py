@@ -89,6 +89,12 @@ def test_packed_columns():
     assert all((x == y).all() for x, y in zip(wordhash.unpack(wordhash.pack(a, a[::-1].copy()), 2), [a, a[::-1]], strict=True))
 
 
+def test_parts_come_one_at_a_time():
+    assert [wordhash.fine_parts(n) for n in (1, 51, 200, 4096, 10**6)] == [32, 32, 20, 1, 1]
+    batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(range(len(p)))], names=["part", "x"]) for p in ([], [1, 1, 3], [3], [3, 7], [], [8])]
+    assert [(part, rows.num_rows) for part, rows in wordhash.by_part(iter(batches))] == [(1, 2), (3, 3), (7, 1), (8, 1)]
+
+
 # ---- toxicity ----
 
 

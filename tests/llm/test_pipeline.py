@@ -1,7 +1,11 @@
 """The stages on a small corpus with clashing and missing values."""
 
+import random
+
 import corpus_pipeline
+from corpusloom.llm import ngram_join, substring_dedup
 from corpusloom.llm.queries import ORACLES, QUERIES
+from tests.llm.test_llm import shingles, union
 
 
 def test_stages(spark, tmp_path):
@@ -33,6 +37,46 @@ def test_stages(spark, tmp_path):
     assert sum(r.piece == 0 for r in seen["best-fit packing"]) == 5
 
 
+def test_stages_in_many_slices(spark, tmp_path, monkeypatch):
+    """Near copies and passages of a corpus whose slices, hash ranges and buckets split, against brute force."""
+    monkeypatch.setattr(substring_dedup, "SLICE", 1 << 11)
+    monkeypatch.setattr(ngram_join, "SLICE", 1 << 11)
+    rng = random.Random(21)
+    words = [f"v{i}" for i in range(900)]
+    passages = [[rng.choice(words) for _ in range(80)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        own = [rng.choice(words) for _ in range(rng.randrange(5, 200))]
+        if i % 3 == 0:
+            own[3:3] = passages[i % 9 // 3]
+        if i % 10 == 9:
+            own = rows[i - 4][1].split()
+            own[len(own) // 2] = "changed"
+        rows.append((i, " ".join(own)))
+    rng.shuffle(rows)
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: shingles(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = union(sets, links)
+    kept = corpus_pipeline.near(spark, data, "")
+    assert {r.doc_id for r in kept.collect()} == {i for i in sets if roots[i] == i} and len(links) >= 5
+    first: dict = {}
+    for i, t in sorted(rows):
+        own = t.split()
+        for k in range(len(own) - 49):
+            first.setdefault(tuple(own[k : k + 50]), i)
+    left = {}
+    for i, t in rows:
+        own = t.split()
+        gone = set()
+        for k in range(len(own) - 49):
+            if first[tuple(own[k : k + 50])] < i:
+                gone |= set(range(k, k + 50))
+        left[i] = " ".join(w for k, w in enumerate(own) if k not in gone) if gone else t
+    assert {r.doc_id: r.text for r in corpus_pipeline.substrings(spark, data, "").collect()} == left
+    assert sum(left[i] != t for i, t in rows) >= 20
+
+
 def test_stages_over_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
