@@ -103,6 +103,7 @@ def frequency_sketch(rows: DataFrame, similarity: Similarity) -> np.ndarray:
     sketch = np.zeros(size, np.uint32)
     for row in rows.mapInArrow(count, "part int, counts binary").repartitionById(_SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         sketch[row.part * each : (row.part + 1) * each] = np.frombuffer(row.counts, np.uint32)
+    give_back()
     return sketch
 
 
@@ -183,6 +184,8 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
             )
 
     made = scratch.table(rows.mapInArrow(prefixes, "id long, n_shingles long, node long, part int, blob binary"), "prefixes")
+    sketch.unpersist()
+    give_back()
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in by_part(batches):

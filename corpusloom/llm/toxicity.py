@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.wordhash import give_back
 from corpusloom.plans.scratch import Scratch
 
 #: Bound of the fitting sample: rows of each label, the first by hash of the id.
@@ -79,22 +80,25 @@ def log_count_ratios(present: np.ndarray, n_present: int, absent: np.ndarray, n_
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and the intercept, by gradient descent with momentum; classes weigh the same.
 
-    rows: kept slots of each row, counted from 0. Rows are taken some at a time, so little
-    more than the features themselves is in memory.
+    rows: kept slots of each row, counted from 0; the list is used up, so that features are
+    in memory once.
     """
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     parts = []
-    for at in range(0, len(rows), 2000):
-        own = rows[at : at + 2000]
-        parts.append((np.concatenate(own).astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in own]), slice(at, at + len(own)), len(own)))
+    for at in range(0, len(rows), 1000):
+        own = rows[at : at + 1000]
+        parts.append((np.concatenate(own).astype(np.uint16 if len(scale) <= 1 << 16 else np.int32), np.array([len(r) for r in own]), slice(at, at + len(own))))
+        rows[at : at + 1000] = [None] * len(own)
     w, b = np.zeros(len(scale)), 0.0
     dw, db = np.zeros(len(scale)), 0.0
     for _ in range(STEPS):
         gw, gb = PENALTY * w, 0.0
-        for index, owner, span, n in parts:
-            z = np.bincount(owner, (scale * w)[index], n) + b
+        for index, lengths, span in parts:
+            sums = np.concatenate([[0.0], np.cumsum((scale * w)[index])])
+            ends = np.cumsum(lengths)
+            z = sums[ends] - sums[ends - lengths] + b
             error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[span]) * share[span]
-            gw += scale * np.bincount(index, error[owner], len(scale))
+            gw += scale * np.bincount(index, np.repeat(error, lengths), len(scale))
             gb += error.sum()
         dw, db = 0.9 * dw - RATE * gw, 0.9 * db - RATE * gb
         w, b = w + dw, b + db
@@ -161,9 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ys, xs = [], []
     for part in rows.mapInArrow(features, "label int, features binary").toLocalIterator():
         ys.append(part.label)
-        xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")).astype(np.int32))
+        xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")).astype(np.uint16 if len(kept) <= 1 << 16 else np.int32))
     scratch.drop(rows)
     w, b = fit_regression(xs, np.array(ys), ratios[kept])
+    shared.unpersist()
+    # the driver lives on after the fit
+    give_back()
     weights = np.zeros(size, np.float32)
     weights[kept] = w * ratios[kept]
     return Model(weights, b)

@@ -682,7 +682,7 @@ def test_regression_by_hand():
         dw = 0.9 * dw - toxicity.RATE * ((x * scale).T @ error + toxicity.PENALTY * w)
         db = 0.9 * db - toxicity.RATE * error.sum()
         w, b = w + dw, b + db
-    got, intercept = toxicity.fit_regression([np.flatnonzero(r) for r in x], y, scale)
+    got, intercept = toxicity.fit_regression([np.flatnonzero(r) for r in x], y, scale)  # rows without features too
     assert np.allclose(got, w) and np.isclose(intercept, b)
 
 
