@@ -33,8 +33,10 @@ from corpusloom.plans.scratch import Scratch, partitions
 RECALL, LEAST_PASSES = 0.98, 6
 #: Hashes in a key, successors that a row is compared with, and rows compared at once.
 KEY_BITS, WINDOW, CHUNK_ROWS = 62, 256, 1024
-#: Members of a group in a tile; smaller groups share a task, so many members together.
-TILE_ROWS, SHARED_ROWS = 4096, 512
+#: Members of a group in a tile at most; a group of fewer is dealt to up to TILES tiles of LEAST_ROWS and more.
+TILE_ROWS, LEAST_ROWS, TILES = 4096, 256, 8
+#: Members of small groups that share a task.
+SHARED_ROWS = 512
 #: Rows and columns of products held at once.
 BLOCK_ROWS, BLOCK_COLUMNS = 512, 8192
 
@@ -251,7 +253,7 @@ def _close_classes(members: DataFrame, threshold: float, kind: str) -> DataFrame
     shared = F.col("size") <= SHARED_ROWS // 2
     small = members.where(shared).count()
     deals = max(1, -(-small // SHARED_ROWS))
-    tiles = F.ceil(F.col("size") / TILE_ROWS).cast("long")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE_ROWS), F.least(F.lit(TILES), F.ceil(F.col("size") / LEAST_ROWS))).cast("long")
     none = F.lit(-1).cast("long")
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
     tiled = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
