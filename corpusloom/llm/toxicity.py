@@ -142,8 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(counts.astype("<i4").tobytes())], pa.binary())], names=["n0", "n1", "counts"])
 
     total, n = np.zeros((2, size), np.int64), [0, 0]
-    # 24 partitions of the bounded sample, at most 8 MB each
-    for part in rows.mapInArrow(count, "n0 long, n1 long, counts binary").toLocalIterator():
+    # written by all tasks side by side, then read one partition of at most 8 MB at a time
+    counted = scratch.table(rows.mapInArrow(count, "n0 long, n1 long, counts binary"), "counts")
+    for part in counted.toLocalIterator():
         total += np.frombuffer(zstandard.ZstdDecompressor().decompress(part.counts), "<i4").reshape(2, size)
         n[0], n[1] = n[0] + part.n0, n[1] + part.n1
     if not all(n):
@@ -163,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["label", "features"])
 
     ys, xs = [], []
-    for part in rows.mapInArrow(features, "label int, features binary").toLocalIterator():
+    featured = scratch.table(rows.mapInArrow(features, "label int, features binary"), "features")
+    for part in featured.toLocalIterator():
         ys.append(part.label)
         xs.append(np.searchsorted(kept, np.frombuffer(part.features, "<u4")).astype(np.uint16 if len(kept) <= 1 << 16 else np.int32))
-    scratch.drop(rows)
+    scratch.drop(rows, counted, featured)
     w, b = fit_regression(xs, np.array(ys), ratios[kept])
     shared.unpersist()
     # the driver lives on after the fit
