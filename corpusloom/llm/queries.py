@@ -80,6 +80,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.merkle import leaf_digest, manifest, siblings, verified
+
+    docs = _read(spark, sf_dir, "documents")
+    changed = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.try_add("n_chars", F.lit(1)), F.col("text"))
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    rows = manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], keep={"changed": F.when(hit, changed)})
+    out = verified(rows, F.coalesce("changed", "leaf")).withColumn("proof_sha256", F.sha2(siblings(F.col("proof")).cast("binary"), 256))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -91,9 +104,52 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_merkle": op11_merkle,
 }
 
+def _field(name: str) -> str:
+    text = f"CAST({name} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(c) if c != "n_chars" else "{n}" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
 ORACLES = {
+    "op11_merkle": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, n_chars, {_LEAF.format(n=_field("n_chars"))} AS leaf, {_LEAF.format(n=_field("(n_chars + 1)"))} AS changed,
+                   list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 1, 2, 3, 4, 5, 6, 7]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)) AS crc
+            FROM documents
+        ), c AS (
+            SELECT doc_id, lang, leaf, CASE WHEN n_chars IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 THEN changed ELSE leaf END AS claimed,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d
+        ), t(lvl, lang, i, h, n) AS (
+            SELECT 0, lang, i, leaf, n FROM c
+            UNION ALL SELECT lvl + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lvl, lang, i // 2, n
+        ), s AS (
+            SELECT lvl AS height, lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM t WHERE n = 1
+        ), u(lvl, i, h, n) AS (
+            SELECT 0, j, subroot, m FROM s
+            UNION ALL SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2, n
+        ), r AS (
+            SELECT h AS root, lvl AS top FROM u WHERE n = 1
+        ), e AS (
+            SELECT c.lang, c.i, c.i AS k, unnest(range(height)) AS l, 0 AS part FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL SELECT c.lang, c.i, s.j, unnest(range(top)), 1 FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r
+        ), f AS (
+            SELECT e.lang, e.i, e.part, e.l, coalesce(CASE WHEN (e.k >> e.l) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(t.h, u.h), '-') AS s
+            FROM e LEFT JOIN t ON e.part = 0 AND t.lang IS NOT DISTINCT FROM e.lang AND t.lvl = e.l AND t.i = xor(e.k >> e.l, 1)
+            LEFT JOIN u ON e.part = 1 AND u.lvl = e.l AND u.i = xor(e.k >> e.l, 1)
+        ), p AS (
+            SELECT lang, i, list(s ORDER BY part, l) AS s, string_agg(CASE WHEN s = '-' THEN '' ELSE substr(s, 2) END, '' ORDER BY part, l) AS joined FROM f GROUP BY lang, i
+        ), o AS (
+            SELECT c.doc_id, c.leaf, s.subroot, r.root, sha256(coalesce(p.joined, '')) AS proof_sha256,
+                   list_reduce(list_prepend(c.claimed, coalesce(p.s, CAST([] AS VARCHAR[]))), lambda h, x: CASE x[1] WHEN 'L' THEN sha256(substr(x, 2) || h) WHEN 'R' THEN sha256(h || substr(x, 2)) ELSE sha256(h) END) AS folded_root
+            FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang CROSS JOIN r LEFT JOIN p ON p.lang IS NOT DISTINCT FROM c.lang AND p.i = c.i
+        )
+        SELECT *, folded_root = root AS verified FROM o
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
