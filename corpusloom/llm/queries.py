@@ -93,6 +93,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.divergence import divergence
+
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -105,6 +111,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
 }
 
 def _field(name: str) -> str:
@@ -150,6 +157,33 @@ ORACLES = {
         )
         SELECT *, folded_root = root AS verified FROM o
     """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), t AS (SELECT id, lang, source, unnest(w) AS term FROM d
+        ), k AS (SELECT lang, term, count(*) AS n_lang FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30
+        ), g AS (SELECT DISTINCT lang, source FROM d
+        ), c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+        ), l AS (SELECT lang, count(*) AS v, sum(n_lang) AS nl FROM k GROUP BY lang
+        ), s AS (SELECT lang, source, sum(n) AS ns FROM c GROUP BY ALL
+        ), x AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                   CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.ns, 0) + 5 * l.v) AS BIGINT) AS p,
+                   CAST(1 + (1000000000::HUGEINT * (k.n_lang + 5)) // (l.nl + 5 * l.v) AS BIGINT) AS q
+            FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), o AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM x WHERE n > 0 AND p > q
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM o)
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
