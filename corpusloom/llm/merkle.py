@@ -221,7 +221,9 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     g = F.when(group.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), group)).alias("g")
     leaves = docs.select(g, held, leaf_digest(*[F.col(f"`{c}`") for c in fields]).alias("digest")).withColumn("id", F.col("kept.id"))
     kept = leaves.schema["kept"].dataType.simpleString()
-    nodes = scratch.table(numbered(leaves, ["id", "digest"], scratch).select("g", "index", "digest", "kept"), "leaves")
+    # the range sort samples its input, so texts are read and hashed before
+    hashed = scratch.table(leaves, "hashed")
+    nodes = scratch.table(numbered(hashed, ["id", "digest"], scratch).select("g", "index", "digest", "kept"), "leaves")
     levels, subroots = _tower(nodes, scratch)
     # the groups' roots are the leaves of one more tree
     tops = scratch.table(numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), ["name"], scratch), "tops")

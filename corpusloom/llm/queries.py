@@ -99,6 +99,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(_read(spark, sf_dir, "documents"))
 
 
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.retrieval_packing import pack_by_retrieval
+
+    return pack_by_retrieval(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -112,6 +118,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_merkle": op11_merkle,
     "op12_divergence": op12_divergence,
+    "op13_retrieval_packing": op13_retrieval_packing,
 }
 
 def _field(name: str) -> str:

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from corpusloom.llm.wordhash import _BYTES as BYTES
+from corpusloom.llm.wordhash import mix, sliding
+
 #: Bytes looked at together; a run that is longer is taken whole.
 BLOCK = 1 << 20
 
@@ -73,3 +76,11 @@ def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.n
 def spans_of(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each span, one span after the other."""
     return _places(starts, counts)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run: a polynomial in its bytes, mixed, all runs at once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at, to = int(starts[0]), int(ends[-1])
+    return mix(sliding(data[at:to].astype(np.uint64) + np.uint64(1), starts - at, ends - at, BYTES))
