@@ -47,9 +47,9 @@ def _parent(a: str | None, b: str | None) -> str | None:
     return None if a is None else hashlib.sha256((a + (b or "")).encode()).hexdigest()
 
 
-def _height(n: int, whole: bool) -> int:
+def _height(n: int, block: int, most: int) -> int:
     """Height of a block's tree of n leaves; only the one block of a group is lower than a whole one."""
-    return HEIGHT if whole else (n - 1).bit_length()
+    return most if block > 0 else (n - 1).bit_length()
 
 
 def block_root(leaves: list[str], height: int) -> str:
@@ -151,28 +151,28 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "g", "block").sortWithinPartitions("g", "block", "index")
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, height: int) -> DataFrame:
     """(g, index, digest): the root of every block; its index is the block's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, lambda b: np.asarray(b.column("index")) % (1 << HEIGHT) == 0):
+        for block in _blocks(batches, lambda b: np.asarray(b.column("index")) % (1 << height) == 0):
             leaves = block.column("digest").to_pylist()
             at = block.column("block")[0].as_py()
-            root = block_root(leaves, _height(len(leaves), at > 0))
+            root = block_root(leaves, _height(len(leaves), at, height))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((block.column("g")[0].as_py(), pa.string()), (at, pa.int64()), (root, pa.string()))], names=["g", "index", "digest"])
 
-    return _dealt(nodes.select("g", F.shiftright("index", HEIGHT).alias("block"), "index", "digest")).mapInArrow(run, "g string, index long, digest string")
+    return _dealt(nodes.select("g", F.shiftright("index", height).alias("block"), "index", "digest")).mapInArrow(run, "g string, index long, digest string")
 
 
-def _tower(nodes: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+def _tower(nodes: DataFrame, height: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """All levels of blocks' roots over the nodes, and (g, digest) of each group's root. The driver learns the largest index of a level."""
     levels = [nodes]
-    while (levels[-1].agg(F.max("index")).first()[0] or 0) >> HEIGHT:
-        levels.append(scratch.table(_roots(levels[-1]), "level"))
-    return levels, scratch.table(_roots(levels[-1]).select("g", "digest"), "roots")
+    while (levels[-1].agg(F.max("index")).first()[0] or 0) >> height:
+        levels.append(scratch.table(_roots(levels[-1], height), "level"))
+    return levels, scratch.table(_roots(levels[-1], height).select("g", "digest"), "roots")
 
 
-def _proofs(nodes: DataFrame, above: DataFrame, kept: str) -> DataFrame:
+def _proofs(nodes: DataFrame, above: DataFrame, kept: str, height: int) -> DataFrame:
     """Downwards: (g, index, digest, proof, roots, kept) of nodes from above (g, index, proof, roots), one row a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,27 +180,27 @@ def _proofs(nodes: DataFrame, above: DataFrame, kept: str) -> DataFrame:
             shared, roots = block.column("proof")[0].as_py(), block.column("roots")[0].as_py()
             own = block.slice(1).combine_chunks()
             leaves = own.column("digest").to_pylist()
-            height = _height(len(leaves), block.column("block")[0].as_py() > 0)
-            proofs = [p + shared for p in traverse(leaves, height)]
+            own_height = _height(len(leaves), block.column("block")[0].as_py(), height)
+            proofs = [p + shared for p in traverse(leaves, own_height)]
             lists = [pa.array(proofs, pa.list_(pa.string())), pa.array([roots] * len(leaves), pa.list_(pa.string()))]
             made = pa.Table.from_arrays([own.column("g"), own.column("index"), own.column("digest"), *lists, own.column("kept")], names=["g", "index", "digest", "proof", "roots", "kept"])
             yield from made.to_batches()
 
     none = F.lit(None)
     lists = "array<string>"
-    leaves = nodes.select("g", F.shiftright("index", HEIGHT).alias("block"), "index", "digest", none.cast(lists).alias("proof"), none.cast(lists).alias("roots"), "kept")
+    leaves = nodes.select("g", F.shiftright("index", height).alias("block"), "index", "digest", none.cast(lists).alias("proof"), none.cast(lists).alias("roots"), "kept")
     heads = above.select("g", F.col("index").alias("block"), F.lit(-1).cast("long").alias("index"), none.cast("string").alias("digest"), "proof", "roots", none.cast(kept).alias("kept"))
     return _dealt(leaves.union(heads)).mapInArrow(run, f"g string, index long, digest string, proof {lists}, roots {lists}, kept {kept}")
 
 
-def _descend(levels: list[DataFrame], above: DataFrame, kept: str, scratch: Scratch) -> DataFrame:
+def _descend(levels: list[DataFrame], above: DataFrame, kept: str, height: int, scratch: Scratch) -> DataFrame:
     """Proofs of the lowest level's nodes."""
     for level in reversed(levels[1:]):
-        above = scratch.table(_proofs(level.withColumn("kept", F.lit(None).cast("struct<x:int>")), above, "struct<x:int>").select("g", "index", "proof", "roots"), "proofs")
-    return _proofs(levels[0], above, kept)
+        above = scratch.table(_proofs(level.withColumn("kept", F.lit(None).cast("struct<x:int>")), above, "struct<x:int>", height).select("g", "index", "proof", "roots"), "proofs")
+    return _proofs(levels[0], above, kept, height)
 
 
-def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_col: str = "lang", keep: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_col: str = "lang", keep: dict[str, Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """One row per input row: id, leaf, subroot, root, proof, and ``keep``'s columns of the row.
 
     A row's leaf is the digest of its fields. Leaves of equal group ascend by id, null first,
@@ -209,7 +209,8 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     ones, or a last single one, become the digest of their texts; the groups' roots, null
     first and then by bytes, likewise. proof lists a leaf's siblings upwards, each after its
     side (L or R), ``-`` where a node was alone; ``fold`` gives the root back. Null and empty
-    texts have different digests. Columns that are no field are ignored, whatever their
+    texts have different digests. A block has two to the power of ``height`` leaves, which
+    changes no result. Columns that are no field are ignored, whatever their
     names; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -224,14 +225,14 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", group_c
     # the range sort samples its input, so texts are read and hashed before
     hashed = scratch.table(leaves, "hashed")
     nodes = scratch.table(numbered(hashed, ["id", "digest"], scratch).select("g", "index", "digest", "kept"), "leaves")
-    levels, subroots = _tower(nodes, scratch)
+    levels, subroots = _tower(nodes, height, scratch)
     # the groups' roots are the leaves of one more tree
     tops = scratch.table(numbered(subroots.select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"), ["name"], scratch), "tops")
-    high, root = _tower(tops.select("g", "index", "digest", F.struct("name").alias("kept")), scratch)
+    high, root = _tower(tops.select("g", "index", "digest", F.struct("name").alias("kept")), height, scratch)
     none = F.array().cast("array<string>")
-    above = _descend(high, root.select("g", F.lit(0).cast("long").alias("index"), none.alias("proof"), F.array("digest").alias("roots")), "struct<name:string>", scratch)
+    above = _descend(high, root.select("g", F.lit(0).cast("long").alias("index"), none.alias("proof"), F.array("digest").alias("roots")), "struct<name:string>", height, scratch)
     heads = scratch.table(above.select(F.col("kept.name").alias("g"), F.lit(0).cast("long").alias("index"), "proof", F.array("digest", F.col("roots")[0]).alias("roots")), "heads")
-    rows = _descend(levels, heads, kept, scratch)
+    rows = _descend(levels, heads, kept, height, scratch)
     return rows.select(
         F.col("kept.id").alias(id_col),
         F.col("digest").alias("leaf"),
