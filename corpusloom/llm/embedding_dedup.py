@@ -287,7 +287,7 @@ def _close_classes(members: DataFrame, threshold: float, kind: str) -> DataFrame
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
-    Vectors are compared when their labels are equal and not null and their lengths are
+    Vectors are compared when their labels, of any type that can be joined, are equal and not null and their lengths are
     equal, in the column's own precision. Rows with a null id, a null or empty or zero
     vector, or one with null or non-finite components link with nothing: n_links 0 and
     their own id as component. Repeated rows link with each other. A cosine equal to the
@@ -303,7 +303,12 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         & F.exists(vec, lambda x: x != 0),
         F.lit(False),
     )
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), vec.alias("v"), usable.alias("usable"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), vec.alias("v"), usable.alias("usable"))
+    if isinstance(vectors.schema[label_col].dataType, T.IntegralType):
+        rows = rows.withColumn("label", F.col("label").cast("long"))
+    else:  # labels that are no whole numbers are numbered
+        numbers = scratch.table(rows.where("usable").select(F.col("label").alias("named")).distinct().withColumn("label", F.monotonically_increasing_id()), "labels")
+        rows = rows.withColumnRenamed("label", "named").join(numbers, "named", "left").select("id", "label", "v", "usable")
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(2), "v")})
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

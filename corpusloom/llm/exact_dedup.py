@@ -24,17 +24,30 @@ def digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """A digest index at a place of the shared storage; any session can open it again."""
+    """A digest index at a place of the shared storage; any session can open it again.
+
+    The number of buckets is kept with the files: an index that exists is opened with its
+    own, whatever the session's shuffle setting, and another one that is asked for is
+    refused. Appends must not overlap; a batch's name can be used once.
+    """
 
     SCHEMA = "digest STRING, keep_id BIGINT, batch STRING, group_size BIGINT"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or partitions(spark)
+        layout = f"{path}/_layout"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(layout)
+        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            self.buckets = spark.read.schema("buckets int").parquet(layout).first().buckets
+            if buckets and buckets != self.buckets:
+                raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
+        else:
+            self.buckets = buckets or partitions(spark)
+            spark.range(1).select(F.lit(self.buckets).cast("int").alias("buckets")).write.parquet(layout)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
-            f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"INTO {self.buckets} BUCKETS LOCATION '{path}/rows'"
         )
 
     def rows(self) -> DataFrame:
@@ -42,6 +55,8 @@ class DigestIndex:
 
     def append(self, groups: DataFrame, batch: str) -> None:
         """Adds the groups (digest, keep_id, group_size) whose digest the index lacks."""
+        if not self.rows().where(F.col("batch") == batch).isEmpty():
+            raise ValueError(f"the index at {self.path} has a batch named {batch!r} already")
         fresh = groups.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         fresh = fresh.select("digest", "keep_id", F.lit(batch).alias("batch"), "group_size")
         fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
@@ -85,11 +100,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out
 
 
+def _hashable(docs: DataFrame, name: str) -> F.Column:
+    """A column that can be hashed: one with maps by its text."""
+    held = F.col(f"row.`{name}`")
+    return held.cast("string") if "map<" in docs.schema[name].dataType.simpleString() else held
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without later copies of a text (see exact_dedup).
 
     Of rows that share id and text but not the other columns, the one with the least hash
-    of all columns stays. Columns of any name pass unchanged.
+    of all columns stays, maps taken by their text. Columns of any name and type pass
+    unchanged.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest"))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -97,6 +119,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = held.select(id_of.alias("id"), digest(text_of).alias("digest"), "row")
     both = marked.join(kept, marked["id"].eqNullSafe(kept["id"]) & (marked["digest"] == kept["digest"]), "left_semi")
     # only whole rows that share id and text are compared; the join has dealt them together
-    order = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
+    order = Window.partitionBy("id", "digest").orderBy(F.xxhash64(*[_hashable(docs, c) for c in docs.columns]))
     first = both.withColumn("n", F.row_number().over(order)).where("n = 1")
     return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -111,7 +111,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, label) of at most SAMPLE_ROWS rows of each label outside of the held-out fold."""
+    """(text, label) of at most SAMPLE_ROWS rows of each label outside of the held-out fold, one an id: of repeated ids the least text."""
     known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("__id IS NOT NULL AND label IN (0, 1)")
     known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("label").alias("label"))
     picked = None
@@ -119,14 +119,16 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("__id"), "__id").limit(bound)
         picked = some if picked is None else picked.union(some)
     # at most sum(SAMPLE_ROWS) ids and labels
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id").select("text", "label")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
+    return texts.groupBy("__id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows; without rows of both labels it scores 0 everywhere.
 
     Labels that are null or neither 0 nor 1 are no labels; of repeated labels of an id the
-    larger counts; a null text counts as empty.
+    larger counts, and of repeated documents of an id the least text; a null text counts as
+    empty.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     rows = scratch.table(sample(docs, labels, id_col, text_col, label_col).repartition(24), "sample")

@@ -189,14 +189,20 @@ def records_of(window: _Window, start: int, end: int) -> Iterator[bytes]:
             at = got[1]
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of a record."""
+def whole_number(text: str | None) -> int | None:
+    """The number that a header field states; None where that is no number of 64 bits."""
+    return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text or "") else None
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Header fields (names in lower case) and block of a record; None where the stated length is no length."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         fields[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    return fields, rest[: int(fields.get("content-length", "0"))]
+    length = whole_number(fields.get("content-length", "0"))
+    return None if length is None or length < 0 else (fields, rest[:length])
 
 
 def payload_of(fields: dict[str, str], block: bytes) -> bytes:
@@ -226,7 +232,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     writers. payload_bytes and payload_digest are of the full payload, without HTTP's header:
     measured from a record that has it, as stated in the header of a revisit (null if it
     states none; a digest that is not SHA-256 in hex is given as it stands). With
-    ``payloads`` the payload comes too. Bytes that are no WARC member are passed over. An
+    ``payloads`` the payload comes too. Bytes that are no WARC member, and records whose
+    length is not stated as a number, are passed over. An
     empty manifest gives no rows.
     """
     ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
@@ -238,9 +245,6 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
         schema += ", payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def number(text: str | None) -> int | None:
-            return int(text) if (text or "").lstrip("-").isdigit() else None
-
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) or [()] * len(types)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types.values(), strict=True)], names=list(types))
@@ -252,16 +256,19 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                 held = 0
                 with store.open_input_file(inside) as file:
                     for data in records_of(_Window(file, size), start, min(start + split_bytes, size)):
-                        fields, block = parse(data)
+                        parsed = parse(data)
+                        if parsed is None:
+                            continue
+                        fields, block = parsed
                         kind = fields.get("warc-type", "")
                         if kind not in kinds:
                             continue
                         payload = payload_of(fields, block)
                         if kind == "revisit":
-                            length, digest = number(fields.get("x-payload-length")), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                            length, digest = whole_number(fields.get("x-payload-length")), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
                         else:
                             length, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                        row = (number(fields.get("x-page-id")), fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, number(fields.get("x-refers-to-page-id")), length, digest)
+                        row = (whole_number(fields.get("x-page-id")), fields.get("warc-record-id"), fields.get("warc-target-uri"), kind, whole_number(fields.get("x-refers-to-page-id")), length, digest)
                         rows.append((*row, payload) if payloads else row)
                         held += len(payload) * payloads
                         if len(rows) >= 4096 or held >= 16 << 20:
