@@ -3,8 +3,9 @@
 No pre-token of such a file spans white space, so a text falls apart at ASCII white space,
 and before a mark that ends a word of letters, into units with ids of their own. Units
 of a whole slice are grouped by their bytes; only those that a bounded memo lacks go to the
-tokenizer, words of letters many to a text: each ends with an id that carries the word end.
-Any other file's texts go to the tokenizer as they are.
+tokenizer. A word of letters is one pre-token; where the file's merges are in the order of
+their ids, its ids come from a rank encoder over the same vocabulary, which gives the same
+ids at a fraction of the time. Any other file's texts go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b",.;:!?")] = True
-_WORD = re.compile(rb"[a-zA-Z]+")
+_WORD = re.compile(rb"[a-z]+")
 
 
 def _falls_apart(spec: dict) -> bool:
@@ -50,41 +52,58 @@ def _falls_apart(spec: dict) -> bool:
     )
 
 
+def _rank_encoder(spec: dict):
+    """An encoder of ASCII words by ranks, a zero byte standing for the word's end; None if merges aren't ordered like their ids."""
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    vocab = spec["model"]["vocab"]
+    joined = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+    if None in joined or any(a >= b for a, b in zip(joined, joined[1:], strict=False)):
+        return None
+    # the letters that stand for bytes: printable ones for themselves, the others in order from 256 on
+    alphabet = set(ByteLevel.alphabet())
+    of_byte = {chr(b): b for b in range(256) if chr(b) in alphabet}
+    of_byte |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in alphabet)}
+    ranks = {}
+    for token, i in vocab.items():
+        stem = token.removesuffix(WORD_END)
+        ranks[bytes(of_byte[c] for c in stem) + b"\0" * (stem != token)] = i
+    if len(ranks) != len(vocab):
+        return None
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+
 class WordBpe:
-    """Encodes with a tokenizers file. The memo never holds more than ``memo`` units."""
+    """Encodes with a tokenizers file. Two generations of at most ``memo`` units are held."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size, self.memo = memo, {}
+        self.size = memo
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.apart = _falls_apart(spec)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.vocabulary = max(vocab.values()) + 1
-        self.ends = np.zeros(self.vocabulary, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.ranked = _rank_encoder(spec) if self.apart else None
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[bytes]) -> None:
-        words = [u for u in units if _WORD.fullmatch(u)]
-        others = [u for u in units if not _WORD.fullmatch(u)]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.concatenate(self._ids([b" ".join(part[k : k + 200]).decode() for k in range(0, len(part), 200)]))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                raise ValueError("a word of letters is not one pre-token of this tokenizer")
-            starts = np.concatenate([[0], stops[:-1]])
-            raw = ids.tobytes()
-            self.memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True))
-        for at in range(0, len(others), 10_000):
-            part = others[at : at + 10_000]
-            self.memo.update((u, i.tobytes()) for u, i in zip(part, self._ids([u.decode() for u in part]), strict=True))
+        memo, older = self.memo, self.older
+        memo.update((u, older[u]) for u in units if u in older)
+        units = [u for u in units if u not in memo]
+        if self.ranked is not None:
+            encode = self.ranked.encode_ordinary
+            memo.update((u, array("I", encode(u.decode() + "\0")).tobytes()) for u in units if _WORD.fullmatch(u))
+            units = [u for u in units if u not in memo]
+        for at in range(0, len(units), 10_000):
+            part = units[at : at + 10_000]
+            memo.update((u, i.tobytes()) for u, i in zip(part, self._ids([u.decode() for u in part]), strict=True))
 
     def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, hashes) of all units."""
@@ -116,12 +135,12 @@ class WordBpe:
         first, group = grouped(data, starts, ends, hashes)
         raw = data.tobytes()
         units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        memo = self.memo
-        new = [u for u in units if u not in memo]
-        if len(memo) + len(new) > self.size:
-            memo.clear()
+        new = [u for u in units if u not in self.memo]
+        if len(self.memo) + len(new) > self.size:
+            self.older, self.memo = self.memo, {}
             new = units
         self._learn(new)
+        memo = self.memo
         found = [memo[u] for u in units]
         for u in new:
             if len(u) > 64:
