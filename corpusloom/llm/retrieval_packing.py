@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 #: MinHashes in a row that order the documents.
 HASHES = 4
+#: Rows a task from which the borders of their ranges come.
+SAMPLED = 20
 
 _PLACED = "key long, row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, blob binary"
 
@@ -102,18 +105,35 @@ def _order_key(terms: np.ndarray, table: np.ndarray) -> int:
     return key
 
 
-def ordered(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The rows with key: concatenated MinHashes of their terms."""
-    kind = "key long, row long, doc_id long, start long, doc_tokens long, blob binary"
+def ordered(tokens: DataFrame, idf: np.ndarray, parts: int) -> DataFrame:
+    """The rows with key, concatenated MinHashes of their terms, dealt by ranges of it into ``parts`` tasks and sorted there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _order_table(idf)
-        for batch in batches:
-            keys = [_order_key(np.unique(_unpack(b.as_py())), table) for b in batch.column("blob")]
-            start = pa.array(np.zeros(batch.num_rows, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("row"), batch.column("doc_id"), start, batch.column("doc_tokens"), batch.column("blob")], names=["key", "row", "doc_id", "start", "doc_tokens", "blob"])
-
-    return tokens.select("row", "doc_id", "doc_tokens", "blob").mapInArrow(run, kind)
+    The ranges' borders come from about SAMPLED rows a task; rows of equal keys go by their
+    number, so copies are dealt like others. A range sort would make every key twice.
+    """
+    kind = "part int, key long, row long, doc_id long, start long, doc_tokens long, blob binary"
+
+    def keyed(borders: list[tuple[int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = _order_table(idf)
+            for batch in batches:
+                keys = [_order_key(np.unique(_unpack(b.as_py())), table) for b in batch.column("blob")]
+                part = [bisect_right(borders, at) for at in zip(keys, batch.column("row").to_pylist(), strict=True)]
+                start = pa.array(np.zeros(batch.num_rows, np.int64))
+                columns = [pa.array(part, pa.int32()), pa.array(keys, pa.int64()), batch.column("row"), batch.column("doc_id"), start, batch.column("doc_tokens"), batch.column("blob")]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "row", "doc_id", "start", "doc_tokens", "blob"])
+
+        return run
+
+    rows = tokens.select("row", "doc_id", "doc_tokens", "blob")
+    borders: list[tuple[int, int]] = []
+    if parts > 1:
+        every = max(1, tokens.count() // (SAMPLED * parts))
+        some = rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).mapInArrow(keyed([]), kind).select("key", "row")
+        held = sorted(map(tuple, some.collect()))  # as many as a range sort takes
+        borders = [held[len(held) * k // parts] for k in range(1, parts)] if held else []
+    dealt = rows.mapInArrow(keyed(borders), kind)
+    return (dealt.repartitionById(parts, "part") if parts > 1 else dealt.coalesce(1)).sortWithinPartitions("key", "row", "start")
 
 
 class Index:
@@ -296,12 +316,11 @@ def pack_by_retrieval(docs: DataFrame, tokenizer_path: str, capacity: int = 4096
     frequencies = np.zeros(int(found["term"].max()) + 1 if len(found) else 1, np.int64)
     frequencies[found["term"].to_numpy(np.int64)] = found["docs"].to_numpy(np.int64)
     idf, mean = weights(frequencies, n), (total or 0) / max(n, 1)
-    rows = ordered(tokens, idf)
     parts = max(1, min(partitions(spark), math.ceil((total or 0) / SHARD_TOKENS)))
+    dealt = ordered(tokens, idf, parts)
     done: DataFrame | None = None
     level = 0
     while True:
-        dealt = (rows.repartitionByRange(parts, "key", "row", "start") if parts > 1 else rows.coalesce(1)).sortWithinPartitions("key", "row", "start")
         placed = scratch.table(_packed(dealt, idf, mean, capacity, level, parts == 1), "placed")
         full = placed.where("sequence_id IS NOT NULL")
         done = full if done is None else done.unionByName(full)
@@ -310,4 +329,5 @@ def pack_by_retrieval(docs: DataFrame, tokenizer_path: str, capacity: int = 4096
         # a task leaves less than a window
         rows = placed.where("sequence_id IS NULL").select("key", "row", "doc_id", "start", "doc_tokens", "blob")
         parts, level = math.ceil(parts * capacity / (4 * SHARD_TOKENS)), level + 1
+        dealt = (rows.repartitionByRange(parts, "key", "row", "start") if parts > 1 else rows.coalesce(1)).sortWithinPartitions("key", "row", "start")
     return done.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
