@@ -1,7 +1,7 @@
 """Ids of a BPE tokenizer with word ends that lower-cases and drops white space, for many texts at once.
 
 No pre-token of such a file spans white space, so a text falls apart at ASCII white space,
-and before a mark that ends a word of letters, into units with ids of their own. Units
+and between a word of letters and the marks after it, into units with ids of their own. Units
 of a whole slice are grouped by their bytes; only those that a bounded memo lacks go to the
 tokenizer. A word of letters is one pre-token; where the file's merges are in the order of
 their ids, its ids come from a rank encoder over the same vocabulary, which gives the same
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -29,9 +29,10 @@ _UNIT = np.ones(256, bool)
 _UNIT[[0x20, *range(0x09, 0x0E)]] = False
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_MARK = np.zeros(256, bool)
-_MARK[list(b",.;:!?")] = True
-_WORD = re.compile(rb"[a-z]+")
+#: Bytes that are no ASCII mark.
+_CORE = np.zeros(256, bool)
+_CORE[[*range(0x30, 0x3A), *range(0x80, 0x100)]] = True
+_CORE |= _LETTER
 
 
 def _falls_apart(spec: dict) -> bool:
@@ -74,6 +75,14 @@ def _rank_encoder(spec: dict):
     return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+def _latin(unit: str) -> str | None:
+    """A word of Latin letters as the tokenizer's normalizer leaves it; None for any other unit."""
+    low = unit.lower()
+    if low.isalpha() and max(low) < "\u0250" and "\u0130" not in unit and unicodedata.is_normalized("NFC", unit):
+        return low
+    return None
+
+
 class WordBpe:
     """Encodes with a tokenizers file. Two generations of at most ``memo`` units are held."""
 
@@ -99,24 +108,38 @@ class WordBpe:
         units = [u for u in units if u not in memo]
         if self.ranked is not None:
             encode = self.ranked.encode_ordinary
-            memo.update((u, array("I", encode(u.decode() + "\0")).tobytes()) for u in units if _WORD.fullmatch(u))
-            units = [u for u in units if u not in memo]
+            held = []
+            for u in units:
+                word = u.decode()
+                if not (u.isalpha() and u.islower()):  # of bytes: ASCII letters only
+                    word = _latin(word)
+                if word is None:
+                    held.append(u)
+                else:
+                    memo[u] = array("I", encode(word + "\0")).tobytes()
+            units = held
         for at in range(0, len(units), 10_000):
             part = units[at : at + 10_000]
             memo.update((u, i.tobytes()) for u, i in zip(part, self._ids([u.decode() for u in part]), strict=True))
 
-    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts, ends, hashes) of all units."""
+    def _units(self, data: np.ndarray, offsets: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, hashes) of all units; marks are split from a word's end if wished."""
         out: list[tuple] = []
         for a, b in runs(data, offsets, _UNIT):
             if not len(a):
                 continue
-            marked = (b - a > 1) & _MARK[data[b - 1]] & _LETTER[data[np.maximum(b - 2, 0)]]
+            at, to = int(a[0]), int(b[-1])
+            last = np.maximum.accumulate(np.where(_CORE[data[at:to]], np.arange(at, to), -1))
+            cut = last[b - 1 - at] + 1
+            end, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
+            # after an ASCII letter, or one of U+00C0 to U+00FF
+            letter = _LETTER[end] | ((cut - a > 1) & (before == 0xC3) & (end != 0x97) & (end != 0xB7))
+            marked = split & (cut > a) & (cut < b) & letter
             of = np.repeat(np.arange(len(a)), 1 + marked)
             second = np.zeros(len(of), bool)
             second[1:] = of[1:] == of[:-1]
-            starts = np.where(second, b[of] - 1, a[of])
-            ends = np.where(marked[of] & ~second, b[of] - 1, b[of])
+            starts = np.where(second, cut[of], a[of])
+            ends = np.where(marked[of] & ~second, cut[of], b[of])
             out.append((starts, ends, hashed(data, starts, ends)))
         if not out:
             none = np.zeros(0, np.int64)
@@ -129,9 +152,10 @@ class WordBpe:
             ids = self._ids([t or "" for t in column.to_pylist()])
             return np.concatenate([*ids, np.zeros(0, "<u4")]), np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
         data, offsets = text_bytes(column)
-        if b"<|" not in data.tobytes():  # else a capital could turn into part of a special token
+        plain = b"<|" not in data.tobytes()  # else a capital could turn into part of a special token, or one be split
+        if plain:
             data = lower_ascii(data)
-        starts, ends, hashes = self._units(data, offsets)
+        starts, ends, hashes = self._units(data, offsets, plain)
         first, group = grouped(data, starts, ends, hashes)
         raw = data.tobytes()
         units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
