@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,162 +10,78 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 from corpusloom.operators.audit import robust_rescale
-
-#: Rows whose distances to all others are held at once.
-TILE_ROWS = 256
-
-
-def hdbscan(points: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
-    """Labels of hierarchical density clusters (excess of mass); -1 is noise.
-
-    Mutual reachability by Euclidean distance, a minimum spanning tree, the condensed tree of
-    components of at least ``least`` points, and the most stable antichain of it. A single
-    root cluster is none. Distances are made a tile or a row at a time, so memory grows with
-    the points and time with their square.
+from corpusloom.operators.density import Sizes, density_labels
+from corpusloom.operators.order import numbered
+from corpusloom.operators.tree import with_ancestors
+from corpusloom.plans.scratch import Scratch
+
+def density_clusters(rows: DataFrame, group: str, scratch: Scratch, least: int = 5, samples: int = 3, most: int = 5, sizes: Sizes | None = None) -> DataFrame:
+    """(group, id, cluster, leaf): density cluster of each row of its group, and the small one that it ends in.
+
+    rows: id, group, vec. A group of fewer than ``least`` rows is one cluster; noise is -1.
+    Clusters of more than ``most`` rows are clustered again, all of a level in one job; one
+    that falls into fewer than two is cut into runs of ``most`` ids. leaf names the way
+    down: numbers from the cluster on, the noise of a step after its clusters.
     """
-    n = len(points)
-    if n < max(least, 2):
-        return np.full(n, -1)
-    squares = (points**2).sum(1)
-
-    def distances(rows: slice) -> np.ndarray:
-        return np.sqrt(np.maximum(squares[rows, None] + squares[None, :] - 2 * points[rows] @ points.T, 0))
-
-    core = np.concatenate([np.partition(distances(slice(k, k + TILE_ROWS)), min(samples, n) - 1, axis=1)[:, min(samples, n) - 1] for k in range(0, n, TILE_ROWS)])
-    # minimum spanning tree from node 0
-    inside = np.zeros(n, bool)
-    near, source = np.full(n, np.inf), np.zeros(n, int)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        inside[at] = True
-        reach = np.maximum(np.maximum(core[at], core), distances(slice(at, at + 1))[0])
-        closer = ~inside & (reach < near)
-        near[closer], source[closer] = reach[closer], at
-        at = int(np.argmin(np.where(inside, np.inf, near)))
-        edges.append((near[at], source[at], at))
-    # single linkage: node n + k is the k-th merge
-    parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
-    children: dict[int, tuple[int, int, float]] = {}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k, (height, a, b) in enumerate(sorted(edges)):
-        x, y = root(a), root(b)
-        new = n + k
-        parent[x] = parent[y] = new
-        size[new] = size[x] + size[y]
-        children[new] = (x, y, height)
-
-    def leaves(node: int) -> list[int]:
-        out, stack = [], [node]
-        while stack:
-            i = stack.pop()
-            if i < n:
-                out.append(i)
-            else:
-                stack += children[i][:2]
-        return out
-
-    # condensed tree: cluster -> birth, stability, child clusters, points
-    born, stability, kids, members = {0: 0.0}, {0: 0.0}, {0: []}, {0: leaves(2 * n - 2)}
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        node, cluster = stack.pop()
-        if node < n:
-            continue
-        x, y, height = children[node]
-        level = 1 / height if height > 0 else 1e12
-        big = [c for c in (x, y) if size[c] >= least]
-        if len(big) == 2:
-            stability[cluster] += size[node] * (level - born[cluster])
-            for c in big:
-                new = len(born)
-                born[new], stability[new], kids[new], members[new] = level, 0.0, [], leaves(c)
-                kids[cluster].append(new)
-                stack.append((c, new))
-        else:
-            gone = size[node] - (size[big[0]] if big else 0)
-            stability[cluster] += gone * (level - born[cluster])
-            if big:
-                stack.append((big[0], cluster))
-    best, chosen = dict(stability), {}
-    for c in sorted(born, reverse=True):
-        below = sum(best[k] for k in kids[c])
-        chosen[c] = c != 0 and (not kids[c] or stability[c] >= below)
-        best[c] = stability[c] if chosen[c] else below
-    labels, count, todo = np.full(n, -1), 0, list(kids[0])
-    while todo:
-        c = todo.pop(0)
-        if chosen[c]:
-            labels[members[c]] = count
-            count += 1
-        else:
-            todo += kids[c]
-    return labels
-
-
-def subdivide(ids: list[int], points: np.ndarray, most: int = 5) -> list[tuple[str, list[int]]]:
-    """(path, ids) of the leaves when clusters of more than ``most`` are clustered again, or chunked in order where that finds no two."""
-    out: list[tuple[str, list[int]]] = []
-    todo = [("", ids, points)]
-    while todo:
-        path, own, at = todo.pop(0)
-        if len(own) <= most:
-            out.append((path, own))
-            continue
-        labels = hdbscan(at, 2, 1) if len(own) < 20 else hdbscan(at, 2, 2)
-        found = [np.flatnonzero(labels == k) for k in range(labels.max() + 1)]
-        rest = np.flatnonzero(labels == -1)
-        if len(found) <= 1 or max(map(len, found)) == len(own):
-            found = [np.arange(k, min(k + most, len(own))) for k in range(0, len(own), most)]
-            rest = np.zeros(0, int)
-        if len(rest):
-            found.append(rest)
-        for k, part in enumerate(found):
-            todo.append((f"{path}/{k}", [own[i] for i in part], at[part]))
-    return out
-
-
-def density_clusters(rows: DataFrame, group: str, least: int = 5, samples: int = 3) -> DataFrame:
-    """(group, id, cell, cluster, leaf): density cluster of each row of its group, and the small one it ends in.
-
-    rows: id, group, vec. A group of fewer than ``least`` rows is one cluster. A group is
-    clustered whole, whatever its size, in one task; cell is 0.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        points = np.array(frame["vec"].tolist(), dtype=np.float64)
-        ids = frame["id"].tolist()
-        labels = hdbscan(points, least, samples) if len(ids) >= least else np.zeros(len(ids), int)
-        leaf = {}
-        for k in sorted(set(labels.tolist())):
-            own = np.flatnonzero(labels == k)
-            for path, part in subdivide([ids[i] for i in own], points[own]):
-                leaf |= {i: f"{k}{path}" for i in part}
-        return pd.DataFrame({group: frame[group], "id": ids, "cell": 0, "cluster": labels, "leaf": [leaf[i] for i in ids]})
-
     kind = dict(rows.dtypes)[group]
-    return rows.where(F.col(group).isNotNull()).select(group, "id", V.doubles(F.col("vec")).alias("vec")).groupBy(group).applyInPandas(run, f"{group} {kind}, id long, cell int, cluster int, leaf string")
+    own = scratch.table(rows.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec")), "rows")
+    named = own.withColumns({"g": F.col("grp").cast("string"), "least": F.lit(least), "samples": F.lit(samples)})
+    found = density_labels(named, scratch, sizes).withColumnRenamed("g", "grp_name")
+    counts = own.groupBy(F.col("grp").cast("string").alias("grp_name")).agg(F.count("*").alias("in_group"))
+    label = F.when(F.col("in_group") < least, 0).otherwise(F.col("cluster"))
+    first = found.join(counts, "grp_name").select("id", label.alias("cluster"))
+    # a node's name: the way down, then its group
+    state = scratch.table(own.join(first, "id").withColumn("path", F.col("cluster").cast("string")), "level")
+    done: DataFrame | None = None
+    while True:
+        state = state.withColumn("g", F.concat("path", F.lit("|"), F.col("grp").cast("string")))
+        state = scratch.table(state.join(state.groupBy("g").agg(F.count("*").alias("in_node")), "g"), "nodes")
+        ended = state.where(F.col("in_node") <= most).select("grp", "id", "cluster", F.col("path").alias("leaf"))
+        done = ended if done is None else done.unionByName(ended)
+        active = state.where(F.col("in_node") > most)
+        if active.isEmpty():
+            return done.select(F.col("grp").cast(kind).alias(group), "id", "cluster", "leaf")
+        state = _split(active, most, scratch, sizes)
+
+
+def _split(active: DataFrame, most: int, scratch: Scratch, sizes: Sizes | None) -> DataFrame:
+    """The rows of the next level (grp, id, vec, cluster, path)."""
+    asked = active.select("g", "id", "vec", F.lit(2).alias("least"), F.when(F.col("in_node") < 20, 1).otherwise(2).alias("samples"))
+    labels = scratch.table(density_labels(asked, scratch, sizes).withColumnRenamed("cluster", "label"), "labels")
+    per_label = labels.groupBy("g", "label").agg(F.count("*").alias("n"))
+    shapes = per_label.groupBy("g").agg(F.sum(F.when(F.col("label") >= 0, 1).otherwise(0)).alias("found"), F.max(F.when(F.col("label") >= 0, F.col("n"))).alias("widest"))
+    told = active.join(labels.join(shapes, "g").drop("g"), "id")
+    whole = F.coalesce((F.col("found") <= 1) | (F.col("widest") == F.col("in_node")), F.lit(True))
+    columns = ["grp", "id", "vec", "cluster"]
+    apart = told.where(~whole).select(*columns, F.concat_ws("/", "path", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.col("found")).cast("string")).alias("path"))
+    runs = numbered(told.where(whole).select("g", "path", *columns), ["g"], ["id"], "place", scratch)
+    cut = runs.select(*columns, F.concat_ws("/", "path", F.floor(F.col("place") / most).cast("string")).alias("path"))
+    return scratch.table(apart.unionByName(cut), "level")
+
+
+def tree_paths(clusters: DataFrame, group: str) -> DataFrame:
+    """(path, name, id) of the leaves of the cluster tree: the site, groups, clusters down to the small ones, pages.
+
+    Noise is Miscellaneous, or hangs on its group where it is fewer than three. Numbers in a
+    path have leading zeros, so its order is theirs.
+    """
+    g = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    noise = clusters.where("cluster < 0").groupBy(g.alias("g")).agg(F.count("*").alias("noise"))
+    rows = clusters.withColumn("g", g).join(noise, "g", "left")
+    steps = F.transform(F.split("leaf", "/"), lambda x: F.when(x == "-1", F.lit("~")).otherwise(F.lpad(x, 9, "0")))
+    inner = F.when((F.col("cluster") < 0) & (F.col("noise") < 3), F.array().cast("array<string>")).otherwise(steps)
+    page = F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 19, "0"))
+    return rows.select(F.concat(F.array(F.lit("site"), "g"), inner, F.array(page)).alias("path"), F.col("id").cast("string").alias("name"), "id")
 
 
 def tree_nodes(clusters: DataFrame, group: str) -> DataFrame:
-    """Flat nodes (node_id, parent_id, name, size, depth): site, groups, clusters, leaves. Noise is Miscellaneous, or in its group where it is fewer than three."""
-    kinds = F.when(F.col("cluster") >= 0, F.concat(F.lit("Cluster "), (F.col("cluster") + 1).cast("string"))).otherwise("Miscellaneous")
-    g = F.col(group).cast("string")
-    c = F.concat_ws("/", g, F.col("cell").cast("string"), F.col("cluster").cast("string"))
-    counted = clusters.withColumn("c", c).withColumn("g", g).groupBy("g", "c", kinds.alias("name")).agg(F.count("*").alias("size"))
-    shown = counted.where("name <> 'Miscellaneous' OR size >= 3")
-    leaves = clusters.withColumn("c", c).groupBy("c", F.concat_ws("/", g, F.col("cell").cast("string"), F.col("leaf")).alias("l"), "leaf").agg(F.count("*").alias("size")).where(F.col("leaf").contains("/"))
-    site = clusters.agg(F.lit("site").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("site").alias("name"), F.count("*").alias("size"), F.lit(0).alias("depth"))
-    groups = clusters.groupBy(g.alias("name")).agg(F.count("*").alias("size")).select(F.concat(F.lit("g/"), "name").alias("node_id"), F.lit("site").alias("parent_id"), "name", "size", F.lit(1).alias("depth"))
-    middle = shown.select(F.concat(F.lit("c/"), "c").alias("node_id"), F.concat(F.lit("g/"), "g").alias("parent_id"), "name", "size", F.lit(2).alias("depth"))
-    low = leaves.join(shown.select("c"), "c", "left_semi").select(F.concat(F.lit("l/"), "l").alias("node_id"), F.concat(F.lit("c/"), "c").alias("parent_id"), F.col("leaf").alias("name"), "size", F.lit(3).alias("depth"))
-    return site.unionByName(groups).unionByName(middle).unionByName(low)
+    """(path, name, size, depth) of all nodes of the cluster tree; size counts pages."""
+    leaves = tree_paths(clusters, group)
+    nodes = with_ancestors(leaves.select("path", "name"))
+    step = F.element_at("path", -1)
+    number = F.concat(F.lit("Cluster "), (F.try_to_number(step, F.lit("999999999")) + 1).cast("long").cast("string"))
+    name = F.when(F.col("name").isNotNull(), F.col("name")).when(F.size("path") <= 2, step).when(step == "~", "Miscellaneous").otherwise(number)
+    return nodes.select("path", name.alias("name"), "size", (F.size("path") - 1).alias("depth"))
 
 
 def kmeans(rows: DataFrame, k: int, seed: int = 42, steps: int = 50) -> DataFrame:
@@ -209,6 +122,7 @@ def map_2d(rows: DataFrame) -> DataFrame:
     return robust_rescale(axes.select("id", xy[0].alias("x"), xy[1].alias("y")), ["x", "y"])
 
 
-def subclusters(clusters: DataFrame, pages: DataFrame) -> DataFrame:
-    """(cluster, section, items): pages (id, section, title) of each cluster by section, in order of title."""
-    return clusters.join(pages, "id").groupBy("cluster", "section").agg(F.sort_array(F.collect_list(F.struct("title", "id"))).alias("items"))
+def subclusters(clusters: DataFrame, pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cluster, section, rank, title, id): pages (id, section, title) of each cluster by section, a row each in order of title."""
+    rows = clusters.join(pages, "id").select("cluster", "section", "title", "id")
+    return numbered(rows, ["cluster", "section"], ["title", "id"], "rank", scratch)

@@ -9,9 +9,10 @@ edges are left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.order import numbered
 from corpusloom.plans.scratch import Scratch
 
 
@@ -22,7 +23,7 @@ def _priority(node, turn: int):
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
-    ``edges`` has the columns a and b (long). Self loops, repeated edges, either direction
+    ``edges`` has the columns a and b, of one type that has an order. Self loops, repeated edges, either direction
     and rows with a null end are allowed; they add nothing. No edges give no rows.
     """
     left = scratch.table(
@@ -55,9 +56,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(left)
         left = new
         turn += 1
-    scratch.drop(left)
     if not levels:
-        return left.sparkSession.createDataFrame([], "node long, component long")
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    scratch.drop(left)
     roots = levels[0].withColumnRenamed("parent", "root")
     for level in levels[1:]:
         step = level.select(F.col("node").alias("root"), F.col("parent").alias("next"))
@@ -80,11 +81,38 @@ def groups(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim")), "pairs"
     )
     found = scratch.table(components(pairs.select("a", "b"), scratch), "found")
-    order = Window.partitionBy("group_id").orderBy(F.col("degree").desc(), "member")
     members = found.join(degrees(pairs), "node").select(F.col("component").alias("group_id"), F.col("node").alias("member"), "degree")
     best = pairs.join(found, pairs["a"] == found["node"]).groupBy("component").agg(F.max("sim").alias("max_sim"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n_members")).join(best, "component")
-    return sizes.select(F.col("component").alias("group_id"), "n_members", "max_sim"), members.withColumn("rank", F.row_number().over(order))
+    return sizes.select(F.col("component").alias("group_id"), "n_members", "max_sim"), numbered(members.withColumn("down", -F.col("degree")), ["group_id"], ["down", "member"], "rank", scratch).withColumn("rank", F.col("rank") + 1).drop("down")
+
+
+def greedy_groups(pairs: DataFrame, scratch: Scratch, most: int | None = 1000) -> DataFrame:
+    """(group_id, member): groups taken in the order of ids, each a node and all its neighbours.
+
+    pairs (a, b) in any direction; a pair of a node with itself makes it a group where it has
+    no other neighbour. A node makes a group unless one of its neighbours, or the node
+    itself, is in a group that a smaller node made; so a node waits for smaller ones at most
+    two steps away, and a round decides all that wait for none. Middle nodes hold the least
+    waiting neighbour, so no pair at two steps is made. The first ``most`` groups are given, or all.
+    """
+    both = pairs.where("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    every = scratch.table(both.union(both.select("a", F.col("a").alias("b"))).distinct(), "neighbours")
+    waiting, heads = every, None
+    while not waiting.isEmpty():
+        least = waiting.groupBy("b").agg(F.min("a").alias("least"))
+        new = scratch.table(waiting.join(least, "b").groupBy("a").agg(F.min("least").alias("least")).where("least = a").select("a"), "heads")
+        heads = new if heads is None else heads.union(new)
+        taken = waiting.join(new, "a", "left_semi").select("b").distinct()
+        out = waiting.join(taken, "b", "left_semi").select("a").distinct()
+        left = scratch.table(waiting.join(out, "a", "left_anti"), "waiting")
+        if waiting is not every:
+            scratch.drop(waiting)
+        waiting = left
+    if heads is None:
+        return every.select(F.col("a").alias("group_id"), F.col("b").alias("member"))
+    first = heads if most is None else heads.orderBy("a").limit(most)
+    return every.join(first, "a").select(F.col("a").alias("group_id"), F.col("b").alias("member"))
 
 
 def degrees(pairs: DataFrame) -> DataFrame:

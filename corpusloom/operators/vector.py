@@ -1,14 +1,13 @@
 """Exact search and similarity over vector tables.
 
-Pairs are scored block by block: vectors are dealt into blocks whose number grows with the
-table, each pair of blocks is one task's matrix product, and top-k or threshold is applied
+Pairs are scored block by block: vectors are dealt into blocks whose number grows with
+their group, each pair of blocks is one task's matrix product, and top-k or threshold is applied
 there, so neither side is ever collected or broadcast and no pair below the threshold
 leaves a task. Rows have explicit ids; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,19 +35,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out / np.where(lengths > 0, lengths, 1)
 
 
-def _block_pairs(vectors: DataFrame, group: str | None, symmetric: bool) -> DataFrame:
-    """Each vector once for every pair of blocks of its group that it is in: columns g, i, j, side, id, vec."""
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
+def block_pairs(vectors: DataFrame, group: str | None, symmetric: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each vector once for every pair of blocks of its group that it is in: columns g, i, j, side, id, vec and ``keep``.
+
+    A group has as many blocks as its own rows need, so rows of small groups are dealt once
+    (twice where the pairs are ordered). Rows whose group is null are in no pair.
+    """
     key = F.col(group).cast("string") if group else F.lit("")
-    rows = vectors.select(key.alias("g"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"), "id", "vec")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = vectors.select(key.alias("g"), "id", "vec", *keep)
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "g").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     if symmetric:
         pairs = F.transform(every, lambda x: F.struct(F.least(x, F.col("k")).alias("i"), F.greatest(x, F.col("k")).alias("j")))
-        return rows.withColumn("p", F.explode(pairs)).select("g", "p.i", "p.j", F.col("k").alias("side"), "id", "vec")
-    one = rows.withColumn("j", F.explode(every)).select("g", F.col("k").alias("i"), "j", F.lit(0).alias("side"), "id", "vec")
-    two = rows.withColumn("i", F.explode(every)).select("g", "i", F.col("k").alias("j"), F.lit(1).alias("side"), "id", "vec")
-    return one.union(two)
+        return rows.withColumn("p", F.explode(pairs)).select("g", "p.i", "p.j", F.col("k").alias("side"), "id", "vec", *keep)
+    places = F.array(F.struct(F.col("k").alias("i"), F.col("x").alias("j"), F.lit(0).alias("side")), F.struct(F.col("x").alias("i"), F.col("k").alias("j"), F.lit(1).alias("side")))
+    return rows.withColumn("x", F.explode(every)).withColumn("p", F.explode(places)).select("g", "p.i", "p.j", "p.side", "id", "vec", *keep)
 
 
 def threshold_pairs(vectors: DataFrame, least: float, group: str | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def threshold_pairs(vectors: DataFrame, least: float, group: str | None = None)
 
     vectors: id (long), vec. Rows without a finite, non-zero vector are in no pair.
     """
-    dealt = _block_pairs(usable(vectors), group, True)
+    dealt = block_pairs(usable(vectors), group, True)
 
     def score(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -85,7 +87,7 @@ def equal_classes(vectors: DataFrame, group: str | None = None) -> DataFrame:
 
 def top_neighbours(vectors: DataFrame, k: int, group: str | None = None, least: float | None = None) -> DataFrame:
     """(a, b, sim, rank): the k most similar other vectors of each, exact; ties by smaller id."""
-    dealt = _block_pairs(usable(vectors), group, False)
+    dealt = block_pairs(usable(vectors), group, False)
 
     def score(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
@@ -206,18 +208,3 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[list[str]], np.ndarray]:
         return out / np.where(lengths > 0, lengths, 1)
 
     return encode
-
-
-def greedy_groups(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """Groups of vectors within a radius, each named by its smallest member: (group_id, member).
-
-    pairs: a < b within the radius. A row is a group's head if no smaller row is within the
-    radius; every other row joins its smallest head, and rows near no head are in no group.
-    This does not depend on the order of rows. The first ``most`` groups are given, as the
-    report has no more.
-    """
-    heads = pairs.select(F.col("a").alias("node")).distinct().join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-    joined = pairs.join(heads, pairs["a"] == heads["node"]).groupBy("b").agg(F.min("a").alias("group_id"))
-    rows = joined.select("group_id", F.col("b").alias("member")).union(joined.select("group_id", F.col("group_id").alias("member")).distinct())
-    first = rows.select("group_id").distinct().orderBy("group_id").limit(most)
-    return rows.join(first, "group_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import html as H
 from corpusloom.functions import slugs as S
 from corpusloom.functions import text as X
+from corpusloom.plans.scratch import Scratch
 from corpusloom.operators import cluster, keywords, linking, sync
 from corpusloom.plans.queries import read
 from corpusloom.sources import content, sinks, tables
@@ -237,13 +238,13 @@ def resolved_addresses(spark, sf_dir):
     return sync.resolve_urls(rows, none, history, spark.createDataFrame([("acme",)], "word string"), [], ["es"]).select("rel_path", "lang", "url", "reason")
 
 
-@query("SELECT label % 3 AS cluster, label AS section, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1, 2")
+@query("SELECT label % 3 AS cluster, label AS section, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank FROM embeddings")
 def cluster_sections(spark, sf_dir):
     """Pages of each cluster by section, in order of title."""
     rows = read(spark, sf_dir, "embeddings")
     clusters = rows.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("cluster"))
     pages = rows.select(F.col("vec_id").alias("id"), F.col("label").alias("section"), F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("title"))
-    return cluster.subclusters(clusters, pages).select("cluster", "section", F.size("items").cast("long").alias("n"), F.col("items")[0]["id"].alias("first"))
+    return cluster.subclusters(clusters, pages, Scratch(spark, "sections")).select("cluster", "section", "id", "rank")
 
 
 @query("""

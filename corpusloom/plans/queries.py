@@ -197,14 +197,37 @@ def similarity_groups(spark, sf_dir):
     WITH RECURSIVE {_COSINES}, e AS (SELECT a, b, sim FROM s WHERE sim >= 0.4),
     r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
     c AS (SELECT node, min(root) AS g FROM r GROUP BY node), d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY a)
-    SELECT g AS group_id, c.node AS member, degree, CAST(row_number() OVER (PARTITION BY g ORDER BY degree DESC, c.node) AS INT) AS rank FROM c JOIN d ON c.node = d.node
+    SELECT g AS group_id, c.node AS member, degree, row_number() OVER (PARTITION BY g ORDER BY degree DESC, c.node) AS rank FROM c JOIN d ON c.node = d.node
 """)
 def similarity_members(spark, sf_dir):
-    """Members of the groups, the best connected first."""
-    _, members = graph.groups(vector.threshold_pairs(page_vectors(spark, sf_dir), 0.4), Scratch(spark, "members"))
+    """Members of the groups, the best connected first (T4, A9). Copies of a vector count as one, and are linked with it."""
+    scratch = Scratch(spark, "members")
+    classes, pairs = similar_edges(spark, sf_dir, scratch)
+    copies = classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    _, members = graph.groups(pairs.union(copies), scratch)
     return members
 
 
+@query(f"""
+    WITH RECURSIVE {_COSINES}, e AS (SELECT a, list_append(list(b), a) AS near FROM s WHERE sim >= 0.4 GROUP BY a),
+    r(head, done) AS (
+        SELECT min(a), CAST([] AS BIGINT[]) FROM e
+        UNION ALL
+        SELECT (SELECT min(e.a) FROM e WHERE e.a > r.head AND NOT list_has_any(e.near, list_concat(r.done, h.near))), list_concat(r.done, h.near)
+        FROM r JOIN e h ON h.a = r.head
+    )
+    SELECT head AS group_id, unnest(near) AS member FROM (SELECT DISTINCT head FROM r WHERE head IS NOT NULL) JOIN e ON e.a = head
+""")
+def greedy_groups(spark, sf_dir):
+    """Groups of similar vectors taken in the order of ids, none touching an earlier one."""
+    scratch = Scratch(spark, "greedy")
+    classes, pairs = similar_edges(spark, sf_dir, scratch)
+    # copies of a vector have its neighbours: groups are found among classes, and their members are all copies
+    several = classes.where("id = class_id AND copies > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    found = graph.greedy_groups(pairs.select("a", "b").union(several), scratch, most=None)
+    return found.join(classes.select(F.col("class_id").alias("member"), "id"), "member").select("group_id", F.col("id").alias("member"))
+
+
 @query(f"WITH {_COSINES}, e AS (SELECT a, b FROM s WHERE sim >= 0.4) SELECT a AS node, count(*) AS degree FROM e GROUP BY a")
 def similarity_degrees(spark, sf_dir):
     """Number of similar vectors of each, its copies among them."""
@@ -543,17 +566,44 @@ def density_clusters(spark, sf_dir):
     """Density cluster and leaf of each vector in its section (V11, V12); the method has no SQL form."""
     from corpusloom.operators.cluster import density_clusters as clusters
 
-    return clusters(page_vectors(spark, sf_dir), "section")
+    return clusters(page_vectors(spark, sf_dir), "section", Scratch(spark, "density"))
 
 
 @query()
 def cluster_tree(spark, sf_dir):
-    """Flat nodes of the cluster tree."""
+    """All nodes of the cluster tree of each section down to its pages, with their intervals in preorder."""
+    from corpusloom.operators import tree
     from corpusloom.operators.cluster import density_clusters as clusters
     from corpusloom.operators.cluster import tree_nodes
 
-    found = Scratch(spark, "tree").table(clusters(page_vectors(spark, sf_dir), "section"), "clusters")
-    return tree_nodes(found, "section")
+    scratch = Scratch(spark, "tree")
+    found = scratch.table(clusters(page_vectors(spark, sf_dir), "section", scratch), "clusters")
+    return tree.intervals(tree_nodes(found, "section"), scratch)
+
+
+@query("""
+    WITH l AS (SELECT lang, source, doc_id FROM documents),
+    n AS (
+        SELECT 'site' AS name, 0 AS depth, '' AS lang, '' AS source, -1 AS id, count(*) AS size FROM l
+        UNION ALL SELECT lang, 1, lang, '', -1, count(*) FROM l GROUP BY lang
+        UNION ALL SELECT source, 2, lang, source, -1, count(*) FROM l GROUP BY lang, source
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), 3, lang, source, doc_id, 1 FROM l
+    ), p AS (SELECT *, row_number() OVER (ORDER BY encode(lang), encode(source), id) - 1 AS place FROM n)
+    SELECT name, depth, size, place, place + CASE depth WHEN 3 THEN 0 WHEN 2 THEN size WHEN 1 THEN size + (SELECT count(DISTINCT source) FROM l WHERE l.lang = p.lang)
+           ELSE size + (SELECT count(DISTINCT lang) FROM l) + (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM l)) END AS last
+    FROM p
+""")
+def tree_file_index(spark, sf_dir):
+    """The site's tree of languages, sources and documents written as nested JSON over many files, and the index read back (K2)."""
+    from corpusloom.operators import tree
+    from corpusloom.sources.sinks import write_tree
+
+    scratch = Scratch(spark, "tree-files")
+    page = F.concat(F.lit("p"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
+    leaves = read(spark, sf_dir, "documents").select(F.array(F.lit("site"), "lang", "source", page).alias("path"), F.col("doc_id").cast("string").alias("name"))
+    nodes = tree.with_ancestors(leaves).withColumn("name", F.coalesce("name", F.element_at("path", -1)))
+    write_tree(tree.intervals(nodes, scratch), scratch.root + "/site")
+    return spark.read.schema("name string, depth int, size long, place long, last long").json(f"{scratch.root}/site/index")
 
 
 @query()

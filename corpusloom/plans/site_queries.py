@@ -566,7 +566,7 @@ def translation_maps(spark, sf_dir):
 
 
 @query("""
-    WITH l AS (SELECT source AS file, doc_id AS line, lang AS key FROM documents) SELECT file, key, list(line ORDER BY line) AS lines FROM l GROUP BY file, key HAVING count(*) > 1
+    WITH l AS (SELECT source AS file, doc_id AS line, lang AS key FROM documents) SELECT file, key, line FROM l QUALIFY count(*) OVER (PARTITION BY file, key) > 1
 """)
 def repeated_keys(spark, sf_dir):
     """Keys that a file defines more than once, and where."""
@@ -588,32 +588,37 @@ def open_topics(spark, sf_dir):
 # ---- images and vectors ----
 
 
-@query("""
-    SELECT source || '.png' AS name, list_sort(list_distinct(list(CAST(doc_id AS VARCHAR)))) AS files FROM documents WHERE lang <> 'fr' GROUP BY source
-""")
+_NAMES = "n AS (SELECT DISTINCT left(text, 24) AS name FROM benchmark UNION SELECT left(text, 24) || ' (1).png' FROM benchmark UNION SELECT DISTINCT source FROM documents)"
+
+
+def _image_names(spark, sf_dir):
+    """Names with blanks, brackets and dots, of which texts have some."""
+    head = F.left("text", F.lit(24))
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.array(head, F.concat(head, F.lit(" (1).png")))).alias("name"))
+    return names.union(_docs(spark, sf_dir).select("source")).distinct()
+
+
+@query(f"WITH {_NAMES} SELECT name, CAST(doc_id AS VARCHAR) AS path FROM n JOIN documents ON contains(text, name)")
 def images_in_texts(spark, sf_dir):
-    """Texts that name each image."""
-    docs = _docs(spark, sf_dir)
-    images = docs.select(F.concat("source", F.lit(".png")).alias("name")).distinct()
-    tail = F.when(F.col("lang") != "fr", F.concat(F.lit(" ![x](/img/"), "source", F.lit(".png) and "), "source", F.lit(".png"))).otherwise("")
-    return crawl.image_mentions(images, docs.select(F.col("doc_id").cast("string").alias("path"), F.concat("text", tail).alias("body")))
+    """Texts that have each image's name in them."""
+    return crawl.image_mentions(_image_names(spark, sf_dir), _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("body")))
 
 
-@query("SELECT DISTINCT source || '.gif' AS name FROM documents")
+@query(f"WITH {_NAMES} SELECT name FROM n WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, name))")
 def images_without_text(spark, sf_dir):
-    """Images that no text names."""
-    docs = _docs(spark, sf_dir)
-    images = docs.select(F.explode(F.array(F.concat("source", F.lit(".png")), F.concat("source", F.lit(".gif")))).alias("name")).distinct()
-    return crawl.unused_images(images, docs.select(F.col("doc_id").cast("string").alias("path"), F.concat("text", F.lit(" (/img/"), "source", F.lit(".png)")).alias("body")))
+    """Images whose name no text has."""
+    return crawl.unused_images(_image_names(spark, sf_dir), _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("body")))
 
 
 @query("""
-    SELECT md5(text) AS digest, list(CAST(doc_id AS VARCHAR) ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS paths FROM documents GROUP BY text HAVING count(*) > 1
+    SELECT digest, path, row_number() OVER (PARTITION BY digest ORDER BY n_chars DESC, path) AS rank FROM (SELECT md5(text) AS digest, CAST(doc_id AS VARCHAR) AS path, n_chars FROM documents) QUALIFY count(*) OVER (PARTITION BY digest) > 1
 """)
 def equal_files(spark, sf_dir):
-    """Groups of files of equal content, the largest first."""
+    """Files of equal content, the largest first."""
+    from corpusloom.plans.scratch import Scratch
+
     rows = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.md5(F.col("text").cast("binary")).alias("digest"), F.col("n_chars").alias("pixels"))
-    return crawl.duplicate_files(rows)
+    return crawl.duplicate_files(rows, Scratch(spark, "equal-files"))
 
 
 @query("""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tree import json_pieces
+from corpusloom.plans.scratch import partitions
+
 
 def section_json(related: DataFrame, path: str) -> None:
     """One folder per language and section, a row per slug with its related pages in rank order.
@@ -29,26 +32,16 @@ def scatter_json(points: DataFrame) -> DataFrame:
     return points.select(F.to_json(F.struct(*points.columns)).alias("value"))
 
 
-def tree_json(nodes: DataFrame) -> DataFrame:
-    """(root, json) of flat nodes (node_id, parent_id, name, size, depth), children nested bottom up.
+def write_tree(placed: DataFrame, path: str) -> None:
+    """A nested JSON document in files that follow each other by name, and an index of its nodes.
 
-    One aggregation a level, so the driver loops over the depth of the tree only.
+    placed: tree.intervals with name and size. No task holds more than its range of nodes;
+    the files below ``tree``, joined in the order of their names, are the document. index
+    has a row a node: place, last, depth, name, size.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return nodes.select(F.col("node_id").alias("root"), F.lit("").alias("json"))
-    made: DataFrame | None = None
-    for depth in range(deepest, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        if made is None:
-            joined = level.withColumn("children", F.array().cast("array<string>"))
-        else:
-            kids = made.groupBy("parent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "json"))), lambda x: x["json"]).alias("children")).withColumnRenamed("parent_id", "node_id")
-            joined = level.join(kids, "node_id", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
-        head = F.to_json(F.struct("name", "size"))
-        text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"children":['), F.array_join("children", ","), F.lit("]}"))
-        made = joined.select("node_id", "parent_id", text.alias("json"))
-    return made.select(F.col("node_id").alias("root"), "json")
+    pieces = json_pieces(placed)
+    pieces.repartitionByRange(partitions(placed.sparkSession), "place").sortWithinPartitions("place").select("piece").write.mode("overwrite").text(f"{path}/tree")
+    placed.select("place", "last", (F.size("path") - 1).alias("depth"), "name", "size").write.mode("overwrite").json(f"{path}/index")
 
 
 def sitemap_files(chunks: DataFrame, path: str) -> None:

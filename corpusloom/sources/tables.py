@@ -56,10 +56,11 @@ def read_yaml_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def duplicate_keys(lines: DataFrame) -> DataFrame:
-    """(file, key, lines) of keys that a file defines more than once. lines: file, line, text."""
+    """(file, key, line) of all lines that define a key which their file defines more than once. lines: file, line, text."""
     key = F.regexp_extract("text", r"\A([A-Za-z0-9_.\-]+)\s*:", 1)
     rows = lines.select("file", "line", key.alias("key")).where("key <> ''")
-    return rows.groupBy("file", "key").agg(F.sort_array(F.collect_list("line")).alias("lines")).where(F.size("lines") > 1)
+    several = rows.groupBy("file", "key").agg(F.count("*").alias("n")).where("n > 1").select("file", "key")
+    return rows.join(several, ["file", "key"]).select("file", "key", "line")
 
 
 RULE = "keyword string, Keyword string, url string, URL string, title string, Title string, priority int, Priority int, exact boolean"

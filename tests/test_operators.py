@@ -28,7 +28,6 @@ def test_similarity(spark):
     near = {(r.a, r.rank): r.b for r in vector.top_neighbours(frame, 1).collect()}
     assert near[(1, 1)] == 6 and near[(6, 1)] == 1 and (4, 1) not in near
     assert [r[:2] for r in rows(vector.duplicate_pairs(frame, 0.99))] == [(1, 2), (1, 6), (2, 6)]
-    assert rows(vector.greedy_groups(spark.createDataFrame([(1, 2), (1, 6), (2, 6)], "a long, b long"))) == [(1, 1), (1, 2), (1, 6)]
 
 
 def test_equal_vectors_add_no_pairs(spark):
@@ -92,38 +91,6 @@ def test_audit(spark):
     assert {r.section: r.medoid for r in audit.medoids(drift.select("id", "section", "vec"), "section").collect()}["t"] == 90
 
 
-def test_density_clusters_of_a_large_section(spark):
-    rng = np.random.default_rng(3)
-    # two dense groups around points on the border of the signs of the first component
-    centres = np.array([[0.0, 5.0], [0.0, -5.0]])
-    points = centres[np.arange(4200) % 2] + rng.uniform(-0.5, 0.5, (4200, 2))
-    data = [(k, "s", p.tolist()) for k, p in enumerate(points)]
-    got = cluster.density_clusters(spark.createDataFrame(data, "id long, section string, vec array<double>"), "section").collect()
-    whole = cluster.hdbscan(points)
-    assert {r.id: r.cluster for r in got} == dict(enumerate(whole.tolist()))
-    assert len({r.cell for r in got}) == 1
-
-
-def test_hdbscan_finds_two_blobs():
-    rng = np.random.default_rng(0)
-    points = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(4, 0.1, (30, 2)), [[20.0, 20.0]]])
-    labels = cluster.hdbscan(points)
-    assert labels[-1] == -1 and len(set(labels[:30])) == 1 and len(set(labels[30:60])) == 1 and labels[0] != labels[30]
-    leaves = cluster.subdivide(list(range(30)), points[:30])
-    assert sorted(i for _, part in leaves for i in part) == list(range(30)) and max(len(p) for _, p in leaves) <= 5
-
-
-def test_clusters_and_tree(spark):
-    rng = np.random.default_rng(1)
-    data = [(i, "a", (rng.normal(0, 0.1, 3) + (3 if i % 2 else 0)).tolist()) for i in range(40)] + [(100, "b", [0.0, 0.0, 1.0])]
-    got = cluster.density_clusters(spark.createDataFrame(data, "id long, section string, vec array<double>"), "section")
-    assert got.count() == 41 and got.where("section = 'b'").first().cluster == 0
-    nodes = cluster.tree_nodes(got, "section")
-    assert nodes.where("depth = 0").first().size == 41
-    assert '"name":"site"' in sinks.tree_json(nodes).first().json
-    assert cluster.kmeans(spark.createDataFrame(data, "id long, section string, vec array<double>"), 4).count() == 41
-
-
 def test_broken_links(spark):
     html = spark.createDataFrame([("https://h.com/a", '<a href="/x"><a href="/y">'), ("https://h.com/b", '<a href="/x">'), ("https://h.com/c", None)], "url string, html string")
     links = crawl.page_links(html, internal="h.com")
@@ -140,13 +107,6 @@ def test_sitemap(spark):
     assert sinks.sitemap_index(chunks, "https://b.co").first().section == "general"
 
 
-def test_image_mentions(spark):
-    images = spark.createDataFrame([("a.png",), ("b.png",)], "name string")
-    bodies = spark.createDataFrame([("p.md", "![x](/img/a.png) a.png"), ("q.md", None)], "path string, body string")
-    assert rows(crawl.unused_images(images, bodies)) == [("b.png",)]
-    assert rows(crawl.image_mentions(images, bodies)) == [("a.png", ["p.md"])]
-
-
 def test_keywords(spark):
     frame = spark.createDataFrame([("s", "red dogs run. red dogs sleep"), ("s", None)], "source string, text string")
     assert keywords.group_keywords(frame, "source", "text").where("rank = 1").first().phrase == "red dogs"
