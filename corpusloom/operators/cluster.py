@@ -1,8 +1,7 @@
-"""Clusters of page vectors: density clusters per section, their subdivision into small ones, k-means and a map."""
+"""Clusters of page vectors: density clusters per section, their subdivision into small ones and a map."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -84,22 +83,6 @@ def tree_nodes(clusters: DataFrame, group: str) -> DataFrame:
     return nodes.select("path", name.alias("name"), "size", (F.size("path") - 1).alias("depth"))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 42, steps: int = 50) -> DataFrame:
-    """(id, cluster) of k-means over unit vectors; k is lowered to half the rows where there are few."""
-    n = rows.count()
-    k = max(2, min(k, n // 2))
-    made = rows.select("id", array_to_vector(V.normalize(F.col("vec"))).alias("features"))
-    if n < 2:
-        return rows.select("id", F.lit(0).alias("cluster"))
-    model = KMeans(k=k, seed=seed, maxIter=steps).fit(made)
-    return model.transform(made).select("id", F.col("prediction").alias("cluster"))
-
-
-def content_k(n: int) -> int:
-    """Number of clusters of a collection."""
-    return min(40, max(n // 10, 5))
-
-
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """One row: number of clusters, least, largest and mean size."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))

@@ -608,10 +608,31 @@ def tree_file_index(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    """Cluster of each vector by k-means (V14, V15); labels depend on the initialisation."""
-    from corpusloom.operators.cluster import kmeans
+    """Cluster of each vector by k-means (V14); equal to a loop by hand in the tests."""
+    from corpusloom.operators.kmeans import kmeans
 
-    return kmeans(page_vectors(spark, sf_dir), 10)
+    return kmeans(page_vectors(spark, sf_dir), 10, Scratch(spark, "kmeans"))
+
+
+@query()
+def batch_clusters(spark, sf_dir):
+    """Cluster of each vector by batches in a fixed order, as many clusters as a collection gets."""
+    from corpusloom.operators.kmeans import content_k, mini_batch
+
+    rows = page_vectors(spark, sf_dir)
+    return mini_batch(rows, content_k(rows.count()), Scratch(spark, "batches"))
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS n, least(40, greatest(count(*) // 10, 5)) AS k FROM embeddings)
+    SELECT vec_id AS id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // (n // k + 1) AS INT) AS cluster FROM embeddings CROSS JOIN n
+""")
+def sequential_clusters(spark, sf_dir):
+    """Runs of ids as clusters, where nothing can be learned."""
+    from corpusloom.operators.kmeans import content_k, sequential
+
+    rows = page_vectors(spark, sf_dir)
+    return sequential(rows, content_k(rows.count()), Scratch(spark, "runs"))
 
 
 @query()
