@@ -11,52 +11,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.scratch import Scratch
+from corpusloom.sources.stores import list_files, read_texts
+
 _FRONT = re.compile(r"\A\+\+\+[ \t]*\r?\n(.*?)\r?\n?^\+\+\+[ \t]*(?:\r?\n|\Z)", re.DOTALL | re.MULTILINE)
 _YAML = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n?^---[ \t]*(?:\r?\n|\Z)", re.DOTALL | re.MULTILINE)
 _LINE = re.compile(r"^\s*([A-Za-z_][\w-]*)\s*=+\s*(.+?)\s*$")
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri) else (fs.LocalFileSystem(), uri)
-
-
-def _index_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose names start with an underscore, which Spark's own readers never list: paths from the store, texts read by tasks."""
-    from pyarrow import fs
-
-    store, base = _store(root)
-    found = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.is_file and i.base_name.startswith("_") and i.base_name.endswith(".md")]
-    names = spark.createDataFrame([(i.path, i.mtime) for i in found], "inside string, modificationTime timestamp")
-
-    def run(frames):
-        files, _ = _store(root)
-        for frame in frames:
-            texts = []
-            for path in frame["inside"]:
-                with files.open_input_file(path) as file:
-                    texts.append(file.read().decode("utf-8", "replace"))
-            yield frame.assign(raw=texts)
-
-    rows = names.repartition(max(1, len(found) // 1000 + 1)).mapInPandas(run, "inside string, modificationTime timestamp, raw string")
-    return rows.select("inside", "raw", "modificationTime")
-
-
-def read_markdown(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
+def read_markdown(spark: SparkSession, root: str, scratch: Scratch, languages: list[str] | None = None, since: datetime.datetime | None = None) -> DataFrame:
     """All markdown files below ``root``/<lang>: path, lang, rel_path, raw, modified.
 
-    Folders that start with a dot are passed over. The language filter and any later one on
-    lang work on the path, before texts are read.
+    Folders are listed by tasks, only those of the ``languages`` wanted, and texts are read of
+    files changed at or after ``since`` alone. Folders that start with a dot are passed over.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(root)
-    plain = files.select("path", F.decode("content", "UTF-8").alias("raw"), "modificationTime")
-    rows = plain.union(_index_files(spark, root))
-    base = root.rstrip("/").rsplit("/", 1)[-1]
-    inside = F.regexp_extract("path", rf"/\Q{base}\E/(.*)\z", 1)
-    rows = rows.select("path", F.split(inside, "/")[0].alias("lang"), F.regexp_replace(inside, r"\A[^/]*/", "").alias("rel_path"), "raw", F.col("modificationTime").alias("modified"))
-    rows = rows.where(~F.col("path").rlike(r"/\.[^/]+/"))
-    return rows.where(F.col("lang").isin(languages)) if languages else rows
+    files = list_files(spark, root, scratch, languages).where(F.col("inside").endswith(".md"))
+    wanted = files if since is None else files.where(F.col("modified") >= F.lit(since))
+    lang = F.split("inside", "/")[0]
+    rows = read_texts(wanted, root).where("raw IS NOT NULL")
+    return rows.select(F.concat(F.lit(root.rstrip("/") + "/"), "inside").alias("path"), lang.alias("lang"), F.regexp_replace("inside", r"\A[^/]*/", "").alias("rel_path"), "raw", "modified")
 
 
 def modified_within(files: DataFrame, seconds: int) -> DataFrame:

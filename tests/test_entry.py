@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from corpusloom.plans import file_queries, queries, site_queries
+from corpusloom.plans import file_queries, queries, site_queries, stored_queries
 
-QUERIES, ORACLES = queries.QUERIES | site_queries.QUERIES | file_queries.QUERIES, queries.ORACLES | site_queries.ORACLES | file_queries.ORACLES
+MODULES = [queries, site_queries, file_queries, stored_queries]
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -180,7 +180,7 @@ def test_sources(spark, tmp_path):
     (site / "en" / "blog").mkdir(parents=True)
     (site / "en" / "blog" / "a.md").write_text('+++\ntitle = "T"\nurl = "/u/"\n+++\nBody\n')
     (site / "en" / "_index.md").write_text("no front matter")
-    got = {r.rel_path: r for r in pages(read_markdown(spark, str(site))).collect()}
+    got = {r.rel_path: r for r in pages(read_markdown(spark, str(site), Scratch(spark, 'site'))).collect()}
     assert got["blog/a.md"].title == "T" and got["blog/a.md"].section == "blog" and got["blog/a.md"].body == "Body\n"
     assert got["_index.md"].is_index and got["_index.md"].body == "no front matter"
     (tmp_path / "t.csv").write_text("flow_input;filename\n a ; x \n;y\n")
