@@ -6,11 +6,13 @@ path than the article's. Over all nodes of a path the text length and the punctu
 added up and divided by the number of nodes; text in links counts for less, and so does
 text below containers whose class or id says that they are no article. Both ratios are
 smoothed along the page within a section and fused, and paths whose fused ratio reaches
-the threshold are content. The article is the element over the content paths' text: its content nodes, and
-what stands among them, headings and short blocks too, make the result.
+the threshold are content. The article is the element over the content paths' text: its
+content nodes, and what stands among them, headings and short blocks too, make the result.
+Containers that call themselves adverts, comments or the like only weigh less: what is in
+them stays where its path is content all the same, inside an article element as elsewhere.
 
-Elements that HTML itself sets apart from an article (menus, forms, scripts and so on), and
-containers that call themselves adverts, comments or the like, are left out before.
+Elements that HTML itself sets apart from an article (menus, forms, scripts and so on) are
+left out before.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ BLOCK = frozenset(
 OUTSIDE = frozenset("aside button dialog footer form head input label menu nav object search select audio video canvas".split())
 ROLES = frozenset("banner navigation complementary contentinfo search form dialog alertdialog alert menu menubar toolbar".split())
 
-#: Words of class and id of a container that no article text is in, wherever it stands.
+#: Words of class and id that speak against a container, wherever it stands.
 APART = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar widget widgets "
@@ -50,6 +52,13 @@ DOUBTFUL = frozenset(
     "banner topbar toolbar masthead header footer foot side aside reply discussion "
     "notice notices notification alert disclaimer copyright legal tags skip search hidden sr".split()
 )
+#: Words that say nothing beside those above; with any other word a name is about something ("share-price") and speaks against nothing.
+NEUTRAL = frozenset(
+    "area bar banner block body bottom box button buttons card cards column container content count feed form frame grid group heading holder icon icons "
+    "inner inline item items js label latest left link links list lists module more outer panel placement popular posts post rail read right row section "
+    "slot small story stories text title top unit view wrap wrapper zone button"
+    .split()
+)
 #: Words that take back what others of APART and DOUBTFUL say (an "article-header" is the article's).
 ARTICLE = frozenset("article content post entry story main body text".split())
 #: Words that ARTICLE does not take back.
@@ -82,12 +91,12 @@ _NEAR = frozenset("table td th button caption html template".split())
 THRESHOLD = 0.5
 #: Width of the smoothing, in text nodes.
 SMOOTHING = 1.0
-#: What a character counts in a link, and below a doubtful container.
-LINKED, DOUBTED = 0.1, 0.2
+#: What a character counts in a link, below a doubtful container, and below one whose name speaks against it.
+LINKED, DOUBTED, AGAINST = 0.1, 0.2, 0.05
 
 
 def _standing(tag: str, attributes: str, in_article: bool) -> float:
-    """0 for an element that no article text is in, DOUBTED for a doubtful one, else 1."""
+    """0 for an element that no article text is in, AGAINST or DOUBTED for a container by its names, else 1."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return 0.0
     if tag in ("html", "body", "article", "main") or not attributes:
@@ -103,20 +112,22 @@ def _standing(tag: str, attributes: str, in_article: bool) -> float:
             for part in value.split():
                 words = set(_WORD.findall(part))
                 taken_back = words & ARTICLE and not words & FIRM
-                if words & APART and not taken_back:
-                    return 0.0
-                if words & DOUBTFUL and not taken_back and not in_article:
-                    doubt = DOUBTED
+                if taken_back or words - APART - DOUBTFUL - NEUTRAL - ARTICLE:
+                    continue
+                if words & APART:
+                    doubt = AGAINST
+                elif words & DOUBTFUL and not in_article:
+                    doubt = min(doubt, DOUBTED)
     return doubt
 
 
 class Node:
-    """A run of text: its block, its path, the elements on the path, its innermost section, and what a character of it counts."""
+    """A run of text: its block, its path, the elements on the path, its innermost section, what a character of it counts, and counts by its containers alone."""
 
-    __slots__ = ("text", "block", "path", "owners", "section", "weight", "tag")
+    __slots__ = ("text", "block", "path", "owners", "section", "weight", "standing", "tag")
 
-    def __init__(self, text: str, block: int, path: str, owners: tuple[tuple[int, str], ...], section: int, weight: float, tag: str):
-        self.text, self.block, self.path, self.owners, self.section, self.weight, self.tag = text, block, path, owners, section, weight, tag
+    def __init__(self, text: str, block: int, path: str, owners: tuple[tuple[int, str], ...], section: int, weight: float, standing: float, tag: str):
+        self.text, self.block, self.path, self.owners, self.section, self.weight, self.standing, self.tag = text, block, path, owners, section, weight, standing, tag
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -143,7 +154,7 @@ def text_nodes(page: str) -> list[Node]:
         weight = weights[-1] if weights else 1.0
         if text and weight:
             leaf = next((t for t in reversed(tags) if t in BLOCK), "")
-            nodes.append(Node(html.unescape(text), block, path, above, sections[-1] if sections else 0, weight * (LINKED if "a" in tags else 1.0), leaf))
+            nodes.append(Node(html.unescape(text), block, path, above, sections[-1] if sections else 0, weight * (LINKED if "a" in tags else 1.0), weight, leaf))
 
     while at < size:
         found = _TOKEN.search(page, at)
@@ -251,6 +262,8 @@ def main_text(page: str | None) -> str:
     if not inked:
         return ""
     chosen = [n for n, c in zip(inked, content_nodes(inked), strict=True) if c] or inked
+    if all(n.standing <= AGAINST for n in chosen):
+        return ""
     # the article: the innermost element over most of the content paths' text
     weight: dict[int, float] = {}
     place: dict[int, tuple[int, str]] = {}
@@ -280,6 +293,8 @@ def main_text(page: str | None) -> str:
     for node in inside:
         linked[node.block] = max(linked.get(node.block, 0.0), node.weight if node.text.strip() else 0.0)
     for k, node in enumerate(inside):
+        if node.standing < 1 and id(node) not in content:
+            continue
         if not (named or lead <= k <= last) and (linked[node.block] <= LINKED or node.section not in sections):
             continue
         blocks.setdefault(node.block, []).append(node.text)

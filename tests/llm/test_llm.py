@@ -509,7 +509,18 @@ PAGES = [
     (f"<article>{BODY}<h2 id='search-results'>What we found</h2><p>Short.</p></article>", [*WANT, "What we found", "Short."]),
     (f"<article>{BODY}<div id='notice'>Mind the step.</div></article>", [*WANT, "Mind the step."]),
     (f"<article>{BODY}<div class='comments'><p>{P2}</p></div><div class='ad'>{P3}</div></article><div class='notice'>{P1}</div>", WANT),
+    (f"<article>{BODY}<section class='related-work'><h2>Related work</h2><p>{P2}</p></section></article>", [*WANT, "Related work", P2]),
+    (f"<article>{BODY}<div class='share-price'>Shares fell 2 %.</div></article>", [*WANT, "Shares fell 2 %."]),
+    (f"<article>{BODY}<div class='menu-costs'>A menu cost 7 crowns.</div></article>", [*WANT, "A menu cost 7 crowns."]),
+    (f"<article>{BODY}<table class='navigation-data'><tr><td>7 am</td><td>2 m</td></tr></table></article>", [*WANT, "7 am", "2 m"]),
+    (f"<main>{BODY}<div class='social-history'><p>Mills came late.</p></div></main>", [*WANT, "Mills came late."]),
+    (f"<main>{BODY}<div id='login-guide'><p>Sign in first.</p></div></main>", [*WANT, "Sign in first."]),
+    (f"<article>{BODY}<div class='related-posts'><p>{P2}</p></div><div id='comment-list'><div><p>{P3}</p><p>{P1}</p></div></div><ul class='share-buttons'><li>Send</li></ul></article>", WANT),
+    (f"<main><article>{BODY}</article><section class='comments'><p>{P1}</p><p>{P2}</p></section></main>", WANT),
+    (f"<article><h1>High water</h1><p>{P1}</p><div class='ad'>Buy a boat, now!</div><p>{P2}</p><p>{P3}</p></article>", WANT),
 ]
+#: Of these the ones within article or main elements.
+INSIDE = [x for x in PAGES if "<article>" in x[0] or "<main>" in x[0]]
 
 
 @pytest.mark.parametrize("k", range(len(PAGES)))
@@ -522,7 +533,8 @@ def test_main_text_comes_from_the_choice_of_paths(monkeypatch):
     from corpusloom.llm import html_text
 
     monkeypatch.setattr(html_text, "content_nodes", lambda nodes: [True] * len(nodes))
-    assert sum(main_text(page).split("\n") != want for page, want in PAGES) >= 5
+    assert sum(main_text(page).split("\n") != want for page, want in PAGES) >= 9
+    assert sum(main_text(page).split("\n") != want for page, want in INSIDE) >= 3
 
 
 def test_extract_pages(spark):
