@@ -1,11 +1,14 @@
 """Licence statements in texts by conditional compression.
 
-Candidate blocks are the words around those that licences use. A block is compressed alone
-and with each template (a licence's name, tag and wording) as raw zstandard dictionary, and
-the templates are ranked by how many bytes they save. Winners are confirmed in that order by
-exact wording: the block must share enough of the template's words, and those that tell the
-licence from its kin, or name the licence with version and flavour after words that grant.
-What of a template's wording a block lacks or has otherwise is given with it.
+Candidate blocks are the words around those that licences use; clauses are what of them
+stands between stops around one such word. A block is compressed alone and with each long
+template (a licence's wording or opening) as raw zstandard dictionary, a clause with each
+short one (how a licence is granted by name). Templates are ranked by the share of the size
+that they take off; only those that take off enough, and not much less than the best, are
+winners. Winners are confirmed in that order by exact wording: a block must share enough of
+the template's words, and those that tell the licence from its kin; a clause must have the
+name with version and flavour after words that grant. What of a template's wording a block
+lacks or has otherwise is given with it.
 """
 
 from __future__ import annotations
@@ -47,6 +50,17 @@ TEMPLATES = {
     "CC-BY-NC-ND-4.0": _CC.format("Attribution-NonCommercial-NoDerivatives"),
 }
 
+# Openings of the whole texts of licences that TEMPLATES has notices of.
+PASSAGES = {
+    "GPL-2.0": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+    "GPL-3.0": "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+    "LGPL-2.1": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This license, the Lesser General Public License, applies to some specially designated software packages",
+    "LGPL-3.0": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "AGPL-3.0": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "Apache-2.0": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+    "MPL-2.0": "1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+}
+
 _CANDIDATE = re.compile(r"licen[sc]e|copyright|spdx|permission is hereby|permission to use|redistribution|all rights reserved|unencumbered|public domain|\bcc0\b|\bcc[- ]by\b|gpl|creative commons", re.IGNORECASE)
 #: One of these is in every text with a candidate word.
 _MARKS = ("licen", "copyright", "spdx", "permission", "redistribution", "all rights", "unencumbered", "public domain", "cc0", "cc by", "cc-by", "gpl", "creative commons")
@@ -110,6 +124,13 @@ KIN = {
     "BSD-2-Clause": (r"must\s+reproduce", r"neither\s+the\s+name|names?\s+of\s+(?:the|its)\s.{0,80}may\s+not\s+be\s+used|advertising\s+materials"),
     "BSD-3-Clause": (r"neither\s+the\s+name|names?\s+of\s+(?:the|its)\s.{0,80}may\s+not\s+be\s+used", r"advertising\s+materials"),
     "Unlicense": (r"unencumbered", r"$^"),
+    "GPL-2.0": (r"gnu\s+general\s+public\s+license\s+is\s+intended", r"$^"),
+    "GPL-3.0": (r"gnu\s+general\s+public\s+license\s+is\s+a\s+free", r"$^"),
+    "LGPL-2.1": (r"license,\s+the\s+lesser\s+general\s+public\s+license", r"$^"),
+    "LGPL-3.0": (r"lesser\s+general\s+public\s+license\s+incorporates", r"$^"),
+    "AGPL-3.0": (r"affero\s+general\s+public\s+license\s+is\s+a\s+free", r"$^"),
+    "Apache-2.0": (r"sections\s+1\s+through\s+9", r"$^"),
+    "MPL-2.0": (r"covered\s+software", r"$^"),
 }
 KIN = {n: (re.compile(a, re.DOTALL), re.compile(b, re.DOTALL)) for n, (a, b) in KIN.items()}
 
@@ -127,8 +148,21 @@ TITLES = {
 
 #: Words before which a grant is none.
 _DENIED = re.compile(r"(?:\b(?:not|never|neither|cannot)|n['’]t)\b[^.;]{0,40}$")
-#: Characters of a block before and after a candidate word, bytes that a template must save, and share of words that must match.
-BEFORE, AFTER, LEAST_SAVED, LEAST_MATCH = 220, 320, 2, 0.6
+#: Characters of a block before and after a candidate word, and of a clause at most.
+BEFORE, AFTER, CLAUSE = 220, 320, 110
+#: Share of a block's and of a clause's size that a winner takes off, at least, and share of what the best one takes off.
+BLOCK_SHARE, CLAUSE_SHARE, OF_BEST = 0.12, 0.35, 0.55
+#: Share of words that must match.
+LEAST_MATCH = 0.6
+#: Bytes that any compressed text has besides its content.
+FRAME = 9
+#: Words between a grant and a name that is not the granted one.
+_OTHER = re.compile(r"\b(?:not|nor|never|rather than|instead of|unlike)\s+(?:(?:under|by|for|of)\s+)?(?:the\s+|an?\s+)?(?:gnu\s+)?$")
+_STOP = re.compile(r"[;!?\n]|\.(?=\s|$)|:(?=\s)")
+_OR = re.compile(r",?[\s(/]\b(?:or|and)\b(?!/)|/(?=[a-z]{3})|,\s(?=the\s)")
+_VERSION_BELOW = re.compile(r"(licen[sc]e)\n+ ?(version \d)")
+#: How a licence is granted by name; {} is its title.
+_GRANTS = "this work is licensed under the {}. licensed under {}. released under the terms of the {}. this software is distributed under the {}. available under the {} license. subject to the terms of the {}. dedicated to the public domain under {}. "
 
 
 class Scanner:
@@ -137,15 +171,16 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard
 
+        def held(text: str):
+            content = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=3)
+            return zstandard.ZstdCompressor(level=3, dict_data=content)
+
         self.plain = zstandard.ZstdCompressor(level=3)
-        lower = {n: t.lower() for n, t in templates.items()}
-        self.words = {n: _WORD.findall(t) for n, t in lower.items()}
-        self.with_template = {}
-        for name, text in lower.items():
-            held = f"spdx-license-identifier: {name.lower()}\nlicensed under the {TITLES.get(name, name).lower()}\n{text}".encode()
-            held = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=3)
-            self.with_template[name] = zstandard.ZstdCompressor(level=3, dict_data=held)
+        # where a licence's opening is known, that is its wording, and its notice names it
+        self.words = {n: _WORD.findall(PASSAGES.get(n, t).lower()) for n, t in templates.items()}
+        self.long = {n: held(f"{t}\n{PASSAGES.get(n, '')}") for n, t in templates.items()}
+        self.short = {n: held(f"spdx-license-identifier: {n}\n{_GRANTS.replace('{}', TITLES.get(n, n))}{t}") for n, t in templates.items()}
 
     def blocks(self, flat: str) -> list[tuple[int, int]]:
         """Where the candidate blocks of a text lie: words around candidate words, joined where they meet."""
@@ -158,12 +193,32 @@ class Scanner:
                 out.append((start, end))
         return out
 
-    def ranked(self, block: str) -> list[tuple[int, str]]:
-        """(bytes saved, licence) of the templates that shrink a block enough, most first."""
-        data = block.encode()
+    def clauses(self, flat: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Where the clauses with a candidate word of a block lie; a clause ends at a stop, or where it is too long at a word."""
+        out: list[tuple[int, int]] = []
+        for m in _CANDIDATE.finditer(flat, start, end):
+            before = flat[max(0, m.start() - CLAUSE) : m.start()]
+            stops = [s.end() for s in _STOP.finditer(before)]
+            low = m.start() - len(before) + (stops[-1] if stops else before.find(" ") + 1 if len(before) == CLAUSE else 0)
+            stop = _STOP.search(flat, m.end(), min(len(flat), m.end() + CLAUSE))
+            high = stop.start() if stop else min(len(flat), m.end() + CLAUSE)
+            if (low, high) not in out:
+                out.append((low, high))
+        return out
+
+    @staticmethod
+    def alternatives(flat: str, low: int, high: int) -> list[tuple[int, int]]:
+        """The parts of a clause that may name a licence each."""
+        cuts = [low, *(m.start() for m in _OR.finditer(flat, low, high)), high]
+        return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if flat[a:b].strip()]
+
+    def ranked(self, part: str, dictionaries: dict, least: float) -> list[tuple[int, str]]:
+        """(bytes taken off, licence) of the winners for a block or clause, most first."""
+        data = part.strip().encode()
         alone = len(self.plain.compress(data))
-        saved = ((alone - len(c.compress(data)), name) for name, c in self.with_template.items())
-        return sorted(((n, name) for n, name in saved if n >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
+        saved = sorted(((alone - len(c.compress(data)), name) for name, c in dictionaries.items()), key=lambda x: (-x[0], x[1]))
+        least_saved = max(least * max(alone - FRAME, 1), OF_BEST * saved[0][0] if saved else 0)
+        return [(n, name) for n, name in saved if n > 0 and n >= least_saved]
 
     def wording(self, block: str, name: str) -> tuple[list[str], list[str]] | None:
         """Words of the template that a block lacks, and words that it has within the wording instead; None if it is not this wording."""
@@ -189,7 +244,7 @@ class Scanner:
                 return True
             clause = flat[max(0, m.start() - 220) : m.start()]
             granted = _GRANT.search(clause)
-            if granted and not _DENIED.search(clause[: granted.start()]):
+            if granted and not _DENIED.search(clause[: granted.start()]) and not _OTHER.search(clause[granted.start() :]):
                 return True
         return False
 
@@ -207,16 +262,22 @@ class Scanner:
             return []
         flat = re.sub(r"[ \t\r]+", " ", _LEADER.sub("\n", "\n" + _SPDX.sub(" ", text))).lstrip("\n").lower()
         found: dict[str, tuple[str, int, list[str], list[str]]] = {}
+        flat = _VERSION_BELOW.sub(r"\1 \2", flat)
         for start, end in self.blocks(flat):
             block = flat[start:end]
-            for saved, name in self.ranked(block):
-                if name in found and found[name][1] >= saved:
-                    continue
+            # a notice has the name within its wording
+            notices = {name for _, name in self.ranked(block, self.long, CLAUSE_SHARE)}
+            for saved, name in self.ranked(block, self.long, BLOCK_SHARE):
                 differences = self.wording(block, name)
-                if differences is None and self.named(flat, start, end, name):
+                if differences is None and name in notices and self.named(flat, start, end, name):
                     differences = [], []
-                if differences is not None:
+                if differences is not None and (name not in found or found[name][1] < saved):
                     found[name] = name, saved, *differences
+            for low, high in self.clauses(flat, start, end):
+                for at, to in self.alternatives(flat, low, high):
+                    for saved, name in self.ranked(("licensed under " if at > low else "") + flat[at:to], self.short, CLAUSE_SHARE):
+                        if name not in found and self.named(flat, at, to, name):
+                            found[name] = name, saved, [], []
         return [found[n] for n in sorted(found)]
 
     def tags(self, text: str | None) -> list[str]:

@@ -618,6 +618,9 @@ def test_license_wordings_that_are_not_templates(text, names):
     ("text", "names"),
     [
         ("This work is NOT licensed under the MIT License.", []),
+        ("We compared software under GPL version 3 with ours.", []),
+        ("Use it under the same terms as Perl itself, not the MIT License.", []),
+        ("Use it under the same terms as Perl itself and not the MIT License.", []),
         ("You aren't allowed to use it under the GNU GPL v3; it is released under the ISC license.", ["ISC"]),
         ("The driving license of 2024 was issued under the road act, version 2.", []),
         ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", ["0BSD"]),
@@ -632,23 +635,50 @@ def test_license_denials_and_kin(text, names):
 def test_license_ranking_and_differences():
     import zstandard
 
-    from corpusloom.llm.license_scan import LEAST_SAVED, TEMPLATES, Scanner
+    from corpusloom.llm.license_scan import BLOCK_SHARE, OF_BEST, PASSAGES, TEMPLATES, Scanner
 
     scanner = Scanner(TEMPLATES)
     block = TEMPLATES["BSD-3-Clause"].lower().replace("source and binary forms", "source or compiled forms").replace("specific prior written", "specific signed written")
     # brute force: the same sizes from fresh dictionaries, one template at a time
     alone, saved = len(zstandard.ZstdCompressor(level=3).compress(block.encode())), {}
     for name, text in TEMPLATES.items():
-        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = zstandard.ZstdCompressionDict(f"{text}\n{PASSAGES.get(name, '')}".lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         saved[name] = alone - len(zstandard.ZstdCompressor(level=3, dict_data=raw).compress(block.encode()))
-    ranked = scanner.ranked(block)
+    ranked = scanner.ranked(block, scanner.long, BLOCK_SHARE)
     assert ranked[0][1] == max(saved, key=saved.get) == "BSD-3-Clause" and [n for n, _ in ranked] == sorted((n for n, _ in ranked), reverse=True)
-    assert {name for name, n in saved.items() if n >= 4 * LEAST_SAVED} <= {name for _, name in ranked}
+    assert {name for name, n in saved.items() if n >= max(OF_BEST * max(saved.values()), BLOCK_SHARE * alone)} == {name for _, name in ranked}
     found = {m[0]: m for m in scanner.matches(block)}
     assert found.keys() == {"BSD-3-Clause"}
     assert found["BSD-3-Clause"][2] == ["and", "binary", "prior"] and found["BSD-3-Clause"][3] == ["or", "compiled", "signed"]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\nThe licenses for most software and other practical works are designed\nto take away your freedom to share and change the works.  By contrast,", "GPL-3.0"),
+        ("This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.", "LGPL-3.0"),
+        ("The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software.", "AGPL-3.0"),
+        ("TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction,\nand distribution as defined by Sections 1 through 9 of this document.", "Apache-2.0"),
+        ("1.1. \"Contributor\"\n means each individual or legal entity that creates, contributes to\n the creation of, or owns Covered Software under this license.", "MPL-2.0"),
+    ],
+)
+def test_openings_of_whole_texts(text, name):
+    from corpusloom.llm.license_scan import TEMPLATES, Scanner
+
+    assert name in Scanner(TEMPLATES).text(text)[1]
+
+
+def test_compression_decides(monkeypatch):
+    """With every template a winner, statements come out that are none."""
+    from corpusloom.llm.license_scan import TEMPLATES, Scanner
+
+    cases = ["We compared software under GPL version 3 with ours.", "Under the bridge they printed the old text of the Apache License, Version 2.0, on leaflets for visitors of the harbour."]
+    scanner = Scanner(TEMPLATES)
+    assert all(scanner.text(c)[1] == [] for c in cases)
+    monkeypatch.setattr(Scanner, "ranked", lambda self, part, dictionaries, least: [(1, n) for n in dictionaries])
+    assert all(Scanner(TEMPLATES).text(c)[1] for c in cases)
+
+
 def test_scan_licenses(spark):
     from corpusloom.llm.license_scan import TEMPLATES, scan_licenses
 
