@@ -10,7 +10,7 @@ from corpusloom.operators.vector import centroids, usable
 from corpusloom.plans.scratch import Scratch
 
 
-#: Below so many rows of a group a percentile is ranked among all of them, above only near it, so far on either side.
+#: Below so many rows of a group its values are aggregated together, above only those near the percentile are ranked, so far on either side.
 SMALL_GROUP, NEAR = 10_000, 0.002
 
 
@@ -23,17 +23,27 @@ def focus_columns(sim: Column) -> list[Column]:
 def percentiles(rows: DataFrame, value: str, points: dict[str, float], group: str | None = None) -> DataFrame:
     """One row a group (or one row) with the exact, interpolated percentiles, each under its name.
 
-    A sketch of bounded size brackets each percentile; only rows inside the bracket are
-    ranked, so no task holds a group's values. ``rows`` is read twice a point.
+    Groups of fewer than SMALL_GROUP rows have all theirs in one aggregation. In larger ones
+    a sketch of bounded size brackets each percentile, and only rows inside the bracket are
+    ranked, so no task holds a group's values; there ``rows`` is read twice a point.
     """
     g = F.col(group) if group else F.lit(0)
     held = rows.select(g.alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    named = [F.col("g").alias(group)] if group else []
+    together = lambda part: part.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(name) for name, p in points.items()]).select(*named, *points)
+    large = held.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL_GROUP).select("g")
+    if large.isEmpty():
+        return together(held)
+    return together(held.join(large, "g", "left_anti")).unionByName(_bracketed(held.join(large, "g", "left_semi"), points).select(*named, *points))
+
+
+def _bracketed(held: DataFrame, points: dict[str, float]) -> DataFrame:
+    """(g, the percentiles) of large groups (g, v)."""
     out = None
     for name, point in points.items():
         near = F.percentile_approx("v", F.array(F.lit(max(0.0, point - NEAR)), F.lit(min(1.0, point + NEAR))), 5_000)
-        small = F.count("*") < SMALL_GROUP
-        stats = held.groupBy("g").agg(F.count("*").alias("n"), F.when(small, F.min("v")).otherwise(near[0]).alias("lo"), F.when(small, F.max("v")).otherwise(near[1]).alias("hi"))
-        marked = held.join(stats if group else F.broadcast(stats), "g")
+        stats = held.groupBy("g").agg(F.count("*").alias("n"), near[0].alias("lo"), near[1].alias("hi"))
+        marked = held.join(stats, "g")
         below = marked.groupBy("g", "n").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
         order = Window.partitionBy("g").orderBy("v")
         inside = marked.where(F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("k", F.row_number().over(order))
@@ -42,7 +52,7 @@ def percentiles(rows: DataFrame, value: str, points: dict[str, float], group: st
         found = first.groupBy("g", "n").agg(F.min_by("v", "k").alias("a"), F.max_by("v", "k").alias("b"))
         found = found.select("g", (F.col("a") + (at - F.floor(at)) * (F.col("b") - F.col("a"))).alias(name))
         out = found if out is None else out.join(found, "g")
-    return out.select(F.col("g").alias(group), *points) if group else out.select(*points)
+    return out
 
 
 def with_drift(vectors: DataFrame, section: str = "section") -> DataFrame:

@@ -139,10 +139,9 @@ def centroids(vectors: DataFrame, group: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(codes)), made, pa.array(counts, pa.int64())], names=["g", "s", "n"])
 
     parts = rows.mapInArrow(add, f"g {kind}, s array<double>, n long")
-    total = parts.groupBy("g").agg(F.sum("n").alias("n"))
-    sums = parts.select("g", F.posexplode("s").alias("pos", "x")).groupBy("g", "pos").agg(F.sum("x").alias("x"))
+    sums = parts.select("g", "n", F.posexplode("s").alias("pos", "x")).groupBy("g", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     # a list has as many items as a vector components
-    gathered = sums.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p")).join(total, "g")
+    gathered = sums.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("p"), F.max("n").alias("n"))
     mean = F.transform("p", lambda p: p["x"] / F.col("n"))
     return gathered.select(*([F.col("g").alias(group)] if group else []), mean.alias("centroid"), "n")
 
