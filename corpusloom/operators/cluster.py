@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors as V
 from corpusloom.operators.audit import robust_rescale
 from corpusloom.operators.density import Sizes, density_labels
+from corpusloom.operators.layout import fuzzy_graph, layout
 from corpusloom.operators.order import numbered
 from corpusloom.operators.tree import with_ancestors
+from corpusloom.operators.vector import usable
 from corpusloom.plans.scratch import Scratch
 
 def density_clusters(rows: DataFrame, group: str, scratch: Scratch, least: int = 5, samples: int = 3, most: int = 5, sizes: Sizes | None = None) -> DataFrame:
@@ -97,12 +99,26 @@ def cluster_centres(points: DataFrame, k: int) -> DataFrame:
     return every.join(found, "cluster", "left").select("cluster", F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"), F.coalesce("size", F.lit(0)).alias("size"))
 
 
-def map_2d(rows: DataFrame) -> DataFrame:
-    """(id, x, y): principal components of unit vectors, rescaled to their percentiles. A declared substitute for a non-linear map."""
+def components_2d(rows: DataFrame) -> DataFrame:
+    """(id, x, y): the first two principal components of unit vectors."""
     made = rows.select("id", array_to_vector(V.normalize(F.col("vec"))).alias("features"))
     axes = PCA(k=2, inputCol="features", outputCol="xy").fit(made).transform(made)
     xy = vector_to_array(F.col("xy"))
-    return robust_rescale(axes.select("id", xy[0].alias("x"), xy[1].alias("y")), ["x", "y"])
+    return axes.select("id", xy[0].alias("x"), xy[1].alias("y"))
+
+
+def map_2d(rows: DataFrame, scratch: Scratch, neighbours: int = 15) -> DataFrame:
+    """(id, x, y): a map that keeps neighbourhoods, rescaled to its percentiles. Principal components are where it begins.
+
+    Rows without a usable vector are left out; one row or two lie where the components are.
+    """
+    own = usable(rows).select(F.col("id").cast("long").alias("id"), "vec")
+    if own.isEmpty():
+        return own.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    start = scratch.table(components_2d(own), "components")
+    wide = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first().m or 1.0
+    spread = start.select("id", (F.col("x") * 10 / F.lit(wide)).alias("x"), (F.col("y") * 10 / F.lit(wide)).alias("y"))
+    return robust_rescale(layout(spread, fuzzy_graph(own, neighbours, scratch), scratch), ["x", "y"])
 
 
 def subclusters(clusters: DataFrame, pages: DataFrame, scratch: Scratch) -> DataFrame:

@@ -637,10 +637,10 @@ def sequential_clusters(spark, sf_dir):
 
 @query()
 def map_points(spark, sf_dir):
-    """Two coordinates of each vector (V16's declared substitute, K3)."""
+    """Two coordinates of each vector on a map that keeps neighbourhoods."""
     from corpusloom.operators.cluster import map_2d
 
-    return map_2d(page_vectors(spark, sf_dir))
+    return map_2d(page_vectors(spark, sf_dir), Scratch(spark, "map"))
 
 
 @query("SELECT section AS cluster, min(x) AS x, count(*) AS size FROM (SELECT label AS section, round(avg(CAST(embedding[1] AS DOUBLE)) OVER (PARTITION BY label), 6) AS x FROM embeddings) GROUP BY section")
