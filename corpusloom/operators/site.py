@@ -113,10 +113,10 @@ def asset_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
 def menu_entries(pages: DataFrame, menus: DataFrame, menu: str) -> DataFrame:
     """(path, name, url, active) for each page and entry of one menu; active is the page's own entry.
 
-    A menu is small by nature: the entries of one menu, gathered to one row.
+    Pages meet the entries of that menu, as asked; Spark ships them only while they are small.
     """
-    own = menus.where(F.col("menu") == menu).agg(F.sort_array(F.collect_list(F.struct("weight", "name", "url"))).alias("entries"))
-    rows = pages.crossJoin(F.broadcast(own)).select("path", F.explode("entries").alias("e"))
+    own = menus.where(F.col("menu") == menu).select(F.struct("weight", "name", "url").alias("e"))
+    rows = pages.select("path").crossJoin(own)
     return rows.select("path", "e.name", "e.url", F.col("path").eqNullSafe(F.col("e.url")).alias("active"))
 
 

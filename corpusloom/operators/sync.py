@@ -12,9 +12,9 @@ from corpusloom.functions.urls import ensure_slashes, split_slug
 def missing_translations(english: DataFrame, languages: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
     """(rel_path, lang) of every English file and target language that has no file; all of them if forced.
 
-    The list of languages is small by nature: it is a dimension of the site.
+    All files meet all languages, as asked; Spark ships the languages only while they are small.
     """
-    every = english.select("rel_path").distinct().crossJoin(F.broadcast(languages.select("lang").distinct().where("lang <> 'en'")))
+    every = english.select("rel_path").distinct().crossJoin(languages.select("lang").distinct().where("lang <> 'en'"))
     return every if force else every.join(existing.select("rel_path", "lang"), ["rel_path", "lang"], "left_anti")
 
 
@@ -28,7 +28,7 @@ def missing_keys(i18n: DataFrame, source: str = "en") -> DataFrame:
     """(lang, key, value): keys that a language lacks, with the source's value. i18n: lang, key, value."""
     base = i18n.where(F.col("lang") == source).groupBy("key").agg(F.first("value").alias("value"))
     langs = i18n.select("lang").distinct().where(F.col("lang") != source)
-    return base.crossJoin(F.broadcast(langs)).join(i18n.select("lang", "key"), ["lang", "key"], "left_anti").select("lang", "key", "value")
+    return base.crossJoin(langs).join(i18n.select("lang", "key"), ["lang", "key"], "left_anti").select("lang", "key", "value")
 
 
 def synced_keys(i18n: DataFrame, source: str = "en") -> DataFrame:
@@ -116,6 +116,10 @@ def distinct_host_policy(urls: DataFrame) -> DataFrame:
     return urls.agg(F.when(n == 0, F.lit(None).cast("boolean")).otherwise(n == 1).alias("prefix"))
 
 
+#: Brand names that a site may have.
+BRAND_ROWS = 10_000
+
+
 def resolve_urls(pages: DataFrame, owned: DataFrame, history: DataFrame, brands: DataFrame, passthrough: list[str], english_languages: list[str], language_prefix: bool = True, aliases: bool = True, longest: int = 80) -> DataFrame:
     """(rel_path, lang, url, alias, reason): the address of each translated page.
 
@@ -126,7 +130,9 @@ def resolve_urls(pages: DataFrame, owned: DataFrame, history: DataFrame, brands:
     An address that another page owns falls back to the English slug, or to none where that
     is owned too. Pages that claim one address in the same run: the first by path has it.
     """
-    words = brands.agg(F.collect_set("word").alias("brands"))  # a site's product names
+    if brands.limit(BRAND_ROWS + 1).count() > BRAND_ROWS:
+        raise ValueError(f"more than {BRAND_ROWS} brand names: every address would be searched for each")
+    words = brands.agg(F.collect_set("word").alias("brands"))
     rows = pages.join(history, ["rel_path", "lang"], "left").crossJoin(F.broadcast(words))
     en = split_slug(ensure_slashes(F.col("en_url")))
     join = lambda *parts: ensure_slashes(F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), "/"))

@@ -379,6 +379,23 @@ def body_checks(spark, sf_dir):
     return docs.join(first, "source").select("doc_id", H.check_body(F.col("body"), F.col("reference")).alias("problems"))
 
 
+_BROKEN = "text || CASE lang WHEN 'en' THEN chr(10) || '{{< cta > %}}' WHEN 'de' THEN chr(10) || '{{% box %>}}' WHEN 'es' THEN chr(10) || '{{< box > } x' WHEN 'fr' THEN chr(10) || '{\"a\": 1,}' ELSE '' END"
+
+
+@query(rf"""
+    WITH b AS (SELECT doc_id, lang, {_BROKEN} AS body, len(string_split(text, chr(10))) + 1 AS line FROM documents)
+    SELECT doc_id, CASE lang WHEN 'en' THEN ['malformed shortcode {{{{< cta > %}}'] WHEN 'de' THEN ['malformed shortcode {{{{% box %>}}}}'] WHEN 'es' THEN ['malformed shortcode {{{{< box > }}']
+           ELSE ['line ' || line || ': Illegal trailing comma before end of object: line 1 column 8 (char 7)'] END AS problems,
+           len(regexp_extract_all(body, '(?m)^##\s+\S')) < len(regexp_extract_all(body || CASE WHEN lang = 'en' THEN chr(10) || '## more' ELSE '' END, '(?m)^##\s+\S')) AS truncated
+    FROM b
+""")
+def broken_bodies(spark, sf_dir):
+    """Whole texts with a malformed shortcode or broken JSON put at their ends, and texts that lack a heading of their source."""
+    end = F.when(F.col("lang") == "en", "\n{{< cta > %}}").when(F.col("lang") == "de", "\n{{% box %>}}").when(F.col("lang") == "es", "\n{{< box > } x").when(F.col("lang") == "fr", '\n{"a": 1,}').otherwise("")
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat("text", end).alias("body"), F.when(F.col("lang") == "en", "\n## more").otherwise("").alias("more"))
+    return rows.select("doc_id", H.check_body(F.col("body"), F.lit(None).cast("string")).alias("problems"), H.truncated(F.col("body"), F.concat("body", "more")).alias("truncated"))
+
+
 @query(r"""
     SELECT doc_id, list_sort(list_distinct([lang, source])) AS opened, CASE WHEN lang = 'en' THEN [] ELSE [lang] END AS closed FROM documents
 """)
