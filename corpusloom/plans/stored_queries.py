@@ -105,6 +105,25 @@ def status_cache(spark, sf_dir):
     return read_published(spark, root)
 
 
+@query("""
+    WITH r AS (SELECT doc_id AS pos, 'https://h/' || CASE WHEN lang = 'en' THEN 'football' ELSE 'x' END || '/' || doc_id || '?a=1&b=2' AS loc, CASE WHEN lang = 'en' THEN 'football' ELSE 'general' END AS section, '2025-01-0' || (1 + n_chars % 9) AS lastmod FROM documents),
+    k AS (SELECT *, (row_number() OVER (PARTITION BY section ORDER BY pos) - 1) // 50 AS chunk FROM r)
+    SELECT section, CAST(chunk AS INT) AS chunk, loc, lastmod FROM k
+""")
+def sitemap_documents(spark, sf_dir):
+    """Site map files of fifty addresses as XML, written and read back (K9)."""
+    from corpusloom.operators import crawl
+
+    scratch = Scratch(spark, "sitemap")
+    day = F.concat(F.lit("2025-01-0"), (F.col("n_chars") % 9 + 1).cast("string"))
+    loc = F.concat(F.lit("https://h/"), F.when(F.col("lang") == "en", "football").otherwise("x"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("?a=1&b=2"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), loc.alias("loc"), day.alias("lastmod"))
+    sinks.sitemap_files(crawl.split_sitemap(rows, 50), f"{scratch.root}/files")
+    lines = spark.read.text(f"{scratch.root}/files").where(F.col("value").contains("<url>"))
+    part = lambda tag: F.replace(F.regexp_extract("value", f"<{tag}>([^<]*)</{tag}>", 1), F.lit("&amp;"), F.lit("&"))
+    return lines.select("section", F.col("chunk").cast("int").alias("chunk"), part("loc").alias("loc"), part("lastmod").alias("lastmod"))
+
+
 # ---- files as sources ----
 
 
