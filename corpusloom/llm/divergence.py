@@ -194,7 +194,7 @@ def term_counts(docs: DataFrame, audit: Audit, scratch: Scratch) -> DataFrame:
         give_back()
 
     sent = docs.select("lang", "source", "text").mapInArrow(send, "part long, fine long, blob binary")
-    dealt = sent.repartition(count, "part").sortWithinPartitions("part", "fine")
+    dealt = sent.repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("part", "fine")
     return scratch.table(dealt.mapInArrow(gather, "lang string, source string, term string, n long, n_lang long, first int"), "counts")
 
 
