@@ -130,18 +130,18 @@ def page_faqs(pages: DataFrame, shown: DataFrame) -> DataFrame:
     return pages.join(gathered, "path", "left").select("path", F.coalesce("__shown", "faq").alias("faq")).where(F.size("faq") > 0)
 
 
-def similarity_lines(members: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
+def similarity_lines(members: DataFrame, counts: DataFrame, best: DataFrame, most: int = 10) -> DataFrame:
     """Lines (group_id, part, rank, line) of a report of similar pages: of each group its head, its members and its first pairs.
 
-    members: group_id, id, section, url, title. pairs: a, b, sim. The rows sort into the report.
+    members: group_id, id, section, url, title. counts: group_id, n_pairs, most (the largest
+    similarity). best: group_id, a, b, sim, rank, the first ``most`` pairs. The rows sort into
+    the report; a group without a pair has none.
     """
-    place = members.select(F.col("id").alias("a"), "group_id", F.col("url").alias("a_url"))
-    inside = pairs.join(place, "a").join(members.select(F.col("id").alias("b"), F.col("url").alias("b_url")), "b")
-    best = Window.partitionBy("group_id").orderBy(F.col("sim").desc(), "a", "b")
-    ranked = inside.withColumn("rank", F.row_number().over(best))
+    members = members.join(counts.select("group_id"), "group_id", "left_semi")
+    place = members.select(F.col("id").alias("a"), F.col("url").alias("a_url"))
+    inside = best.join(place, "a").join(members.select(F.col("id").alias("b"), F.col("url").alias("b_url")), "b")
     percent = lambda c: F.format_string("%.1f%%", c * 100)
-    shown = ranked.where(F.col("rank") <= most).select("group_id", F.lit(2).alias("part"), F.col("rank").cast("long").alias("rank"), F.concat(percent(F.col("sim")), F.lit(": "), "a_url", F.lit(" <-> "), "b_url").alias("line"))
-    counts = inside.groupBy("group_id").agg(F.count("*").alias("n_pairs"), F.max("sim").alias("most"))
+    shown = inside.select("group_id", F.lit(2).alias("part"), F.col("rank").cast("long").alias("rank"), F.concat(percent(F.col("sim")), F.lit(": "), "a_url", F.lit(" <-> "), "b_url").alias("line"))
     more = counts.where(F.col("n_pairs") > most).select("group_id", F.lit(3).alias("part"), F.lit(0).cast("long").alias("rank"), F.format_string("... and %d more pairs", F.col("n_pairs") - most).alias("line"))
     sizes = members.groupBy("group_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(F.coalesce(F.nullif(F.col("section"), F.lit("")), F.lit("root")))), ", ").alias("sections"))
     head = sizes.join(counts, "group_id").select("group_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("rank"), F.concat(F.format_string("%d pages | ", "n"), percent(F.col("most")), F.lit(" max | Sections: "), "sections").alias("line"))

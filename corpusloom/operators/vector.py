@@ -74,6 +74,38 @@ def threshold_pairs(vectors: DataFrame, least: float, group: str | None = None)
     return dealt.groupBy("g", "i", "j").applyInArrow(score, "a long, b long, sim double")
 
 
+def pair_summary(vectors: DataFrame, least: float, group: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs of ``threshold_pairs``: (group, n_pairs, most) and (group, a, b, sim, rank) of the first ``most`` of each group, by similarity, a and b.
+
+    A pair of blocks gives its count and its first pairs, so no other pair leaves a task.
+    """
+    dealt = block_pairs(usable(vectors), group, True)
+
+    def score(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, side = np.asarray(table.column("id")), np.asarray(table.column("side"))
+        units = _matrix(table.column("vec"))
+        sims = np.clip(units @ units.T, -1, 1)
+        hit = (sims >= least) & (ids[:, None] < ids[None, :])
+        if i != j:
+            hit &= side[:, None] != side[None, :]
+        a, b = np.nonzero(hit)
+        found = sims[a, b]
+        first = np.lexsort((ids[b], ids[a], -np.round(found, 12)))[:most]
+        # the count and the largest come with the first row
+        n = np.zeros(len(first), np.int64)
+        n[:1] = len(found)
+        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(first), pa.string()), "a": ids[a[first]], "b": ids[b[first]], "sim": found[first], "n": n})
+
+    found = dealt.groupBy("g", "i", "j").applyInArrow(score, "g string, a long, b long, sim double, n long")
+    kind = vectors.schema[group].dataType
+    named = F.col("g").cast(kind).alias(group)
+    counts = found.groupBy("g").agg(F.sum("n").alias("n_pairs"), F.max("sim").alias("most")).select(named, "n_pairs", "most")
+    order = Window.partitionBy("g").orderBy(F.round("sim", 12).desc(), "a", "b")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return counts, best.select(named, "a", "b", "sim", "rank")
+
+
 def equal_classes(vectors: DataFrame, group: str | None = None) -> DataFrame:
     """(id, vec, class_id, copies) of usable vectors: class_id is the smallest id of those equal to it, copies their number.
 

@@ -195,11 +195,10 @@ _SAME = """
 def similarity_report(spark, sf_dir):
     """Lines of the report of similar pages, with the first ten pairs of each group (K6)."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("group_id"), F.col("embedding").alias("vec"))
-    pairs = vector.threshold_pairs(rows.select("id", "vec", "group_id"), 0.3, "group_id")
+    counts, best = vector.pair_summary(rows, 0.3, "group_id", 10)
     section = F.when(F.col("group_id") == 0, "").otherwise(F.concat(F.lit("s"), F.col("group_id").cast("string")))
     members = rows.select("group_id", "id", section.alias("section"), F.format_string("/%d/", "id").alias("url"), F.lit("t").alias("title"))
-    inside = members.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(members.select("id", "group_id"), "id").select("group_id").distinct(), "group_id", "left_semi")
-    return site.similarity_lines(inside, pairs)
+    return site.similarity_lines(members, counts, best)
 
 
 @query("SELECT doc_id AS source FROM documents ORDER BY n_chars % 100 DESC, length(source) DESC, doc_id LIMIT 10")
