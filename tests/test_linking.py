@@ -5,10 +5,10 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import linking as L
+from corpusloom.operators.vector import hashing_encoder
 from corpusloom.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -19,7 +19,8 @@ NOUNS = "engine lamp river garden window bridge harbour valley copper violin lan
 VERBS = "holds carries follows crosses paints repairs".split()
 
 
-def site(seed):
+def site(seed, whole=True):
+    """Pages, and paragraphs that name a page by its title, or else by one word of it."""
     rng = random.Random(seed)
     pages, paragraphs = [], []
     noise = np.random.default_rng(seed)
@@ -33,7 +34,7 @@ def site(seed):
             words = []
             for _ in range(rng.randint(4, 9)):
                 words += [rng.choice(["the", "an old", "every"]), rng.choice([*NOUNS, *other["title"].lower().split()]), rng.choice(VERBS)]
-            body = " ".join(words[:12]) + f" {other['title'].lower()} " + " ".join(words[12:]) + "."
+            body = " ".join(words[:12]) + f" {other['title'].lower() if whole else other['title'].split()[1]} " + " ".join(words[12:]) + "."
             paragraphs.append({"id": page["id"], "para": para, "text": body, "vec": other["vec"] + noise.normal(size=6) * 0.3})
     for row in [*pages, *paragraphs]:
         row["vec"] = (row["vec"] / np.linalg.norm(row["vec"])).tolist()
@@ -44,7 +45,7 @@ def lexical(phrase, page, limits):
     low = phrase.lower()
     content = [w for w in (x.strip(".'’") for x in L.words_of(low)) if w not in X.STOPWORDS]
     if not content:
-        return 0.0, False
+        return 0.0, False, 0.0, 0.0, 0
     title, slug = page["title"].lower(), " ".join(re.sub(r"[/_-]", " ", page["url"].lower()).split())
     keywords = [k.lower().strip() for k in page["keywords"]]
     own = [k for k in keywords if any(w not in X.STOPWORDS and w not in limits.generic for w in L.words_of(k))]
@@ -54,52 +55,74 @@ def lexical(phrase, page, limits):
     matched = [w for w in content if w in terms]
     specific = [w for w in matched if w not in limits.generic]
     score = bonus + label + 0.45 * len(matched) / len(content) + 0.35 * len(specific) / len(content) + min(0.10, max(len(content) - 2, 0) * 0.025)
-    return score, bonus > 0 or (len(content) >= 2 and len(specific) > 0)
+    return score, bonus > 0 or (len(content) >= 2 and len(specific) > 0), bonus, len(matched) / len(content), len(content)
 
 
-def by_hand(pages, paragraphs, limits):
+def by_hand(pages, paragraphs, limits, liked=None, encode=None):
+    """liked: weights of preferred pages by id."""
+    liked = liked or {}
     wanted = [p for p in paragraphs if len(L.words_of(p["text"])) >= 18]
+    least = min(limits.anchor, limits.preferred_anchor)
     out = []
     for page in pages:
         own = [p for p in wanted if p["id"] == page["id"]]
         if not own:
             continue
         centre = np.mean([p["vec"] for p in own], axis=0)
-        used, links = set(), 0
+        used, links, eased_links = set(), 0, 0
         for p in sorted(own, key=lambda p: p["para"]):
-            fits = sorted(((-round(float(np.dot(p["vec"], t["vec"])), 12), t["id"]) for t in pages))[: limits.targets]
+            plain = {t["id"]: float(np.dot(p["vec"], t["vec"])) for t in pages}
+            near = sorted(plain, key=lambda i: (-round(plain[i], 12), i))[: limits.targets]
+            fits = {i: plain[i] + liked.get(i, 0.0) * limits.boost for i in {*near, *liked}}
             taken = 0
-            for minus, target in fits:
-                t = pages[target]
-                fit = float(np.dot(p["vec"], t["vec"]))
+            for target in sorted(fits, key=lambda i: (-round(fits[i], 12), i))[: limits.targets]:
+                t, fit = pages[target], fits[target]
                 lift = fit - float(np.dot(centre, t["vec"]))
-                if target == page["id"] or t["url"] in page["existing"] or taken >= limits.per_paragraph or links >= limits.per_page or target in used:
-                    continue
-                if fit < limits.similarity or lift < limits.lift:
+                eased = target in liked and eased_links < limits.preferred_per_page
+                floors = (limits.preferred_similarity, limits.preferred_lift, limits.preferred_anchor) if eased else (limits.similarity, limits.lift, limits.anchor)
+                if target == page["id"] or t["url"] in page["existing"] or taken >= limits.per_paragraph or not (links < limits.per_page or eased) or target in used:
                     continue
                 scored = [(lexical(a, t, limits), k, a) for k, a in enumerate(L.anchor_phrases(p["text"], limits))]
-                good = sorted((-s, k, a) for (s, specific), k, a in scored if specific and s > 0)
+                good = sorted((-x[0], k, a, x) for x, k, a in scored if x[1] and x[0] > 0)[: limits.anchors]
                 if not good:
                     continue
-                score = 0.72 * -good[0][0] + min(0.14, max(0.0, fit - 0.55) * 0.45) + min(0.10, max(0.0, lift) * 1.8)
-                if score < limits.anchor:
+                gain = min(0.14, max(0.0, fit - 0.55) * 0.45) + min(0.10, max(0.0, lift) * 1.8)
+                score, anchor = 0.72 * -good[0][0] + gain, good[0][2]
+                if score < least and encode is not None:
+                    rated = []
+                    for _, k, a, (_, _, bonus, overlap, n) in good:
+                        sure = max(0.0, min(1.0, (max(-1.0, min(1.0, float(np.dot(encode([a])[0], t["vec"])))) + 1) / 2))
+                        rated.append((0.48 * sure + 0.26 * overlap + gain + min(0.10, max(n - 2, 0) * 0.025) + bonus, -k, a))
+                    score, _, anchor = max(rated)
+                if any(x < floor for x, floor in zip((fit, lift, score), floors, strict=True)):
                     continue
-                out.append((page["id"], p["para"], target, good[0][2], round(fit, 4), round(lift, 4), round(score, 4)))
+                out.append((page["id"], p["para"], target, anchor, round(fit, 4), round(lift, 4), round(score, 4)))
                 used.add(target)
-                links, taken = links + 1, taken + 1
+                links, taken, eased_links = links + 1, taken + 1, eased_links + (target in liked)
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_recommendations_by_hand(spark, seed):
-    pages, paragraphs = site(seed)
-    limits = L.LinkLimits(similarity=0.3, lift=-0.2, anchor=0.2)
+PLAIN = L.LinkLimits(similarity=0.3, lift=-0.2, anchor=0.2)
+EASED = L.LinkLimits(similarity=0.5, lift=0.0, anchor=0.3, preferred_similarity=0.1, preferred_lift=-0.6, preferred_anchor=0.15, preferred_per_page=2, per_page=2, boost=0.3, targets=5)
+BY_VECTOR = L.LinkLimits(similarity=0.2, lift=-0.3, anchor=0.6, preferred_anchor=0.6)
+
+
+@pytest.mark.parametrize(("seed", "limits", "liked", "vectors"), [(1, PLAIN, None, False), (2, PLAIN, None, False), (3, EASED, {2: 1.0, 5: 0.5, 9: 2.0}, False), (4, BY_VECTOR, None, True)])
+def test_recommendations_by_hand(spark, seed, limits, liked, vectors):
+    pages, paragraphs = site(seed, not vectors)
+    encode = hashing_encoder(6) if vectors else None
     frame = spark.createDataFrame([tuple(p.values()) for p in pages], "id long, url string, title string, description string, keywords array<string>, existing array<string>, vec array<double>")
     lines = spark.createDataFrame([tuple(p.values()) for p in paragraphs], "id long, para int, text string, vec array<double>")
-    got = sorted((r.source, r.paragraph_index, r.target, r.text, r.fit, r.lift, r.anchor_score) for r in L.recommend_links(frame, lines, limits).collect())
-    want = by_hand(pages, paragraphs, limits)
-    assert [g[:4] for g in got] == [w[:4] for w in want] and len(want) > 10
+    preferred = spark.createDataFrame([(pages[i]["url"], w) for i, w in liked.items()], "url string, weight double") if liked else None
+    found = L.recommend_links(frame, lines, limits, preferred, encode).collect()
+    got = sorted((r.source, r.paragraph_index, r.target, r.text, r.fit, r.lift, r.anchor_score) for r in found)
+    want = by_hand(pages, paragraphs, limits, liked, encode)
+    assert [g[:4] for g in got] == [w[:4] for w in want] and len(want) > 8
     assert np.allclose([g[4:] for g in got], [w[4:] for w in want], atol=1.01e-4)
+    if vectors:  # some anchors are there only by their vectors
+        assert len(want) > len(by_hand(pages, paragraphs, limits))
+    if liked:
+        assert len({w[:3] for w in want} - {w[:3] for w in by_hand(pages, paragraphs, limits)}) > 0
 
 
 # ---- rules ----
