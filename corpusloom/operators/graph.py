@@ -70,12 +70,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return roots.join(least, "root").select("node", "component")
 
 
-def groups(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def groups(pairs: DataFrame, scratch: Scratch, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
     """Similarity groups of more than one member from pairs (a, b, sim): (groups, members).
 
     groups: group_id (smallest member), n_members, max_sim. members: group_id, member, degree
     and rank (by falling number of connections, then by id), a row each, so that no group is
-    gathered in one place. Pairs in both directions or repeated count once.
+    gathered in one place; without ``ranked`` members have no rank. Pairs in both directions
+    or repeated count once.
     """
     pairs = scratch.table(
         pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim")), "pairs"
@@ -84,7 +85,11 @@ def groups(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     members = found.join(degrees(pairs), "node").select(F.col("component").alias("group_id"), F.col("node").alias("member"), "degree")
     best = pairs.join(found, pairs["a"] == found["node"]).groupBy("component").agg(F.max("sim").alias("max_sim"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n_members")).join(best, "component")
-    return sizes.select(F.col("component").alias("group_id"), "n_members", "max_sim"), numbered(members.withColumn("down", -F.col("degree")), ["group_id"], ["down", "member"], "rank", scratch).withColumn("rank", F.col("rank") + 1).drop("down")
+    found_groups = sizes.select(F.col("component").alias("group_id"), "n_members", "max_sim")
+    if not ranked:
+        return found_groups, members
+    placed = numbered(members.withColumn("down", -F.col("degree")), ["group_id"], ["down", "member"], "rank", scratch)
+    return found_groups, placed.withColumn("rank", F.col("rank") + 1).drop("down")
 
 
 def greedy_groups(pairs: DataFrame, scratch: Scratch, most: int | None = 1000) -> DataFrame:

@@ -189,7 +189,7 @@ def similarity_groups(spark, sf_dir):
     scratch = Scratch(spark, "groups")
     classes, pairs = similar_edges(spark, sf_dir, scratch)
     copies = classes.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    found, _ = graph.groups(pairs.union(copies), scratch)
+    found, _ = graph.groups(pairs.union(copies), scratch, ranked=False)
     return found.select("group_id", "n_members", six("max_sim").alias("max_sim"))
 
 
