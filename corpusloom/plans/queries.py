@@ -687,11 +687,12 @@ def link_recommendations(spark, sf_dir):
 
 @query()
 def page_keywords(spark, sf_dir):
-    """Keywords of each document's beginning."""
+    """Keywords of each whole document, its lines taken for headings."""
     from corpusloom.operators.keywords import page_keywords as extract
 
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", extract(F.substring_index("text", "\n", 1), F.lit(""), F.col("text")).alias("keywords"))
+    headed = F.concat(F.lit("# "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n# ")))
+    return docs.select("doc_id", extract(F.lit(""), F.lit(""), headed).alias("keywords"))
 
 
 @query()
