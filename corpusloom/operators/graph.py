@@ -9,6 +9,9 @@ edges are left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,17 @@ def _priority(node, turn: int):
     return F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), node.alias("node"))
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges of a graph that one task may take whole.
+WHOLE_EDGES = 1 << 18
+
+
+def components(edges: DataFrame, scratch: Scratch, whole: int = 0) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     ``edges`` has the columns a and b, of one type that has an order. Self loops, repeated edges, either direction
-    and rows with a null end are allowed; they add nothing. No edges give no rows.
+    and rows with a null end are allowed; they add nothing. No edges give no rows. Where no
+    more than ``whole`` edges are left one task takes them all, with the same result; the
+    nodes are whole numbers then.
     """
     left = scratch.table(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -32,6 +41,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         .distinct(),
         "edges",
     )
+    if whole and left.limit(whole + 1).count() <= whole:
+        return left.coalesce(1).mapInPandas(_united, "node long, component long")
     levels: list[DataFrame] = []
     turn = 0
     while not left.isEmpty():
@@ -70,6 +81,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return roots.join(least, "root").select("node", "component")
 
 
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of all edges that come."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for frame in frames:
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "component": pd.Series([root(i) for i in nodes], dtype="int64")})
+
+
 def groups(pairs: DataFrame, scratch: Scratch, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
     """Similarity groups of more than one member from pairs (a, b, sim): (groups, members).
 
@@ -81,7 +110,7 @@ def groups(pairs: DataFrame, scratch: Scratch, ranked: bool = True) -> tuple[Dat
     pairs = scratch.table(
         pairs.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim")), "pairs"
     )
-    found = scratch.table(components(pairs.select("a", "b"), scratch), "found")
+    found = scratch.table(components(pairs.select("a", "b"), scratch, WHOLE_EDGES), "found")
     members = found.join(degrees(pairs), "node").select(F.col("component").alias("group_id"), F.col("node").alias("member"), "degree")
     best = pairs.join(found, pairs["a"] == found["node"]).groupBy("component").agg(F.max("sim").alias("max_sim"))
     sizes = found.groupBy("component").agg(F.count("*").alias("n_members")).join(best, "component")

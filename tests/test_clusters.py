@@ -193,6 +193,16 @@ def test_greedy_groups_are_the_loop(spark, seed):
     assert sorted(map(tuple, graph.greedy_groups(frame, Scratch(spark, "g"), 2).collect())) == [x for x in want if x[0] in two]
 
 
+def test_components_in_one_task_and_by_rounds(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(None, 1), (5, 5)]
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    by_rounds = sorted(map(tuple, graph.components(frame, Scratch(spark, "c")).collect()))
+    assert sorted(map(tuple, graph.components(frame, Scratch(spark, "c"), 1000).collect())) == by_rounds and len(by_rounds) > 100
+    assert sorted(map(tuple, graph.components(frame, Scratch(spark, "c"), 10).collect())) == by_rounds
+    assert graph.components(frame.limit(0), Scratch(spark, "c"), 10).collect() == []
+
+
 def test_greedy_groups_of_nothing(spark):
     assert graph.greedy_groups(spark.createDataFrame([], "a long, b long"), Scratch(spark, "g")).collect() == []
 
