@@ -30,6 +30,8 @@ from corpusloom.llm.wordhash import by_part, fine_parts, give_back, pack, pieces
 
 #: Bytes of text that are reduced together before anything is sent.
 SLICE = 4 << 20
+#: Marks that a task holds before it sends them, and buckets of documents a task that marks are read for one at a time.
+HELD_MARKS, MARK_BUCKETS = 2 << 20, 4
 
 _NO_ID = np.int64(2**63 - 1)
 
@@ -97,8 +99,8 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
             order, later = _split_owner(found, owner)
             found, owner = found[order], owner[order]
             parts, told, blobs = [], [], []
-            for bucket, blob in _told(owner[later], found[later], ranges):
-                parts.append(bucket)
+            for bucket, blob in _told(owner[later], found[later], count * MARK_BUCKETS):
+                parts.append(bucket // MARK_BUCKETS * fine)
                 told.append(True)
                 blobs.append(blob)
             found, owner = found[~later], owner[~later]
@@ -113,8 +115,22 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
         give_back()
 
     def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # marks of many ranges go on together, so a task has a row a bucket and not one a range and bucket
+        docs_held, hashes_held, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            marks = list(_told(np.concatenate(docs_held), np.concatenate(hashes_held), count * MARK_BUCKETS))
+            docs_held.clear()
+            hashes_held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in marks], pa.int32()), pa.array([b for _, b in marks], pa.binary())], names=["bucket", "marks"])
+
         for _, rows in by_part(batches):
             told = rows.filter(rows.column("told"))
+            for blob in told.column("blob"):
+                some, hashes_of = unpack(blob.as_py(), 2)
+                docs_held.append(some.view(np.int64))
+                hashes_held.append(hashes_of)
+                held += len(some)
             hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for blob in rows.filter(pc.invert(rows.column("told"))).column("blob"):
                 some, docs_of = unpack(blob.as_py(), 2)
@@ -123,9 +139,14 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
             hashes, owner = np.concatenate(hashes), np.concatenate(owner)
             order, later = _split_owner(hashes, owner)
             order = order[later]
-            marks = list(_told(owner[order], hashes[order], ranges))
-            buckets = pa.array([*told.column("part").to_pylist(), *[k for k, _ in marks]], pa.int32())
-            yield pa.RecordBatch.from_arrays([buckets, pa.array([*told.column("blob").to_pylist(), *[b for _, b in marks]], pa.binary())], names=["bucket", "marks"])
+            docs_held.append(owner[order])
+            hashes_held.append(hashes[order])
+            held += len(order)
+            if held >= HELD_MARKS:
+                yield flush()
+                held = 0
+        if held:
+            yield flush()
         give_back()
 
     sliced = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(reduce_slices, "part int, told boolean, blob binary")
@@ -148,16 +169,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     count = partitions(docs.sparkSession)
-    fine = fine_parts(count)
     marks = repeated_windows(docs, window, id_col, text_col, scratch)
     keep = keep or []
     types = dict(docs.dtypes)
     names = [f"__c{i}" for i in range(len(keep))]
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
-    rows = docs.select(_bucket_of(key, count * fine).alias("__bucket"), F.lit(None).cast("binary").alias("__marks"), F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
+    rows = docs.select(_bucket_of(key, count * MARK_BUCKETS).alias("__bucket"), F.lit(None).cast("binary").alias("__marks"), F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"), *[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)])
     told = marks.select(F.col("bucket").alias("__bucket"), F.col("marks").alias("__marks"), *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in rows.columns[2:]])
     # a bucket's marks come before its documents, and one bucket comes after the other
-    dealt = told.union(rows).repartitionById(count, F.floor(F.col("__bucket") / fine).cast("int")).sortWithinPartitions("__bucket", F.col("__marks").isNull())
+    dealt = told.union(rows).repartitionById(count, F.floor(F.col("__bucket") / MARK_BUCKETS).cast("int")).sortWithinPartitions("__bucket", F.col("__marks").isNull())
     schema = ", ".join(["__own long", "n_words long", "n_removed long", "kept_sha256 string", "kept_text string", *[f"{n} {types[c]}" for n, c in zip(names, keep, strict=True)]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
