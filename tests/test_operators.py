@@ -91,6 +91,18 @@ def test_audit(spark):
     assert {r.section: r.medoid for r in audit.medoids(drift.select("id", "section", "vec"), "section").collect()}["t"] == 90
 
 
+def test_outliers_judge_by_the_numbers_they_return(spark):
+    def last_digits(x):
+        return x + float(np.random.default_rng().random()) * 1e-12
+
+    # the 95th percentile of 21 rows is a row's value, and only one lies above it
+    noisy = F.udf(last_digits, "double").asNondeterministic()
+    drift = spark.range(21 * 30).select("id", (F.col("id") % 30).cast("string").alias("section"), (F.floor(F.col("id") / 30) / 100).alias("d"))
+    drift = drift.select("id", "section", noisy("d").alias("dist_section"), F.lit(0.1).alias("dist_site"))
+    found = audit.outliers(drift).collect()
+    assert len(found) == 30 and {r.id // 30 for r in found} == {20} and all(r.dist_section > r.p95_dist for r in found)
+
+
 def test_broken_links(spark):
     html = spark.createDataFrame([("https://h.com/a", '<a href="/x"><a href="/y">'), ("https://h.com/b", '<a href="/x">'), ("https://h.com/c", None)], "url string, html string")
     links = crawl.page_links(html, internal="h.com")
