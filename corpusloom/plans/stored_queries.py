@@ -202,7 +202,7 @@ def npz_vectors(spark, sf_dir):
     scratch = Scratch(spark, "npz")
     written = scratch.table(npz.write_npz(page_vectors(spark, sf_dir), f"{scratch.root}/archives", 700), "written")
     found = npz.read_npz(written, f"{scratch.root}/archives", 300)
-    return found.select("id", F.transform(V.doubles(F.col("vec")), lambda x: F.round(x, 6)).alias("vec"))
+    return found.select("id", F.transform(V.doubles(F.col("vec")), lambda x: V.rounded(x)).alias("vec"))
 
 
 @query("SELECT event_id, ts, event_type, round(value, 4) AS value FROM events")

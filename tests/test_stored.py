@@ -7,6 +7,8 @@ import os
 import zipfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,20 @@ def test_written_texts(spark, tmp_path):
     assert {r.inside: r.raw for r in stores.read_texts(gone, root).collect()} == {"no.md": None, "c.md": ""}
 
 
+def test_small_negative_components_keep_their_sign(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import stored_queries
+
+    values = [-1e-7, 1e-7, -4.9e-7, 0.0078125, -0.0078125, -0.5, 0.0]
+    path = tmp_path / "embeddings.parquet"
+    pq.write_table(pa.table({"vec_id": pa.array([1], pa.int64()), "embedding": pa.array([values], pa.list_(pa.float32())), "label": pa.array([0], pa.int32())}), path)
+    got = stored_queries.QUERIES["npz_vectors"](spark, str(tmp_path)).first().vec
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    assert str(got) == str(connection.execute(stored_queries.ORACLES["npz_vectors"]).fetchone()[1])
+
+
 def test_archives(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(size=3 if k % 3 else 5)]) for k in range(100)] + [(None, [1.0]), (200, None), (201, [1.0, None]), (202, [])]
