@@ -7,9 +7,13 @@ first shingle that two linking sets share stands so early in the smaller one tha
 its shingles come into question. Sets of fitting sizes that meet in such a shingle are
 chained, which gives candidate groups that no link leaves. Groups are compared in tiles
 by band of set size and, where a band is large, salt: a band with itself and with the
-next, as sets further apart in size cannot link. In a tile, hashed bitmap signatures bound the overlap of two sets from
-above by bit counts, and what may reach the similarity is decided by intersecting the
-sorted shingle arrays.
+next, as sets further apart in size cannot link. That is done twice. First tiles hold
+marks only, bitmaps of the parities of hashed shingles: as many bits as two marks differ
+in, so many shingles at least are in one of the two sets only. Sets that no mark lets link
+go, and groups fall apart. Then tiles hold the whole sets that are left: hashed bitmap
+signatures bound the overlap of two sets from above by bit counts, and what may reach the
+similarity is decided by intersecting the sorted shingle arrays. Texts are dealt again only
+where a bitmap of ids says that they may be in a group.
 
 Shingle hashes have 64 bits; a set is named by a 64-bit hash of its sorted shingles.
 """
@@ -17,7 +21,7 @@ Shingle hashes have 64 bits; a set is named by a 64-bit hash of its sorted shing
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +39,8 @@ SLICE = 2 << 20
 SKETCH_BITS = 22
 TILE_ROWS = 256
 _SKETCH_PARTS = 16
+#: Slots of the bitmap of ids in groups, and those of one row of it.
+ID_SLOTS, _ID_ROW = 1 << 25, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -80,6 +86,13 @@ def _name(shingles: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(salted, dtype=np.uint64) ^ np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Mark of a set: whether an odd number of its shingles falls into each slot, for at least half as many slots as shingles."""
+    slots = 1 << max(8, (len(shingles) // 2).bit_length())
+    odd = np.bincount((mix(shingles) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def frequency_sketch(rows: DataFrame, similarity: Similarity) -> np.ndarray:
     """How many texts have a shingle in each slot; a fixed number of slots whatever the input."""
     size = 1 << SKETCH_BITS
@@ -135,18 +148,22 @@ def chained(token: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.nd
 
 
 def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, node) of every row, node null for an empty set; and candidate edges (a, b) between nodes."""
+    """(id, n_shingles, node, mark) of every row, node null for an empty set; and candidate edges (a, b) between nodes.
+
+    A node has its mark with one of its rows at least.
+    """
     sketch = rows.sparkSession.sparkContext.broadcast(frequency_sketch(rows, similarity))
     fine = fine_parts(count)
     ranges = count * fine
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches, 1, SLICE):
-            sizes, names, tokens, token_names, token_sizes, token_before = [], [], [], [], [], []
+            sizes, names, marks, tokens, token_names, token_sizes, token_before = [], [], [], [], [], [], []
             seen: set[int] = set()
             for shingles in _sets(batch, similarity):
                 n = len(shingles)
                 sizes.append(n)
+                marks.append(None)
                 if not n:
                     names.append(None)
                     continue
@@ -155,6 +172,7 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
                 if name in seen:
                     continue
                 seen.add(name)
+                marks[-1] = parities(shingles)
                 often = sketch.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = shingles[np.lexsort((shingles, often))[: similarity.prefix(n)]]
                 tokens.append(first)
@@ -177,13 +195,14 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
                     pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]),
                     pa.array(sizes + [None] * m, pa.int64()),
                     pa.array(names + [None] * m, pa.int64()),
+                    pa.array(marks + [None] * m, pa.binary()),
                     pa.array([None] * n + parts, pa.int32()),
                     pa.array([None] * n + blobs, pa.binary()),
                 ],
-                names=["id", "n_shingles", "node", "part", "blob"],
+                names=["id", "n_shingles", "node", "mark", "part", "blob"],
             )
 
-    made = scratch.table(rows.mapInArrow(prefixes, "id long, n_shingles long, node long, part int, blob binary"), "prefixes")
+    made = scratch.table(rows.mapInArrow(prefixes, "id long, n_shingles long, node long, mark binary, part int, blob binary"), "prefixes")
     sketch.unpersist()
     give_back()
 
@@ -196,7 +215,9 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
 
     dealt = made.where("part IS NOT NULL").select("part", "blob").repartitionById(count, F.floor(F.col("part") / fine).cast("int")).sortWithinPartitions("part")
     edges = scratch.table(dealt.mapInArrow(chain, "a long, b long"), "candidates")
-    return made.where("part IS NULL").select("id", "n_shingles", "node"), edges
+    sized = scratch.table(made.where("part IS NULL").select("id", "n_shingles", "node", "mark"), "sized")
+    scratch.drop(made)
+    return sized, edges
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -238,7 +259,12 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: Simi
 
     if every:
         return [(i, j) for i in range(len(sets)) for j in linked(i, np.arange(i + 1, len(sets)))]
-    left = np.arange(len(sets))
+    return _connecting(len(sets), linked)
+
+
+def _connecting(n: int, linked: Callable[[int, np.ndarray], list[int]]) -> list[tuple[int, int]]:
+    """Pairs of positions below n that connect all that ``linked`` finds."""
+    left = np.arange(n)
     found: list[tuple[int, int]] = []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -252,40 +278,98 @@ def tile_links(sets: list[np.ndarray], side: np.ndarray | None, similarity: Simi
     return found
 
 
+def tile_possible(sizes: np.ndarray, marks: list[bytes], side: np.ndarray | None, similarity: Similarity) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all sets whose sizes and marks let them link; with ``side`` only pairs of different sides count."""
+    width = min(map(len, marks)) // 8
+    # slots of a wider mark that agree in their low bits are one slot of a narrower one
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width), axis=0) for m in marks])
+
+    def linked(i: int, others: np.ndarray) -> list[int]:
+        n = int(sizes[i])
+        others = others[similarity.sizes_fit(np.minimum(sizes[others], n), np.maximum(sizes[others], n))]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        apart = np.bitwise_count(folded[i] ^ folded[others]).sum(1, dtype=np.int64)
+        return others[similarity.overlap_fits((n + sizes[others] - apart) // 2, n, sizes[others])].tolist()
+
+    return _connecting(len(sizes), linked)
+
+
+def _banded(nodes: DataFrame, groups: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
+    """The nodes of groups (node, component), with component, band, and band_size, prior and next: sets of its band and of the two adjacent ones in the component."""
+    members = scratch.table(nodes.join(groups, "node").withColumn("band", similarity.band(F.col("n_shingles"))), "members")
+    bands = scratch.table(members.groupBy("component", "band").agg(F.count("*").alias("n")), "bands")
+    near = bands.select("component", F.explode(F.array(F.struct("band", F.lit("band_size").alias("kind"), "n"), F.struct((F.col("band") + 1).alias("band"), F.lit("prior").alias("kind"), F.col("n")), F.struct((F.col("band") - 1).alias("band"), F.lit("next").alias("kind"), F.col("n")))).alias("x")).select("component", "x.*")
+    near = scratch.table(near.groupBy("component", "band").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("band_size", "prior", "next")]), "near")
+    return members.join(near, ["component", "band"])
+
+
+def _tiles(members: DataFrame, *held: str) -> DataFrame:
+    """Each member once for every tile that it is in: component, low, i, step, j, node, side and ``held``."""
+    tiles_of = lambda n: F.ceil(F.col(n) / TILE_ROWS)
+    salt = F.pmod(F.xxhash64("node"), F.greatest(tiles_of("band_size"), F.lit(1)))
+    same = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("band_size") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.least(k, F.col("salt")).alias("i"), F.lit(0).alias("step"), F.greatest(k, F.col("salt")).alias("j")))
+    above = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("next") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.col("salt").alias("i"), F.lit(1).alias("step"), k.alias("j")))
+    below = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("prior") - 1, F.lit(0))), lambda k: F.struct((F.col("band") - 1).alias("low"), k.alias("i"), F.lit(1).alias("step"), F.col("salt").alias("j")))
+    empty = F.filter(same, lambda x: F.lit(False))
+    keys = F.concat(F.when(F.col("band_size") > 1, same).otherwise(empty), F.when(F.col("next") > 0, above).otherwise(empty), F.when(F.col("prior") > 0, below).otherwise(empty))
+    dealt = members.withColumn("salt", salt).withColumn("tile", F.explode(keys))
+    return dealt.select("component", "tile.*", "node", (F.col("band") * (1 << 20) + F.col("salt")).alias("side"), *held)
+
+
+def _named(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([int(node[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(node[j]) for _, j in pairs], pa.int64())})
+
+
+def _possible(members: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all of a group that may link by size and mark."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, side = np.asarray(table.column("node")), np.asarray(table.column("side"))
+        two_sides = len(np.unique(side)) > 1
+        return _named(node, tile_possible(np.asarray(table.column("n_shingles")), table.column("mark").to_pylist(), side if two_sides else None, similarity))
+
+    return _tiles(members, "n_shingles", "mark").groupBy("component", "low", "i", "step", "j").applyInArrow(compare, "a long, b long")
+
+
+def _in_groups(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose id is in a bitmap of the members' ids; others get in only where hashes meet."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_SLOTS))
+    found = members.select(slot("id").alias("s")).groupBy(F.floor(F.col("s") / _ID_ROW).cast("int").alias("row")).agg(F.bitmap_construct_agg(F.col("s") % _ID_ROW).alias("bits"))
+    bits = np.zeros((ID_SLOTS // _ID_ROW, _ID_ROW // 8), np.uint8)
+    for row in found.collect():  # 4 MB at most
+        bits[row["row"]] = np.frombuffer(row["bits"], np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.asarray(batch.column("s"))
+            yield batch.select(["id", "text"]).filter(pa.array((held.value[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return rows.withColumn("s", slot("id")).mapInArrow(keep, "id long, text string")
+
+
 def _verify(rows: DataFrame, members: DataFrame, similarity: Similarity, count: int, every: bool) -> DataFrame:
     """Verified links (a, b) between nodes of candidate groups: all, or enough to connect what links.
 
     members: id of one row of each node, node, component, band, and band_size, prior and
     next: sets of its band and of the two adjacent ones in the component.
     """
-    joined = rows.repartition(count, "id").join(members.hint("shuffle_hash"), "id")
+    joined = _in_groups(rows, members).repartition(count, "id").join(members.hint("shuffle_hash"), "id")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches, 1, SLICE):
             held = [s.tobytes() for s in _sets(batch, similarity)]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(held, pa.binary())], names=[*batch.schema.names[2:], "shingles"])
 
-    tiles_of = lambda n: F.ceil(F.col(n) / TILE_ROWS)
-    salt = F.pmod(F.xxhash64("node"), F.greatest(tiles_of("band_size"), F.lit(1)))
-    same = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("band_size") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.least(k, F.col("salt")).alias("i"), F.lit(0).alias("step"), F.greatest(k, F.col("salt")).alias("j")))
-    above = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("next") - 1, F.lit(0))), lambda k: F.struct(F.col("band").alias("low"), F.col("salt").alias("i"), F.lit(1).alias("step"), k.alias("j")))
-    below = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(tiles_of("prior") - 1, F.lit(0))), lambda k: F.struct((F.col("band") - 1).alias("low"), k.alias("i"), F.lit(1).alias("step"), F.col("salt").alias("j")))
-    empty = F.filter(same, lambda x: F.lit(False))
-    keys = F.concat(F.when(F.col("band_size") > 1, same).otherwise(empty), F.when(F.col("next") > 0, above).otherwise(empty), F.when(F.col("prior") > 0, below).otherwise(empty))
-    dealt = (
-        joined.select("id", "text", "component", "node", "band", "band_size", "prior", "next")
-        .mapInArrow(arrays, "component long, node long, band long, band_size long, prior long, next long, shingles binary")
-        .withColumn("salt", salt)
-        .withColumn("tile", F.explode(keys))
-        .select("component", "tile.*", "node", (F.col("band") * (1 << 20) + F.col("salt")).alias("side"), "shingles")
-    )
+    whole = joined.select("id", "text", "component", "node", "band", "band_size", "prior", "next")
+    dealt = _tiles(whole.mapInArrow(arrays, "component long, node long, band long, band_size long, prior long, next long, shingles binary"), "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         node, side = np.asarray(table.column("node")), np.asarray(table.column("side"))
         sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
         two_sides = len(np.unique(side)) > 1
-        pairs = tile_links(sets, side if two_sides else None, similarity, every)
-        return pa.table({"a": pa.array([int(node[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(node[j]) for _, j in pairs], pa.int64())})
+        return _named(node, tile_links(sets, side if two_sides else None, similarity, every))
 
     return dealt.groupBy("component", "low", "i", "step", "j").applyInArrow(compare, "a long, b long")
 
@@ -307,14 +391,10 @@ def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_co
     scratch, count = Scratch(spark, "ngram-join"), partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sized, edges = _candidates(rows.where("id IS NOT NULL"), similarity, scratch, count)
-    groups = components(edges, scratch)
-    # one row for each node of a group
-    first = scratch.table(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles")), "nodes")
-    members = scratch.table(first.join(groups, "node").withColumn("band", similarity.band(F.col("n_shingles"))), "members")
-    bands = scratch.table(members.groupBy("component", "band").agg(F.count("*").alias("n")), "bands")
-    near = bands.select("component", F.explode(F.array(F.struct("band", F.lit("band_size").alias("kind"), "n"), F.struct((F.col("band") + 1).alias("band"), F.lit("prior").alias("kind"), F.col("n")), F.struct((F.col("band") - 1).alias("band"), F.lit("next").alias("kind"), F.col("n")))).alias("x")).select("component", "x.*")
-    near = scratch.table(near.groupBy("component", "band").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("band_size", "prior", "next")]), "near")
-    members = members.join(near, ["component", "band"]).select("id", "component", "node", "band", "band_size", "prior", "next")
+    # one row for each node
+    first = scratch.table(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("mark").alias("mark")), "nodes")
+    possible = scratch.table(_possible(_banded(first, components(edges, scratch), similarity, scratch), similarity), "possible")
+    members = _banded(first.drop("mark"), components(possible, scratch), similarity, scratch).select("id", "component", "node", "band", "band_size", "prior", "next")
     links = scratch.table(_verify(rows, scratch.table(members, "dealt"), similarity, count, count_links), "links")
     found = components(links, scratch)
     named = scratch.table(first.join(found, "node").groupBy("component").agg(F.min("id").alias("component_id")), "named")

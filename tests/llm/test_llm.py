@@ -306,6 +306,41 @@ def test_ngram_join(spark, texts, similarity, monkeypatch):
     assert len(counted) == len(rows) and {(r.doc_id, r.component_id, r.n_links) for r in counted} == {(i, roots[i], degree[i]) for i in sets} | {(None, None, 0)}
 
 
+def test_sets_that_only_meet_in_a_rare_shingle_are_not_dealt_whole(spark, monkeypatch):
+    from corpusloom.llm import ngram_join
+
+    words = [f"w{k}" for k in range(700)]
+    near = " ".join(words[400:690])
+    texts = [" ".join(["a b c", *words[:200]]), " ".join(["a b c", *words[200:400]]), near, near + " more"]
+    # what else the first two hold is common, so that the shingle they share is among their rarest
+    texts += [" ".join([*words[k : k + 40], *(f"x{k}y{copy}z{i}" for i in range(20))]) for k in range(0, 400, 20) for copy in range(2)]
+    verify, dealt = ngram_join._verify, []
+    monkeypatch.setattr(ngram_join, "_verify", lambda rows, members, *rest: dealt.append(members.count()) or verify(rows, members, *rest))
+    found = link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert dealt == [2] and {r.doc_id: r.component_id for r in found} == {k: 2 if k == 3 else k for k in range(len(texts))}
+
+
+def test_marks_lose_no_link():
+    from corpusloom.llm.ngram_join import parities, tile_possible
+
+    rng, similarity = np.random.default_rng(3), Similarity()
+    sets = []
+    for n in (1, 2, 15, 255, 511, 513, 1100):
+        base = rng.integers(0, 2**64, n, np.uint64)
+        for gone in (0, n // 20, n // 12, n // 9, n // 2):
+            sets.append(np.unique(np.concatenate([base[gone:], rng.integers(0, 2**64, gone // 2, np.uint64)])))
+
+    def groups(pairs):
+        up = list(range(len(sets)))
+        for i, j in pairs:
+            up = [min(up[i], up[j]) if g in (up[i], up[j]) else g for g in up]
+        return up
+
+    marks = [parities(s) for s in sets]
+    exact, may = groups(tile_links(sets, None, similarity)), groups(tile_possible(np.array(list(map(len, sets))), marks, None, similarity))
+    assert all(may[i] == may[exact[i]] for i in range(len(sets))) and len(set(may)) >= 7
+
+
 def test_ngram_join_of_nothing(spark):
     assert link_documents(frame(spark, [])).count() == 0
     assert {r.component_id for r in link_documents(frame(spark, [(1, None), (2, "")])).collect()} == {1, 2}
