@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import vectors as V
 from corpusloom.operators.graph import components
 from corpusloom.operators.order import numbered
-from corpusloom.operators.vector import block_pairs
+from corpusloom.operators.vector import block_pairs, matrix
 from corpusloom.plans.scratch import Scratch
 
 
@@ -35,6 +35,8 @@ class Sizes:
     merges: int = 1 << 16
 
 
+#: Vectors of a block; a task spans a tree over two.
+BLOCK_ROWS = 2048
 #: Level of merges at distance zero.
 AT_ONCE = 1e12
 #: Stabilities within this share of each other are equal, in whatever order they were summed.
@@ -160,7 +162,7 @@ def hdbscan(points: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
 
 
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
-    return np.array(table.column(name).to_pylist(), dtype=np.float64)
+    return matrix(table.column(name))
 
 
 def _cores(rows: DataFrame) -> DataFrame:
@@ -172,10 +174,10 @@ def _cores(rows: DataFrame) -> DataFrame:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(left) or not len(right):
             return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.float64()))})
-        near = [np.sort(distances(points[part], points[right]), axis=1)[:, :k] for part in np.array_split(left, max(1, len(left) // 256))]
+        near = [np.partition(distances(points[part], points[right]), min(k, len(right)) - 1, axis=1)[:, :k] for part in np.array_split(left, max(1, len(left) // 256))]
         return pa.table({"id": ids[left], "near": pa.array(list(np.concatenate(near)), pa.list_(pa.float64()))})
 
-    found = block_pairs(rows, "g", False, ("samples",)).groupBy("g", "i", "j").applyInArrow(nearest, "id long, near array<double>")
+    found = block_pairs(rows, "g", False, ("samples",), BLOCK_ROWS).groupBy("g", "i", "j").applyInArrow(nearest, "id long, near array<double>")
     merged = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).join(rows.select("id", "samples", "n"), "id")
     return merged.select("id", F.element_at("near", F.least("samples", "n").cast("int")).alias("core"))
 
@@ -189,7 +191,7 @@ def _pair_trees(rows: DataFrame) -> DataFrame:
         w, a, b = spanning_tree(_matrix(table), np.asarray(table.column("core")))
         return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(w), pa.string()), "w": w, "a": ids[a], "b": ids[b]})
 
-    return block_pairs(rows, "g", True, ("core",)).groupBy("g", "i", "j").applyInArrow(tree, "g string, w double, a long, b long").distinct()
+    return block_pairs(rows, "g", True, ("core",), BLOCK_ROWS).groupBy("g", "i", "j").applyInArrow(tree, "g string, w double, a long, b long").distinct()
 
 
 def _boruvka(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import audit, cluster, crawl, graph, keywords, linking, sync, vector
@@ -30,6 +31,26 @@ def test_similarity(spark):
     assert [r[:2] for r in rows(vector.duplicate_pairs(frame, 0.99))] == [(1, 2), (1, 6), (2, 6)]
 
 
+def test_nearest_of_blocks_are_those_of_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.integers(-1, 2, (300, 4)).astype(float)  # many ties
+    points[:, 0] += 0.5
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    sims = np.round(units @ units.T, 12)
+    want = {(a, b, r + 1) for a in range(300) for r, b in enumerate(sorted((b for b in range(300) if b != a), key=lambda b: (-sims[a, b], b))[:5])}
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "id long, vec array<double>")
+    scored, pairs = [], vector.block_pairs
+    monkeypatch.setattr(vector, "block_pairs", lambda *rest, **named: scored.append(pairs(*rest, **named)) or scored[-1])
+    for size in (64, 10_000):
+        monkeypatch.setattr(vector, "BLOCK_ROWS", size)
+        assert {(r.a, r.b, r["rank"]) for r in vector.top_neighbours(frame, 5).collect()} == want
+    # five blocks: each vector goes to as many pairs of blocks, not to twice as many
+    assert scored[0].count() == 5 * 300
+    other = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id long, vec array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        vector.top_neighbours(other, 1).collect()
+
+
 def test_equal_vectors_add_no_pairs(spark):
     frame = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(5, 0, -1)] + [(9, [2.0, 1.0]), (10, [0.0, 0.0])], "id long, vec array<double>")
     assert rows(vector.equal_classes(frame).select("id", "class_id", "copies")) == [(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 1, 5), (5, 1, 5), (9, 9, 1)]
