@@ -99,14 +99,23 @@ def parse_front_matter(raw: str | None, yaml_too: bool = False, recover: bool =
 
 
 def front_matter(raw: Column, yaml_too: bool = False, recover: bool = False) -> Column:
-    """Struct of meta (JSON text) and body."""
+    """Struct of meta (JSON text) and body.
 
-    @F.pandas_udf("meta string, body string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        parsed = [parse_front_matter(t, yaml_too, recover) for t in texts]
-        return pd.DataFrame({"meta": [json.dumps(m, ensure_ascii=False) for m, _ in parsed], "body": [b for _, b in parsed]})
+    Only the block between the marks goes to Python; bodies of any length stay in the JVM.
+    """
 
-    return run(raw)
+    @F.pandas_udf("meta string, parsed boolean")
+    def run(heads: pd.Series) -> pd.DataFrame:
+        parsed = [parse_front_matter(h, yaml_too, recover) for h in heads]
+        return pd.DataFrame({"meta": [json.dumps(m, ensure_ascii=False) for m, _ in parsed], "parsed": [b == "" for _, b in parsed]})
+
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\A\x{FEFF}", "")
+    # lines end at line feeds alone, as in Python; marks and block of _FRONT or _YAML, nothing where there are none
+    block = lambda mark: F.regexp_extract(text, rf"(?dms)\A{mark}[ \t]*\r?\n(.*?)\r?\n?^{mark}[ \t]*(?:\r?\n|\z)", 0)
+    head = F.when(F.startswith(text, F.lit("+++")), block(r"\+\+\+"))
+    head = (head.when(F.startswith(text, F.lit("---")), block("---")) if yaml_too else head).otherwise("")
+    found = run(head)
+    return F.struct(found["meta"].alias("meta"), F.when(found["parsed"], F.substring(text, F.length(head) + 1, F.length(text))).otherwise(text).alias("body"))
 
 
 def field(raw: Column, name: str) -> Column:
