@@ -151,20 +151,23 @@ def default_date(date: Column, hours: int = 6) -> Column:
 
 
 def front_matter_problem(raw: Column, required: bool = False) -> Column:
-    """Null where the TOML between ``+++`` marks parses, else what is wrong; a file without the marks is wrong only if they are required."""
+    """Null where the TOML between ``+++`` marks parses, else what is wrong; a file without the marks is wrong only if they are required.
 
-    def problem(text: str | None) -> str | None:
-        parts = (text or "").split("+++", 2)
-        if parts[0] or len(parts) < 3:
+    Only what stands between the marks goes to Python.
+    """
+
+    def problem(block: str | None) -> str | None:
+        if block is None:
             return "no front matter between +++ marks" if required else None
         try:
-            tomllib.loads(parts[1])
+            tomllib.loads(block)
         except tomllib.TOMLDecodeError as error:
             return str(error)
         return None
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([problem(t) for t in texts], dtype=object)
+    def run(blocks: pd.Series) -> pd.Series:
+        return pd.Series([problem(b) for b in blocks], dtype=object)
 
-    return run(raw)
+    parts = F.split(F.coalesce(raw, F.lit("")), r"\+\+\+", 3)
+    return run(F.when((F.size(parts) == 3) & (F.get(parts, F.lit(0)) == ""), F.get(parts, F.lit(1))))
