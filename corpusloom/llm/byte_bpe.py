@@ -16,6 +16,8 @@ import os
 import re
 from array import array
 
+from corpusloom.llm.wordhash import HELD
+
 #: White space other than space and line break, and white space side by side.
 _OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _DOUBLE = ["  ", "\n\n", " \n", "\n "]
@@ -110,6 +112,8 @@ class BpeModel:
 
 
 _MODELS: dict[str, BpeModel] = {}
+# a tokenizer and a full memo are 100 MB and more
+HELD.append(_MODELS)
 
 
 def model_at(path: str) -> BpeModel:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.scratch import Scratch, partitions
-from corpusloom.llm.wordhash import by_part, fine_parts, give_back, pack, pieces, text_bytes, together, unpack, windows, word_hashes
+from corpusloom.llm.wordhash import by_part, fine_parts, give_back, pack, pieces, start_afresh, text_bytes, together, unpack, windows, word_hashes
 
 #: Bytes of text that are reduced together before anything is sent.
 SLICE = 4 << 20
@@ -89,6 +89,7 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str, text_col: str, s
     ranges = count * fine
 
     def reduce_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         for batch in together(batches, 1, SLICE):
             data, offsets = text_bytes(batch.column(1))
             hashes, word_offsets, _, _ = word_hashes(data, offsets)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.wordhash import give_back
+from corpusloom.llm.wordhash import give_back, start_afresh
 from corpusloom.plans.scratch import Scratch
 
 #: Bound of the fitting sample: rows of each label, the first by hash of the id.
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = 1 << SLOT_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         counts, n = np.zeros((2, size), np.int32), [0, 0]
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -194,6 +195,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = {c: f"__c{i}" for i, c in enumerate(carried)} | {text_col: "__text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_afresh()
         for batch in batches:
             scores = [shared.value.score(text.as_py()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns], names=["score", *batch.schema.names])

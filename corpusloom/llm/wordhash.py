@@ -225,6 +225,18 @@ def by_part(batches: Iterator[pa.RecordBatch], part: str = "part") -> Iterator[t
         yield now, pa.Table.from_batches(held)
 
 
+#: What a worker keeps between the tasks of one operator: models and memos by file.
+HELD: list[dict] = []
+
+
+def start_afresh() -> None:
+    """Drops what another operator's tasks left in this worker, and returns its memory."""
+    if any(HELD):
+        for held in HELD:
+            held.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker outlives the stage that it worked for."""
     import ctypes

@@ -86,3 +86,21 @@ def test_stages_over_nothing(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_do_not_keep_a_tokenizer_of_another():
+    """A worker drops tokenizer and memo of the packing stage before it works for another (pipeline: 3,013 MB when it ran again)."""
+    import psutil
+
+    from corpusloom.llm import byte_bpe, wordhash
+    from corpusloom.llm.queries import tokenizer_path
+
+    used = lambda: psutil.Process().memory_full_info().uss / 1e6
+    rest = used()
+    byte_bpe.model_at(tokenizer_path("byte_bpe_50k.json")).encode([f"word{k} other{k}" for k in range(200_000)])
+    full = used()
+    wordhash.start_afresh()
+    assert not byte_bpe._MODELS and used() - rest < (full - rest) / 2
+    # and it comes again when it is asked for
+    assert byte_bpe.model_at(tokenizer_path("byte_bpe_50k.json")).encode(["a b"])[0]
+    wordhash.start_afresh()
