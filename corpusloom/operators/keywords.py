@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,58 +16,158 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.plans.scratch import Scratch
 
 # Words of markup that are no keywords.
 NOISE = "div span class href http https www html css javascript nbsp amp quot src img style script".split()
 
 
-def counted_ngrams(words: pa.ListArray, groups: np.ndarray, least: int, most: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """(group, phrase, count) of the distinct n-grams of a batch's word lists within each group, for each n."""
-    offsets = np.asarray(words.offsets, np.int64)
-    coded = pc.dictionary_encode(words.values.cast(pa.large_string()).slice(offsets[0], offsets[-1] - offsets[0]))
-    offsets = offsets - offsets[0]
-    word = np.asarray(coded.indices, np.int64)
-    known = coded.dictionary
-    noise = np.asarray(pc.is_in(known, pa.array(NOISE, pa.large_string())), bool)
-    bare = noise | np.asarray(pc.is_in(known, pa.array(X.STOPWORDS, pa.large_string())), bool)
-    end = np.repeat(offsets[1:], np.diff(offsets))
-    group = np.repeat(groups, np.diff(offsets))
-    # the code of a phrase from a position on: that of the phrase one word shorter, and the next word
-    code = group.astype(np.int64)
-    at = np.arange(len(word))
-    for n in range(1, most + 1):
-        keep = at + n <= end[at]
-        at, code = at[keep], code[keep]
-        if not len(at):
-            return
-        pair = np.stack([code, word[at + n - 1]], 1)
-        _, first, code, count = np.unique(pair[:, 0] * (len(known) + 1) + pair[:, 1], return_index=True, return_inverse=True, return_counts=True)
-        if n < least:
-            continue
-        rows = at[first][:, None] + np.arange(n)
-        ok = ~noise[word[rows]].any(1) & ~bare[word[rows]].all(1)
-        rows, count = rows[ok], count[ok]
-        if len(rows):
-            parts = [known.take(pa.array(word[rows[:, k]])) for k in range(n)]
-            yield group[rows[:, 0]], pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), count
+#: Slots of the sketch of n-gram counts, slots of a row of it, characters of texts taken together, phrases a slice names, groups with a bound of their own.
+SLOTS, ROW, SLICE, NAMED, BOUNDED = 1 << 20, 1 << 12, 1 << 20, 3, 100_000
+_MARKS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "M")
+_WORD, _WORD_AND_MARKS, _FAR = re.compile(r"\w{3,}"), re.compile(f"[\\w{''.join(sorted(_MARKS))}]{{3,}}"), re.compile("[̀-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of more than two letters, marks, digits and underscores."""
+    # the class with all marks is slow, and few texts have one
+    marked = not text.isascii() and _FAR.search(text) is not None and not _MARKS.isdisjoint(text)
+    return (_WORD_AND_MARKS if marked else _WORD).findall(text)
+
+
+class _Slice:
+    """The words of some lower-cased texts (letters, marks, digits and underscores, more than two), and their n-grams."""
+
+    def __init__(self, texts: list[str], hashes: np.ndarray, groups: np.ndarray):
+        found = [words_of(t or "") for t in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        coded = pc.dictionary_encode(pa.array([w for words in found for w in words], pa.large_string()))
+        self.word, self.known = np.asarray(coded.indices, np.int64), coded.dictionary
+        self.end = np.repeat(np.cumsum(counts), counts)
+        self.group, self.start = np.repeat(groups, counts), np.repeat(hashes.view(np.uint64), counts)
+        noise = np.asarray(pc.is_in(self.known, pa.array(NOISE, pa.large_string())), bool)
+        self.noise = noise[self.word]
+        self.bare = (noise | np.asarray(pc.is_in(self.known, pa.array(X.STOPWORDS, pa.large_string())), bool))[self.word]
+        self.hash = pd.util.hash_array(self.known.to_numpy(zero_copy_only=False).astype(object), categorize=False)[self.word]
+
+    def ngrams(self, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, at, code): where wanted n-grams begin, and a hash of group and phrase that is the same in every task."""
+        code, noise, bare = self.start + self.hash, self.noise, self.bare
+        for n in range(1, most + 1):
+            if n > 1:
+                # all begin at the same word, so each step takes one more word from the right
+                code = code[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (code[:-1] >> np.uint64(29))
+                code += self.hash[n - 1 :]
+                noise, bare = noise[:-1] | self.noise[n - 1 :], bare[:-1] & self.bare[n - 1 :]
+            if not len(code):
+                return
+            if n >= least:
+                at = np.flatnonzero((np.arange(n, len(code) + n) <= self.end[: len(code)]) & ~noise & ~bare)
+                mixed = code[at] * np.uint64(0xBF58476D1CE4E5B9)
+                yield n, at, (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+    def counted(self, n: int, at: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(group, phrase, count) of the distinct n-grams that begin at the places."""
+        key = self.group[at]
+        for k in range(n):
+            # numbers of what was seen so far stay below the number of places
+            _, key = np.unique(key * (len(self.known) + 1) + self.word[at + k], return_inverse=True)
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        parts = [self.known.take(pa.array(self.word[at[first] + k])) for k in range(n)]
+        return self.group[at[first]], pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()), count
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Slice, pa.Array]]:
+    """Slices of the columns g, h (a hash of g) and t, and the groups that their numbers stand for."""
+    for batch in batches:
+        names = pc.dictionary_encode(batch.column("g"), null_encoding="encode")
+        groups, hashes = np.asarray(names.indices, np.int64), np.asarray(batch.column("h"), np.int64)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("t")), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            yield _Slice(batch.column("t").slice(at, to - at).to_pylist(), hashes[at:to], groups[at:to]), names.dictionary
+            at = to
 
 
 def group_keywords(rows: DataFrame, group: str, text: str, most: int = 20, least_words: int = 2, most_words: int = 4) -> DataFrame:
     """(group, phrase, n, rank): the most frequent n-grams of two to four words; ties by phrase.
 
-    Words are cut out in the JVM, once a text; n-grams are counted batch by batch before
-    anything is shuffled. Rows without a group are a group of their own; a null text has no words.
+    Texts are read twice. First all n-grams are counted in a sketch of ``SLOTS`` slots, a slot's
+    count being no less than that of any phrase in it, while every slice names its most frequent
+    phrases of each group: their counts summed are no more than the whole ones, so the last of a
+    group's ``most`` is a bound that its keywords reach. Then phrases whose slot reaches the
+    bound are counted as texts. No phrase that can be a keyword is left out; where counts are
+    too flat, more phrases are counted. Rows without a group are a group of their own; a null
+    text has no words.
     """
-    kind = rows.schema[group].dataType.simpleString()
-    listed = rows.select(F.col(group).alias("g"), X.keyword_words(F.col(text)).alias("w"))
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "keywords")
+    kind, shift = rows.schema[group].dataType.simpleString(), np.uint64(64 - (SLOTS - 1).bit_length())
+    listed = rows.select(F.col(group).alias("g"), F.xxhash64(group).alias("h"), F.lower(F.col(text)).alias("t"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        schema = None
+        for part, names in _slices(batches):
+            schema = pa.schema([("g", names.type), ("phrase", pa.string()), ("n", pa.int64()), ("place", pa.int32()), ("counts", pa.binary())])
+            for n, at, code in part.ngrams(least_words, most_words):
+                held += np.bincount((code >> shift).astype(np.int64), minlength=SLOTS)
+                # places of the codes that are most frequent in their group
+                value, count = np.unique(code, return_counts=True)
+                several = count > 1
+                value, count = value[several], count[several]
+                if not len(value):
+                    continue
+                k = np.minimum(np.searchsorted(value, code), len(value) - 1)
+                hit = np.flatnonzero(value[k] == code)
+                own = np.zeros(len(value), np.int64)
+                own[k[hit]] = part.group[at[hit]]
+                order = np.lexsort((-count, own))
+                first = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                wanted = np.zeros(len(value), bool)
+                wanted[order[rank < NAMED * most]] = True
+                groups, phrases, counts = part.counted(n, at[hit[wanted[k[hit]]]])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(groups)), phrases, pa.array(counts, pa.int64()), pa.nulls(len(counts), pa.int32()), pa.nulls(len(counts), pa.binary())], schema=schema)
+        if schema is not None:
+            places = np.arange(SLOTS // ROW)
+            counts = [c.tobytes() for c in held.reshape(-1, ROW)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(places), schema.field("g").type), pa.nulls(len(places), pa.string()), pa.nulls(len(places), pa.int64()), pa.array(places, pa.int32()), pa.array(counts, pa.binary())], schema=schema)
+
+    seen = scratch.table(listed.mapInArrow(sketch, f"g {kind}, phrase string, n long, place int, counts binary"), "sketch")
+
+    def summed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ROW, np.int64)
+        for part in parts:
+            for counts in part.column("counts"):
+                total += np.frombuffer(counts.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["place", "counts"])
+
+    slots = np.zeros((SLOTS // ROW, ROW), np.int64)
+    for r in seen.where("place IS NOT NULL").select("place", "counts").groupBy("place").applyInArrow(summed, "place int, counts binary").collect():
+        slots[r.place] = np.frombuffer(r.counts, np.int64)
+    # of groups with equal hashes the lower bound
+    named = seen.where("place IS NULL").groupBy("g", "phrase").agg(F.sum("n").alias("n"))
+    last = named.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("n").desc()))).where(F.col("rank") <= most)
+    bounds = last.groupBy("g").agg(F.when(F.count("*") == most, F.min("n")).otherwise(0).alias("n")).groupBy(F.xxhash64("g").alias("h")).agg(F.min("n").alias("n"))
+    pairs = np.array([(r.h, r.n) for r in bounds.orderBy(F.col("n").desc()).limit(BOUNDED).collect()], np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0])]
+    shared = spark.sparkContext.broadcast((slots.reshape(-1), pairs[:, 0].copy(), pairs[:, 1].copy()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                names = pc.dictionary_encode(part.column("g"), null_encoding="encode")
-                for groups, phrases, n in counted_ngrams(part.column("w"), np.asarray(names.indices, np.int64), least_words, most_words):
-                    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(groups)), phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["g", "phrase", "n"])
+        held, known, least = shared.value
+        for part, names in _slices(batches):
+            own = part.start.view(np.int64)
+            bound = np.zeros(len(own), np.int64)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                bound = np.where(known[k] == own, least[k], 0)
+            for n, at, code in part.ngrams(least_words, most_words):
+                at = at[held[(code >> shift).astype(np.int64)] >= bound[at]]
+                if len(at):
+                    groups, phrases, counts = part.counted(n, at)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(groups)), phrases, pa.array(counts, pa.int64())], names=["g", "phrase", "n"])
 
     counted = listed.mapInArrow(count, f"g {kind}, phrase string, n long").groupBy("g", "phrase").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("g").orderBy(F.col("n").desc(), "phrase")

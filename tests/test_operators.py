@@ -1,9 +1,13 @@
 """Operators on small hand-made tables."""
 
+import random
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators import audit, cluster, crawl, graph, keywords, linking, sync, vector
 from corpusloom.plans.scratch import Scratch
 from corpusloom.sources import sinks, tables
@@ -236,3 +240,30 @@ def test_stream_cache(spark, tmp_path):
     stream = spark.readStream.schema("id long, text string").parquet(source)
     cache_batches(stream, str(tmp_path / "cache"), "m", vector.hashing_encoder(4), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.schema(CACHE_SCHEMA).parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_keywords_of_groups_against_the_definition(spark, monkeypatch):
+    """Few slots and short slices: slots are shared and bounds come from many parts. Digits above the line are parts of words, as in the SQL."""
+    monkeypatch.setattr(keywords, "SLOTS", 1 << 8)
+    monkeypatch.setattr(keywords, "ROW", 1 << 4)
+    rng = random.Random(3)
+    words = ["the", "and", "div", "of", "km²", "abc½", "naïve", "café", "नमस्ते", "x_y", "red", "dogs", "run", "far", "away"]
+    rows = [(rng.choice(["a", "b", None]), " ".join(rng.choices(words, range(1, 16), k=rng.randint(0, 60))) + rng.choice(["", "!", "\n\t", " A-B"])) for _ in range(300)]
+    rows += [("one", "Only these words"), ("none", None), ("short", "a b c")]
+    count: dict = {}
+    for group, text in rows:
+        found = [w for w in "".join(c if unicodedata.category(c)[0] in "LMN" or c == "_" else " " for c in (text or "").lower()).split(" ") if len(w) > 2]
+        for n in (2, 3, 4):
+            for k in range(len(found) - n + 1):
+                gram = found[k : k + n]
+                if not set(gram) & set(keywords.NOISE) and set(gram) - set(keywords.NOISE) - set(X.STOPWORDS):
+                    key = (group, " ".join(gram))
+                    count[key] = count.get(key, 0) + 1
+    want = {}
+    for group in {g for g, _ in count}:
+        best = sorted((-n, p.encode(), p) for (g, p), n in count.items() if g == group)[:20]
+        want |= {(group, p): (-n, rank + 1) for rank, (n, _, p) in enumerate(best)}
+    frame = spark.createDataFrame(rows, "source string, text string").repartition(5)
+    got = {(r.source, r.phrase): (r.n, r["rank"]) for r in keywords.group_keywords(frame, "source", "text").collect()}
+    assert got == want
+    assert keywords.group_keywords(frame.limit(0), "source", "text").collect() == []
