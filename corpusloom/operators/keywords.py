@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from heapq import heapify, heappop
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -189,59 +192,85 @@ def yake(text: str, longest: int = 3, most: int = 16, stop: frozenset[str] = fro
     sentences = [s for s in sentences if s]
     if not sentences:
         return []
-    count: dict[str, int] = {}
-    upper: dict[str, int] = {}
-    capital: dict[str, int] = {}
-    places: dict[str, list[int]] = {}
-    left: dict[str, list[str]] = {}
-    right: dict[str, list[str]] = {}
-    for k, sentence in enumerate(sentences):
-        for i, word in enumerate(sentence):
-            w = word.lower()
-            count[w] = count.get(w, 0) + 1
-            upper[w] = upper.get(w, 0) + (word.isupper() and len(word) > 1)
-            capital[w] = capital.get(w, 0) + (word[:1].isupper() and i > 0)
-            places.setdefault(w, []).append(k)
-            if i:
-                left.setdefault(w, []).append(sentence[i - 1].lower())
-            if i + 1 < len(sentence):
-                right.setdefault(w, []).append(sentence[i + 1].lower())
+    written = Counter(chain.from_iterable(sentences))
+    begun = Counter(s[0] for s in sentences)
+    lower = {w: w.lower() for w in written}
+    lowered = [[lower[w] for w in s] for s in sentences]
+    count = Counter(chain.from_iterable(lowered))
+    upper: Counter[str] = Counter()
+    capital: Counter[str] = Counter()
+    for word, n in written.items():
+        if word[0].isupper():
+            capital[lower[word]] += n - begun[word]
+        if word.isupper() and len(word) > 1:
+            upper[lower[word]] += n
+    places: dict[str, list[int]] = {w: [] for w in count}
+    for k, sentence in enumerate(lowered):
+        for w in sentence:
+            places[w].append(k)
+    grams = [Counter(chain.from_iterable(zip(*(s[i:] for i in range(n)), strict=False) for s in lowered)) for n in range(2, max(longest, 2) + 1)]
+    # words with a neighbour on the left and right, and how many different ones
+    first, last = Counter(s[0] for s in lowered), Counter(s[-1] for s in lowered)
+    left, right = Counter(b for _, b in grams[0]), Counter(a for a, _ in grams[0])
     content = [n for w, n in count.items() if w not in stop] or [1]
     mean = sum(content) / len(content)
     spread = math.sqrt(sum((n - mean) ** 2 for n in content) / len(content))
     highest = max(count.values())
     score: dict[str, float] = {}
+    # a word that comes once has the score of its like in the same sentence
+    once: dict[tuple, float] = {}
     for w, n in count.items():
-        case = max(upper[w], capital[w]) / (1 + math.log(n))
-        middle = sorted(places[w])[len(places[w]) // 2]
+        cased = max(upper.get(w, 0), capital.get(w, 0))
+        like = (places[w][0], cased, w in first, w in last) if n == 1 else None
+        if like in once:
+            score[w] = once[like]
+            continue
+        case = cased / (1 + math.log(n))
+        middle = places[w][len(places[w]) // 2]
         position = math.log(math.log(3 + middle) + 1e-12)
         frequency = n / (mean + spread)
-        spans = [len(set(side)) / len(side) for side in (left.get(w), right.get(w)) if side]
+        spans = [side[w] / (n - edge[w]) for side, edge in ((left, first), (right, last)) if n > edge[w]]
         related = 1 + sum(spans) * n / highest
         sentence_share = len(set(places[w])) / len(sentences)
         score[w] = related * position / (case + frequency / related + sentence_share / related)
-    found: dict[str, list[float]] = {}
-    for sentence in sentences:
-        low = [w.lower() for w in sentence]
-        for n in range(1, longest + 1):
-            for i in range(len(low) - n + 1):
-                gram = low[i : i + n]
-                if gram[0] in stop or gram[-1] in stop or any(w.isdigit() for w in gram):
-                    continue
-                found.setdefault(" ".join(gram), []).append(1)
-    ranked = []
-    for gram, hits in found.items():
-        values = [score[w] for w in gram.split(" ") if w not in stop]
-        ranked.append((math.prod(values) / (len(hits) * (1 + sum(values))), gram))
+        if like is not None:
+            once[like] = score[w]
+    digits = {w for w in count if w.isdigit()}
+    ends = count.keys() - stop - digits
+    # a space comes before all that words are made of, so tuples of words have the order of phrases
+    ranked = [(score[w] / (count[w] * (1 + score[w])), (w,)) for w in ends] if longest > 0 else []
+    if longest > 1:
+        ranked += [((x := score[a]) * (y := score[b]) / (n * (1 + (x + y))), (a, b)) for (a, b), n in grams[0].items() if a in ends and b in ends]
+    for found in grams[1 : max(longest - 1, 1)]:
+        for gram, n in found.items():
+            if gram[0] in ends and gram[-1] in ends and digits.isdisjoint(gram):
+                values = [score[w] for w in gram if w not in stop]
+                ranked.append((math.prod(values) / (n * (1 + sum(values))), gram))
+    heapify(ranked)
     out: list[tuple[str, float]] = []
-    for value, gram in sorted(ranked):
-        if all(SequenceMatcher(None, gram, g).ratio() <= similar for g, _ in out):
+    taken: list[tuple[str, Counter[str], SequenceMatcher]] = []
+    while ranked and (len(out) < most or not out):
+        value, words = heappop(ranked)
+        gram = " ".join(words)
+        if not any(_alike(gram, *other, similar) for other in taken):
             out.append((gram, value))
-        if len(out) >= most:
-            break
+            taken.append((gram, Counter(gram), SequenceMatcher(None, "", gram)))
     return out
 
 
+def _alike(gram: str, other: str, letters: Counter[str], matcher: SequenceMatcher, similar: float) -> bool:
+    """Whether the ratio of the matcher is above ``similar``; it is only taken where bounds leave it open."""
+    both, least = len(gram) + len(other), min(len(gram), len(other))
+    if 2.0 * least / both <= similar:
+        return False
+    if len(other) < 200 and (other in gram or gram in other):
+        return True
+    if 2.0 * sum([min(gram.count(c), n) for c, n in letters.items()]) / both <= similar:
+        return False
+    matcher.set_seq1(gram)
+    return matcher.ratio() > similar
+
+
 def page_keywords(title: Column, description: Column, body: Column, most: int = 8) -> Column:
     """Cleaned keywords of a page, from its title (twice), description and headings."""
     heads = F.array_join(X.headers(body), " ")
