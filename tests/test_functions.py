@@ -1,6 +1,7 @@
 """Scalar functions on small hand-made rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +188,11 @@ def test_front_matter_problems_leave_texts_in_the_jvm(spark):
         assert (got[k] == "no front matter between +++ marks") == (bool(parts[0]) or len(parts) < 3)
     # one block reaches from the first mark to one behind a long body
     assert 0 < sent_to_python(frame) < size / 5
+
+
+def test_safe_names_take_signs_only_at_the_end(spark):
+    texts = ["a b", "--", "x" * 99 + "--" * 80, "-" * 300 + "é/" + "-" * 5, "😀-- -" * 60, "", None, "a - - b\n\t--c"]
+    want = [None if t is None else re.sub("-{2,}", "-", re.sub(r"[^A-Za-z0-9_-]", "_", t))[-100:] for t in texts]
+    assert values(spark, texts, X.safe_filename) == want
+    # the signs of a long text are replaced in its last characters alone
+    assert "regexp_replace(right(" in spark.createDataFrame([("a",)], "t string").select(X.safe_filename(F.col("t"))).columns[0]
