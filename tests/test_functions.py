@@ -196,3 +196,17 @@ def test_safe_names_take_signs_only_at_the_end(spark):
     assert values(spark, texts, X.safe_filename) == want
     # the signs of a long text are replaced in its last characters alone
     assert "regexp_replace(right(" in spark.createDataFrame([("a",)], "t string").select(X.safe_filename(F.col("t"))).columns[0]
+
+
+def test_bodies_are_dealt_as_facts(spark, tmp_path):
+    """The query of body checks joins what was found in bodies, not bodies; a source whose first body is null has no reference."""
+    from corpusloom.plans.site_queries import body_checks
+
+    rows = [(1, "a", "x the y", "en"), (2, "a", "x", "en"), (3, "b", None, "en"), (4, "b", "{{< /q >}}{{< q >}}{{< /q >}} the z", "de"), (5, None, "x", "en"), (6, "a", '{"k": 1,} {{< q >}}', "fr")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = body_checks(spark, str(tmp_path))
+    got = {r.doc_id: r.problems for r in found.collect()}
+    none = "0 headings of level 2, the source has 1"
+    assert {k: v for k, v in got.items() if k != 6} == {1: [], 2: [none], 3: [], 4: ["shortcode q closes 2 times and opens 1"]}
+    assert got[6] == [none, "shortcode q opens 1 times, in the source 0"]
+    assert "body" not in found._jdf.queryExecution().optimizedPlan().toString()
