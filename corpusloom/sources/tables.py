@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.scratch import Scratch, partitions
+from corpusloom.sources.stores import list_files, open_store
+
 
 def sniff_delimiter(line: str) -> str:
     """The most frequent of comma, semicolon and tab in a header line; a semicolon where there is none."""
@@ -131,11 +137,31 @@ def robots_sitemaps(robots: Column) -> Column:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, digest) of image files; processed copies are passed over."""
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path)
+    """(path, length, digest) of image files; processed copies and hidden files are passed over, and a file that goes meanwhile.
+
+    Files are listed by tasks and only images are opened, a piece at a time.
+    """
     # Endings of image files.
-    wanted = F.lower(F.col("path")).rlike(r"\.(jpg|jpeg|png|gif|webp|bmp)\z") & ~F.col("path").contains("/processed/")
-    return files.where(wanted).select("path", "length", F.sha2("content", 256).alias("digest"))
+    wanted = F.lower("inside").rlike(r"\.(jpg|jpeg|png|gif|webp|bmp)\z") & ~F.col("inside").rlike(r"(\A|/)(\.|_[^/=]*(/|\z))")
+    listed = list_files(spark, path, Scratch(spark, "images"), but=frozenset(["processed"])).where(wanted).select("inside")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_store(path)
+        for frame in frames:
+            rows = []
+            for inside in frame["inside"]:
+                digest, length = hashlib.sha256(), 0
+                try:
+                    with store.open_input_stream(f"{base}/{inside}") as file:
+                        while piece := file.read(1 << 20):
+                            digest.update(piece)
+                            length += len(piece)
+                except FileNotFoundError:
+                    continue
+                rows.append((f"{path}/{inside}", length, digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "length", "digest"])
+
+    return listed.repartition(partitions(spark)).mapInPandas(run, "path string, length long, digest string")
 
 
 def cached_vectors(cache: DataFrame, model: str, keys: DataFrame) -> DataFrame:
