@@ -2,8 +2,8 @@
 
 No pre-token spans a space, or a single line break, between two characters that are no
 white space, so the text falls apart there into pieces that the tokenizer encodes
-independently; pieces seen before come from a bounded memo, new ones from the tokenizer,
-many at a time. A mark at the end of a letter is a pre-token of its own, so such pieces
+independently; pieces seen before come from a bounded memo, new ones from the tokenizer.
+A mark at the end of a letter is a pre-token of its own, so such pieces
 are put together from the word and the mark. A word of letters is one pre-token; where the
 file's merges are in the order of their ids, its ids come from a rank encoder over the
 same file's vocabulary, which gives the same ids at a fraction of the time.
@@ -52,6 +52,32 @@ def _rank_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
+class _Memo(dict):
+    """Ids of pieces; one that is not there is encoded when it is asked for. Never more than ``size`` pieces, none longer than 64."""
+
+    def __init__(self, size: int, tokenizer, ranked):
+        super().__init__()
+        self.size, self.tokenizer = size, tokenizer
+        self.ranked = None if ranked is None else ranked.encode_ordinary
+        self.mark = {m: self._encoded(m) for m in _MARKS}
+
+    def _encoded(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if (piece[1:] if piece[:1] == " " else piece).isalpha() and self.ranked is not None:
+            ids = array("I", self.ranked(piece)).tobytes()
+        elif piece[-1:] in self.mark and piece[-2:-1].isalpha() and "<|" not in piece:
+            ids = self[piece[:-1]] + self.mark[piece[-1]]
+        else:
+            ids = self._encoded(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.size:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class BpeModel:
     """Encodes with a tokenizers file. The memo never holds more than ``memo`` pieces."""
 
@@ -60,30 +86,7 @@ class BpeModel:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.size = memo
-        self.memo: dict[str, bytes] = {}
-        self.ranked = _rank_encoder(path)
-        self.mark = dict(zip(_MARKS, self._encode(list(_MARKS)), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Puts pieces into the memo."""
-        memo, mark = self.memo, self.mark
-        marked = [p for p in new if p[-1:] in mark and p[-2:-1].isalpha() and "<|" not in p]
-        words = (new - set(marked)) | {w for p in marked if (w := p[:-1]) not in memo}
-        if self.ranked is not None:
-            encode = self.ranked.encode_ordinary
-            letters = [w for w in words if (w[1:] if w[:1] == " " else w).isalpha()]
-            memo.update((w, array("I", encode(w)).tobytes()) for w in letters)
-            words.difference_update(letters)
-        wanted = list(words)
-        for at in range(0, len(wanted), 10_000):
-            part = wanted[at : at + 10_000]
-            memo.update(zip(part, self._encode(part), strict=True))
-        for p in marked:
-            memo[p] = memo[p[:-1]] + mark[p[-1]]
+        self.memo = _Memo(memo, self.tokenizer, _rank_encoder(path))
 
     def _pieces(self, text: str) -> list[str]:
         """The text in pieces, those after a space with it."""
@@ -95,20 +98,8 @@ class BpeModel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit values in the machine's order."""
-        split = [self._pieces(t) if "\0" not in t else [t] for t in texts]
-        memo = self.memo
-        seen = set().union(*split) if split else set()
-        new = seen - memo.keys()
-        if len(memo) + len(new) > self.size:
-            memo.clear()
-            new = seen
-        self._learn(new)
-        get = memo.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > 64:
-                memo.pop(p, None)
-        return out
+        get = self.memo.__getitem__
+        return [b"".join(map(get, self._pieces(t) if "\0" not in t else [t])) for t in texts]
 
 
 _MODELS: dict[str, BpeModel] = {}

@@ -66,3 +66,19 @@ def test_malformed_headers(spark, tmp_path):
     got = [(r.page_id, r.payload_bytes) for r in read_archives(spark, manifest).collect()]
     assert sorted(got, key=str) == [(1, 4), (None, 4), (None, 4)]
     assert parse(records[1].encode()) is None and whole_number("12") == 12 and whole_number("1.5") is None
+
+
+def test_a_byte_bpe_piece_is_encoded_when_it_is_asked_for():
+    """The memo stays bounded while one text has more new pieces than it holds, and pieces over 64 characters are not kept."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm.byte_bpe import BpeModel
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, model = Tokenizer.from_file(path), BpeModel(path, memo=20)
+    texts = ["", " ".join(f"w{k} abc{'d' * (k % 9)}," for k in range(200)), "x" * 80 + ", y" + "z" * 90, "<|endoftext|>, x", "a\0b c", "  a\n\nb ", "é, ü. 日本, ٣ it's"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in model.encode(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < len(model.memo) <= 20 and max(map(len, model.memo)) <= 64
