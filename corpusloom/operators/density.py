@@ -2,11 +2,14 @@
 
 Edges are ordered by mutual reachability, then by the smaller and the larger id, so the
 spanning tree, and with it the result, is unique. A group of few rows is one task's work.
-In larger ones core distances and spanning trees come from pairs of blocks: the tree of
-the whole is within the union of the trees of all pairs. What is left of a group, edges
-only, is one task's again while it is small; beyond that the tree is found by Boruvka
-rounds over the edge table, the merges by halving ranges of the sorted edges and
-contracting the lighter half, and the clusters as components of the merges.
+In larger ones pairs of blocks give the nearest others of each point. Boruvka rounds over
+those, edges only, are one task's while the group is of middle size: a part of the tree
+grows while its lightest way out is lighter than all that its points do not know; only
+where none grows any more, the points of all parts but the largest are measured again
+with the others outside. Beyond that size spanning trees come from pairs of blocks (the
+tree of the whole is within the union of the trees of all pairs), the tree is found by
+Boruvka rounds over the edge table, the merges by halving ranges of the sorted edges
+and contracting the lighter half, and the clusters as components of the merges.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ from corpusloom.plans.scratch import Scratch
 
 @dataclass(frozen=True)
 class Sizes:
-    """Bounds of a task: rows of a group that it takes whole, edges of a group, and merges of a range. They change no result."""
+    """Bounds of a task: rows of a group that it takes whole, rows of a group whose edges it takes, and merges of a range. They change no result."""
 
     rows: int = 2048
     edges: int = 1 << 18
@@ -39,6 +43,11 @@ class Sizes:
 BLOCK_ROWS = 2048
 #: Level of merges at distance zero.
 AT_ONCE = 1e12
+#: Rows of a block that are measured at a time.
+STRIP = 256
+#: Vectors of a block where only nearest ones leave a task, and how many of them each vector keeps.
+WIDE_ROWS = 16_384
+NEAR = 16
 #: Stabilities within this share of each other are equal, in whatever order they were summed.
 SLACK = 1e-9
 
@@ -53,19 +62,25 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spanning_tree(points: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, a, b), a < b, of the tree over all points by mutual reachability, ties by a and b; memory follows the points."""
+    """(weights, a, b), a < b, of the tree over all points by mutual reachability, ties by a and b; memory follows the square of the points."""
     n = len(points)
     inside, near, key = np.zeros(n, bool), np.full(n, np.inf), np.full(n, n * n)
     every = np.arange(n)
+    reaches = np.empty((n, n))
+    for s in range(0, n, STRIP):
+        part = slice(s, s + STRIP)
+        reaches[part] = np.maximum(np.maximum(core[part, None], core), distances(points[part], points))
     out, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        reach = np.maximum(np.maximum(core[at], core), distances(points[at : at + 1], points)[0])
-        own = np.minimum(at, every) * n + np.maximum(at, every)
-        closer = ~inside & ((reach < near) | ((reach == near) & (own < key)))
-        near[closer], key[closer] = reach[closer], own[closer]
-        least = np.where(inside, np.inf, near)
-        ties = np.flatnonzero(least == least.min())
+        near[at] = np.inf
+        reach = reaches[at]
+        closer = np.flatnonzero((reach <= near) & ~inside)
+        own = np.minimum(at, closer) * n + np.maximum(at, closer)
+        better = (reach[closer] < near[closer]) | (own < key[closer])
+        closer, own = closer[better], own[better]
+        near[closer], key[closer] = reach[closer], own
+        ties = np.flatnonzero(near == near.min())
         at = int(ties[np.argmin(key[ties])])
         out.append((near[at], key[at] // n, key[at] % n))
     w, a, b = zip(*out, strict=True) if out else ((), (), ())
@@ -85,18 +100,6 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def kruskal(n: int, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the edges of the spanning tree, lightest first."""
-    parent, kept = list(range(n)), []
-    order = np.lexsort((b, a, w))
-    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        x, y = _root(parent, x), _root(parent, y)
-        if x != y:
-            parent[x] = y
-            kept.append(k)
-    return np.array(kept, int)
-
-
 def chosen_clusters(up: list[int], stability: list[float]) -> list[int]:
     """The most stable antichain of a cluster tree: for each cluster the chosen one at or above it, or -1.
 
@@ -161,25 +164,192 @@ def hdbscan(points: np.ndarray, least: int = 5, samples: int = 3) -> np.ndarray:
     return tree_labels(n, w[order], a[order], b[order], least)
 
 
+def _apart(points: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows to nine decimals, the same whatever they are measured with."""
+    parts = range(0, len(x), 1 << 16)
+    return np.concatenate([np.zeros(0), *(np.round(np.sqrt(((points[x[s : s + (1 << 16)]] - others[y[s : s + (1 << 16)]]) ** 2).sum(1)), 9) for s in parts)])
+
+
+def _squares(points: np.ndarray, others: np.ndarray):
+    """Strips (start, squared distances, what they may be off by) of the points against all others."""
+    x, y = (points**2).sum(1), (others**2).sum(1)
+    left = np.column_stack([points, np.ones(len(points)), x])
+    right = np.ascontiguousarray(np.column_stack([-2 * others, y, np.ones(len(others))]).T)
+    for s in range(0, len(points) if len(others) else 0, STRIP):
+        yield s, left[s : s + STRIP] @ right, 1e-12 * (x[s : s + STRIP] + y.max())
+
+
+def _up_to(square: np.ndarray, most: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose distance may be at most the root of ``most`` to nine decimals."""
+    limit = (np.sqrt(np.maximum(np.minimum(most, np.finfo(float).max / 4) + off, 0)) + 2e-9) ** 2 + off
+    return np.divmod(np.flatnonzero(square <= limit[:, None]), square.shape[1])
+
+
+def _first_copies(keys: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` of equal rows, in order."""
+    rows = np.ascontiguousarray(keys)
+    _, of = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    return np.sort(order[np.arange(len(of)) - np.searchsorted(of[order], of[order]) < most])
+
+
+def nearest_others(ids: np.ndarray, points: np.ndarray, other_ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, id, distance): the k nearest others of each point but itself, by distance and id; ``other_ids`` ascend."""
+    found = [(np.zeros(0, int), other_ids[:0], np.zeros(0))]
+    # of more copies than that none is among the nearest
+    kept = _first_copies(others, k + 1)
+    other_ids, others = other_ids[kept], others[kept]
+    for s, square, off in _squares(points, others):
+        own = ids[s : s + STRIP]
+        place = np.minimum(np.searchsorted(other_ids, own), len(other_ids) - 1)
+        same = np.flatnonzero(other_ids[place] == own)
+        square[same, place[same]] = np.inf
+        # the k-th of the least of runs is no less than the k-th of all
+        lows = np.minimum.reduceat(square, np.arange(0, len(others), 64), axis=1)
+        lows = lows if k <= lows.shape[1] else square
+        most = np.partition(lows, k - 1, axis=1)[:, k - 1] if k <= lows.shape[1] else np.full(len(own), np.inf)
+        x, y = _up_to(square, most, off)
+        d = _apart(points, s + x, others, y)
+        order = np.lexsort((y, d, x))
+        order = order[np.arange(len(x)) - np.searchsorted(x, x) < k]
+        found.append((s + x[order], other_ids[y[order]], d[order]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def ways_out(
+    ids: np.ndarray, points: np.ndarray, core: np.ndarray, part: np.ndarray, other_ids: np.ndarray, others: np.ndarray, other_core: np.ndarray, other_part: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, weight, a, b), a < b: the lightest edge of each point to one of the others in another part, the first by a and b; ``other_ids`` ascend."""
+    # the first of copies in a part has the first edge
+    kept = _first_copies(np.column_stack([others, other_core, other_part.astype(float)]), 1)
+    kept = kept[np.argsort(other_part[kept], kind="stable")]
+    other_ids, others, other_core, other_part = other_ids[kept], others[kept], other_core[kept], other_part[kept]
+    first, last = np.searchsorted(other_part, part, "left"), np.searchsorted(other_part, part, "right")
+    found = [(np.zeros(0, int), np.zeros(0), ids[:0], ids[:0])]
+    for s, square, off in _squares(points, others):
+        np.maximum(square, other_core**2, out=square)
+        for row in range(len(square)):
+            square[row, first[s + row] : last[s + row]] = np.inf
+        x, y = _up_to(square, np.maximum(square.min(1), core[s : s + STRIP] ** 2), off)
+        x = s + x
+        w = np.maximum(np.maximum(core[x], other_core[y]), _apart(points, x, others, y))
+        a, b = np.minimum(ids[x], other_ids[y]), np.maximum(ids[x], other_ids[y])
+        order = np.lexsort((b, a, w, x))
+        order = order[np.unique(x[order], return_index=True)[1]]
+        found.append((x[order], w[order], a[order], b[order]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def grown(part: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, bound: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, edges, asked) after Boruvka rounds over known edges while a part's lightest way out is certain.
+
+    Edges out of a point's part that are not known weigh its ``bound`` at least; where the
+    known edge to point ``to`` (-1: none) leads out, it is the point's lightest. edges are
+    places of what joins the tree, asked the points whose lightest way out must be sought,
+    none of the largest part.
+    """
+    order = np.lexsort((b, a, w))
+    taken = []
+    while True:
+        names, part = np.unique(part, return_inverse=True)
+        m = len(names)
+        order = order[part[a[order]] != part[b[order]]]
+        x, y, down = part[a[order]], part[b[order]], np.arange(len(order))[::-1]
+        best = np.full((2, m), len(order))
+        # of equal places the last is written
+        best[0, x[::-1]], best[1, y[::-1]] = down, down
+        best = best.min(0)
+        weight = np.append(w[order], np.inf)[best]
+        unsure = np.where((to >= 0) & (part[to] != part), np.inf, bound)
+        least = np.full(m, np.inf)
+        np.minimum.at(least, part, unsure)
+        sure = np.flatnonzero(weight < least)
+        if m == 1 or not len(sure):
+            asked = np.isfinite(unsure) & (unsure <= weight[part]) & (part != np.argmax(np.bincount(part)))
+            return part, np.concatenate([*taken, order[:0]]), np.flatnonzero(asked)
+        taken.append(order[np.unique(best[sure])])
+        every, up = np.arange(m), np.arange(m)
+        up[sure] = x[best[sure]] + y[best[sure]] - sure
+        # two parts may choose the same edge
+        up = np.where((up[up] == every) & (every < up), every, up)
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+
+
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
     return matrix(table.column(name))
 
 
-def _cores(rows: DataFrame) -> DataFrame:
-    """(id, core) from ordered pairs of blocks of each group."""
+def _nearest(rows: DataFrame) -> DataFrame:
+    """The rows with near, the nearest others (d, b) in their group, core, and bound, which no distance to another that is not in near is below."""
 
     def nearest(table: pa.Table) -> pa.Table:
-        side, k = np.asarray(table.column("side")), table.column("samples")[0].as_py()
+        table = table.sort_by("id")
+        side, k = np.asarray(table.column("side")), max(NEAR, table.column("samples")[0].as_py())
         points, ids = _matrix(table), np.asarray(table.column("id"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(left) or not len(right):
-            return pa.table({"id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.float64()))})
-        near = [np.partition(distances(points[part], points[right]), min(k, len(right)) - 1, axis=1)[:, :k] for part in np.array_split(left, max(1, len(left) // 256))]
-        return pa.table({"id": ids[left], "near": pa.array(list(np.concatenate(near)), pa.list_(pa.float64()))})
+        place, b, d = nearest_others(ids[left], points[left], ids[right], points[right], k)
+        starts = pa.array(np.searchsorted(place, np.arange(len(left) + 1)), pa.int32())
+        return pa.table({"id": ids[left], "near": pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(d), pa.array(b)], names=["d", "b"]))})
 
-    found = block_pairs(rows, "g", False, ("samples",), BLOCK_ROWS).groupBy("g", "i", "j").applyInArrow(nearest, "id long, near array<double>")
-    merged = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).join(rows.select("id", "samples", "n"), "id")
-    return merged.select("id", F.element_at("near", F.least("samples", "n").cast("int")).alias("core"))
+    found = block_pairs(rows, "g", False, ("samples",), WIDE_ROWS).groupBy("g", "i", "j").applyInArrow(nearest, "id long, near array<struct<d: double, b: long>>")
+    merged = rows.join(found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")), "id")
+    kept = merged.withColumn("near", F.slice("near", F.lit(1), F.greatest(F.lit(NEAR), F.col("samples").cast("int"))))
+    core = F.when(F.col("samples") > 1, F.try_element_at("near", (F.least("samples", "n") - 1).cast("int"))["d"]).otherwise(0.0)
+    bound = F.when(F.size("near") >= F.col("n") - 1, float("inf")).otherwise(F.try_element_at("near", F.lit(-1))["d"])
+    return kept.withColumns({"core": core, "bound": bound})
+
+
+def _trees(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, w, a, b): the spanning tree of each group, from the nearest others, and from all others only for points whose part finds no way out among those."""
+
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, core, bound, part, other = (np.asarray(table.column(c)) for c in ("id", "core", "bound", "part", "other"))
+        n, g = len(ids), table.column("g")[0].as_py()
+        lists = table.column("near").combine_chunks()
+        x = np.repeat(np.arange(n), np.asarray(pc.list_value_length(lists), np.int64))
+        y = np.searchsorted(ids, np.asarray(lists.flatten().field("b")))
+        w = np.maximum(np.maximum(core[x], core[y]), np.asarray(lists.flatten().field("d")))
+        known = np.flatnonzero(other >= 0)
+        to = np.full(n, -1)
+        to[known] = np.searchsorted(ids, other[known])
+        x, y, w = np.append(x, known), np.append(y, to[known]), np.append(w, bound[known])
+        a, b = np.minimum(x, y), np.maximum(x, y)
+        part, edges, asked = grown(part, w, a, b, bound, to)
+        m = n if part.max() else 0
+        if m and not len(asked):
+            raise ValueError("vectors of a group have components that are not finite")
+        ask, blank = np.zeros(n, bool), [None] * m
+        ask[asked] = True
+        node = {"id": [*ids[:m].tolist(), *[None] * len(edges)], "part": [*part[:m].tolist(), *[None] * len(edges)], "asked": [*ask[:m].tolist(), *[None] * len(edges)]}
+        edge = {"w": blank + w[edges].tolist(), "a": blank + ids[a[edges]].tolist(), "b": blank + ids[b[edges]].tolist()}
+        kinds = {"id": pa.int64(), "part": pa.int64(), "asked": pa.bool_(), "w": pa.float64(), "a": pa.int64(), "b": pa.int64()}
+        return pa.table({"g": pa.array([g] * (m + len(edges)), pa.string()), **{c: pa.array(v, kinds[c]) for c, v in (node | edge).items()}})
+
+    def seek(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        side, points = np.asarray(table.column("side")), _matrix(table)
+        ids, core, part = (np.asarray(table.column(c)) for c in ("id", "core", "part"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place, w, a, b = ways_out(ids[left], points[left], core[left], part[left], ids[right], points[right], core[right], part[right])
+        return pa.table({"id": ids[left][place], "w": w, "a": a, "b": b})
+
+    told = rows.select("g", "id", "core", "near", "bound", F.col("id").alias("part"), F.lit(-1).cast("long").alias("other"))
+    tree: DataFrame | None = None
+    while True:
+        found = scratch.table(told.groupBy("g").applyInArrow(grow, "g string, id long, part long, asked boolean, w double, a long, b long"), "forest")
+        new = found.where("a IS NOT NULL").select("g", "w", "a", "b")
+        tree = new if tree is None else tree.unionByName(new)
+        parts = found.where("id IS NOT NULL").select("id", "part", "asked")
+        if parts.isEmpty():
+            return tree
+        dealt = block_pairs(rows.join(parts, "id"), "g", False, ("core", "part", "asked"), WIDE_ROWS).where("side = 1 OR asked")
+        out = dealt.groupBy("g", "i", "j").applyInArrow(seek, "id long, w double, a long, b long").groupBy("id").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        sought = told.drop("part").join(parts, "id").join(out, "id", "left")
+        bound, other = F.coalesce("e.w", "bound"), F.coalesce(F.col("e.a") + F.col("e.b") - F.col("id"), "other")
+        told = scratch.table(sought.select("g", "id", "core", "near", bound.alias("bound"), "part", other.alias("other")), "sought")
 
 
 def _pair_trees(rows: DataFrame) -> DataFrame:
@@ -325,25 +495,21 @@ def density_labels(rows: DataFrame, scratch: Scratch, sizes: Sizes | None = None
     large = kept.where(F.col("n") > sizes.rows)
     if large.isEmpty():
         return small
-    cores = scratch.table(large.join(_cores(large), "id"), "cores")
-    edges = scratch.table(_pair_trees(cores), "edges")
-    counts = edges.groupBy("g").agg(F.count("*").alias("edges"))
-    about = scratch.table(large.groupBy("g").agg(F.first("least").alias("least"), F.first("n").alias("n")).join(counts, "g"), "about")
+    cores = scratch.table(_nearest(large), "cores")
+    trees = _trees(cores.where(F.col("n") <= sizes.edges), scratch).join(large.groupBy("g").agg(F.first("least").alias("least")), "g")
 
     def rest(table: pa.Table) -> pa.Table:
         w, a, b = (np.asarray(table.column(c)) for c in ("w", "a", "b"))
         ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = place[: len(w)], place[len(w) :]
-        tree = kruskal(len(ids), w, a, b)
-        found = tree_labels(len(ids), w[tree], a[tree], b[tree], table.column("least")[0].as_py())
+        order = np.lexsort((b, a, w))
+        a, b = place[: len(w)][order], place[len(w) :][order]
+        found = tree_labels(len(ids), w[order], a, b, table.column("least")[0].as_py())
         return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(ids), pa.string()), "id": ids, "cluster": pa.array(found, pa.int32())})
 
-    told = edges.join(about, "g")
-    done = small.unionByName(told.where(F.col("edges") <= sizes.edges).select("g", "w", "a", "b", "least").groupBy("g").applyInArrow(rest, label))
-    huge = told.where(F.col("edges") > sizes.edges)
-    for least in [r.least for r in about.where(F.col("edges") > sizes.edges).select("least").distinct().collect()]:  # as many as callers ask for
-        own = huge.where(F.col("least") == least).select("g", "w", "a", "b")
-        tree = scratch.table(_boruvka(own, scratch), "tree")
-        ids = large.join(about.where((F.col("edges") > sizes.edges) & (F.col("least") == least)).select("g"), "g", "left_semi")
-        done = done.unionByName(_cut_labels(_merges(tree, sizes.merges, scratch), ids, least, scratch))
+    done = small.unionByName(trees.groupBy("g").applyInArrow(rest, label))
+    huge = cores.where(F.col("n") > sizes.edges)
+    for least in [r.least for r in huge.select("least").distinct().collect()]:  # as many as callers ask for
+        own = huge.where(F.col("least") == least)
+        tree = scratch.table(_boruvka(_pair_trees(own), scratch), "tree")
+        done = done.unionByName(_cut_labels(_merges(tree, sizes.merges, scratch), own, least, scratch))
     return done

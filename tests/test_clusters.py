@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -97,6 +98,58 @@ def test_labels_in_every_way(spark, monkeypatch, sizes):
     assert {r.id: r.cluster for r in density.density_labels(frame, Scratch(spark, "d"), sizes).collect()} == want
 
 
+def copies_and_heaps(seed):
+    """Far heaps of more points than the nearest that are kept, copies and near copies among them."""
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([rng.normal(size=8) * 3 + rng.normal(size=(n, 8)) * s for n, s in ((60, 0.1), (45, 0.5), (80, 1.0), (25, 1e-7))])
+    points[100:140] = points[3]
+    return points[rng.permutation(len(points))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_from_nearest_others_are_the_whole_tree(seed):
+    points = copies_and_heaps(seed)
+    n = len(points)
+    ids = np.arange(n) * 3 + 1
+    d = density._apart(points, np.repeat(np.arange(n), n), points, np.tile(np.arange(n), n)).reshape(n, n)
+    for k, samples in ((2, 1), (4, 3), (9, 5)):
+        place, near, far = density.nearest_others(ids, points, ids, points, k)
+        want = [sorted((d[x, y], ids[y]) for y in range(n) if y != x)[:k] for x in range(n)]
+        assert list(zip(far.tolist(), near.tolist(), strict=True)) == [p for own in want for p in own] and place.tolist() == np.repeat(np.arange(n), k).tolist()
+        far, near = far.reshape(n, k), (near.reshape(n, k) - 1) // 3
+        core = far[:, samples - 2] if samples > 1 else np.zeros(n)
+        reach = np.maximum(np.maximum(core[:, None], core), d)
+        x = np.repeat(np.arange(n), k)
+        w, a, b = reach[x, near.ravel()], np.minimum(x, near.ravel()), np.maximum(x, near.ravel())
+        part, bound, to, tree, turns = np.arange(n), far[:, -1].copy(), np.full(n, -1), [], 0
+        while True:
+            part, edges, asked = density.grown(part, w, a, b, bound, to)
+            tree += [(w[e], a[e], b[e]) for e in edges]
+            if not part.max():
+                break
+            turns += 1
+            found = density.ways_out(ids[asked], points[asked], core[asked], part[asked], ids, points, core, part)
+            outside = [min((reach[p, q], min(p, q), max(p, q)) for q in range(n) if part[q] != part[p]) for p in asked]
+            assert [(w, (a - 1) // 3, (b - 1) // 3) for _, w, a, b in zip(*found, strict=True)] == outside
+            more = [np.array(c) for c in zip(*outside, strict=True)]
+            bound[asked], to[asked] = more[0], more[1] + more[2] - asked
+            w, a, b = np.append(w, more[0]), np.append(a, more[1]), np.append(b, more[2])
+        assert sorted(tree) == sorted(zip(*density.spanning_tree(points, core), strict=True)) and turns > 0
+
+
+def test_a_group_of_middle_size_leaves_no_more_edges_than_its_tree(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 30)
+    own = {f"h{seed}": copies_and_heaps(seed) for seed in (3, 4)}
+    rows = [(g, 1000 * k + i, p.tolist(), 5, 3) for k, (g, points) in enumerate(own.items()) for i, p in enumerate(points)]
+    want = {1000 * k + i: x for k, points in enumerate(own.values()) for i, x in enumerate(density.hdbscan(points).tolist())}
+    scratch = Scratch(spark, "d")
+    frame = spark.createDataFrame(rows, "g string, id long, vec array<double>, least int, samples int")
+    assert {r.id: r.cluster for r in density.density_labels(frame, scratch, density.Sizes(50)).collect()} == want
+    written = [spark.read.parquet(f.as_uri()) for f in Path(scratch.root.removeprefix("file://")).iterdir()]
+    edges = sum(t.where("a IS NOT NULL").count() for t in written if {"w", "a", "b"} <= set(t.columns))
+    assert edges == sum(len(points) - 1 for points in own.values())
+
+
 def by_recursion(ids, points, most=5):
     out, todo = {}, [("", ids, points)]
     while todo:
