@@ -5,10 +5,13 @@ first few shingles under any common order (the prefix); here rare shingles come
 by a counting sketch of fixed size, so common ones bring hardly any sets together. The
 first shingle that two linking sets share stands so early in the smaller one that few of
 its shingles come into question. Sets of fitting sizes that meet in such a shingle are
-chained, which gives candidate groups that no link leaves. Groups are compared in tiles
+paired and kept where bitmaps of the parities of hashed shingles (marks) let them link; sets
+of a shingle that many have are chained instead. That gives candidate groups that no link
+leaves. A chain of sets that only met by chance would make one group of most of a large
+table, as in it many shingles are shared by chance. Groups are compared in tiles
 by band of set size and, where a band is large, salt: a band with itself and with the
 next, as sets further apart in size cannot link. That is done twice. First tiles hold
-marks only, bitmaps of the parities of hashed shingles: as many bits as two marks differ
+marks only: as many bits as two marks differ
 in, so many shingles at least are in one of the two sets only. Sets that no mark lets link
 go, and groups fall apart. Then tiles hold the whole sets that are left: hashed bitmap
 signatures bound the overlap of two sets from above by bit counts, and what may reach the
@@ -38,6 +41,8 @@ from corpusloom.llm.wordhash import by_part, fine_parts, give_back, mix, pack, s
 SLICE = 2 << 20
 SKETCH_BITS = 22
 TILE_ROWS = 256
+#: Sets with a shingle among their first that are paired; more are chained.
+PAIRED = 16
 _SKETCH_PARTS = 16
 #: Slots of the bitmap of ids in groups, and those of one row of it.
 ID_SLOTS, _ID_ROW = 1 << 25, 1 << 15
@@ -147,10 +152,35 @@ def chained(token: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.nd
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
 
 
+def meeting(token: np.ndarray, name: np.ndarray, size: np.ndarray, before: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of names: all that may link because of a shingle that no more than PAIRED sets have, and the chains of the others."""
+    order = np.lexsort((name, size, token))
+    token, name, size, before = token[order], name[order], size[order], before[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
+    token, name, size, before = token[fresh], name[fresh], size[fresh], before[fresh]
+    _, group, sets = np.unique(token, return_inverse=True, return_counts=True)
+    sets = sets[group]
+    many = sets > PAIRED
+    some = (sets > 1) & ~many
+    chains = chained(token[many], name[many], size[many], before[many], similarity)
+    group, name, size, before = group[some], name[some], size[some], before[some]
+    early, allowed = before <= similarity.early(size), similarity.largest(size, before)
+    found = [np.zeros((0, 2), np.int64)]
+    for step in range(1, int(sets[some].max(initial=1))):
+        small = np.flatnonzero((group[step:] == group[:-step]) & early[:-step])
+        large = small + step
+        ok = (size[small] <= allowed[large]) & similarity.sizes_fit(size[small], size[large])
+        a, b = name[small[ok]], name[large[ok]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return np.unique(np.concatenate(found), axis=0), chains
+
+
 def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, node, mark) of every row, node null for an empty set; and candidate edges (a, b) between nodes.
+    """(id, n_shingles, node, mark) of every row, node null for an empty set; and candidate edges (a, b, paired) between nodes.
 
-    A node has its mark with one of its rows at least.
+    A node has its mark with one of its rows at least. Edges that are not paired stand for
+    others too, so that none of them may go.
     """
     sketch = rows.sparkSession.sparkContext.broadcast(frequency_sketch(rows, similarity))
     fine = fine_parts(count)
@@ -209,12 +239,13 @@ def _candidates(rows: DataFrame, similarity: Similarity, scratch: Scratch, count
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in by_part(batches):
             columns = [np.concatenate(c) for c in zip(*(unpack(blob.as_py(), 4) for blob in part.column("blob")), strict=True)]
-            pairs = chained(columns[0], *[c.view(np.int64) for c in columns[1:]], similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs, chains = meeting(columns[0], *[c.view(np.int64) for c in columns[1:]], similarity)
+            both = np.concatenate([pairs, chains])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(pairs))], names=["a", "b", "paired"])
         give_back()
 
     dealt = made.where("part IS NOT NULL").select("part", "blob").repartitionById(count, F.floor(F.col("part") / fine).cast("int")).sortWithinPartitions("part")
-    edges = scratch.table(dealt.mapInArrow(chain, "a long, b long"), "candidates")
+    edges = scratch.table(dealt.mapInArrow(chain, "a long, b long, paired boolean"), "candidates")
     sized = scratch.table(made.where("part IS NULL").select("id", "n_shingles", "node", "mark"), "sized")
     scratch.drop(made)
     return sized, edges
@@ -295,6 +326,32 @@ def tile_possible(sizes: np.ndarray, marks: list[bytes], side: np.ndarray | None
     return _connecting(len(sizes), linked)
 
 
+def pairs_possible(small: np.ndarray, large: np.ndarray, marks: tuple[list[bytes], list[bytes]], similarity: Similarity) -> np.ndarray:
+    """Whether the sets of each pair may link by sizes and marks."""
+    widths = [np.array([len(m) for m in side], np.int64) for side in marks]
+    out = np.zeros(len(small), bool)
+    for of in np.unique(np.stack(widths, 1), axis=0):
+        rows = np.flatnonzero((widths[0] == of[0]) & (widths[1] == of[1]))
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join([side[k] for k in rows.tolist()]), np.uint64).reshape(len(rows), -1, min(of) // 8), axis=1) for side in marks]
+        a, b = small[rows], large[rows]
+        apart = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+        out[rows] = similarity.sizes_fit(np.minimum(a, b), np.maximum(a, b)) & similarity.overlap_fits((a + b - apart) // 2, a, b)
+    return out
+
+
+def _screened(edges: DataFrame, nodes: DataFrame, similarity: Similarity) -> DataFrame:
+    """The candidate edges (a, b) without pairs that cannot link by size or mark."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, marks = ([np.asarray(batch.column(n)) for n in ("n_a", "n_b")], [batch.column(m).to_pylist() for m in ("m_a", "m_b")])
+            yield batch.select(["a", "b"]).filter(pa.array(pairs_possible(*sizes, tuple(marks), similarity)))
+
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("mark").alias(f"m_{c}"))
+    pairs = edges.where("paired").select("a", "b").distinct().join(end("a"), "a").join(end("b"), "b")
+    return pairs.mapInArrow(screen, "a long, b long").union(edges.where("NOT paired").select("a", "b"))
+
+
 def _banded(nodes: DataFrame, groups: DataFrame, similarity: Similarity, scratch: Scratch) -> DataFrame:
     """The nodes of groups (node, component), with component, band, and band_size, prior and next: sets of its band and of the two adjacent ones in the component."""
     members = scratch.table(nodes.join(groups, "node").withColumn("band", similarity.band(F.col("n_shingles"))), "members")
@@ -393,7 +450,8 @@ def link_documents(docs: DataFrame, similarity: Similarity = Similarity(), id_co
     sized, edges = _candidates(rows.where("id IS NOT NULL"), similarity, scratch, count)
     # one row for each node
     first = scratch.table(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("mark").alias("mark")), "nodes")
-    possible = scratch.table(_possible(_banded(first, components(edges, scratch), similarity, scratch), similarity), "possible")
+    meet = components(_screened(edges, first, similarity), scratch)
+    possible = scratch.table(_possible(_banded(first, meet, similarity, scratch), similarity), "possible")
     members = _banded(first.drop("mark"), components(possible, scratch), similarity, scratch).select("id", "component", "node", "band", "band_size", "prior", "next")
     links = scratch.table(_verify(rows, scratch.table(members, "dealt"), similarity, count, count_links), "links")
     found = components(links, scratch)
